@@ -30,9 +30,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(documents(spark, sf_dir))
 
 
+def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stakeweave.llm.simhash import simhash_groups
+
+    return simhash_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_mix_sources": op4_mix_sources,
     "op8_quality_rules": op8_quality_rules,
+    "op10_simhash_groups": op10_simhash_groups,
 }
 ORACLE_SQL: dict[str, str] = {}
