@@ -146,9 +146,9 @@ def _fences(rows: DataFrame, reach: float, min_group: int, k: int) -> DataFrame:
     )
     own = cut(own)  # one row for each language and source
     lang = own.groupBy("_lang").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(s, k).alias(s) for s in SIGNALS])
-    every = lang.agg(F.sum("n").alias("n2"), *[F.kll_merge_agg_double(s, k).alias(f"{s}2") for s in SIGNALS])
+    every = lang.groupBy(F.lit(1).alias("_one")).agg(F.sum("n").alias("n2"), *[F.kll_merge_agg_double(s, k).alias(f"{s}2") for s in SIGNALS])
     lang = lang.select(F.col("_lang").alias("_l1"), F.col("n").alias("n1"), *[F.col(s).alias(f"{s}1") for s in SIGNALS])
-    levels = own.join(lang, own["_lang"].eqNullSafe(lang["_l1"]), "left").crossJoin(F.broadcast(every))  # one row
+    levels = own.join(lang, own["_lang"].eqNullSafe(lang["_l1"]), "left").withColumn("_one", F.lit(1)).join(every, "_one")
     out = [F.col("_lang").alias("_f_lang"), F.col("_source").alias("_f_source")]
     for s, floor in SIGNALS.items():
         sketch = F.when(F.col("n") >= min_group, F.col(s)).when(F.col("n1") >= min_group, F.col(f"{s}1")).otherwise(F.col(f"{s}2"))
