@@ -67,7 +67,7 @@ def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = (1.0, 2.0, 3.0),
     block: int = 64,
-    shard_rows: int = 20_000,
+    shard_rows: int = 5_000,
     limit: float = 3.0,
     seed: int = 17,
     id_col: str = "doc_id",

@@ -24,6 +24,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stakeweave.llm.fingerprints import edit_likeness
+
+    return edit_likeness(documents(spark, sf_dir))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakeweave.llm.line_dedup import line_dedup
 
@@ -45,6 +51,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_mix_sources": op4_mix_sources,
+    "op5_fingerprints": op5_fingerprints,
     "op6_line_dedup": op6_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_simhash_groups": op10_simhash_groups,
