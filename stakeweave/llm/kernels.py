@@ -75,13 +75,16 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of every word of the texts that ``offsets`` cuts ``data`` into."""
+def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of every word of the texts that ``offsets`` cuts ``data`` into.
+
+    ``table`` tells which bytes belong to words.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    word = IS_WORD[data]
+    word = table[data]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = word[:-1], word[1:]
     cut = offsets[(offsets > 0) & (offsets < n)]

@@ -18,6 +18,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return token_counts(documents(spark, sf_dir), f.read())
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stakeweave.llm.licences import scan_licences
+
+    return scan_licences(documents(spark, sf_dir))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stakeweave.llm.language_id import identify_language
+
+    return identify_language(documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakeweave.llm.mixing import mix_sources
 
@@ -50,6 +62,8 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_licence_scan": op2_licence_scan,
+    "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op5_fingerprints": op5_fingerprints,
     "op6_line_dedup": op6_line_dedup,
