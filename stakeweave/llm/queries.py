@@ -54,6 +54,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(documents(spark, sf_dir))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from stakeweave.llm.piece_viterbi import encode_digest
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return encode_digest(documents(spark, sf_dir), f.read())
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakeweave.llm.simhash import simhash_groups
 
@@ -68,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_line_dedup": op6_line_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash_groups": op10_simhash_groups,
 }
 ORACLE_SQL: dict[str, str] = {}
