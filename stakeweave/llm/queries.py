@@ -48,6 +48,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stakeweave.llm.ngram_lm import score_texts
+
+    return score_texts(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakeweave.llm.quality import quality_verdicts
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_fingerprints": op5_fingerprints,
     "op6_line_dedup": op6_line_dedup,
+    "op7_lm_scores": op7_lm_scores,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash_groups": op10_simhash_groups,
