@@ -12,11 +12,14 @@ least ``threshold`` with it.  Lines without words stay.
    ``n - ceil(threshold * n) + 1`` words is posted under each of them.  A word that
    occurs once cannot be shared and is not posted.  Each task posts a set once, at its
    first place, so a line that fills a third of the corpus gives one row a task.
-3. Postings meet by word.  Length, positional and bitmap filters mark the sets that may
-   have a partner; no pairs are written.
-4. The marked sets alone are posted again with all their word hashes, and in each
-   group a set is verified against earlier ones until one matches.
-5. Of every distinct set the first place stays if nothing earlier matched.
+3. Postings meet by word.  Length, positional and parity filters find possible partners; a
+   set names its ``NAMED`` earliest ones under each word, never all, and a set that has
+   more is noted as open.
+4. The words of sets named in a pair are read again, once a set, and pairs are verified.
+5. If a set is open and none of its named partners matched, it and all its possible
+   partners are posted again with all their words, and in each group it is verified
+   against earlier ones until one matches.  So naming a few loses nothing.
+6. Of every distinct set the first place stays if nothing earlier matched.
 
 Defined results: a null text reads as empty and has no lines with words; a null id sorts
 last; texts with one id share places, so neither of two lines at one place is later; empty lines
@@ -125,8 +128,22 @@ def _line_sets(data: np.ndarray, lines: np.ndarray, rarity: np.ndarray):
 
 
 _TOKEN = np.uint64((1 << 44) - 1)
-#: ``tag`` is 40 bits of the set's own hash above 24 bits of its size.
-_POSTED = "key long, kind int, sig long, tag long, pos int, doc long, line int"
+#: Possible partners that a set names under each word.
+NAMED = 4
+#: ``tag`` is 40 bits of the set's own hash above 24 bits of its size; ``odd`` and ``odd2`` are 128 parities.
+_POSTED = "key long, kind int, odd long, odd2 long, tag long, pos int, doc long, line int"
+
+
+def _parities(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 parities of each set's words: two sets differ in at least as many words as parities."""
+    bit = np.uint64(1) << (token & np.uint64(63))
+    upper = (token >> np.uint64(6) & np.uint64(1)).astype(bool)
+    zero = np.uint64(0)
+    return np.bitwise_xor.reduceat(np.where(upper, zero, bit), first), np.bitwise_xor.reduceat(np.where(upper, bit, zero), first)
+
+
+def _set_hash(token: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(np.add.reduceat(mix(token), first) + size.astype(np.uint64)).view(np.int64)
 
 
 def _post(docs: DataFrame, shared, threshold: float) -> DataFrame:
@@ -143,14 +160,14 @@ def _post(docs: DataFrame, shared, threshold: float) -> DataFrame:
                     continue
                 token = key & _TOKEN
                 line = row[first]
-                sets = mix(np.add.reduceat(mix(token), first) + size.astype(np.uint64)).view(np.int64)
-                sig = np.bitwise_or.reduceat(np.uint64(1) << (token & np.uint64(63)), first)
+                sets = _set_hash(token, first, size)
                 doc, no = ids[owner[line]], number[line]
                 fresh = np.zeros(len(first), bool)
                 for i, (s, place) in enumerate(zip(sets.tolist(), zip(doc.tolist(), no.tolist(), strict=True), strict=True)):
                     if s not in seen or place < seen[s]:
                         seen[s] = place
                         fresh[i] = True
+                odd, odd2 = _parities(token, first)
                 which = np.repeat(np.arange(len(first)), size)
                 pos = np.arange(len(key)) - first[which]
                 prefix = size - _need(size, threshold) + 1
@@ -162,7 +179,8 @@ def _post(docs: DataFrame, shared, threshold: float) -> DataFrame:
                     [
                         pa.array(np.concatenate([sets[own], token[posted].astype(np.int64)])),
                         pa.array(np.repeat(np.array([0, 1], np.int32), [len(own), len(of)])),
-                        pa.array(sig[both].view(np.int64)),
+                        pa.array(odd[both].view(np.int64)),
+                        pa.array(odd2[both].view(np.int64)),
                         pa.array((sets[both] << 24) | size[both]),
                         pa.array(np.concatenate([np.zeros(len(own), np.int32), pos[posted].astype(np.int32)])),
                         pa.array(doc[both].astype(np.int64)),
@@ -174,124 +192,149 @@ def _post(docs: DataFrame, shared, threshold: float) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, _POSTED)
 
 
-def _may_match(size_a, size_b, pos_a, pos_b, sig_a, sig_b, threshold):
-    """Length, positional and bitmap filters, each an upper bound on the shared words."""
-    total = size_a + size_b
-    need = np.ceil(total * (threshold / (1 + threshold)) - 1e-9)
-    room = np.minimum(pos_a, pos_b) + np.minimum(size_a - pos_a, size_b - pos_b)
-    long_enough = np.minimum(size_a, size_b) >= np.maximum(size_a, size_b) * threshold - 1e-9
-    return long_enough & (room >= need) & (np.bitwise_count(sig_a ^ sig_b) <= total - 2 * need)
+class _Rows:
+    """Postings in order of key and place, and the filters between any two of a key."""
+
+    def __init__(self, odd, odd2, size, pos, threshold: float):
+        self.odd, self.odd2, self.size, self.pos, self.threshold = odd, odd2, size, pos, threshold
 
+    def may_match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length, positional and parity filters, each a bound that a true match meets."""
+        size_a, size_b, pos_a, pos_b = self.size[a], self.size[b], self.pos[a], self.pos[b]
+        total = size_a + size_b
+        need = np.ceil(total * (self.threshold / (1 + self.threshold)) - 1e-9)
+        room = np.minimum(pos_a, pos_b) + np.minimum(size_a - pos_a, size_b - pos_b)
+        near = np.bitwise_count(self.odd[a] ^ self.odd[b]).astype(np.int64) + np.bitwise_count(self.odd2[a] ^ self.odd2[b])
+        return (np.minimum(size_a, size_b) >= np.maximum(size_a, size_b) * self.threshold - 1e-9) & (room >= need) & (near <= total - 2 * need)
 
-def _mark(key, sig, size, pos, threshold, block=1024):
-    """Which rows (sorted by key) have a possible partner under their key."""
+
+def _name(key: np.ndarray, rows: _Rows, most: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) with the ``most`` earliest partners of each row; open rows; all partners of open rows."""
     n = len(key)
-    marked = np.zeros(n, bool)
+    named = np.full((n, most), -1, np.int64)
+    found = np.zeros(n, np.int64)
+    partner = np.zeros(n, bool)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.append(first, n))
     left = np.repeat(count, count) - (np.arange(n) - np.repeat(first, count)) - 1  # rows behind it in its group
-    at = np.flatnonzero((left > 0) & (np.repeat(count, count) <= 256))
-    step = 1
-    while len(at):
-        ok = _may_match(size[at], size[at + step], pos[at], pos[at + step], sig[at], sig[at + step], threshold)
-        marked[at[ok]] = True
-        marked[at[ok] + step] = True
-        step += 1
-        at = at[left[at] >= step]
-    for f, c in zip(first[count > 256], count[count > 256], strict=True):
-        order = f + np.argsort(size[f : f + c], kind="stable")
-        for i in range(0, c, block):
-            a = order[i : i + block]
-            reach = int(np.searchsorted(size[order], size[a[-1]] / threshold + 1e-9, "right"))
-            for j in range(i, reach, block):
-                b = order[j : min(j + block, reach)]
-                ok = _may_match(
-                    size[a][:, None], size[b][None], pos[a][:, None], pos[b][None], sig[a][:, None], sig[b][None], threshold
-                )
-                if i == j:
-                    np.fill_diagonal(ok, False)
-                marked[a] |= ok.any(1)
-                marked[b] |= ok.any(0)
-    return marked
-
-
-def _meet(posted: DataFrame, threshold: float) -> DataFrame:
-    """``kind, key, doc, line``: the first place of each set (0), and places of sets that may match (1)."""
-
+    small = np.repeat(count, count) <= 256
+
+    def steps():
+        at, step = np.flatnonzero((left > 0) & small), 1
+        while len(at):
+            ok = at[rows.may_match(at, at + step)]
+            yield ok, ok + step
+            step += 1
+            at = at[left[at] >= step]
+
+    for a, b in steps():  # farther and farther: the last names written are the earliest
+        named[b, found[b] % most] = a
+        found[b] += 1
+    big = [(int(f), int(c)) for f, c in zip(first[count > 256], count[count > 256], strict=True)]
+    for f, c in big:
+        for j in range(0, c, block):
+            b = np.arange(f + j, f + min(j + block, c))
+            for i in range(0, j + block, block):
+                a = np.arange(f + i, f + min(i + block, c))
+                ok = rows.may_match(a[None, :], b[:, None]) & (a[None, :] < b[:, None])
+                room = np.maximum(most - found[b], 0)
+                take = ok & (np.cumsum(ok, axis=1) <= room[:, None])
+                r, col = np.nonzero(take)
+                named[b[r], found[b[r]] + (np.cumsum(take, axis=1) - 1)[r, col]] = a[col]
+                found[b] += ok.sum(1)
+    is_open = found > most
+    if is_open.any():
+        for a, b in steps():
+            partner[a[is_open[b]]] = True
+        for f, c in big:
+            b = f + np.flatnonzero(is_open[f : f + c])
+            for lo in range(0, len(b), block):
+                for i in range(0, c, block):
+                    a = np.arange(f + i, f + min(i + block, c))
+                    part = b[lo : lo + block]
+                    partner[a] |= (rows.may_match(a[None, :], part[:, None]) & (a[None, :] < part[:, None])).any(0)
+    later, slot = np.nonzero(named >= 0)
+    return later, named[later, slot], np.flatnonzero(is_open), np.flatnonzero(partner)
+
+
+#: Kind 0: the first place of a set.  1: a later and an earlier place that may match.  2: an open place.  3: a partner of one.
+_MET = "kind int, key long, doc long, line int, doc2 long, line2 int"
+
+
+def _meet(posted: DataFrame, threshold: float, named: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[c.to_numpy() for c in batch.columns] for batch in batches]
         if not held:
             return
-        key, kind, sig, tag, pos, doc, line = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, kind, odd, odd2, tag, pos, doc, line = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
         own = kind == 0
         order = np.lexsort((line[own], doc[own], key[own]))
         k, d, m = key[own][order], doc[own][order], line[own][order]
-        first = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-        yield _places(0, k[first], d[first], m[first])
-        key, sig, tag, pos, doc, line = (x[~own] for x in (key, sig, tag, pos, doc, line))
-        order = np.lexsort((line, doc, tag, sig, key))
-        key, sig, tag, pos, doc, line = (x[order] for x in (key, sig, tag, pos, doc, line))
+        if len(k):
+            new = np.concatenate([[True], k[1:] != k[:-1]])
+            yield _met(0, k[new], d[new], m[new], d[new], m[new])
+        columns = [x[~own] for x in (key, odd, odd2, tag, pos, doc, line)]
+        key, odd, odd2, tag, pos, doc, line = columns
         if not len(key):
             return
+        order = np.lexsort((line, doc, tag, odd, key))
+        key, odd, odd2, tag, pos, doc, line = (x[order] for x in (key, odd, odd2, tag, pos, doc, line))
         # The same set from several tasks: its first place stands for it.
-        keep = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]) | (tag[1:] != tag[:-1])])
-        key, sig, tag, pos, doc, line = (x[keep] for x in (key, sig, tag, pos, doc, line))
-        size = tag & ((1 << 24) - 1)
-        marked = _mark(key, sig.view(np.uint64), size, pos.astype(np.int64), threshold)
-        places = np.unique(np.stack([doc[marked], line[marked].astype(np.int64)], axis=1), axis=0)
-        yield _places(1, np.zeros(len(places), np.int64), places[:, 0], places[:, 1])
-
-    def _places(kind: int, key, doc, line) -> pa.RecordBatch:
+        keep = np.concatenate([[True], (key[1:] != key[:-1]) | (odd[1:] != odd[:-1]) | (tag[1:] != tag[:-1])])
+        key, odd, odd2, tag, pos, doc, line = (x[keep] for x in (key, odd, odd2, tag, pos, doc, line))
+        order = np.lexsort((line, doc, key))
+        key, odd, odd2, tag, pos, doc, line = (x[order] for x in (key, odd, odd2, tag, pos, doc, line))
+        rows = _Rows(odd.view(np.uint64), odd2.view(np.uint64), tag & ((1 << 24) - 1), pos.astype(np.int64), threshold)
+        later, earlier, is_open, partner = _name(key, rows, named)
+        pairs = np.unique(np.stack([doc[later], line[later], doc[earlier], line[earlier]], axis=1), axis=0)
+        zero = np.zeros(len(pairs), np.int64)
+        yield _met(1, zero, pairs[:, 0], pairs[:, 1], pairs[:, 2], pairs[:, 3])
+        for kind, at in ((2, is_open), (3, partner)):
+            places = np.unique(np.stack([doc[at], line[at]], axis=1), axis=0)
+            yield _met(kind, np.zeros(len(places), np.int64), places[:, 0], places[:, 1], places[:, 0], places[:, 1])
+
+    def _met(kind, key, doc, line, doc2, line2) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(doc), pa.array(line.astype(np.int32))],
-            names=["kind", "key", "doc", "line"],
-        )
+            [
+                pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(doc), pa.array(line.astype(np.int32)),
+                pa.array(doc2), pa.array(line2.astype(np.int32)),
+            ],
+            names=[c.split()[0] for c in _MET.split(", ")],
+        )
 
     spread = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return posted.repartition(spread, "key").mapInArrow(run, "kind int, key long, doc long, line int")
-
+    return posted.repartition(spread, "key").mapInArrow(run, _MET)
 
-_FULL = "key long, pos int, doc long, line int, set long, words binary"
 
-
-def _post_again(docs: DataFrame, places: DataFrame, shared, threshold: float) -> DataFrame:
-    """The lines at ``places`` posted with all their word hashes, in order of rarity."""
+def _words_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``doc, line, key, words``: the set's hash and all its words' hashes, ascending, for each of ``places``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             ids, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
-            out: list[list] = [[], [], [], [], [], []]
             for data, lines, owner, number in _blocks(batch.column(1)):
                 pick = np.array([int(no) in w for no, w in zip(number, _sets(wanted, owner), strict=True)], bool)
-                if not pick.any():
-                    continue
                 row, start, end = find_words(data, lines)
                 hit = pick[row]
                 row, h = row[hit], span_hash(data, start, end)[hit]
                 if not len(row):
                     continue
-                token = h >> np.uint64(20)
-                order = np.lexsort((h, token, rarity[_bucket(h)], row))
-                row, h, token = row[order], h[order], token[order]
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
                 new = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])
-                row, h, token = row[new], h[new], token[new]
+                row, h = row[new], h[new]
                 first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                 size = np.diff(np.append(first, len(row)))
-                sets = mix(np.add.reduceat(mix(token), first) + size.astype(np.uint64)).view(np.int64)
-                for f, n, s in zip(first.tolist(), size.tolist(), sets.tolist(), strict=True):
-                    words = h[f : f + n].tobytes()
-                    for p in range(n - max(1, ceil(n * threshold - 1e-9)) + 1):
-                        if rarity[int(h[f + p] >> np.uint64(64 - BUCKET_BITS))] > 1:
-                            for column, value in zip(
-                                out, (int(h[f + p].view(np.int64)), p, int(ids[owner[row[f]]]), int(number[row[f]]), s, words), strict=True
-                            ):
-                                column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
-                names=[c.split()[0] for c in _FULL.split(", ")],
-            )
+                line = row[first]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[owner[line]].astype(np.int64)), pa.array(number[line].astype(np.int32)),
+                        pa.array(_set_hash(h >> np.uint64(20), first, size)),
+                        pa.array([h[f : f + n].tobytes() for f, n in zip(first.tolist(), size.tolist(), strict=True)], pa.binary()),
+                    ],
+                    names=["doc", "line", "key", "words"],
+                )
 
     def _sets(wanted: list, owner: np.ndarray) -> Iterator[set[int]]:
         last, held = -1, set()
@@ -301,63 +344,90 @@ def _post_again(docs: DataFrame, places: DataFrame, shared, threshold: float) ->
             yield held
 
     of_doc = places.groupBy("doc").agg(F.collect_set("line").alias("wanted"))  # at most the lines of one text
-    return docs.select("doc", "text").join(of_doc, "doc").mapInArrow(run, _FULL)
+    return docs.select("doc", "text").join(of_doc, "doc").mapInArrow(run, "doc long, line int, key long, words binary")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= threshold * (len(a) + len(b) - shared) - 1e-9
 
 
-def _verify(posted: DataFrame, threshold: float) -> DataFrame:
-    """``key``: sets that have an earlier match."""
+def _verify_pairs(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """``key``: sets of the later places of ``pairs`` whose earlier one matches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            hit = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit, pa.bool_()))], names=["key"])
+
+    early = words.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
+    both = pairs.join(early, ["doc2", "line2"]).join(words, ["doc", "line"])
+    return both.select("key", "words", "words2").mapInArrow(run, "key long")
+
+
+def _verify_open(words: DataFrame, shared, threshold: float) -> DataFrame:
+    """``key``: open sets (column ``is_open``) of ``words`` that match an earlier set of it."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            tokens, owner = [], []
+            for i, raw in enumerate(batch.column(3).to_pylist()):
+                h = np.frombuffer(raw, np.uint64)
+                h = h[np.lexsort((h, h >> np.uint64(20), rarity[_bucket(h)]))]
+                h = h[: len(h) - max(1, ceil(len(h) * threshold - 1e-9)) + 1]
+                tokens += h.view(np.int64).tolist()
+                owner += [i] * len(h)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), *batch.take(pa.array(owner, pa.int64())).columns], names=["token", *batch.schema.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        key, pos, doc, line, sets = (table.column(i).to_numpy() for i in range(5))
-        words = table.column(5).combine_chunks()
-        order = np.lexsort((line, doc, key))
+        token, doc, line, key = (table.column(i).to_numpy() for i in range(4))
+        words, is_open = table.column(4).combine_chunks(), table.column(5).to_numpy()
+        order = np.lexsort((line, doc, token))
         lost: set[int] = set()
-        for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            if len(group) < 2:
-                continue
+        for group in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
             # The first place of each set; places ascend inside the group.
-            _, at = np.unique(sets[group], return_index=True)
+            _, at = np.unique(key[group], return_index=True)
             group = group[np.sort(at)]
-            full = [np.frombuffer(words[int(i)].as_buffer(), np.uint64) for i in group]
-            size = np.array([len(x) for x in full])
-            sig = np.array([np.bitwise_or.reduce(np.uint64(1) << (x >> np.uint64(20) & np.uint64(63))) for x in full])
-            where, d, m, s = pos[group].astype(np.int64), doc[group], line[group], sets[group]
-            cache: dict[int, frozenset] = {}
-
-            def as_set(i: int, cache=cache, full=full) -> frozenset:
-                if i not in cache:
-                    if len(cache) > 50_000:
-                        cache.clear()
-                    cache[i] = frozenset(full[i].tolist())
-                return cache[i]
-
             for j in range(1, len(group)):
-                if int(s[j]) in lost:
+                b = group[j]
+                if not is_open[b] or int(key[b]) in lost:
                     continue
-                ok = _may_match(size[:j], size[j], where[:j], where[j], sig[:j], sig[j], threshold)
-                ok &= (d[:j] != d[j]) | (m[:j] != m[j])
-                for i in np.flatnonzero(ok).tolist():
-                    shared = len(as_set(i) & as_set(j))
-                    if shared >= threshold * (size[i] + size[j] - shared) - 1e-9:
-                        lost.add(int(s[j]))
+                mine = np.frombuffer(words[int(b)].as_buffer(), np.uint64)
+                for a in group[:j]:
+                    if (doc[a], line[a]) != (doc[b], line[b]) and _similar(np.frombuffer(words[int(a)].as_buffer(), np.uint64), mine, threshold):
+                        lost.add(int(key[b]))
                         break
         yield pa.RecordBatch.from_arrays([pa.array(sorted(lost), pa.int64())], names=["key"])
 
-    spread = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return posted.repartition(spread, "key").mapInArrow(run, "key long")
+    spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = words.select("doc", "line", "key", "words", "is_open").mapInArrow(post, "token long, doc long, line int, key long, words binary, is_open boolean")
+    return posted.repartition(spread, "token").mapInArrow(run, "key long")
 
 
-def kept_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_lines(
+    docs: DataFrame, threshold: float = 0.8, named: int = NAMED, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``doc, lines``: the numbers (from 0) of the lines with words that stay, of each text with any."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(word_rarity(rows).tobytes())  # 16 MB, whatever the input
-    met = cut(_meet(_post(rows, shared, threshold), threshold))
-    marked = met.where("kind = 1").select("doc", "line")
-    lost = _verify(_post_again(rows, marked, shared, threshold), threshold).distinct()
+    met = cut(_meet(_post(rows, shared, threshold), threshold, named))
+    pairs = met.where("kind = 1").select("doc", "line", "doc2", "line2").distinct()
+    ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
+    words = cut(_words_at(rows, ends))
+    lost = cut(_verify_pairs(pairs, words, threshold).distinct())
+    undecided = met.where("kind = 2").select("doc", "line").distinct().join(words, ["doc", "line"]).join(lost, "key", "left_anti").select("doc", "line")
+    undecided = cut(undecided.withColumn("is_open", F.lit(True)))
+    if not undecided.isEmpty():
+        partners = met.where("kind = 3").select("doc", "line").distinct()
+        places = partners.join(undecided, ["doc", "line"], "full").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
+        again = _words_at(rows, places).join(places, ["doc", "line"])
+        lost = lost.unionByName(_verify_open(again, shared, threshold).distinct())
     kept = met.where("kind = 0").select("key", "doc", "line").join(lost, "key", "left_anti")
     return kept.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
@@ -367,11 +437,11 @@ def _line_facts(text):
     return F.transform(lines, lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\f\r"))) > 0)
 
 
-def line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: float = 0.8, named: int = NAMED) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept``: lines with words, how many went, and numbers of those that stay."""
     has_words = _line_facts(F.col("text").cast("string"))
     facts = docs.select("doc_id", F.size(F.filter(has_words, lambda x: x)).cast("long").alias("n_lines"))
-    kept = kept_lines(docs, threshold)
+    kept = kept_lines(docs, threshold, named)
     facts = facts.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)))
     joined = facts.join(kept, facts["_doc"] == kept["doc"], "left")
     lines = F.coalesce(F.col("lines"), F.array().cast("array<int>"))
