@@ -12,17 +12,18 @@ SPACES = "[\\x20\\x09-\\x0D]"
 SPACE_CHARS = (" ", "\t", "\n", "\x0b", "\f", "\r")
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """``frame`` as reliably checkpointed rows, so that later jobs don't compute it again.
-
-    The folder is the session's ``spark.checkpoint.dir``; a local one is set only where
-    none is configured (tests).
-    """
-    spark = frame.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a local one is set only where none is configured (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stakeweave-")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stakeweave-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """``frame`` as reliably checkpointed rows, so that later jobs don't compute it again."""
+    checkpoint_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 

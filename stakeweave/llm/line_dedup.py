@@ -451,15 +451,17 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, named: int = NAMED) -> D
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` with their text reduced to the lines that stay, and all other columns as they are.
 
-    Lines without words stay.  A text all of whose lines go becomes empty; its row stays.
+    A column ``n_chars`` follows the text.  Lines without words stay.  A text all of whose lines go becomes empty; its row stays.
     """
     kept = kept_lines(docs, threshold).select(F.col("doc").alias("_l_doc"), F.col("lines").alias("_l_kept"))
     keyed = docs.withColumn("_l_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)))
     joined = keyed.join(kept, keyed["_l_id"] == kept["_l_doc"], "left")
-    flags = _line_facts(F.col("text").cast("string"))
-    stays = F.filter(
-        F.arrays_zip(F.split(F.col("text"), "\n").alias("t"), flags.alias("w"), F.sequence(F.lit(0), F.size(flags) - 1).alias("n")),
-        lambda x: ~x["w"] | F.array_contains(F.coalesce(F.col("_l_kept"), F.array().cast("array<int>")), x["n"]),
-    )
-    text = F.array_join(F.transform(stays, lambda x: x["t"]), "\n")
-    return joined.withColumn("text", F.when(F.col("text").isNotNull(), text)).select(*docs.columns)
+    lines = F.split(F.col("text"), "\n")
+    blank = F.filter(F.transform(_line_facts(F.col("text")), lambda w, i: F.when(~w, i)), lambda i: i.isNotNull())
+    stays = F.array_sort(F.concat(blank, F.coalesce(F.col("_l_kept"), F.array().cast("array<int>"))))
+    # The lines are held once, in an array of one element, while the numbers pick from them.
+    text = F.element_at(F.transform(F.array(lines), lambda held: F.array_join(F.transform(stays, lambda i: F.get(held, i)), "\n")), 1)
+    out = joined.withColumn("text", F.when(F.col("text").isNotNull(), text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return out.select(*docs.columns)

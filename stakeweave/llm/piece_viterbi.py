@@ -14,7 +14,7 @@ once, byte position by byte position.  A word longer than ``LONG`` bytes is walk
 
 Of equal scores the longest last piece wins.  Defined results: a null text reads as
 empty and has no pieces; repeated rows each give a row; other columns are ignored by
-``encode_pieces`` and dropped by none of the callers' choices.
+every operator here.
 """
 
 from __future__ import annotations
@@ -306,7 +306,7 @@ def _table(proto: bytes) -> PieceTable:
 
 
 def encode_pieces(docs: DataFrame, model_proto: bytes, id_col: str = "doc_id", text_col: str = "text", rows: int = 512) -> DataFrame:
-    """``id, ids, decoded``: the piece ids of every text, and the text that they decode to."""
+    """``id, n_pieces, ids, round_trip``: the piece ids of every text, and whether they decode to it."""
     shared = docs.sparkSession.sparkContext.broadcast(model_proto)  # the model file, half a megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,44 +314,41 @@ def encode_pieces(docs: DataFrame, model_proto: bytes, id_col: str = "doc_id", t
         for batch in batches:
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
+                texts = [x or "" for x in part.column(1).to_pylist()]
                 ids = table.encode(*text_buffer(part.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array(ids, pa.list_(pa.int32())),
-                        pa.array([table.decode(x.tolist()) for x in ids], pa.string()),
+                        part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
+                        pa.array([table.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]),
                     ],
-                    names=["id", "ids", "decoded"],
+                    names=["id", "n_pieces", "ids", "round_trip"],
                 )
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(run, f"id {kind}, n_pieces long, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
 
 
-def encode_digest(docs: DataFrame, model_proto: bytes, id_col: str = "doc_id", text_col: str = "text", rows: int = 512) -> DataFrame:
-    """``id, n_pieces, ids_sha256, round_trip``: a digest of ``encode_pieces`` that leaves Python small.
-
-    ``ids_sha256`` is over the ids as little-endian 32-bit integers; ``round_trip`` tells
-    whether they decode to the text.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model_proto)
+def decode_pieces(encoded: DataFrame, model_proto: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``id, text``: the text of every array of piece ids; a null array decodes to the empty text."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model_proto)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                ids = table.encode(*text_buffer(part.column(1)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()),
-                        pa.array([table.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]),
-                    ],
-                    names=["id", "n_pieces", "ids_sha256", "round_trip"],
-                )
+            texts = [table.decode(x or []) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, n_pieces long, ids_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)
+    picked = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+
+
+def encode_digest(docs: DataFrame, model_proto: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_pieces, ids_sha256, round_trip`` from ``encode_pieces``.
+
+    ``ids_sha256`` is over the ids in decimal, joined by commas.
+    """
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encode_pieces(docs, model_proto, id_col, text_col).select(
+        id_col, "n_pieces", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), "round_trip"
+    )
