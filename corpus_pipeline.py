@@ -1,3 +1,71 @@
-STAGES = []
+"""Corpus pipeline: documents through quality rules, two dedups, mixing and encoding.
+
+Every stage takes all that the one before kept.  ``run`` writes each stage's result as
+Parquet below ``spark.checkpoint.dir`` and reads it again, so a lost executor costs one stage's
+tasks at most and no stage is computed twice.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from stakeweave import ship
+from stakeweave.llm.common import checkpoint_folder
+from stakeweave.llm.line_dedup import dedup_lines
+from stakeweave.llm.mixing import mixed_documents
+from stakeweave.llm.piece_viterbi import encode_pieces
+from stakeweave.llm.quality import quality_filter
+from stakeweave.llm.simhash import near_dedup
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that the base rule or an adaptive fence rejects go."""
+    return quality_filter(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: lines that match an earlier line go; their documents stay."""
+    return dedup_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: one document of each group stays."""
+    return near_dedup(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents as often as the mix takes them."""
+    return mixed_documents(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: piece ids of every document, and whether they decode to its text."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return encode_pieces(docs, f.read())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("source_mix", source_mix),
+    ("sentencepiece", sentencepiece),
+]
+
+#: Stages 1, 3, 4 and 5 rest on sketches, hashes and a model's pieces, which SQL cannot express.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over the documents of ``sf_dir``."""
+    ship(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs
