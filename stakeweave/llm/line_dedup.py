@@ -4,10 +4,10 @@ A line is its set of lower-cased (A-Z) words.  Lines stand in the order (id, lin
 number); a line goes when an earlier line of any text has Jaccard similarity of at
 least ``threshold`` with it.  Lines without words stay.
 
-1. One pass counts in how many places each word occurs, in a table of 2**24 saturating
-   byte counters indexed by the word's hash.  Its size is fixed, so it can be broadcast
-   whatever the corpus; a shared counter makes a word look more frequent, which may cost
-   candidates but never a match, because any order shared by all lines is valid.
+1. One pass counts all words in a table of 2**24 counters indexed by the word's hash,
+   kept as byte codes.  Its size is fixed, so it can be broadcast whatever the corpus; a
+   shared counter makes a word look more frequent, which may cost candidates but never a
+   match, because any order shared by all lines is valid.
 2. Words of a line are ordered from rare to frequent, and its prefix of
    ``n - ceil(threshold * n) + 1`` words is posted under each of them.  A word that
    occurs once cannot be shared and is not posted.  Each task posts a set once, at its
@@ -74,35 +74,41 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def _code(counts: np.ndarray) -> np.ndarray:
+    """Byte codes that ascend with counts: up to 64 the count itself, beyond it about six codes for each doubling."""
+    c = counts.astype(np.float64)
+    wide = 64 + np.floor(5.6 * np.log2(np.maximum(c, 64) / 64)) + 1
+    return np.minimum(np.where(c <= 64, c, wide), 255).astype(np.uint8)
+
+
 def word_rarity(docs: DataFrame) -> np.ndarray:
-    """Saturating counts of all words of ``docs`` (column ``text``), by hash bucket."""
+    """Codes of how often the words of each hash bucket occur in ``docs`` (column ``text``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << BUCKET_BITS, np.uint8)
+        held = np.zeros(1 << BUCKET_BITS, np.uint32)
         some = False
         for batch in batches:
             for data, lines, _, _ in _blocks(batch.column(0)):
                 _, start, end = find_words(data, lines)
-                at, c = np.unique(_bucket(span_hash(data, start, end)), return_counts=True)
-                held[at] = np.minimum(held[at] + np.minimum(c, 255), 255)
+                at = np.sort(_bucket(span_hash(data, start, end)))
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+                held[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
                 some = True
         if some:
-            yield from pages(held)
+            yield from pages(range((1 << BUCKET_BITS) // _PAGE), np.split(held, (1 << BUCKET_BITS) // _PAGE))
 
-    def pages(held: np.ndarray) -> Iterator[pa.RecordBatch]:
-        packed = [zlib.compress(held[i : i + _PAGE].tobytes(), 1) for i in range(0, len(held), _PAGE)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())], names=["page", "counts"])
+    def pages(numbers, held) -> Iterator[pa.RecordBatch]:
+        packed = [zlib.compress(x.tobytes(), 1) for x in held]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], names=["page", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for page, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(zlib.decompress(packed), np.uint8)
-                held[page] = np.minimum(held[page].astype(np.uint16) + counts, 255).astype(np.uint8) if page in held else counts
-        for page, counts in held.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([page], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["page", "counts"]
-            )
+                counts = np.frombuffer(zlib.decompress(packed), np.uint32)
+                held[page] = held[page] + counts if page in held else counts.astype(np.uint64)
+        if held:
+            yield from pages(list(held), [_code(x) for x in held.values()])
 
     schema = "page int, counts binary"
     n_pages = (1 << BUCKET_BITS) // _PAGE
@@ -130,8 +136,10 @@ def _line_sets(data: np.ndarray, lines: np.ndarray, rarity: np.ndarray):
 _TOKEN = np.uint64((1 << 44) - 1)
 #: Possible partners that a set names under each word.
 NAMED = 4
+#: A posting; ``pos`` is -1 where the row stands for the set itself and ``key`` is the set's hash.
 #: ``tag`` is 40 bits of the set's own hash above 24 bits of its size; ``odd`` and ``odd2`` are 128 parities.
-_POSTED = "key long, kind int, odd long, odd2 long, tag long, pos int, doc long, line int"
+_POSTING = np.dtype([("key", "<i8"), ("odd", "<u8"), ("odd2", "<u8"), ("tag", "<i8"), ("doc", "<i8"), ("pos", "<i4"), ("line", "<i4")])
+_HELD = 1 << 19  # postings that a task gathers before it writes pages
 
 
 def _parities(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,154 +154,159 @@ def _set_hash(token: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(mix(token), first) + size.astype(np.uint64)).view(np.int64)
 
 
-def _post(docs: DataFrame, shared, threshold: float) -> DataFrame:
-    """A row of kind 0 for each set and task, keyed by the set; one of kind 1 for each posted word."""
+def _post(docs: DataFrame, shared, threshold: float, parts: int) -> DataFrame:
+    """``part, page``: postings of all lines, packed by the partition that compares them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = np.frombuffer(shared.value, np.uint8)
         seen: dict[int, tuple[int, int]] = {}
+        held: list[np.ndarray] = []
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for data, lines, owner, number in _blocks(batch.column(1)):
-                key, row, first, size = _line_sets(data, lines, rarity)
-                if not len(first):
-                    continue
-                token = key & _TOKEN
-                line = row[first]
-                sets = _set_hash(token, first, size)
-                doc, no = ids[owner[line]], number[line]
-                fresh = np.zeros(len(first), bool)
-                for i, (s, place) in enumerate(zip(sets.tolist(), zip(doc.tolist(), no.tolist(), strict=True), strict=True)):
-                    if s not in seen or place < seen[s]:
-                        seen[s] = place
-                        fresh[i] = True
-                odd, odd2 = _parities(token, first)
-                which = np.repeat(np.arange(len(first)), size)
-                pos = np.arange(len(key)) - first[which]
-                prefix = size - _need(size, threshold) + 1
-                rare = (key >> np.uint64(44)) & np.uint64(255)
-                posted = np.flatnonzero(fresh[which] & (pos < prefix[which]) & (rare > 1))
-                own, of = np.flatnonzero(fresh), which[posted]
-                both = np.concatenate([own, of])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([sets[own], token[posted].astype(np.int64)])),
-                        pa.array(np.repeat(np.array([0, 1], np.int32), [len(own), len(of)])),
-                        pa.array(odd[both].view(np.int64)),
-                        pa.array(odd2[both].view(np.int64)),
-                        pa.array((sets[both] << 24) | size[both]),
-                        pa.array(np.concatenate([np.zeros(len(own), np.int32), pos[posted].astype(np.int32)])),
-                        pa.array(doc[both].astype(np.int64)),
-                        pa.array(no[both].astype(np.int32)),
-                    ],
-                    names=[c.split()[0] for c in _POSTED.split(", ")],
-                )
-
-    return docs.select("doc", "text").mapInArrow(run, _POSTED)
-
-
-class _Rows:
-    """Postings in order of key and place, and the filters between any two of a key."""
-
-    def __init__(self, odd, odd2, size, pos, threshold: float):
-        self.odd, self.odd2, self.size, self.pos, self.threshold = odd, odd2, size, pos, threshold
-
-    def may_match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length, positional and parity filters, each a bound that a true match meets."""
-        size_a, size_b, pos_a, pos_b = self.size[a], self.size[b], self.pos[a], self.pos[b]
-        total = size_a + size_b
-        need = np.ceil(total * (self.threshold / (1 + self.threshold)) - 1e-9)
-        room = np.minimum(pos_a, pos_b) + np.minimum(size_a - pos_a, size_b - pos_b)
-        near = np.bitwise_count(self.odd[a] ^ self.odd[b]).astype(np.int64) + np.bitwise_count(self.odd2[a] ^ self.odd2[b])
-        return (np.minimum(size_a, size_b) >= np.maximum(size_a, size_b) * self.threshold - 1e-9) & (room >= need) & (near <= total - 2 * need)
-
-
-def _name(key: np.ndarray, rows: _Rows, most: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (later, earlier) with the ``most`` earliest partners of each row; open rows; all partners of open rows."""
-    n = len(key)
-    named = np.full((n, most), -1, np.int64)
-    found = np.zeros(n, np.int64)
-    partner = np.zeros(n, bool)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.diff(np.append(first, n))
-    left = np.repeat(count, count) - (np.arange(n) - np.repeat(first, count)) - 1  # rows behind it in its group
-    small = np.repeat(count, count) <= 256
-
-    def steps():
-        at, step = np.flatnonzero((left > 0) & small), 1
+                held.append(postings(data, lines, ids[owner], number, rarity, seen))
+                if sum(map(len, held)) > _HELD:
+                    yield pages(np.concatenate(held))
+                    held = []
+        if held:
+            yield pages(np.concatenate(held))
+
+    def postings(data, lines, ids, number, rarity, seen) -> np.ndarray:
+        key, row, first, size = _line_sets(data, lines, rarity)
+        if not len(first):
+            return np.zeros(0, _POSTING)
+        token = key & _TOKEN
+        line = row[first]
+        sets = _set_hash(token, first, size)
+        doc, no = ids[line], number[line]
+        fresh = np.zeros(len(first), bool)
+        for i, (s, place) in enumerate(zip(sets.tolist(), zip(doc.tolist(), no.tolist(), strict=True), strict=True)):
+            if s not in seen or place < seen[s]:
+                seen[s] = place
+                fresh[i] = True
+        odd, odd2 = _parities(token, first)
+        which = np.repeat(np.arange(len(first)), size)
+        pos = np.arange(len(key)) - first[which]
+        prefix = size - _need(size, threshold) + 1
+        rare = (key >> np.uint64(44)) & np.uint64(255)
+        posted = np.flatnonzero(fresh[which] & (pos < prefix[which]) & (rare > 1))
+        own, of = np.flatnonzero(fresh), which[posted]
+        both = np.concatenate([own, of])
+        out = np.zeros(len(both), _POSTING)
+        out["key"] = np.concatenate([sets[own], token[posted].astype(np.int64)])
+        out["pos"][: len(own)] = -1
+        out["pos"][len(own) :] = pos[posted]
+        for name, values in (("odd", odd), ("odd2", odd2)):
+            out[name][len(own) :] = values[of]
+        out["tag"][len(own) :] = (sets[of] << 24) | size[of]
+        out["doc"], out["line"] = doc[both], no[both]
+        return out
+
+    def pages(rows: np.ndarray) -> pa.RecordBatch:
+        part = (mix(rows["key"].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        cut_at = np.append(first, len(part))
+        packed = [rows[order[a:b]].tobytes() for a, b in zip(cut_at[:-1], cut_at[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(packed, pa.binary())], names=["part", "page"])
+
+    return docs.select("doc", "text").mapInArrow(run, "part int, page binary")
+
+
+def _name(rows: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of postings in order of key and size: pairs (later, earlier) with the ``most`` earliest possible partners
+    of each row, rows that have more, and all possible partners of those.
+
+    Row by row the pairs at distance 1, 2, ... inside a key are filtered, as far as sizes allow a match.
+    """
+    n = len(rows)
+    size, pos = rows["tag"] & ((1 << 24) - 1), rows["pos"].astype(np.int64)
+    odd, odd2 = np.ascontiguousarray(rows["odd"]), np.ascontiguousarray(rows["odd2"])
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((rows["line"], rows["doc"]))] = np.arange(n)
+    key = rows["key"]
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    # The last row of the group that is not too large: sizes ascend inside a group.
+    wide = size.max(initial=0) / threshold + 2
+    reach = np.searchsorted(group * wide + size, group * wide + size / threshold + 1e-6, "right") - 1 - np.arange(n)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Later and earlier rows that may match; no later row twice in one step."""
+        at, step = np.flatnonzero(reach > 0), 1
         while len(at):
-            ok = at[rows.may_match(at, at + step)]
-            yield ok, ok + step
+            to = at + step
+            total = size[at] + size[to]
+            need = np.ceil(total * (threshold / (1 + threshold)) - 1e-9)
+            room = np.minimum(pos[at], pos[to]) + np.minimum(size[at] - pos[at], size[to] - pos[to])
+            ok = np.flatnonzero(room >= need)
+            a, b = at[ok], to[ok]
+            near = np.bitwise_count(odd[a] ^ odd[b]).astype(np.int64) + np.bitwise_count(odd2[a] ^ odd2[b])
+            ok = near <= total[ok] - 2 * need[ok]
+            a, b = a[ok], b[ok]
+            up = rank[a] < rank[b]
+            yield b[up], a[up]
+            yield a[~up], b[~up]
             step += 1
-            at = at[left[at] >= step]
-
-    for a, b in steps():  # farther and farther: the last names written are the earliest
-        named[b, found[b] % most] = a
-        found[b] += 1
-    big = [(int(f), int(c)) for f, c in zip(first[count > 256], count[count > 256], strict=True)]
-    for f, c in big:
-        for j in range(0, c, block):
-            b = np.arange(f + j, f + min(j + block, c))
-            for i in range(0, j + block, block):
-                a = np.arange(f + i, f + min(i + block, c))
-                ok = rows.may_match(a[None, :], b[:, None]) & (a[None, :] < b[:, None])
-                room = np.maximum(most - found[b], 0)
-                take = ok & (np.cumsum(ok, axis=1) <= room[:, None])
-                r, col = np.nonzero(take)
-                named[b[r], found[b[r]] + (np.cumsum(take, axis=1) - 1)[r, col]] = a[col]
-                found[b] += ok.sum(1)
+            at = at[reach[at] >= step]
+
+    named = np.full((n, most), n, np.int64)  # ranks of partners
+    found = np.zeros(n, np.int64)
+    for later, earlier in pairs():
+        slot = named[later].argmax(1)
+        better = rank[earlier] < named[later, slot]
+        named[later[better], slot[better]] = rank[earlier[better]]
+        found[later] += 1
     is_open = found > most
+    partner = np.zeros(n, bool)
     if is_open.any():
-        for a, b in steps():
-            partner[a[is_open[b]]] = True
-        for f, c in big:
-            b = f + np.flatnonzero(is_open[f : f + c])
-            for lo in range(0, len(b), block):
-                for i in range(0, c, block):
-                    a = np.arange(f + i, f + min(i + block, c))
-                    part = b[lo : lo + block]
-                    partner[a] |= (rows.may_match(a[None, :], part[:, None]) & (a[None, :] < part[:, None])).any(0)
-    later, slot = np.nonzero(named >= 0)
-    return later, named[later, slot], np.flatnonzero(is_open), np.flatnonzero(partner)
+        for later, earlier in pairs():
+            partner[earlier[is_open[later]]] = True
+    later, slot = np.nonzero(named < n)
+    by_rank = np.argsort(rank)
+    return later, by_rank[named[later, slot]], np.flatnonzero(is_open), np.flatnonzero(partner)
 
 
 #: Kind 0: the first place of a set.  1: a later and an earlier place that may match.  2: an open place.  3: a partner of one.
 _MET = "kind int, key long, doc long, line int, doc2 long, line2 int"
 
 
-def _meet(posted: DataFrame, threshold: float, named: int) -> DataFrame:
+def _meet(posted: DataFrame, threshold: float, named: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        held = [np.frombuffer(x.as_buffer(), _POSTING) for batch in batches for x in batch.column(1)]
         if not held:
             return
-        key, kind, odd, odd2, tag, pos, doc, line = (np.concatenate(x) for x in zip(*held, strict=True))
+        rows = np.concatenate(held)
         del held
-        own = kind == 0
-        order = np.lexsort((line[own], doc[own], key[own]))
-        k, d, m = key[own][order], doc[own][order], line[own][order]
-        if len(k):
-            new = np.concatenate([[True], k[1:] != k[:-1]])
-            yield _met(0, k[new], d[new], m[new], d[new], m[new])
-        columns = [x[~own] for x in (key, odd, odd2, tag, pos, doc, line)]
-        key, odd, odd2, tag, pos, doc, line = columns
-        if not len(key):
-            return
-        order = np.lexsort((line, doc, tag, odd, key))
-        key, odd, odd2, tag, pos, doc, line = (x[order] for x in (key, odd, odd2, tag, pos, doc, line))
+        own = rows[rows["pos"] < 0]
+        own = own[np.lexsort((own["line"], own["doc"], own["key"]))]
+        own = own[_changes(own, "key")]
+        yield _met(0, own["key"], own["doc"], own["line"], own["doc"], own["line"])
+        rows = rows[rows["pos"] >= 0]
         # The same set from several tasks: its first place stands for it.
-        keep = np.concatenate([[True], (key[1:] != key[:-1]) | (odd[1:] != odd[:-1]) | (tag[1:] != tag[:-1])])
-        key, odd, odd2, tag, pos, doc, line = (x[keep] for x in (key, odd, odd2, tag, pos, doc, line))
-        order = np.lexsort((line, doc, key))
-        key, odd, odd2, tag, pos, doc, line = (x[order] for x in (key, odd, odd2, tag, pos, doc, line))
-        rows = _Rows(odd.view(np.uint64), odd2.view(np.uint64), tag & ((1 << 24) - 1), pos.astype(np.int64), threshold)
-        later, earlier, is_open, partner = _name(key, rows, named)
+        rows = rows[np.lexsort((rows["line"], rows["doc"], rows["odd"], rows["tag"], rows["key"]))]
+        rows = rows[_changes(rows, "key", "tag", "odd")]
+        # Only keys with two sets or more can give pairs.
+        count = np.diff(np.append(np.flatnonzero(_changes(rows, "key")), len(rows)))
+        rows = rows[np.repeat(count > 1, count)]
+        rows = rows[np.lexsort((rows["tag"] & ((1 << 24) - 1), rows["key"]))]
+        if not len(rows):
+            return
+        later, earlier, is_open, partner = _name(rows, threshold, named)
+        doc, line = rows["doc"], rows["line"].astype(np.int64)
         pairs = np.unique(np.stack([doc[later], line[later], doc[earlier], line[earlier]], axis=1), axis=0)
-        zero = np.zeros(len(pairs), np.int64)
-        yield _met(1, zero, pairs[:, 0], pairs[:, 1], pairs[:, 2], pairs[:, 3])
+        yield _met(1, np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1], pairs[:, 2], pairs[:, 3])
         for kind, at in ((2, is_open), (3, partner)):
             places = np.unique(np.stack([doc[at], line[at]], axis=1), axis=0)
             yield _met(kind, np.zeros(len(places), np.int64), places[:, 0], places[:, 1], places[:, 0], places[:, 1])
 
+    def _changes(rows: np.ndarray, *names: str) -> np.ndarray:
+        new = np.zeros(len(rows), bool)
+        new[:1] = True
+        for name in names:
+            new[1:] |= rows[name][1:] != rows[name][:-1]
+        return new
+
     def _met(kind, key, doc, line, doc2, line2) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [
@@ -303,8 +316,7 @@ def _meet(posted: DataFrame, threshold: float, named: int) -> DataFrame:
             names=[c.split()[0] for c in _MET.split(", ")],
         )
 
-    spread = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return posted.repartition(spread, "key").mapInArrow(run, _MET)
+    return posted.repartitionById(parts, "part").mapInArrow(run, _MET)
 
 
 def _words_at(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -416,7 +428,8 @@ def kept_lines(
     """``doc, lines``: the numbers (from 0) of the lines with words that stay, of each text with any."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(word_rarity(rows).tobytes())  # 16 MB, whatever the input
-    met = cut(_meet(_post(rows, shared, threshold), threshold, named))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = cut(_meet(_post(rows, shared, threshold, parts), threshold, named, parts))
     pairs = met.where("kind = 1").select("doc", "line", "doc2", "line2").distinct()
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
     words = cut(_words_at(rows, ends))
