@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stakeweave.llm.kernels import LOWER, chunks, find_words, mix, shingle_hash, span_hash, text_buffer
+from stakeweave.llm.kernels import LOWER, chunks, find_words, mix, released, shingle_hash, span_hash, text_buffer
 
 SAMPLES = 64
 _ROWS = 4096
@@ -174,10 +174,10 @@ def edit_likeness(
                 yield _compare(ids, texts, followers, batch.schema.field(0).type, size, samples)
 
     schema = f"id {kind}, {_OUT}"
-    inside = ordered.select("id", "text").mapInArrow(inner, schema)
+    inside = ordered.select("id", "text").mapInArrow(released(inner), schema)
     # The number belongs to the exchange's partition, wherever a later plan puts its task.
     numbered = ordered.select("id", "text", F.spark_partition_id().alias("part"))
-    edge = numbered.mapInArrow(ends, f"part int, is_first boolean, id {kind}, text string")
+    edge = numbered.mapInArrow(released(ends), f"part int, is_first boolean, id {kind}, text string")
     heads = edge.where("is_first").select(F.col("part").alias("h_part"), F.col("text").alias("follower"))
     # One number for each partition that has rows, in order.
     order = Window.orderBy("part")
@@ -185,4 +185,4 @@ def edit_likeness(
     parts = parts.select(F.col("part").alias("n_part"), F.lead("part").over(order).alias("n_next"), F.first("part").over(order).alias("n_first"))
     parts = parts.select("n_part", F.coalesce("n_next", "n_first").alias("n_next"))
     tails = edge.where("not is_first").join(parts, F.col("part") == F.col("n_part")).join(heads, F.col("n_next") == F.col("h_part"))
-    return inside.unionByName(tails.select("id", "text", "follower").mapInArrow(borders, schema)).withColumnRenamed("id", id_col)
+    return inside.unionByName(tails.select("id", "text", "follower").mapInArrow(released(borders), schema)).withColumnRenamed("id", id_col)

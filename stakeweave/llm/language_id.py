@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stakeweave.llm.kernels import text_buffer
+from stakeweave.llm.kernels import released, text_buffer
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -218,5 +218,5 @@ def identify_language(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores)], names=["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    found = rows.mapInArrow(released(run), f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
     return found.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")

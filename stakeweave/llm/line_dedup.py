@@ -15,7 +15,8 @@ least ``threshold`` with it.  Lines without words stay.
 3. Postings meet by word.  Length, positional and parity filters find possible partners; a
    set names its ``NAMED`` earliest ones under each word, never all, and a set that has
    more is noted as open.
-4. The words of sets named in a pair are read again, once a set, and pairs are verified.
+4. The words of sets named in a pair are read again, once a set (a Bloom filter of fixed size finds
+   their lines in a scan), and pairs are verified.
 5. If a set is open and none of its named partners matched, it and all its possible
    partners are posted again with all their words, and in each group it is verified
    against earlier ones until one matches.  So naming a few loses nothing.
@@ -38,11 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stakeweave.llm.common import cut
-from stakeweave.llm.kernels import CHUNK_BYTES, LOWER, find_words, mix, span_hash, text_buffer
+from stakeweave.llm.kernels import CHUNK_BYTES, LOWER, find_words, mix, released, span_hash, text_buffer
 
 BUCKET_BITS = 24
 _PAGE = 1 << 18  # counters in one row of the count job
 _LAST_ID = (1 << 63) - 1
+FILTER_BITS = 27
 _ROW_BITS = 12  # lines of one block, so that a sort key holds line, rarity and hash
 
 
@@ -112,7 +114,7 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
 
     schema = "page int, counts binary"
     n_pages = (1 << BUCKET_BITS) // _PAGE
-    found = docs.select(F.col("text").cast("string")).mapInArrow(count, schema).repartition(n_pages, "page").mapInArrow(merge, schema)
+    found = docs.select(F.col("text").cast("string")).mapInArrow(released(count), schema).repartition(n_pages, "page").mapInArrow(merge, schema)
     table = np.zeros(1 << BUCKET_BITS, np.uint8)
     for row in found.collect():  # 64 pages, 16 MB at most
         table[row["page"] * _PAGE : (row["page"] + 1) * _PAGE] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
@@ -208,10 +210,11 @@ def _post(docs: DataFrame, shared, threshold: float, parts: int) -> DataFrame:
         part = part[order]
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
         cut_at = np.append(first, len(part))
-        packed = [rows[order[a:b]].tobytes() for a, b in zip(cut_at[:-1], cut_at[1:], strict=True)]
+        # Bytes of one place stand together, so that the shuffle's compression finds the zeros.
+        packed = [rows[order[a:b]].view(np.uint8).reshape(b - a, -1).T.tobytes() for a, b in zip(cut_at[:-1], cut_at[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(packed, pa.binary())], names=["part", "page"])
 
-    return docs.select("doc", "text").mapInArrow(run, "part int, page binary")
+    return docs.select("doc", "text").mapInArrow(released(run), "part int, page binary")
 
 
 def _name(rows: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -233,7 +236,9 @@ def _name(rows: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, np
 
     def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Later and earlier rows that may match; no later row twice in one step."""
-        at, step = np.flatnonzero(reach > 0), 1
+        # The smaller set of a pair needs a shorter prefix: it shares at least 2t / (1 + t) of its own size.
+        short = size - np.ceil(size * (2 * threshold / (1 + threshold)) - 1e-9).astype(np.int64) + 1
+        at, step = np.flatnonzero((reach > 0) & (pos < short)), 1
         while len(at):
             to = at + step
             total = size[at] + size[to]
@@ -273,7 +278,10 @@ _MET = "kind int, key long, doc long, line int, doc2 long, line2 int"
 
 def _meet(posted: DataFrame, threshold: float, named: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x.as_buffer(), _POSTING) for batch in batches for x in batch.column(1)]
+        held = [
+            np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(_POSTING.itemsize, -1).T).view(_POSTING)[:, 0]
+            for batch in batches for x in batch.column(1)
+        ]
         if not held:
             return
         rows = np.concatenate(held)
@@ -316,20 +324,69 @@ def _meet(posted: DataFrame, threshold: float, named: int, parts: int) -> DataFr
             names=[c.split()[0] for c in _MET.split(", ")],
         )
 
-    return posted.repartitionById(parts, "part").mapInArrow(run, _MET)
+    return posted.repartitionById(parts, "part").mapInArrow(released(run), _MET)
+
+
+def _place_bits(doc: np.ndarray, line: np.ndarray) -> list[np.ndarray]:
+    """Two bits of the filter for each place."""
+    h = mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
+    return [(h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64), (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+
+
+def place_filter(places: DataFrame) -> bytes:
+    """A Bloom filter of ``places`` (``doc, line``): 16 MB whatever their number; once full it lets every place through."""
+    page = _PAGE
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for bits in _place_bits(batch.column(0).to_numpy(), batch.column(1).to_numpy()):
+                for number in np.unique(bits >> 21).tolist():
+                    mine = bits[bits >> 21 == number] & ((1 << 21) - 1)
+                    np.bitwise_or.at(held.setdefault(number, np.zeros(page, np.uint8)), mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+        yield _pages(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                bits = np.frombuffer(zlib.decompress(packed), np.uint8)
+                held[number] = held[number] | bits if number in held else bits
+        yield _pages(held)
+
+    def _pages(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        packed = [zlib.compress(x.tobytes(), 1) for x in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packed, pa.binary())], names=["number", "bits"])
+
+    n = (1 << FILTER_BITS) // 8 // page
+    schema = "number int, bits binary"
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for row in places.select("doc", "line").mapInArrow(fill, schema).repartition(n, "number").mapInArrow(merge, schema).collect():
+        out[row["number"] * page : (row["number"] + 1) * page] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return out.tobytes()
 
 
 def _words_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``doc, line, key, words``: the set's hash and all its words' hashes, ascending, for each of ``places``."""
+    """``doc, line, key, words``: the set's hash and all its words' hashes, ascending, for ``places`` and a few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(place_filter(places))  # 16 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            ids, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for data, lines, owner, number in _blocks(batch.column(1)):
-                pick = np.array([int(no) in w for no, w in zip(number, _sets(wanted, owner), strict=True)], bool)
-                row, start, end = find_words(data, lines)
-                hit = pick[row]
-                row, h = row[hit], span_hash(data, start, end)[hit]
+                pick = np.ones(len(owner), bool)
+                for bits in _place_bits(ids[owner], number):
+                    pick &= (wanted[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
+                pick = np.flatnonzero(pick)
+                if not len(pick):
+                    continue
+                # Only the wanted lines are split into words.
+                size = lines[pick + 1] - lines[pick]
+                at = np.cumsum(size) - size
+                data = data[np.repeat(lines[pick] - at, size) + np.arange(int(size.sum()))]
+                row, start, end = find_words(data, np.append(at, len(data)))
+                h = span_hash(data, start, end)
                 if not len(row):
                     continue
                 order = np.lexsort((h, row))
@@ -338,7 +395,7 @@ def _words_at(docs: DataFrame, places: DataFrame) -> DataFrame:
                 row, h = row[new], h[new]
                 first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                 size = np.diff(np.append(first, len(row)))
-                line = row[first]
+                line = pick[row[first]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[owner[line]].astype(np.int64)), pa.array(number[line].astype(np.int32)),
@@ -348,15 +405,7 @@ def _words_at(docs: DataFrame, places: DataFrame) -> DataFrame:
                     names=["doc", "line", "key", "words"],
                 )
 
-    def _sets(wanted: list, owner: np.ndarray) -> Iterator[set[int]]:
-        last, held = -1, set()
-        for i in owner.tolist():
-            if i != last:
-                last, held = i, set(wanted[i] or ())
-            yield held
-
-    of_doc = places.groupBy("doc").agg(F.collect_set("line").alias("wanted"))  # at most the lines of one text
-    return docs.select("doc", "text").join(of_doc, "doc").mapInArrow(run, "doc long, line int, key long, words binary")
+    return docs.select("doc", "text").mapInArrow(released(run), "doc long, line int, key long, words binary")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -432,7 +481,7 @@ def kept_lines(
     met = cut(_meet(_post(rows, shared, threshold, parts), threshold, named, parts))
     pairs = met.where("kind = 1").select("doc", "line", "doc2", "line2").distinct()
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
-    words = cut(_words_at(rows, ends))
+    words = cut(_words_at(rows, ends).join(ends.distinct(), ["doc", "line"], "left_semi"))
     lost = cut(_verify_pairs(pairs, words, threshold).distinct())
     undecided = met.where("kind = 2").select("doc", "line").distinct().join(words, ["doc", "line"]).join(lost, "key", "left_anti").select("doc", "line")
     undecided = cut(undecided.withColumn("is_open", F.lit(True)))

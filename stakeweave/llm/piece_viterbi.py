@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeweave.llm.kernels import chunks, span_hash, text_buffer
+from stakeweave.llm.kernels import chunks, released, span_hash, text_buffer
 
 MARK = "▁"
 _MARK = MARK.encode()
-LONG = 96
+LONG = 64
+BATCH = 8192  # words walked together
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
 
@@ -153,8 +154,12 @@ class PieceTable:
             if len(w) > LONG:
                 out[i] = self.encode_word(w)
         short.sort(key=lambda i: -len(words[i]))
-        if not short:
-            return out
+        for lo in range(0, len(short), BATCH):
+            self._encode_short(words, short[lo : lo + BATCH], out)
+        return out
+
+    def _encode_short(self, words: list[bytes], short: list[int], out: list) -> None:
+        """Words ``short``, in order of falling length, into their places of ``out``."""
         n = np.array([len(words[i]) for i in short])
         width = int(n[0])
         raw = np.zeros((len(short), width + 1), np.uint8)
@@ -225,7 +230,6 @@ class PieceTable:
                     full += [x] if x >= 0 else self.unknown_ids(words[i][slice(*spans.pop(0))])
                 got = full
             out[i] = got
-        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each text that ``offsets`` cuts ``data`` into."""
@@ -326,7 +330,7 @@ def encode_pieces(docs: DataFrame, model_proto: bytes, id_col: str = "doc_id", t
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, n_pieces long, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(released(run), f"id {kind}, n_pieces long, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def decode_pieces(encoded: DataFrame, model_proto: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

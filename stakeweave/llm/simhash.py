@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stakeweave.llm.common import cut
-from stakeweave.llm.kernels import LOWER, chunks, find_words, text_buffer
+from stakeweave.llm.kernels import LOWER, chunks, find_words, released, text_buffer
 
 SEED = 42
 #: Fingerprints in the sample that shapes the shards, and expected ones in a shard.
@@ -95,7 +95,7 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(released(run), f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 class VpTree:
@@ -232,9 +232,9 @@ def links(distinct: DataFrame, radius: int = 2, sample: int = SAMPLE, shard: int
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(members[a]), pa.array(members[b])], names=["a", "b"])
 
-    routed = distinct.select("fp").mapInArrow(route, "shard long, fp long")
+    routed = distinct.select("fp").mapInArrow(released(route), "shard long, fp long")
     spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return routed.repartition(max(spread, min(tree.leaves, 4 * spread)), "shard").mapInArrow(compare, "a long, b long")
+    return routed.repartition(max(spread, min(tree.leaves, 4 * spread)), "shard").mapInArrow(released(compare), "a long, b long")
 
 
 def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stakeweave.llm.kernels import released
+
 MARK = "▁"
 _models: dict[bytes, tuple] = {}
 
@@ -112,7 +114,7 @@ def token_counts(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     kind = rows.schema["id"].dataType.simpleString()
-    counted = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(released(run), f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
