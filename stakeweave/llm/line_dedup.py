@@ -35,7 +35,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stakeweave.llm.common import cut
@@ -78,9 +78,14 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 def _code(counts: np.ndarray) -> np.ndarray:
     """Byte codes that ascend with counts: up to 64 the count itself, beyond it about six codes for each doubling."""
-    c = counts.astype(np.float64)
-    wide = 64 + np.floor(5.6 * np.log2(np.maximum(c, 64) / 64)) + 1
-    return np.minimum(np.where(c <= 64, c, wide), 255).astype(np.uint8)
+    out = np.minimum(counts, 64).astype(np.uint8)
+    wide = np.flatnonzero(counts > 64)
+    out[wide] = np.minimum(65 + np.floor(5.6 * np.log2(counts[wide].astype(np.float64) / 64)), 255).astype(np.uint8)
+    return out
+
+
+#: The count that each code stands for; exact up to 64.
+_COUNT_OF = np.where(np.arange(256) <= 64, np.arange(256), 64 * 2 ** ((np.arange(256) - 64.5) / 5.6))
 
 
 def word_rarity(docs: DataFrame) -> np.ndarray:
@@ -97,7 +102,7 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
                 held[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
                 some = True
         if some:
-            yield from pages(range((1 << BUCKET_BITS) // _PAGE), np.split(held, (1 << BUCKET_BITS) // _PAGE))
+            yield from pages(range((1 << BUCKET_BITS) // _PAGE), np.split(_code(held), (1 << BUCKET_BITS) // _PAGE))
 
     def pages(numbers, held) -> Iterator[pa.RecordBatch]:
         packed = [zlib.compress(x.tobytes(), 1) for x in held]
@@ -107,8 +112,8 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for page, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(zlib.decompress(packed), np.uint32)
-                held[page] = held[page] + counts if page in held else counts.astype(np.uint64)
+                counts = _COUNT_OF[np.frombuffer(zlib.decompress(packed), np.uint8)]
+                held[page] = held[page] + counts if page in held else counts
         if held:
             yield from pages(list(held), [_code(x) for x in held.values()])
 
@@ -138,7 +143,8 @@ def _line_sets(data: np.ndarray, lines: np.ndarray, rarity: np.ndarray):
 _TOKEN = np.uint64((1 << 44) - 1)
 #: Possible partners that a set names under each word.
 NAMED = 4
-#: A posting; ``pos`` is -1 where the row stands for the set itself and ``key`` is the set's hash.
+#: A posting; ``pos`` is -1 where the row stands for the set itself and ``key`` is the set's hash, and -2 where it
+#: stands for a text, with the number of its lines with words as ``line``.
 #: ``tag`` is 40 bits of the set's own hash above 24 bits of its size; ``odd`` and ``odd2`` are 128 parities.
 _POSTING = np.dtype([("key", "<i8"), ("odd", "<u8"), ("odd2", "<u8"), ("tag", "<i8"), ("doc", "<i8"), ("pos", "<i4"), ("line", "<i4")])
 _HELD = 1 << 19  # postings that a task gathers before it writes pages
@@ -165,20 +171,26 @@ def _post(docs: DataFrame, shared, threshold: float, parts: int) -> DataFrame:
         held: list[np.ndarray] = []
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            texts = np.zeros(len(ids), _POSTING)
+            texts["key"], texts["doc"], texts["pos"] = ids, ids, -2
             for data, lines, owner, number in _blocks(batch.column(1)):
-                held.append(postings(data, lines, ids[owner], number, rarity, seen))
+                rows, worded = postings(data, lines, ids[owner], number, rarity, seen)
+                texts["line"] += np.bincount(owner[worded], minlength=len(ids)).astype(np.int32)
+                held.append(rows)
                 if sum(map(len, held)) > _HELD:
                     yield pages(np.concatenate(held))
                     held = []
+            held.append(texts)
         if held:
             yield pages(np.concatenate(held))
 
-    def postings(data, lines, ids, number, rarity, seen) -> np.ndarray:
+    def postings(data, lines, ids, number, rarity, seen) -> tuple[np.ndarray, np.ndarray]:
+        """Postings of a block's lines, and the places in the block of lines with words."""
         key, row, first, size = _line_sets(data, lines, rarity)
+        line = row[first]
         if not len(first):
-            return np.zeros(0, _POSTING)
+            return np.zeros(0, _POSTING), line
         token = key & _TOKEN
-        line = row[first]
         sets = _set_hash(token, first, size)
         doc, no = ids[line], number[line]
         fresh = np.zeros(len(first), bool)
@@ -202,7 +214,7 @@ def _post(docs: DataFrame, shared, threshold: float, parts: int) -> DataFrame:
             out[name][len(own) :] = values[of]
         out["tag"][len(own) :] = (sets[of] << 24) | size[of]
         out["doc"], out["line"] = doc[both], no[both]
-        return out
+        return out, line
 
     def pages(rows: np.ndarray) -> pa.RecordBatch:
         part = (mix(rows["key"].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
@@ -226,8 +238,12 @@ def _name(rows: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, np
     n = len(rows)
     size, pos = rows["tag"] & ((1 << 24) - 1), rows["pos"].astype(np.int64)
     odd, odd2 = np.ascontiguousarray(rows["odd"]), np.ascontiguousarray(rows["odd2"])
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort((rows["line"], rows["doc"]))] = np.arange(n)
+    doc, line = rows["doc"], rows["line"].astype(np.int64)
+    if n and 0 <= doc.min() and doc.max() < 1 << 40 and line.max() < 1 << 22:
+        rank = (doc << 22) | line
+    else:
+        rank = np.empty(n, np.int64)
+        rank[np.lexsort((line, doc))] = np.arange(n)
     key = rows["key"]
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     # The last row of the group that is not too large: sizes ascend inside a group.
@@ -255,24 +271,27 @@ def _name(rows: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, np
             step += 1
             at = at[reach[at] >= step]
 
-    named = np.full((n, most), n, np.int64)  # ranks of partners
+    none = np.iinfo(np.int64).max
+    named = np.full((n, most), none)  # ranks of partners
+    who = np.zeros((n, most), np.int64)
     found = np.zeros(n, np.int64)
     for later, earlier in pairs():
         slot = named[later].argmax(1)
         better = rank[earlier] < named[later, slot]
         named[later[better], slot[better]] = rank[earlier[better]]
+        who[later[better], slot[better]] = earlier[better]
         found[later] += 1
     is_open = found > most
     partner = np.zeros(n, bool)
     if is_open.any():
         for later, earlier in pairs():
             partner[earlier[is_open[later]]] = True
-    later, slot = np.nonzero(named < n)
-    by_rank = np.argsort(rank)
-    return later, by_rank[named[later, slot]], np.flatnonzero(is_open), np.flatnonzero(partner)
+    later, slot = np.nonzero(named < none)
+    return later, who[later, slot], np.flatnonzero(is_open), np.flatnonzero(partner)
 
 
 #: Kind 0: the first place of a set.  1: a later and an earlier place that may match.  2: an open place.  3: a partner of one.
+#: 4: a text and, as ``line``, the number of its lines with words.
 _MET = "kind int, key long, doc long, line int, doc2 long, line2 int"
 
 
@@ -286,18 +305,20 @@ def _meet(posted: DataFrame, threshold: float, named: int, parts: int) -> DataFr
             return
         rows = np.concatenate(held)
         del held
-        own = rows[rows["pos"] < 0]
-        own = own[np.lexsort((own["line"], own["doc"], own["key"]))]
-        own = own[_changes(own, "key")]
+        texts = rows[rows["pos"] == -2]
+        yield _met(4, texts["key"], texts["doc"], texts["line"], texts["doc"], texts["line"])
+        own = rows[rows["pos"] == -1]
+        own = _first_places(own[np.argsort(own["key"])], "key")
         yield _met(0, own["key"], own["doc"], own["line"], own["doc"], own["line"])
         rows = rows[rows["pos"] >= 0]
-        # The same set from several tasks: its first place stands for it.
-        rows = rows[np.lexsort((rows["line"], rows["doc"], rows["odd"], rows["tag"], rows["key"]))]
-        rows = rows[_changes(rows, "key", "tag", "odd")]
-        # Only keys with two sets or more can give pairs.
+        size = rows["tag"] & ((1 << 24) - 1)
+        if size.max(initial=0) < 1 << 19:  # key and size in one number: words have 44 bits here
+            rows = rows[np.argsort((rows["key"].astype(np.uint64) << np.uint64(19)) | size.astype(np.uint64))]
+        else:
+            rows = rows[np.lexsort((size, rows["key"]))]
+        # Only keys with two postings or more can give pairs.
         count = np.diff(np.append(np.flatnonzero(_changes(rows, "key")), len(rows)))
-        rows = rows[np.repeat(count > 1, count)]
-        rows = rows[np.lexsort((rows["tag"] & ((1 << 24) - 1), rows["key"]))]
+        rows = _first_places(rows[np.repeat(count > 1, count)], "key", "tag", "odd")
         if not len(rows):
             return
         later, earlier, is_open, partner = _name(rows, threshold, named)
@@ -308,6 +329,21 @@ def _meet(posted: DataFrame, threshold: float, named: int, parts: int) -> DataFr
             places = np.unique(np.stack([doc[at], line[at]], axis=1), axis=0)
             yield _met(kind, np.zeros(len(places), np.int64), places[:, 0], places[:, 1], places[:, 0], places[:, 1])
 
+    def _first_places(rows: np.ndarray, *names: str) -> np.ndarray:
+        """Of rows equal in ``names`` the one at the first place; rows come in order of the first name and, if any, of size."""
+        if not len(rows):
+            return rows
+        size = rows["tag"] & ((1 << 24) - 1)
+        new = _changes(rows, names[0]) | np.concatenate([[True], size[1:] != size[:-1]])
+        run = np.diff(np.append(np.flatnonzero(new), len(rows)))
+        many = np.repeat(run > 1, run)
+        keep = ~many
+        at = np.flatnonzero(many)
+        sub = rows[at]
+        order = np.lexsort((sub["line"], sub["doc"], *[sub[n] for n in reversed(names)]))
+        keep[at[order[_changes(sub[order], *names)]]] = True
+        return rows[keep]
+
     def _changes(rows: np.ndarray, *names: str) -> np.ndarray:
         new = np.zeros(len(rows), bool)
         new[:1] = True
@@ -471,43 +507,39 @@ def _verify_open(words: DataFrame, shared, threshold: float) -> DataFrame:
     return posted.repartition(spread, "token").mapInArrow(run, "key long")
 
 
-def kept_lines(
-    docs: DataFrame, threshold: float = 0.8, named: int = NAMED, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``doc, lines``: the numbers (from 0) of the lines with words that stay, of each text with any."""
+def _judge(docs: DataFrame, threshold: float, named: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``doc, n_lines`` of every text, and ``doc, lines`` (numbers from 0) of the lines with words that stay."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(word_rarity(rows).tobytes())  # 16 MB, whatever the input
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = cut(_meet(_post(rows, shared, threshold, parts), threshold, named, parts))
     pairs = met.where("kind = 1").select("doc", "line", "doc2", "line2").distinct()
-    ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
+    opened = met.where("kind IN (2, 3)").groupBy("doc", "line").agg(F.max(F.col("kind") == 2).alias("is_open"), F.max(F.col("kind") == 3).alias("is_partner"))
+    ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line"))).unionByName(opened.select("doc", "line"))
     words = cut(_words_at(rows, ends).join(ends.distinct(), ["doc", "line"], "left_semi"))
     lost = cut(_verify_pairs(pairs, words, threshold).distinct())
-    undecided = met.where("kind = 2").select("doc", "line").distinct().join(words, ["doc", "line"]).join(lost, "key", "left_anti").select("doc", "line")
-    undecided = cut(undecided.withColumn("is_open", F.lit(True)))
-    if not undecided.isEmpty():
-        partners = met.where("kind = 3").select("doc", "line").distinct()
-        places = partners.join(undecided, ["doc", "line"], "full").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
-        again = _words_at(rows, places).join(places, ["doc", "line"])
-        lost = lost.unionByName(_verify_open(again, shared, threshold).distinct())
+    # Open sets that none of their named partners matched, and what else could.
+    tried = words.join(opened, ["doc", "line"]).join(lost.withColumn("_lost", F.lit(True)), "key", "left")
+    tried = tried.withColumn("is_open", F.col("is_open") & F.col("_lost").isNull()).where("is_open OR is_partner")
+    if not tried.where("is_open").isEmpty():
+        lost = lost.unionByName(_verify_open(tried, shared, threshold).distinct())
     kept = met.where("kind = 0").select("key", "doc", "line").join(lost, "key", "left_anti")
-    return kept.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    kept = kept.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return met.where("kind = 4").select("doc", F.col("line").cast("long").alias("n_lines")), kept
 
 
-def _line_facts(text):
+def _has_words(text: Column) -> Column:
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     return F.transform(lines, lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\f\r"))) > 0)
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, named: int = NAMED) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept``: lines with words, how many went, and numbers of those that stay."""
-    has_words = _line_facts(F.col("text").cast("string"))
-    facts = docs.select("doc_id", F.size(F.filter(has_words, lambda x: x)).cast("long").alias("n_lines"))
-    kept = kept_lines(docs, threshold, named)
-    facts = facts.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)))
-    joined = facts.join(kept, facts["_doc"] == kept["doc"], "left")
+    texts, kept = _judge(docs, threshold, named, "doc_id", "text")
     lines = F.coalesce(F.col("lines"), F.array().cast("array<int>"))
-    return joined.select("doc_id", "n_lines", (F.col("n_lines") - F.size(lines)).cast("long").alias("n_removed"), lines.alias("kept"))
+    return texts.join(kept, "doc", "left").select(
+        F.when(F.col("doc") != _LAST_ID, F.col("doc")).alias("doc_id"), "n_lines", (F.col("n_lines") - F.size(lines)).alias("n_removed"), lines.alias("kept")
+    )
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -515,11 +547,11 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     A column ``n_chars`` follows the text.  Lines without words stay.  A text all of whose lines go becomes empty; its row stays.
     """
-    kept = kept_lines(docs, threshold).select(F.col("doc").alias("_l_doc"), F.col("lines").alias("_l_kept"))
+    kept = _judge(docs, threshold, NAMED, "doc_id", "text")[1].select(F.col("doc").alias("_l_doc"), F.col("lines").alias("_l_kept"))
     keyed = docs.withColumn("_l_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)))
     joined = keyed.join(kept, keyed["_l_id"] == kept["_l_doc"], "left")
     lines = F.split(F.col("text"), "\n")
-    blank = F.filter(F.transform(_line_facts(F.col("text")), lambda w, i: F.when(~w, i)), lambda i: i.isNotNull())
+    blank = F.filter(F.transform(_has_words(F.col("text")), lambda w, i: F.when(~w, i)), lambda i: i.isNotNull())
     stays = F.array_sort(F.concat(blank, F.coalesce(F.col("_l_kept"), F.array().cast("array<int>"))))
     # The lines are held once, in an array of one element, while the numbers pick from them.
     text = F.element_at(F.transform(F.array(lines), lambda held: F.array_join(F.transform(stays, lambda i: F.get(held, i)), "\n")), 1)
