@@ -29,7 +29,7 @@ def upsert(current: DataFrame, delta: DataFrame, keys: list[str], rules: Mapping
         old, fresh, rule = F.col(c), F.col(f"_n_{c}"), rules.get(c, default)
         some = F.nullif(fresh, F.lit("")) if kinds[c] == "string" else fresh
         value = {
-            "existing_first": F.coalesce(F.nullif(old, F.lit("")) if kinds[c] == "string" else old, fresh), "new_first": F.coalesce(fresh, old),
+            "existing_first": F.coalesce(F.nullif(old, F.lit("")) if kinds[c] == "string" else old, fresh, old), "new_first": F.coalesce(fresh, old),
             "overwrite": F.when(F.col("_new"), fresh).otherwise(old), "nonempty_new": F.coalesce(some, old), "max": F.greatest(old, fresh) if rule == "max" else old,
             "either": (F.coalesce(old, F.lit(False)) | F.coalesce(fresh, F.lit(False))) if rule == "either" else old,
         }[rule]

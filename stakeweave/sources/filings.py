@@ -137,18 +137,18 @@ def owner_rows(html: str) -> list[tuple[str, str, str]]:
     parser.feed(html or "")
     out: list[tuple[str, str, str]] = []
     for table in parser.tables:
-        rows = [[c for c in row if c] for row in table]
-        rows = [r for r in rows if r]
+        rows = [row for row in table if any(row)]
         head = [i for i, r in enumerate(rows[:5]) if _HEADER.search(" ".join(r)) and _PERCENT.search(" ".join(r))]
         if len(rows) < 3 or not head:
             continue
         for row in rows[head[-1] + 1 :]:
-            figures = row[1:]
+            named = re.search(r"[A-Za-z]{2}", row[0])
+            figures = [c for c in (row[1:] if named else row) if c]
             shares = next((c for c in figures if re.fullmatch(r"[\d,]+(\s*\(\d+\))*", c) and len(c.replace(",", "")) > 2), "")
             percent = next((c for c in reversed(figures) if re.fullmatch(r"\*|[\d.]+\s*%?(\s*\(\d+\))*", c) and c != shares), "")
-            if re.search(r"[A-Za-z]{2}", row[0]) and (shares or percent):
+            if named and (shares or percent):
                 out.append((row[0], shares, percent))
-            elif out and not re.search(r"[A-Za-z]{2}", row[0]) and (shares or percent):
+            elif out and not named and (shares or percent):
                 out[-1] = (out[-1][0], shares or out[-1][1], percent or out[-1][2])  # a further line of the owner before
     return out
 
