@@ -176,7 +176,7 @@ def predict(net: ByteConvNet, tables: dict, column: pa.Array) -> tuple[list[str]
     return labels, scores
 
 
-def train(docs: DataFrame, per_label: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteConvNet | None:
+def train(docs: DataFrame, per_label: int = 1200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteConvNet | None:
     """A network learned from about ``per_label`` windows of each label, outside the held-out fold."""
     known = docs.where(
         F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) != 0)
@@ -203,7 +203,7 @@ def train(docs: DataFrame, per_label: int = 600, id_col: str = "doc_id", text_co
 
 
 def identify_language(
-    docs: DataFrame, per_label: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, per_label: int = 1200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """``id, held_out, lang_pred, score`` of every row of ``docs``."""
     net = train(docs, per_label, id_col, text_col, lang_col)
