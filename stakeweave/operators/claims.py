@@ -34,7 +34,7 @@ def upsert_claims(stored: DataFrame, new: DataFrame) -> DataFrame:
         new.withColumn("first_seen_at", F.col("last_seen_at")).withColumn("_new", F.lit(1)).select(*stored.columns, "_new")
     )
     values = [c for c in stored.columns if c not in ("claim_key", "first_seen_at")]
-    latest = F.max_by(F.struct(*values), F.struct("_new", F.coalesce("last_seen_at", F.lit("")), F.coalesce("source_url", F.lit(""))))
+    latest = F.max_by(F.struct(*values), F.struct("_new", F.coalesce("last_seen_at", F.lit("")), F.coalesce("source_url", F.lit("")), F.coalesce("stake_percent", F.lit(-1.0))))
     folded = rows.groupBy("claim_key").agg(F.min("first_seen_at").alias("first_seen_at"), latest.alias("_v"))
     return folded.select("claim_key", *[F.col(f"_v.{c}").alias(c) for c in values], "first_seen_at").select(*stored.columns)
 
@@ -82,11 +82,14 @@ def own_record_sources(entities: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def dedup_provenance(rows: DataFrame, key: str) -> DataFrame:
-    """One row per node, source and link: the latest source date, then the latest visit."""
-    order = Window.partitionBy(key, "source_id", "source_url").orderBy(
-        F.coalesce("source_date", F.lit("")).desc(), F.coalesce("last_scraped_at", F.lit("")).desc()
-    )
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """One row per node, source and link: the latest source date, then the latest visit.
+
+    A source's other columns depend on its id, so one aggregation with map-side sums of rows does it.
+    """
+    latest = F.max(F.struct(F.coalesce("source_date", F.lit("")).alias("d"), F.coalesce("last_scraped_at", F.lit("")).alias("l"))).alias("_latest")
+    rest = [c for c in rows.columns if c not in ("source_date", "last_scraped_at")]
+    folded = rows.groupBy(*rest).agg(latest)
+    return folded.select(*rest, F.nullif(F.col("_latest.d"), F.lit("")).alias("source_date"), F.nullif(F.col("_latest.l"), F.lit("")).alias("last_scraped_at"))
 
 
 def entity_provenance(claims: DataFrame, entities: DataFrame, sources: DataFrame) -> DataFrame:
