@@ -491,15 +491,22 @@ def _verify_open(words: DataFrame, shared, threshold: float) -> DataFrame:
             # The first place of each set; places ascend inside the group.
             _, at = np.unique(key[group], return_index=True)
             group = group[np.sort(at)]
+            if len(group) < 2 or not is_open[group].any():
+                continue
+            full = [np.frombuffer(words[int(i)].as_buffer(), np.uint64) for i in group]
+            size = np.array([len(x) for x in full])
+            first = np.cumsum(size) - size
+            odd, odd2 = _parities(np.concatenate(full) >> np.uint64(20), first)
             for j in range(1, len(group)):
                 b = group[j]
                 if not is_open[b] or int(key[b]) in lost:
                     continue
-                mine = np.frombuffer(words[int(b)].as_buffer(), np.uint64)
-                for a in group[:j]:
-                    if (doc[a], line[a]) != (doc[b], line[b]) and _similar(np.frombuffer(words[int(a)].as_buffer(), np.uint64), mine, threshold):
-                        lost.add(int(key[b]))
-                        break
+                total = size[:j] + size[j]
+                near = np.bitwise_count(odd[:j] ^ odd[j]).astype(np.int64) + np.bitwise_count(odd2[:j] ^ odd2[j])
+                ok = near <= total - 2 * np.ceil(total * (threshold / (1 + threshold)) - 1e-9)
+                ok &= (doc[group[:j]] != doc[b]) | (line[group[:j]] != line[b])
+                if any(_similar(full[i], full[j], threshold) for i in np.flatnonzero(ok).tolist()):
+                    lost.add(int(key[b]))
         yield pa.RecordBatch.from_arrays([pa.array(sorted(lost), pa.int64())], names=["key"])
 
     spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))

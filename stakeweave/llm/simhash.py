@@ -211,7 +211,8 @@ def links(distinct: DataFrame, radius: int = 2, sample: int = SAMPLE, shard: int
     picked = distinct.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
     # About ``sample`` longs, whatever the size of the table; the hash makes the choice repeatable.
     points = np.sort(picked.select("fp").toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
-    tree = VpTree(points, radius, max(2, int(shard * share)))
+    # At least 16 of the sample make a shard, so the tree stays small; larger shards are cut again where they are compared.
+    tree = VpTree(points, radius, max(16, int(shard * share)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
