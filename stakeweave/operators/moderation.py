@@ -92,6 +92,14 @@ def upsert_pins(pins: DataFrame, new: DataFrame) -> DataFrame:
     return out.select(*pins.columns)
 
 
+def remove_suppressions(suppressions: DataFrame, ids: list[str]) -> DataFrame:
+    return suppressions.where(~F.col("id").isin(ids))
+
+
+def remove_pins(pins: DataFrame, ids: list[str]) -> DataFrame:
+    return pins.where(~F.col("id").isin(ids))
+
+
 def run_listing(runs: DataFrame, now: Column, most: int = 500, stale_after: int = 1800) -> DataFrame:
     """Newest runs first; a run that has been running too long is stale."""
     age = F.unix_seconds(now) - F.unix_seconds(F.col("started_at").cast("timestamp"))

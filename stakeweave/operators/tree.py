@@ -16,7 +16,8 @@ from stakeweave.operators.edges import is_direct
 MAX_DEPTH = 10
 
 
-def _cut(frame: DataFrame) -> DataFrame:
+def cut(frame: DataFrame) -> DataFrame:
+    """``frame`` checkpointed in the session's shared folder; a local one only where none is set (tests)."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stakeweave-"))
@@ -41,7 +42,7 @@ def ownership_tree(edges: DataFrame, roots: DataFrame, depth: int = 3, include_i
             F.array_append("node_path", F.col("_to")).alias("node_path"),
         )
         if level < depth and level % 3 == 0:
-            frontier = _cut(frontier)
+            frontier = cut(frontier)
         part = frontier.withColumn("depth", F.lit(level))
         found = part if found is None else found.unionByName(part)
     return found
@@ -50,14 +51,14 @@ def ownership_tree(edges: DataFrame, roots: DataFrame, depth: int = 3, include_i
 def reachable(pairs: DataFrame, seeds: DataFrame, start: str, end: str, most_rounds: int = 100) -> DataFrame:
     """Distinct ``seed, id`` reached from each seed (column ``id``) along ``start -> end``, the seed included."""
     step = pairs.select(F.col(start).alias("_from"), F.col(end).alias("_to")).distinct()
-    known = _cut(seeds.select(F.col("id").alias("seed"), "id").distinct())
+    known = cut(seeds.select(F.col("id").alias("seed"), "id").distinct())
     frontier = known
     for _ in range(most_rounds):
         grown = frontier.join(step, F.col("id") == F.col("_from")).select("seed", F.col("_to").alias("id")).distinct()
-        frontier = _cut(grown.join(known, ["seed", "id"], "left_anti"))
+        frontier = cut(grown.join(known, ["seed", "id"], "left_anti"))
         if frontier.isEmpty():
             break
-        known = _cut(known.unionByName(frontier))
+        known = cut(known.unionByName(frontier))
     return known
 
 

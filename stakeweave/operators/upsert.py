@@ -43,6 +43,21 @@ def update_only(current: DataFrame, delta: DataFrame, keys: list[str]) -> DataFr
     return upsert(current, known, keys, default="overwrite")
 
 
+def create(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are not taken yet are added; columns they lack are null."""
+    return current.unionByName(new.join(current.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+
+
+def delete(current: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    return current.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def close(edges: DataFrame, ended: DataFrame, keys: list[str]) -> DataFrame:
+    """Active edges of ``ended`` (keys and ``until``) get their end."""
+    ends = ended.groupBy(*keys).agg(F.max("until").alias("_until"))
+    return edges.join(ends, keys, "left").withColumn("until", F.coalesce("until", "_until")).select(*edges.columns)
+
+
 def upsert_edges(current: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """Active edges are refreshed by natural key, others added; ended edges stay as they are."""
     active, ended = current.where("until IS NULL"), current.where("until IS NOT NULL")

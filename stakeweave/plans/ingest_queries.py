@@ -144,7 +144,7 @@ _OWNER = "CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'gb-coh:R' || C
 
 @query(
     f"""SELECT {_OWNER} AS from_id, CASE WHEN c_custkey % 3 = 0 THEN 'entity' ELSE 'person' END AS from_kind, 'gb-coh:' || CAST(c_custkey % 97 AS STRING) AS to_id,
-  CASE c_custkey % 4 WHEN 0 THEN 75.0 WHEN 1 THEN 25.0 END AS stake_percent, CASE c_custkey % 4 WHEN 1 THEN 50.0 END AS voting_power_pct,
+  CAST(CASE c_custkey % 4 WHEN 0 THEN 75 WHEN 1 THEN 25 END AS DOUBLE) AS stake_percent, CAST(CASE c_custkey % 4 WHEN 1 THEN 50 END AS DOUBLE) AS voting_power_pct,
   CASE c_custkey % 4 WHEN 0 THEN 'majority' WHEN 3 THEN 'minority' ELSE 'controlling' END AS ownership_type, CASE WHEN c_custkey % 4 = 0 THEN '2020-01-01' END AS until FROM customer
 WHERE c_custkey % 3 = 0 OR c_custkey % 7 <> 1"""
 )
@@ -461,3 +461,105 @@ def separated_pairs(t, spark, sf_dir):
 def edge_totals(t, spark, sf_dir):
     rows = ed.without_self_loops(t("owns"))
     return rows.groupBy("to_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ed.is_active(), 1)).alias("active"))
+
+
+
+@query(
+    """SELECT q, cik, MIN(id) AS id FROM (SELECT e.name || ' ' || e.country AS q, '1' AS cik, s.id, length(s.name) AS n, MAX(length(s.name)) OVER (PARTITION BY e.name || ' ' || e.country) AS m
+  FROM (SELECT DISTINCT name, country FROM entity) e JOIN entity s ON starts_with(e.name || ' ' || e.country, s.name || ' ') AND length(s.name) >= 4 AND s.sec_cik IS NULL)
+WHERE n = m GROUP BY q, cik""",
+    "entity",
+)
+def prefix_matches(t, spark, sf_dir):
+    from stakeweave.operators.matching import prefix_match
+
+    e = t("entity")
+    asked = e.select(F.concat_ws(" ", "name", "country").alias("q"), F.lit("1").alias("cik")).distinct()
+    return prefix_match(asked, e.select("id", "name", "sec_cik"))
+
+
+@query(
+    """SELECT o.edge_id, CASE WHEN o.until IS NULL AND o.from_id LIKE 'sup:%' AND e.name IS NOT NULL AND o.to_id <> o.from_id AND NOT EXISTS (SELECT 1 FROM owns x WHERE x.until IS NULL
+  AND x.from_id = o.from_id AND x.to_id = o.to_id AND x.edge_id < o.edge_id) THEN 33.0::DOUBLE END AS voting_power_pct FROM owns o LEFT JOIN entity e ON e.id = o.from_id""",
+    "owns", "entity",
+)
+def voting_power(t, spark, sf_dir):
+    from stakeweave.operators.matching import write_voting_power
+
+    e, o = t("entity"), t("owns").withColumn("voting_power_pct", F.lit(None).cast("double"))
+    listed = ed.without_self_loops(o.where("until IS NULL")).join(e.select(F.col("id").alias("from_id"), "name"), "from_id")
+    listed = listed.select(F.col("to_id").alias("company_id"), F.concat("name", F.lit(".")).alias("name"), F.lit(33.0).alias("percent")).distinct()
+    return write_voting_power(listed, e, o)[0].select("edge_id", "voting_power_pct")
+
+
+@query(
+    """WITH RECURSIVE kids AS (SELECT from_id, to_id FROM (SELECT from_id, to_id, ROW_NUMBER() OVER (PARTITION BY from_id ORDER BY to_id) AS n FROM (SELECT DISTINCT from_id, to_id FROM owns)) WHERE n <= 3),
+walk(id, level) AS (SELECT 'sup:0', 0 UNION SELECT k.to_id, w.level + 1 FROM walk w JOIN kids k ON k.from_id = w.id WHERE w.level < 3)
+SELECT id, CAST(MIN(level) AS INT) AS level FROM walk GROUP BY id""",
+    "owns",
+)
+def capped_expansion(t, spark, sf_dir):
+    from stakeweave.operators.matching import expand
+
+    return expand(spark.createDataFrame([("sup:0",)], "id string"), t("owns"), 3, 3)
+
+
+@query("SELECT edge_id, COALESCE(until, CASE WHEN source_id = '5-LOW' AND from_id LIKE 'sup:%' THEN '2030-01-01' END) AS until FROM owns", "owns")
+def closed_edges(t, spark, sf_dir):
+    from stakeweave.operators.upsert import close
+
+    o = t("owns")
+    return close(o, o.where("source_id = '5-LOW' AND from_id LIKE 'sup:%'").select("edge_id", F.lit("2030-01-01").alias("until")), ["edge_id"]).select("edge_id", "until")
+
+
+@query("SELECT id FROM entity WHERE id NOT LIKE 'par:%7' UNION ALL SELECT 'made:1'", "entity")
+def created_and_deleted(t, spark, sf_dir):
+    from stakeweave.operators.upsert import create, delete
+
+    e = t("entity").select("id", "name")
+    made = create(e, spark.createDataFrame([("made:1", "M"), ("sup:0", "again")], e.schema), ["id"])
+    return delete(made, e.where("id LIKE 'par:%7'"), ["id"]).select("id")
+
+
+# Streams
+
+
+def _stream_folder(spark) -> str:
+    """A folder that driver and executors share; a local one only where none is set (tests)."""
+    import tempfile
+    import uuid
+
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stakeweave-"))
+    return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+
+
+@query()
+def streamed_lockouts(t, spark, sf_dir):
+    """Attempts of every user through the stateful limiter with escalating lockouts; state has no SQL form."""
+    from stakeweave.streaming.limits import rate_limit
+
+    events = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet(f"{sf_dir}/events.parquet*")
+    keyed = events.select(F.col("user_id").cast("string").alias("key"), (F.unix_micros("ts") / 1e6).alias("ts"))
+    folder = _stream_folder(spark)
+    out = rate_limit(keyed, 2).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query(
+    """SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, COUNT(*) AS n, ROUND(SUM(value), 2) AS total FROM events GROUP BY 1, 2"""
+)
+def streamed_hourly_counts(t, spark, sf_dir):
+    """Hourly counts of events in complete mode: the micro-batch form of a report over event time."""
+    events = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet(f"{sf_dir}/events.parquet*")
+    hourly = events.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    folder = _stream_folder(spark)
+
+    def put(batch, number):
+        batch.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n", "total").write.mode("overwrite").parquet(f"{folder}/out")
+
+    out = hourly.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stakeweave.functions.classify import clean_table_name, parse_percent_cell, parse_shares_cell, percent_from_text, reporter_is_individual
 from stakeweave.functions.names import cik_from_accession, filing_index_url, normalize_investor_name, normalize_sec_name, normalize_ticker_name, title_to_role
-from stakeweave.functions.similarity import MIN_TICKER_SIMILARITY, ticker_similarity
+from stakeweave.functions.similarity import MIN_PROXY_SIMILARITY, MIN_TICKER_SIMILARITY, proxy_similarity, ticker_similarity
 
 
 def match_tickers(queries: DataFrame, tickers: DataFrame) -> DataFrame:
@@ -97,6 +97,36 @@ def latest_fact(facts: DataFrame) -> DataFrame:
     return facts.where("val > 0").groupBy("cik").agg(F.max_by("val", F.struct("end", "filed")).alias("shares_outstanding"), F.max("end").alias("as_of"))
 
 
+def holding_pages(recent: DataFrame, archives: DataFrame, most: int = 4) -> DataFrame:
+    """Holding filings of the recent page and at most ``most`` archive pages of each filer (``page`` numbers them), newest first."""
+    old = archives.where(F.col("page") <= most).drop("page")
+    rows = filings_of(recent.unionByName(old))
+    return rows.where(F.col("form").rlike("^SC 13[DG]|^SCHEDULE 13[DG]")).orderBy(F.col("filed").desc(), "accession")
+
+
+def insider_holding(filings: DataFrame, issuers: DataFrame) -> DataFrame:
+    """Shares of each person at each issuer (``issuer_cik``) from the newest filing that names it; none held gives no row."""
+    rows = insiders(filings.where(F.col("form").isin("4", "4/A")), most=1_000_000).join(issuers, "issuer_cik", "left_semi")
+    return rows.where("shares > 0").select("issuer_cik", "person", "person_cik", "shares", "filed")
+
+
+def former_names(rows: DataFrame) -> DataFrame:
+    """``cik, names``: names in order without case-insensitive repeats, from arrays of former names."""
+    low = F.transform("former", F.lower)
+    return rows.select("cik", F.filter("former", lambda x, i: F.array_position(low, F.lower(x)) == i + 1).alias("names"))
+
+
+def locate_proxy(queries: DataFrame, candidates: DataFrame, since: str) -> DataFrame:
+    """``q, cik, accession, filed``: the recent proxy filing of the most similar company, the latest of equals.
+
+    ``candidates`` has ``q, cik, company, form, accession, filed``.
+    """
+    rows = candidates.join(queries.select("q"), "q", "left_semi").where((F.col("form") == "DEF 14A") & (F.col("filed") >= since))
+    rows = rows.withColumn("similarity", proxy_similarity(F.col("q"), F.col("company"))).where(F.col("similarity") >= MIN_PROXY_SIMILARITY)
+    best = F.max_by(F.struct("cik", "accession", "filed"), F.struct("similarity", "filed", "accession"))
+    return rows.groupBy("q").agg(best.alias("b")).select("q", "b.*")
+
+
 class _Tables(HTMLParser):
     """Rows of cell texts of every table; nested tables join the outer one's cell."""
 
