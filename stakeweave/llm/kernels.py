@@ -22,8 +22,8 @@ IS_WORD = np.ones(256, bool)
 IS_WORD[list(SPACE_BYTES)] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes of text that a kernel works on at once; one longer text is its own chunk.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that a kernel works on at once, so that its arrays stay in a core's cache; one longer text is its own chunk.
+CHUNK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}

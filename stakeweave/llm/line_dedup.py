@@ -97,7 +97,7 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for data, lines, _, _ in _blocks(batch.column(0)):
                 _, start, end = find_words(data, lines)
-                at = np.sort(_bucket(span_hash(data, start, end)))
+                at = np.sort((span_hash(data, start, end) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32))
                 first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
                 held[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
                 some = True

@@ -234,7 +234,7 @@ class PieceTable:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each text that ``offsets`` cuts ``data`` into."""
         result: list[np.ndarray] = []
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, 2 << 20):  # large chunks repeat more words
             base = offsets[a]
             text, cut = data[base : offsets[b]], offsets[a : b + 1] - base
             result += self._encode_chunk(text, cut)
