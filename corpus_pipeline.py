@@ -22,21 +22,25 @@ from stakeweave.llm.simhash import near_dedup
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the base rule or an adaptive fence rejects go."""
+    ship(spark)
     return quality_filter(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: lines that match an earlier line go; their documents stay."""
+    ship(spark)
     return dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: one document of each group stays."""
+    ship(spark)
     return near_dedup(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents as often as the mix takes them."""
+    ship(spark)
     return mixed_documents(docs)
 
 
@@ -44,6 +48,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Operator 9: piece ids of every document, and whether they decode to its text."""
     import public_tokenizers
 
+    ship(spark)
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         return encode_pieces(docs, f.read())
 
@@ -62,7 +67,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over the documents of ``sf_dir``."""
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
