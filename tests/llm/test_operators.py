@@ -447,3 +447,26 @@ def test_registered_queries():
 
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3, [(1, "same words here in this line of text again and more", "en", "s", 3)] * 4])
+def test_pipeline_on_odd_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+    from tests.llm.conftest import SCHEMA
+
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() <= max(3, len(rows))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, frame, str(tmp_path)).count() <= 3 * len(rows), name
+
+
+@pytest.mark.parametrize("rows", [[(None, None, None, None, None)] * 3, [(1, "same words here in this line of text again and more", "en", "s", 3)] * 4])
+def test_queries_on_odd_tables(spark, tmp_path, rows):
+    import __spark_entry__ as entry
+    from tests.llm.conftest import SCHEMA
+
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    for name, query in entry.queries().items():
+        if re.match(r"op\d+_", name):
+            assert query(spark, str(tmp_path)).count() == len(rows), name
