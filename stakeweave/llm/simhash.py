@@ -15,6 +15,7 @@
    never all pairs.
 5. The forests are joined into components by alternating star contraction, with each
    round checkpointed.
+6. Rows get their component by fingerprint; the few fingerprints that many rows share are joined by broadcast.
 
 Defined results: a null text reads as empty; a text without words has fingerprint zero
 and links like any other; repeated rows give a row each; a null id never names a
@@ -37,6 +38,8 @@ SEED = 42
 #: Fingerprints in the sample that shapes the shards, and expected ones in a shard.
 SAMPLE = 1 << 17
 SHARD = 8192
+#: Fingerprints that may be joined by broadcast.
+HOT = 2000
 LEAF = 1024
 _BITS = 1 << 16  # shingles whose bits are unpacked at once
 
@@ -275,17 +278,21 @@ def simhash_groups(
 ) -> DataFrame:
     """``id, fingerprint, component_id`` of every row of ``docs``."""
     rows = cut(fingerprint_rows(docs, id_col, text_col, size))
-    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
     roots = cut(components(links(distinct, radius, sample, shard)))
     grouped = roots.join(distinct, roots["node"] == distinct["fp"]).select("node", "root", "first_id")
     named = grouped.groupBy("root").agg(F.min("first_id").alias("component"))
     of_node = grouped.join(named, "root").select("node", "component")
     classes = distinct.join(of_node, distinct["fp"] == of_node["node"], "left").select(
-        F.col("fp").alias("c_fp"), F.when(F.col("node").isNotNull(), F.col("component")).otherwise(F.col("first_id")).alias("component_id")
-    )
-    return rows.join(classes, rows["fp"] == classes["c_fp"]).select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        F.col("fp").alias("c_fp"), F.when(F.col("node").isNotNull(), F.col("component")).otherwise(F.col("first_id")).alias("component_id"), "copies"
     )
+    # Fingerprints with a share of 1 / HOT of all rows or more are at most HOT; their rows need not meet in one task.
+    least = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] / HOT
+    hot, rest = classes.where(F.col("copies") >= least), classes.where(F.col("copies") < least)
+    hot = F.broadcast(hot.drop("copies"))
+    same = F.col("fp") == F.col("c_fp")
+    joined = rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(rest.drop("copies"), same))
+    return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
