@@ -523,13 +523,15 @@ def _judge(docs: DataFrame, threshold: float, named: int, id_col: str, text_col:
     pairs = met.where("kind = 1").select("doc", "line", "doc2", "line2").distinct()
     opened = met.where("kind IN (2, 3)").groupBy("doc", "line").agg(F.max(F.col("kind") == 2).alias("is_open"), F.max(F.col("kind") == 3).alias("is_partner"))
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line"))).unionByName(opened.select("doc", "line"))
-    words = cut(_words_at(rows, ends).join(ends.distinct(), ["doc", "line"], "left_semi"))
+    words = cut(_words_at(rows, ends))
     lost = cut(_verify_pairs(pairs, words, threshold).distinct())
-    # Open sets that none of their named partners matched, and what else could.
-    tried = words.join(opened, ["doc", "line"]).join(lost.withColumn("_lost", F.lit(True)), "key", "left")
-    tried = tried.withColumn("is_open", F.col("is_open") & F.col("_lost").isNull()).where("is_open OR is_partner")
-    if not tried.where("is_open").isEmpty():
-        lost = lost.unionByName(_verify_open(tried, shared, threshold).distinct())
+    # Open sets that none of their named partners matched; places and keys decide, words follow for the few.
+    keys = words.select("doc", "line", "key")
+    undecided = cut(opened.where("is_open").join(keys, ["doc", "line"]).join(lost, "key", "left_anti").select("doc", "line").distinct())
+    if not undecided.isEmpty():
+        places = undecided.withColumn("is_open", F.lit(True)).unionByName(opened.where("is_partner").select("doc", "line", F.lit(False).alias("is_open")))
+        places = places.groupBy("doc", "line").agg(F.max("is_open").alias("is_open"))
+        lost = lost.unionByName(_verify_open(words.join(places, ["doc", "line"]), shared, threshold).distinct())
     kept = met.where("kind = 0").select("key", "doc", "line").join(lost, "key", "left_anti")
     kept = kept.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     return met.where("kind = 4").select("doc", F.col("line").cast("long").alias("n_lines")), kept
