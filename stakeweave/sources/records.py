@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -22,35 +24,37 @@ def open_member(path: str, suffix: str = ".json"):
     return archive.open(name)
 
 
+#: What matters to the nesting of JSON text: an escaped character, a quote, or a bracket.
+_MARKS = re.compile(r'\\.|["{}\[\]]', re.S)
+
+
 def iter_array_objects(stream, chunk: int = 1 << 20) -> Iterator[str]:
     """The objects of the first array of a JSON document, each as its text, in constant memory."""
-    held, started, depth, first, at, quoted, escaped = "", False, 0, 0, 0, False, False
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    held, at, depth, first, started, quoted = "", 0, 0, 0, False, False
     while block := stream.read(chunk):
-        held += block.decode("utf-8", "replace") if isinstance(block, bytes) else block
-        while at < len(held):
-            c = held[at]
+        held += decoder.decode(block) if isinstance(block, bytes) else block
+        end = at
+        for mark in _MARKS.finditer(held, at):
+            c, end = mark[0], mark.end()
             if quoted:
-                if escaped:
-                    escaped = False
-                elif c == "\\":
-                    escaped = True
-                elif c == '"':
-                    quoted = False
+                quoted = c != '"'
             elif c == '"':
                 quoted = True
             elif not started:
                 started = c == "["
             elif c == "{":
                 if depth == 0:
-                    first = at
+                    first = end - 1
                 depth += 1
             elif c == "}":
                 depth -= 1
                 if depth == 0:
-                    yield held[first : at + 1]
+                    yield held[first:end]
             elif c == "]" and depth == 0:
                 return
-            at += 1
+        # A backslash at the very end waits for the character that it escapes.
+        at = len(held) - (held.endswith("\\") and end < len(held))
         keep = first if depth else at
         held, at, first = held[keep:], at - keep, 0
 

@@ -12,10 +12,11 @@ def w(x):
 
 
 def test_array_documents_are_split(tmp_path, spark):
-    doc = {"records": [{"LEI": w(f"L{i}"), "t": 'a "quoted } brace" [x]', "n": {"m": [1, {"k": "\\"}]}} for i in range(50)]}
+    doc = {"records": [{"LEI": w(f"L{i}"), "t": 'a "quoted } brace" [x] é日 \\\\', "n": {"m": [1, {"k": "\\"}]}} for i in range(50)]}
     for indent in (None, 2):
-        got = list(records.iter_array_objects(io.BytesIO(json.dumps(doc, indent=indent).encode()), chunk=37))
-        assert [json.loads(x) for x in got] == doc["records"]
+        for chunk in (1, 7, 37, 100_000):
+            raw = json.dumps(doc, indent=indent, ensure_ascii=False).encode()
+            assert [json.loads(x) for x in records.iter_array_objects(io.BytesIO(raw), chunk)] == doc["records"]
     path = tmp_path / "x.zip"
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("readme.txt", "no")
