@@ -2,7 +2,7 @@
 
 Texts are encoded inside Arrow batches and only lengths leave Python.  Batches for the
 encoder hold about ``batch_bytes`` each, so one batch of long texts costs as much as one
-of short texts.  A text longer than ``split_bytes`` is cut before a space that follows a
+of short texts.  A text of more than ``split_chars`` characters is cut before a space that follows a
 character other than a space: no piece of a supported model holds a space mark behind
 another character (this is checked when the model is read; if a piece does, texts stay
 whole), so no merge crosses such a cut and the counts of the parts add up.
@@ -65,7 +65,7 @@ def split_text(text: str, limit: int) -> list[str]:
     return parts
 
 
-def count_texts(texts: list[str], proto: bytes, batch_bytes: int, split_bytes: int) -> list[int]:
+def count_texts(texts: list[str], proto: bytes, batch_bytes: int, split_chars: int) -> list[int]:
     model, splits = _model(proto)
     counts = [0] * len(texts)
     parts: list[str] = []
@@ -79,10 +79,10 @@ def count_texts(texts: list[str], proto: bytes, batch_bytes: int, split_bytes: i
         owners.clear()
 
     for i, text in enumerate(texts):
-        for part in split_text(text, split_bytes) if splits and len(text) > split_bytes else [text]:
+        for part in split_text(text, split_chars) if splits and len(text) > split_chars else [text]:
             parts.append(part)
             owners.append(i)
-            held += len(part)
+            held += len(part) if part.isascii() else len(part.encode())
             if held >= batch_bytes:
                 flush()
                 held = 0
@@ -96,7 +96,7 @@ def token_counts(
     model_proto: bytes,
     limit: int = 4096,
     batch_bytes: int = 1 << 18,
-    split_bytes: int = 1 << 15,
+    split_chars: int = 1 << 15,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -106,7 +106,7 @@ def token_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            counts = count_texts(texts, shared.value, batch_bytes, split_bytes)
+            counts = count_texts(texts, shared.value, batch_bytes, split_chars)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"]
             )

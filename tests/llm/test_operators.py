@@ -24,7 +24,7 @@ def test_token_counts_match_the_library(docs, rows, model):
 
     library = sentencepiece.SentencePieceProcessor(model_proto=model)
     want = sorted(((i, len((t or "").encode()), len(library.encode(t or ""))) for i, t, *_ in rows), key=key)
-    got = token_counts(docs, model, limit=100, batch_bytes=500, split_bytes=64).collect()
+    got = token_counts(docs, model, limit=100, batch_bytes=500, split_chars=64).collect()
     assert sorted([tuple(r)[:3] for r in got], key=key) == want
     assert all(r.over_limit == (r.n_tokens > 100) for r in got)
 
