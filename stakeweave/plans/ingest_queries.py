@@ -11,7 +11,7 @@ from stakeweave.operators import moderation as mo
 from stakeweave.operators import resolution as rs
 from stakeweave.operators import search as se
 from stakeweave.operators.claims import upsert_claims, with_claim_key
-from stakeweave.plans.registry import _driver, query
+from stakeweave.plans.registry import _SHOWN, _driver, query
 from stakeweave.sources import filings, gleif, registers, snapshot, wikidata
 from stakeweave.streaming.deltas import apply_delta
 
@@ -521,6 +521,46 @@ def created_and_deleted(t, spark, sf_dir):
     return delete(made, e.where("id LIKE 'par:%7'"), ["id"]).select("id")
 
 
+
+@query(
+    f"""WITH {_SHOWN}, o AS (SELECT to_id AS id, COUNT(*) AS n, ROUND(SUM(stake_percent), 4) AS pct FROM owner GROUP BY 1), s AS (SELECT from_id AS id, COUNT(*) AS n FROM owner GROUP BY 1),
+x AS (SELECT a.to_id AS id, COUNT(*) AS n FROM owner a JOIN owner b ON a.from_id = b.to_id AND a.to_id = b.from_id GROUP BY 1),
+r AS (SELECT from_id AS id, COUNT(*) AS n FROM succeeded_by WHERE to_id NOT IN (SELECT node_id FROM hidden) GROUP BY 1)
+SELECT e.id, e.name, LEAST(COALESCE(o.n, 0), 200) AS owners, o.pct AS disclosed_pct, LEAST(COALESCE(s.n, 0), 200) AS subsidiaries, COALESCE(x.n, 0) AS cross_holdings,
+  COALESCE(r.n, 0) AS successors FROM entity e LEFT JOIN o USING (id) LEFT JOIN s USING (id) LEFT JOIN x USING (id) LEFT JOIN r USING (id)
+WHERE e.id NOT IN (SELECT node_id FROM hidden)""",
+    "owns", "suppression", "pin", "entity", "succeeded_by",
+)
+def entity_profiles(t, spark, sf_dir):
+    """Nested profiles, flattened to the sizes of their sections."""
+    from stakeweave.operators.profile import entity_profiles as profiles
+
+    rows = profiles(t("entity"), t("owns"), t("has_role"), t("dual_listed_with"), t("succeeded_by"), t("suppression"), t("pin"))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(c)
+    return rows.select(
+        "id", "entity.name", size("owners"), F.col("ownership.disclosed_pct").alias("disclosed_pct"), size("subsidiaries"), size("cross_holdings"),
+        F.when(F.col("succeeded_by").isNull(), 0).otherwise(F.size("succeeded_by")).cast("long").alias("successors"),
+    )
+
+
+@query(
+    """WITH hidden AS (SELECT node_id FROM suppression WHERE target_kind = 'node'), pos AS (SELECT from_id AS id, COUNT(DISTINCT r.to_id || '|' || r.role) AS n FROM has_role r JOIN entity e ON e.id = r.to_id
+  WHERE r.until IS NULL AND r.to_id NOT IN (SELECT node_id FROM hidden) AND r.from_id NOT IN (SELECT node_id FROM hidden) AND NOT EXISTS (SELECT 1 FROM suppression s WHERE s.target_kind = 'role'
+  AND s.from_id = r.from_id AND s.to_id = r.to_id AND (s.role IS NULL OR s.role = r.role)) GROUP BY 1),
+held AS (SELECT o.from_id AS id, COUNT(DISTINCT o.to_id) AS n FROM owns o JOIN entity e ON e.id = o.to_id WHERE o.until IS NULL AND NOT EXISTS (SELECT 1 FROM suppression s WHERE s.target_kind = 'owns'
+  AND s.from_id = o.from_id AND s.to_id = o.to_id) AND o.to_id NOT IN (SELECT node_id FROM hidden) AND o.from_id NOT IN (SELECT node_id FROM hidden) GROUP BY 1)
+SELECT p.id, p.full_name, COALESCE(pos.n, 0) AS positions, COALESCE(held.n, 0) AS holdings FROM person p LEFT JOIN pos USING (id) LEFT JOIN held USING (id)
+WHERE p.id NOT IN (SELECT node_id FROM hidden)""",
+    "person", "has_role", "owns", "entity", "suppression",
+)
+def person_profiles(t, spark, sf_dir):
+    from stakeweave.operators.profile import person_profiles as profiles
+
+    rows = profiles(t("person"), t("entity"), t("owns"), t("has_role"), t("suppression"), t("pin"))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(c)
+    return rows.select("id", "person.full_name", size("positions"), size("holdings"))
+
+
 # Streams
 
 
