@@ -66,7 +66,7 @@ def fill_targets(sizes: Sequence[int], weights: Sequence[float], limit: float =
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = (1.0, 2.0, 3.0),
-    block: int = 64,
+    block: int = 16,
     shard_rows: int = 5_000,
     limit: float = 3.0,
     seed: int = 17,
