@@ -1,12 +1,10 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Counting.  All counts are over all training texts.  One pass counts every word by its
-64-bit hash, and adds every bigram and trigram to a table of 2**22 counters.  An n-gram of
-any order is in the model if it occurs at least ``T = max(2, ceil((bytes + 2 * texts) / 2**22))`` times.
-A text of b bytes has at most b / 2 + 1 tokens, so fewer than 2**21 n-grams of an order
-can reach T: the model has a proven size bound at any corpus size, without a cap.
-A second pass counts exactly the bigrams and trigrams whose counter reached T (a counter is
-never below the count of an n-gram in it).
+Counting.  All counts are exact and over all training texts.  One shuffle counts every word by
+its 64-bit hash, a second one every bigram and trigram of words that occur ``LEAST`` times or
+more; n-grams of that count are in the model.  ``LEAST`` is the same at every corpus size, so the
+model grows with the corpus and nothing is dropped because the corpus is large.  Tasks hand over
+their sums whenever they hold many, so their memory is bounded; the driver holds the whole model.
 
 Model.  ``p(w)`` is the contract's add-one estimate over all words, rare ones included;
 higher orders interpolate with absolute discounting, what pruned and discounted n-grams
@@ -20,7 +18,7 @@ Elias-Fano sequences; log probabilities and back-off weights are 12-bit codes in
 codebooks.  The file goes to executors through Spark's file server and is memory-mapped.
 
 Scoring.  A token's probability is found at the longest n-gram that the trie has, else by
-back-off.  A rare word (fewer than T) contributes its back-off weights at once; its
+back-off.  A rare word (fewer than ``LEAST``) contributes its back-off weights at once; its
 count comes from one shuffle of (word, text) rows in which each word's own rows give its
 count, so no table of all words is broadcast or joined.
 
@@ -37,7 +35,6 @@ import os
 import shutil
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,13 +44,12 @@ from pyspark.sql import functions as F
 
 from stakeweave.llm.common import text_or_empty
 from stakeweave.llm.elias_fano import EliasFano
-from stakeweave.llm.kernels import LOWER, chunks, find_words, mix, released, span_hash, text_buffer
+from stakeweave.llm.kernels import LOWER, chunks, find_words, released, span_hash, text_buffer
 
-SKETCH_BITS = 22
-_PAGE = 1 << 16
-_ID_BITS = 21
+#: Occurrences that an n-gram of any order needs to be in the model, at every corpus size.
+LEAST = 2
+_ID_BITS = 31
 DISCOUNT = 0.75
-_K = np.uint64(0x9E3779B97F4A7C15)
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 START = np.uint64(0x57A257A257A257A3)
 CODES = 4096
@@ -79,60 +75,58 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return rows, out
 
 
-def _grams(rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the last tokens of all bigrams and trigrams, and the n-grams' sketch buckets."""
+def _grams(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the last tokens of all bigrams and trigrams."""
     two = np.flatnonzero(rows[1:] == rows[:-1]) + 1
     three = two[1:][rows[two[1:] - 2] == rows[two[1:]]] if len(two) > 1 else two[:0]
-    g = mix(h[:-1] * _K + h[1:]) if len(h) > 1 else h[:0]
-    pair = g[two - 1]
-    triple = mix(g[three - 2] * _K + h[three])
-    shift = np.uint64(64 - SKETCH_BITS)
-    return two, (pair >> shift).astype(np.int64), three, (triple >> shift).astype(np.int64)
+    return two, three
 
 
 class _Counts:
-    """Sums by key, folded as they grow."""
+    """Sums by key, an array for each part of the key, folded as they grow."""
 
     def __init__(self, fold: int = 1 << 21):
-        self.keys: list[np.ndarray] = []
-        self.sums: list[np.ndarray] = []
-        self.held, self.fold = 0, fold
-
-    def add(self, keys: np.ndarray) -> None:
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.sums.append(c)
-        self.held += len(k)
-        if self.held > self.fold:
-            k, c = self.total()
-            self.keys, self.sums, self.held = [k], [c], 0
-
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return _sum_by(np.concatenate(self.keys), np.concatenate(self.sums))
-
-
-def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, values
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(values, first)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size, self.fold = 0, fold
+
+    def add(self, *keys: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Takes the keys in; gives back all sums, to be handed on, when folding leaves too many."""
+        self.held.append(_sum_by(keys, np.ones(len(keys[0]), np.int64)))
+        self.size += len(self.held[-1][0])
+        if self.size > self.fold:
+            self.held = [self.total()]
+            self.size = len(self.held[0][0])
+            if self.size > self.fold // 2:
+                yield self.held[0]
+                self.held, self.size = [], 0
+
+    def total(self) -> tuple[np.ndarray, ...]:
+        *keys, sums = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        return _sum_by(keys, sums)
+
+
+def _sum_by(keys, values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, an array for each of their parts, and the sums of their values."""
+    if not len(values):
+        return *keys, values
+    order = np.lexsort(keys[::-1])
+    keys, values = [k[order] for k in keys], values[order]
+    new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    first = np.flatnonzero(np.concatenate([[True], new]))
+    return *(k[first] for k in keys), np.add.reduceat(values, first)
 
 
-_ROW = "kind int, key long, n long, page binary"
+#: A word (kind 0) by its hash, or totals (kind 1): distinct words and tokens.
+_WORD_ROW = "kind int, key long, n long"
+#: The first id of a trigram, -1 for a bigram, and its last two packed.
+_GRAM_ROW = "first int, key long, n long"
 
 
-def _batch(kind: int, key: np.ndarray, n: np.ndarray, pages: list | None = None) -> pa.RecordBatch:
+def _batch(names: str, first: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(key), kind, np.int32)), pa.array(np.asarray(key).astype(np.int64)),
-            pa.array(np.asarray(n).astype(np.int64)), pa.array(pages if pages is not None else [None] * len(key), pa.binary()),
-        ],
-        names=["kind", "key", "n", "page"],
-    )
+        [pa.array(np.asarray(first).astype(np.int32)), pa.array(np.asarray(key).astype(np.int64)), pa.array(np.asarray(n).astype(np.int64))],
+        names=[c.split()[0] for c in names.split(", ")],
+    )
 
 
 def _partitions(frame: DataFrame) -> int:
@@ -140,59 +134,36 @@ def _partitions(frame: DataFrame) -> int:
 
 
 def count_words(train: DataFrame, least: int) -> dict:
-    """``n`` tokens, ``v`` distinct, the frequent words' hashes and counts, and bit tables of heavy n-gram buckets."""
+    """``n`` tokens, ``v`` distinct, and the frequent words' hashes and counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Counts()
-        tables = [np.zeros(1 << SKETCH_BITS, np.uint32) for _ in range(2)]
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             for a, b in chunks(offsets):
-                rows, h = token_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                words.add(h[h != START].view(np.int64))
-                _, two, _, three = _grams(rows, h)
-                for table, bucket in zip(tables, (two, three), strict=True):
-                    bucket = np.sort(bucket)
-                    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
-                    table[bucket[first]] += np.diff(np.append(first, len(bucket))).astype(np.uint32)
-        keys, sums = words.total()
-        if not len(keys):
-            return
-        yield _batch(1, keys, sums)
-        for kind, table in zip((2, 3), tables, strict=True):
-            for i in range(0, len(table), _PAGE):
-                yield _batch(kind, [i], [0], [zlib.compress(table[i : i + _PAGE].tobytes(), 1)])
+                _, h = token_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for k, c in words.add(h[h != START].view(np.int64)):
+                    yield _batch(_WORD_ROW, np.zeros(len(k)), k, c)
+        if words.held:
+            k, c = words.total()
+            yield _batch(_WORD_ROW, np.zeros(len(k)), k, c)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums, pages = [], [], {}
-        for batch in batches:
-            kind = batch.column(0).to_numpy()
-            words = kind == 1
-            keys.append(batch.column(1).to_numpy()[words])
-            sums.append(batch.column(2).to_numpy()[words])
-            for i in np.flatnonzero(~words).tolist():
-                at = (int(kind[i]), batch.column(1)[i].as_py())
-                page = np.frombuffer(zlib.decompress(batch.column(3)[i].as_py()), np.uint32).astype(np.uint64)
-                pages[at] = pages[at] + page if at in pages else page
-        if not keys:
+        held = [[c.to_numpy() for c in batch.columns[1:]] for batch in batches]
+        if not held:
             return
-        k, c = _sum_by(np.concatenate(keys), np.concatenate(sums))
-        yield _batch(0, [len(k)], [int(c.sum())])
-        yield _batch(1, k[c >= least], c[c >= least])
-        for (kind, at), page in pages.items():
-            yield _batch(kind, [at], [0], [np.packbits(page >= least, bitorder="little").tobytes()])
-
-    counted = train.mapInArrow(released(count), _ROW).repartition(_partitions(train), "kind", "key").mapInArrow(released(merge), _ROW)
-    heavy = {2: np.zeros(1 << SKETCH_BITS, bool), 3: np.zeros(1 << SKETCH_BITS, bool)}
-    found = counted.toArrow()  # fewer than 2**21 words, 128 pages of bits and two numbers a partition
+        key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        k, c = _sum_by([key], n)
+        yield _batch(_WORD_ROW, [1], [len(k)], [c.sum()])
+        k, c = k[c >= least], c[c >= least]
+        yield _batch(_WORD_ROW, np.zeros(len(k)), k, c)
+
+    counted = train.mapInArrow(released(count), _WORD_ROW).repartition(_partitions(train), "key").mapInArrow(released(merge), _WORD_ROW)
+    found = counted.toArrow()  # the frequent words and two numbers a partition
     kind, key, n = (found.column(i).to_numpy() for i in range(3))
-    for i in np.flatnonzero(kind >= 2).tolist():
-        bits = np.unpackbits(np.frombuffer(found.column(3)[i].as_py(), np.uint8), bitorder="little").astype(bool)
-        heavy[int(kind[i])][key[i] : key[i] + _PAGE] = bits
-    words = kind == 1
-    h, c = key[words].view(np.uint64), n[words]
+    h, c = key[kind == 0].view(np.uint64), n[kind == 0]
     order = np.argsort(h)
-    return {"n": int(n[kind == 0].sum()), "v": int(key[kind == 0].sum()), "hash": h[order], "count": c[order], "heavy": heavy}
+    return {"n": int(n[kind == 1].sum()), "v": int(key[kind == 1].sum()), "hash": h[order], "count": c[order]}
 
 
 class Vocabulary:
@@ -220,49 +191,45 @@ class Vocabulary:
         return out
 
 
-def count_grams(train: DataFrame, counted: dict, least: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Packed ids and counts of all bigrams and trigrams that occur ``least`` times or more."""
-    context = train.sparkSession.sparkContext
-    shared = context.broadcast((counted["hash"], {k: np.packbits(x) for k, x in counted["heavy"].items()}))  # bounded by T
+def count_grams(train: DataFrame, counted: dict, least: int) -> dict[int, tuple[np.ndarray, ...]]:
+    """Ids and counts of all bigrams (packed) and trigrams (first id, the others packed) that occur ``least`` times or more."""
+    shared = train.sparkSession.sparkContext.broadcast(counted["hash"])  # all frequent words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, packed = shared.value
-        heavy = {k: np.unpackbits(x).astype(bool) for k, x in packed.items()}
-        words = Vocabulary(hashes)
-        held = {2: _Counts(), 3: _Counts()}
+        words = Vocabulary(shared.value)
+        held = _Counts()
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             for a, b in chunks(offsets):
                 rows, h = token_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                two, two_at, three, three_at = _grams(rows, h)
+                two, three = _grams(rows)
                 ids = words.ids(h)
-                two = two[heavy[2][two_at]]
                 two = two[(ids[two] >= 0) & (ids[two - 1] >= 0)]
-                held[2].add((ids[two - 1] << _ID_BITS) | ids[two])
-                three = three[heavy[3][three_at]]
                 three = three[(ids[three] >= 0) & (ids[three - 1] >= 0) & (ids[three - 2] >= 0)]
-                held[3].add((ids[three - 2] << 2 * _ID_BITS) | (ids[three - 1] << _ID_BITS) | ids[three])
-        for kind, counts in held.items():
-            yield _batch(kind, *counts.total())
+                last = np.concatenate([two, three])
+                first = np.concatenate([np.full(len(two), -1), ids[three - 2]]).astype(np.int32)
+                for x in held.add(first, (ids[last - 1] << _ID_BITS) | ids[last]):
+                    yield _batch(_GRAM_ROW, *x)
+        if held.held:
+            yield _batch(_GRAM_ROW, *held.total())
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in batch.columns[:3]] for batch in batches]
+        held = [[c.to_numpy() for c in batch.columns] for batch in batches]
         if not held:
             return
-        kind, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        for order in (2, 3):
-            k, c = _sum_by(key[kind == order], n[kind == order])
-            yield _batch(order, k[c >= least], c[c >= least])
+        first, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        first, key, n = _sum_by([first, key], n)
+        yield _batch(_GRAM_ROW, first[n >= least], key[n >= least], n[n >= least])
 
-    counts = train.mapInArrow(released(count), _ROW).repartition(_partitions(train), "kind", "key").mapInArrow(released(merge), _ROW)
-    found = counts.toArrow()  # fewer than 2**21 rows of either order
-    kind, key, n = (found.column(i).to_numpy() for i in range(3))
-    out = {}
-    for order in (2, 3):
-        k, c = key[kind == order], n[kind == order]
-        by = np.argsort(k)
-        out[order] = (k[by], c[by])
-    return out
+    counts = train.mapInArrow(released(count), _GRAM_ROW).repartition(_partitions(train), "first", "key").mapInArrow(released(merge), _GRAM_ROW)
+    found = counts.toArrow()  # grows with the corpus: the model is built here
+    first, key, n = (found.column(i).to_numpy() for i in range(3))
+    del found
+    two = np.flatnonzero(first < 0)
+    two = two[np.argsort(key[two])]
+    three = np.flatnonzero(first >= 0)
+    three = three[np.lexsort((key[three], first[three]))]
+    return {2: (key[two], n[two]), 3: (first[three].astype(np.int64), key[three], n[three])}
 
 
 def _quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +245,7 @@ def _quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.uint16), book
 
 
-def build_trie(counted: dict, grams: dict[int, tuple[np.ndarray, np.ndarray]], texts: int) -> dict[str, np.ndarray]:
+def build_trie(counted: dict, grams: dict[int, tuple[np.ndarray, ...]], texts: int) -> dict[str, np.ndarray]:
     """All arrays of the trie, by name."""
     v = len(counted["hash"])
     mask = (1 << _ID_BITS) - 1
@@ -290,15 +257,15 @@ def build_trie(counted: dict, grams: dict[int, tuple[np.ndarray, np.ndarray]], t
     held2 = (c2 - DISCOUNT) / count[left]
     rest1 = 1 - np.bincount(left, held2, v + 1)
     p2 = held2 + rest1[left] * base[right]
-    key3, c3 = grams[3]
-    parent = np.searchsorted(key2, key3 >> _ID_BITS)
-    below = np.searchsorted(key2, key3 & ((1 << 2 * _ID_BITS) - 1))
+    first3, key3, c3 = grams[3]
+    parent = np.searchsorted(key2, (first3 << _ID_BITS) | (key3 >> _ID_BITS))
+    below = np.searchsorted(key2, key3)
     held3 = (c3 - DISCOUNT) / c2[parent]
     rest2 = 1 - np.bincount(parent, held3, len(key2))
     p3 = held3 + rest2[parent] * p2[below]
     point1 = np.searchsorted(left, np.arange(v + 2))
     point2 = np.searchsorted(parent, np.arange(len(key2) + 1))
-    place = below - point1[(key3 >> _ID_BITS) & mask]  # among the successors of the middle word
+    place = below - point1[key3 >> _ID_BITS]  # among the successors of the middle word
 
     def ascending(local: np.ndarray, point: np.ndarray) -> np.ndarray:
         """Each range shifted behind the last value of the one before."""
@@ -422,11 +389,8 @@ class Trie:
 
 def train_trie(train: DataFrame) -> dict[str, np.ndarray]:
     """The model of all texts of ``train`` (one column, ``text``)."""
-    size = train.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("texts")).first()
-    texts = int(size["texts"])
-    least = max(2, -(-(int(size["bytes"] or 0) + 2 * texts) // (1 << 22)))
-    counted = count_words(train, least)
-    return build_trie(counted, count_grams(train, counted, least), texts)
+    counted = count_words(train, LEAST)
+    return build_trie(counted, count_grams(train, counted, LEAST), train.count())
 
 
 _SCORED = "kind int, part long, key long, id long, n_tokens long, n_known long, base double, lm double, train boolean, page binary"

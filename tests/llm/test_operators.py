@@ -242,6 +242,42 @@ def test_language_model(docs, rows, empty):
     assert score_texts(empty).count() == 0
 
 
+def test_language_model_keeps_the_same_ngrams_in_a_large_corpus(spark):
+    import numpy as np
+
+    from stakeweave.llm.kernels import span_hash
+    from stakeweave.llm.ngram_lm import train_trie
+
+    pair, filler = ["rare words meet", "rare words meet once"], ["common " * 250_000] * 6  # 10.5 MB
+    words = [np.frombuffer(x, np.uint8) for x in (b"rare", b"words", b"meet", b"once")]
+    hashes = [span_hash(x, np.array([0]), np.array([len(x)]))[0] for x in words]
+    sizes = []
+    for texts in (pair, pair + filler):
+        arrays = train_trie(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4))
+        assert np.isin(hashes, arrays["hash"]).tolist() == [True, True, True, False]
+        sizes.append((int(arrays["level2.meta"][0]), int(arrays["level3.meta"][0])))
+    # The filler adds <s> common, common common and common </s>, and the three trigrams of these words.
+    assert sizes == [(3, 2), (6, 5)]
+
+
+def test_ngram_sums_are_whole_when_tasks_hand_them_over():
+    import numpy as np
+
+    from stakeweave.llm.ngram_lm import _Counts
+
+    keys = np.random.default_rng(1).integers(0, 500, (40, 100))
+    counts, handed = _Counts(fold=300), []
+    for k in keys:
+        handed += counts.add(k, k + 1)
+    if counts.held:
+        handed.append(counts.total())
+    total = np.zeros(500, int)
+    for first, second, n in handed:
+        assert (second == first + 1).all()
+        np.add.at(total, first, n)
+    assert len(handed) > 1 and (total == np.bincount(keys.ravel(), minlength=500)).all()
+
+
 def test_elias_fano():
     import numpy as np
 
