@@ -15,9 +15,9 @@ from stakeweave import ship
 from stakeweave.llm.common import checkpoint_folder
 from stakeweave.llm.line_dedup import dedup_lines
 from stakeweave.llm.mixing import mixed_documents
+from stakeweave.llm.near_copies import drop_near_copies
 from stakeweave.llm.piece_viterbi import encode_pieces
 from stakeweave.llm.quality import quality_filter
-from stakeweave.llm.simhash import near_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: one document of each group stays."""
+    """One document of each group of near copies (Jaccard 0.8 or more over five-word shingles) stays."""
     ship(spark)
-    return near_dedup(docs)
+    return drop_near_copies(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

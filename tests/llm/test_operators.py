@@ -464,6 +464,41 @@ def test_clashing_columns(clashing, rows, model):
         assert f(clashing).columns == clashing.columns and f(clashing).count() > 0, f
 
 
+def test_pipeline_drops_rewrapped_near_copies(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+
+    draw = random.Random(9)
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, near = [], 0
+    for _ in range(60):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.randrange(100, 400))]
+        edited = [f"x{draw.randrange(5000)}" if draw.random() < 0.015 else w for w in words]
+        edited = "\n".join(" ".join(edited[i : i + 12]) for i in range(0, len(edited), 12))
+        a, b = sets(words), sets(edited.split())
+        near += len(a & b) >= 0.8 * len(a | b)
+        texts += [" ".join(words), edited]
+    assert near > 30
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.count() == len(texts) - near and kept.where("doc_id % 2 = 0").count() == len(texts) // 2
+
+
+def test_near_links_match_all_pairs():
+    import numpy as np
+
+    from stakeweave.llm.near_copies import near_links
+    from stakeweave.llm.simhash import _roots
+
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 1 << 62, (4, 40)).astype(np.uint64)
+    held = [np.unique(np.where(draw.random(40) < 0.06, draw.integers(0, 1 << 62, 40).astype(np.uint64), base[i % 4])) for i in range(60)] + [np.zeros(0, np.uint64)]
+    want = [(i, j) for i in range(61) for j in range(i) if len(x := np.intersect1d(held[i], held[j])) and len(x) >= 0.8 * len(np.union1d(held[i], held[j]))]
+    got = near_links(np.concatenate(held), np.append(0, np.cumsum([len(x) for x in held])))
+    assert len(got) < 61 and (_roots(61, *np.array(got).T) == _roots(61, *np.array(want).T)).all()
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
