@@ -8,6 +8,12 @@ outside these bounds are pruned before their bigrams are compared, and units tha
 no bigram with any template are pruned before that.  A unit of one word has that word as
 its only gram.
 
+Runs of words are compared too, wherever they begin and end, so a notice is found with anything
+before or after it.  A best run begins and ends at a bigram that the template has; from each such
+place the run grows until it has more distinct bigrams than a match can have, or only repeats
+itself for twice as many.  Of runs that begin within a match the best counts.  Runs are reported
+as unit ``words`` where no reported unit or better run of the same licence overlaps them.
+
 Defined results: a null text reads as empty and matches nothing; of equal coefficients
 the first licence by name wins, and the larger unit before the smaller; repeated rows
 each give a row; other columns are ignored.
@@ -114,6 +120,54 @@ class Templates:
         return found
 
 
+def _best_end(first: int, hit: np.ndarray, marks: list[int], size: int, high: float) -> tuple[float, int, int]:
+    """Greatest Dice with a template of ``size`` of runs that begin at ``first``, and the run's ends; ``hit`` tells its bigrams."""
+    found = (0.0, first, first)
+    own: set[int] = set()
+    common: set[int] = set()
+    news = first
+    for at in range(first, len(marks)):
+        own.add(marks[at])
+        # A run that only repeats itself for longer than a template ends there.
+        if len(own) > high + 1e-9 or at - news > 2 * high:
+            break
+        if hit[at]:
+            if marks[at] not in common:
+                common.add(marks[at])
+                news = at
+            if (dice := 2 * len(common) / (len(own) + size)) >= found[0]:
+                found = (dice, first, at)
+            if dice == 1 and at - first + 1 >= high:
+                break
+    return found
+
+
+def _runs(marks: np.ndarray, own: np.ndarray, size: int, low: float, high: float, least: float) -> list[tuple[float, int, int]]:
+    """Runs ``(dice, first bigram, last bigram)`` apart from each other that reach ``least``; ``own`` are the template's bigrams.
+
+    From left to right: of the runs that begin within the first match, the best.
+    """
+    hit = np.isin(marks, own)
+    places, found, k = np.flatnonzero(hit), [], 0
+    need = least * (low + size) / 2 - 1e-9  # shared bigrams of the smallest match
+    if len(places) < need:
+        return found
+    listed = marks.tolist()
+    # A match spans at least ``need`` shared bigrams, with at most ``high`` distinct ones in all.
+    while k + need <= len(places):
+        best = _best_end(int(places[k]), hit, listed, size, high)
+        if best[0] < least - 1e-12:
+            k += 1
+            continue
+        stop, n = best[2], k + 1
+        while best[0] < 1 and n < len(places) and places[n] <= stop:
+            best = max(best, _best_end(int(places[n]), hit, listed, size, high), key=lambda x: x[0])
+            n += 1
+        found.append(best)
+        k = int(np.searchsorted(places, best[2], "right"))
+    return found
+
+
 def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, first byte and end of every line of the texts."""
     breaks = np.flatnonzero(data == 10)
@@ -157,9 +211,30 @@ def find_licences(data: np.ndarray, offsets: np.ndarray, templates: Templates) -
                     own = frozenset(_grams(text[s:e], np.array([0, e - s]))[0].tolist())
                 if own and (match := templates.best(own)):
                     out[a + d].append((match[1], match[0], unit, int(start[x] - cut[d]), int(end[y - 1] - cut[d])))
+            out[a + d] += _word_runs(text[cut[d] : cut[d + 1]], templates, out[a + d])
     return out
 
 
+def _word_runs(text: np.ndarray, templates: Templates, units: list) -> list[tuple[str, float, str, int, int]]:
+    """Runs of words that match, but for those that a unit or a better run of the licence covers as well."""
+    _, start, end = find_words(LOWER[text], np.array([0, len(text)]), WORD)
+    if len(start) < 2:
+        return []
+    h = span_hash(LOWER[text], start, end)
+    marks = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+    found = []
+    for name, own, (low, high) in zip(templates.names, templates.sets, templates.bounds, strict=True):
+        held = np.array(sorted(own), np.uint64)
+        for dice, a, b in _runs(marks, held, len(own), low, high, templates.threshold):
+            found.append((name, dice, "words", int(start[a]), int(end[b + 1])))
+    kept: list[tuple[str, float, str, int, int]] = []
+    for x in sorted(found, key=lambda x: (-x[1], x[3] - x[4], x[0])):
+        # A run holds nothing outside its ends, so it is likelier than the unit around it; that unit has reported it.
+        if not any(u[0] == x[0] and u[3] < x[4] and x[3] < u[4] for u in [*units, *kept]):
+            kept.append(x)
+    return sorted(kept, key=lambda x: x[3])
+
+
 def scan_licences(
     docs: DataFrame, templates: Mapping[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD,
     id_col: str = "doc_id", text_col: str = "text",

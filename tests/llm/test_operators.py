@@ -58,6 +58,24 @@ def test_licences(spark, empty):
     assert scan_licences(empty).count() == 0
 
 
+def test_licences_in_runs_of_words():
+    import numpy as np
+
+    from stakeweave.llm.licences import TEMPLATES, Templates, find_licences
+
+    held = Templates(TEMPLATES, 0.9)
+    apache, mit = TEMPLATES["Apache-2.0"][1], TEMPLATES["MIT"][1]
+    cut = apache.replace(" You may obtain", "\n#\n# You may obtain").replace(" Unless", "\n#\n# Unless")
+    code = "\n\n".join(f"def f{i}(x{i}):\n    return x{i} + {i}" for i in range(40))
+    three = mit.replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    texts = [f"{cut}\n\n{code}", f"{three}\n\n{code}", f"Copyright 2024 Jane Doe.  {TEMPLATES['MIT'][0]}  All of it.", f"{code}\n{apache} {code}\n{mit}", code]
+    raw = [t.encode() for t in texts]
+    got = find_licences(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])), held)
+    assert [{m[0] for m in x} for x in got] == [{"Apache-2.0"}, {"MIT"}, {"MIT"}, {"Apache-2.0", "MIT"}, set()]
+    name, dice, unit, first, end = got[1][0]
+    assert dice == 1 and raw[1][first:end].startswith(b"Permission is") and raw[1][first:end].endswith(b"THE SOFTWARE")
+
+
 def test_licence_bounds_prune_nothing_that_matches():
     from stakeweave.llm.licences import TEMPLATES, Templates
 
