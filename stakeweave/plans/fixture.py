@@ -47,7 +47,7 @@ SELECT 'L' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)
   'cus:' || CAST(o_custkey AS STRING) AS from_id, 'par:' || CAST(l_partkey AS STRING) AS to_id, CASE WHEN l_tax < 0.075 THEN l_quantity END AS stake_percent,
   CAST(NULL AS STRING) AS direct_or_indirect, substr(CAST(o_orderdate AS STRING), 1, 10) AS since,
   CASE WHEN l_linestatus = 'F' THEN substr(CAST(l_shipdate AS STRING), 1, 10) END AS until, o_orderpriority AS source_id
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_discount < 0.015
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 UNION ALL
 SELECT 'H' || CAST(s_suppkey AS STRING), 'sup:' || CAST(CAST(FLOOR((s_suppkey - 1) / 2) AS BIGINT) AS STRING), 'sup:' || CAST(s_suppkey AS STRING), CAST(60 AS DOUBLE),
   'direct', '2010-01-01', CAST(NULL AS STRING), '3-MEDIUM' FROM supplier WHERE s_suppkey > 0
@@ -64,10 +64,10 @@ UNION ALL
 SELECT 'D' || CAST(s_suppkey AS STRING), 'sup:' || CAST(CAST(FLOOR((s_suppkey - 1) / 2) AS BIGINT) AS STRING), 'sup:' || CAST(s_suppkey AS STRING), CAST(60 AS DOUBLE),
   CAST(NULL AS STRING), '2011-01-01', CAST(NULL AS STRING), '5-LOW' FROM supplier WHERE s_suppkey > 0 AND s_suppkey % 3 = 0""",
     "has_role": """
-SELECT 'R' || CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS edge_id, 'cus:' || CAST(o_custkey AS STRING) AS from_id,
+SELECT 'R' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS edge_id, 'cus:' || CAST(o_custkey AS STRING) AS from_id,
   'sup:' || CAST(l_suppkey AS STRING) AS to_id, CASE l_returnflag WHEN 'A' THEN 'CEO' WHEN 'N' THEN 'director' ELSE 'CFO' END AS role,
   substr(CAST(o_orderdate AS STRING), 1, 10) AS since, CASE WHEN l_linestatus = 'F' THEN substr(CAST(l_shipdate AS STRING), 1, 10) END AS until, o_orderpriority AS source_id
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1""",
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "succeeded_by": """
 SELECT 'sup:' || CAST(s_suppkey AS STRING) AS from_id, 'sup:' || CAST(s_suppkey + 1 AS STRING) AS to_id, '2001-01-01' AS since FROM supplier
 WHERE s_suppkey % 6 = 0 AND s_suppkey + 1 < (SELECT COUNT(*) FROM supplier)""",
@@ -100,7 +100,7 @@ SELECT 'sup:' || CAST(CAST(FLOOR((s_suppkey - 1) / 2) AS BIGINT) AS STRING) AS f
   'majority' AS ownership_type FROM supplier WHERE s_suppkey % 9 = 1""",
     "merged_id": """
 SELECT 'old:' || CAST(s_suppkey AS STRING) AS old_id, CASE WHEN s_suppkey % 4 = 3 THEN 'sup:' || CAST(s_suppkey AS STRING) ELSE 'old:' || CAST(s_suppkey + 1 AS STRING) END AS new_id
-FROM supplier WHERE s_suppkey < 40
+FROM supplier
 UNION ALL SELECT 'loop:a', 'loop:b' UNION ALL SELECT 'loop:b', 'loop:a'""",
     "scrape_run": """
 SELECT 'run:' || lpad(CAST(event_id AS STRING), 9, '0') AS id, event_type AS source, CASE WHEN event_id % 5 = 0 THEN 'running' WHEN event_id % 5 = 1 THEN 'error' ELSE 'done' END AS status,

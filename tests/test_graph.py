@@ -220,3 +220,19 @@ def test_maintenance(spark):
                               "id string, hq_address string, hq_city string, hq_country string, hq_lat double, hq_lng double, hq_geo_precision string")
     places = spark.createDataFrame([("main st 1, bonn", 1.0, 2.0), ("Bonn, DE", 3.0, 4.0)], "place string, lat double, lng double")
     assert [(r.hq_lat, r.hq_geo_precision) for r in maintenance.geocode(e, places).orderBy("id").collect()] == [(1.0, "exact"), (3.0, "approx"), (None, None)]
+
+
+def test_graph_tables_take_whole_tables():
+    import duckdb
+
+    from stakeweave.plans.fixture import SQL
+
+    duck = duckdb.connect()
+    duck.execute("""CREATE TABLE lineitem AS SELECT i // 7 AS l_orderkey, CAST(i % 7 + 1 AS INT) AS l_linenumber, i AS l_partkey, i % 90 AS l_suppkey, 0.01 * (i % 11) AS l_discount,
+        0.01 * (i % 9) AS l_tax, 1.0 AS l_quantity, 'F' AS l_linestatus, 'A' AS l_returnflag, TIMESTAMP '2020-01-01' AS l_shipdate FROM range(700) t(i)""")
+    duck.execute("CREATE TABLE orders AS SELECT i AS o_orderkey, i AS o_custkey, TIMESTAMP '2020-01-01' AS o_orderdate, '5-LOW' AS o_orderpriority FROM range(100) t(i)")
+    duck.execute("CREATE TABLE supplier AS SELECT i AS s_suppkey FROM range(90) t(i)")
+    count = lambda table, where: duck.execute(f"SELECT COUNT(*), COUNT(DISTINCT {where[1]}) FROM ({SQL[table]}) WHERE {where[0]}").fetchone()
+    assert count("owns", ("edge_id LIKE 'L%'", "edge_id")) == (700, 700)
+    assert count("has_role", ("TRUE", "edge_id")) == (700, 700)
+    assert count("merged_id", ("old_id LIKE 'old:%'", "old_id")) == (90, 90)
