@@ -48,18 +48,20 @@ def ownership_tree(edges: DataFrame, roots: DataFrame, depth: int = 3, include_i
     return found
 
 
-def reachable(pairs: DataFrame, seeds: DataFrame, start: str, end: str, most_rounds: int = 100) -> DataFrame:
-    """Distinct ``seed, id`` reached from each seed (column ``id``) along ``start -> end``, the seed included."""
+def reachable(pairs: DataFrame, seeds: DataFrame, start: str, end: str) -> DataFrame:
+    """Distinct ``seed, id`` reached from each seed (column ``id``) along ``start -> end``, the seed included.
+
+    Rounds go on until nothing new is found; known ids end cycles.
+    """
     step = pairs.select(F.col(start).alias("_from"), F.col(end).alias("_to")).distinct()
     known = cut(seeds.select(F.col("id").alias("seed"), "id").distinct())
     frontier = known
-    for _ in range(most_rounds):
+    while True:
         grown = frontier.join(step, F.col("id") == F.col("_from")).select("seed", F.col("_to").alias("id")).distinct()
         frontier = cut(grown.join(known, ["seed", "id"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return known
         known = cut(known.unionByName(frontier))
-    return known
 
 
 def family(pairs: DataFrame, seeds: DataFrame) -> DataFrame:

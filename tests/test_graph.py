@@ -236,3 +236,23 @@ def test_graph_tables_take_whole_tables():
     assert count("owns", ("edge_id LIKE 'L%'", "edge_id")) == (700, 700)
     assert count("has_role", ("TRUE", "edge_id")) == (700, 700)
     assert count("merged_id", ("old_id LIKE 'old:%'", "old_id")) == (90, 90)
+
+
+def test_reachable_goes_on_until_nothing_is_new(spark, monkeypatch):
+    from stakeweave.operators import tree
+
+    class Frame:
+        """Stands for a chain of 150 links, without a Spark job for each round."""
+
+        rounds = 0
+
+        def __getattr__(self, name):
+            return lambda *_: self
+
+        def isEmpty(self):  # noqa: N802
+            Frame.rounds += 1
+            return Frame.rounds > 150
+
+    monkeypatch.setattr(tree, "cut", lambda frame: frame)
+    tree.reachable(Frame(), Frame(), "from_id", "to_id")
+    assert Frame.rounds == 151
