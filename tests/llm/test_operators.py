@@ -58,6 +58,23 @@ def test_licences(spark, empty):
     assert scan_licences(empty).count() == 0
 
 
+def test_fingerprint_error_at_the_registered_samples():
+    import numpy as np
+
+    from stakeweave.llm.fingerprints import SAMPLES, likeness, signatures
+
+    draw, off = np.random.default_rng(5), []
+    for _ in range(200):
+        w = [f"w{x}" for x in draw.integers(0, 10**6, 300)]
+        other = w[:200] + [f"v{x}" for x in draw.integers(0, 10**6, 100)]
+        a, b = ({tuple(x[i : i + 5]) for i in range(296)} for x in (w, other))
+        raw = [" ".join(x).encode() for x in (w, other)]
+        got = signatures(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
+        off.append(likeness(got[:1], got[1:])[0] - len(a & b) / len(a | b))
+    error = 0.5 / SAMPLES**0.5
+    assert abs(np.mean(off)) < 0.3 * error and np.std(off) < 1.25 * error
+
+
 def test_licences_in_runs_of_words():
     import numpy as np
 
