@@ -79,7 +79,7 @@ def language_model(rows, fold=lambda i: i is not None and zlib.crc32(str(i).enco
             one.update(w[1:])
             two.update(zip(w, w[1:]))
             three.update(zip(w, w[1:], w[2:]))
-    least = max(2, -(-(size + 2 * n) // (1 << 22)))
+    least = 2
     total, v = sum(one.values()), len(one)
     count = {**one, "<s>": n}
     k2, k3 = ({g: c for g, c in x.items() if c >= least} for x in (two, three))

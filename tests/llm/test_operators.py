@@ -266,51 +266,51 @@ def test_dedup_lines_rewrites_texts(spark):
 # Language model
 
 
-def test_language_model(docs, rows, empty):
-    from stakeweave.llm.ngram_lm import score_texts
-
-    want = sorted(brute.language_model([(i, t) for i, t, *_ in rows]), key=lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6)))
-    got = sorted(map(tuple, score_texts(docs).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6)))
+def _scores_match(got, rows):
+    order = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6))
+    want, got = sorted(brute.language_model(rows), key=order), sorted(map(tuple, got), key=order)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for a, b in zip(got, want):
         assert abs(a[5] - b[5]) < 1e-6 * abs(b[5]) and abs(a[6] - b[6]) < 2e-3 * abs(b[6])
-    assert score_texts(empty).count() == 0
 
 
-def test_language_model_keeps_the_same_ngrams_in_a_large_corpus(spark):
-    import numpy as np
+# Small shares make hot words and wide pairs, whose contexts several shards hold; small pages repeat questions.
+@pytest.mark.parametrize("options", [{}, {"share": 0.01, "shards": 13, "page_bytes": 3000}, {"share": 0.0005, "shards": 5, "page_bytes": 500}])
+def test_language_model(docs, rows, empty, options):
+    from stakeweave.llm.ngram_lm import score_texts
+
+    _scores_match(score_texts(docs, **options).collect(), [(i, t) for i, t, *_ in rows])
+    assert score_texts(empty, **options).count() == 0
 
-    from stakeweave.llm.kernels import span_hash
-    from stakeweave.llm.ngram_lm import train_trie
 
-    pair, filler = ["rare words meet", "rare words meet once"], ["common " * 250_000] * 6  # 10.5 MB
-    words = [np.frombuffer(x, np.uint8) for x in (b"rare", b"words", b"meet", b"once")]
-    hashes = [span_hash(x, np.array([0]), np.array([len(x)]))[0] for x in words]
-    sizes = []
-    for texts in (pair, pair + filler):
-        arrays = train_trie(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4))
-        assert np.isin(hashes, arrays["hash"]).tolist() == [True, True, True, False]
-        sizes.append((int(arrays["level2.meta"][0]), int(arrays["level3.meta"][0])))
-    # The filler adds <s> common, common common and common </s>, and the three trigrams of these words.
-    assert sizes == [(3, 2), (6, 5)]
+def test_language_model_of_hot_contexts(spark):
+    import random
 
+    from stakeweave.llm.ngram_lm import make_plan, score_texts
 
-def test_ngram_sums_are_whole_when_tasks_hand_them_over():
-    import numpy as np
+    draw = random.Random(6)
+    rows = [(i, " ".join(f"id : w{draw.randrange(300)} the of" for _ in range(draw.randrange(1, 20)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    plan = make_plan(docs, 0.02, 9)
+    assert len(plan.hot_parts) >= 4 and len(plan.wide) >= 2 and plan.wide_parts.min() > 1
+    _scores_match(score_texts(docs, share=0.02, shards=9, page_bytes=1000).collect(), rows)
+
+
+def test_language_model_keeps_the_same_ngrams_in_a_large_corpus(spark):
+    from stakeweave.llm.ngram_lm import score_texts
+
+    rows = [(0, "rare words meet"), (1, "rare words meet once"), *[(i, "common " * 250_000) for i in range(2, 8)]]  # 10.5 MB
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _scores_match(score_texts(docs).collect(), rows)
+
+
+def test_language_model_without_training_texts_and_with_other_ids(spark):
+    from stakeweave.llm.ngram_lm import score_texts
 
-    from stakeweave.llm.ngram_lm import _Counts
-
-    keys = np.random.default_rng(1).integers(0, 500, (40, 100))
-    counts, handed = _Counts(fold=300), []
-    for k in keys:
-        handed += counts.add(k, k + 1)
-    if counts.held:
-        handed.append(counts.total())
-    total = np.zeros(500, int)
-    for first, second, n in handed:
-        assert (second == first + 1).all()
-        np.add.at(total, first, n)
-    assert len(handed) > 1 and (total == np.bincount(keys.ravel(), minlength=500)).all()
+    docs = spark.createDataFrame([("x", "a b a b"), ("y", None)], "doc_id string, text string")
+    got = {r.doc_id: r for r in score_texts(docs, held_out=F.lit(True)).collect()}
+    assert [(got[k].n_tokens, got[k].n_known, got[k].train_tokens, got[k].base_score, got[k].score) for k in "xy"] == [(5, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
+    assert {r.doc_id for r in score_texts(docs).collect()} == {"x", "y"}
 
 
 def test_elias_fano():
