@@ -22,9 +22,18 @@ least ``threshold`` with it.  Lines without words stay.
    against earlier ones until one matches.  So naming a few loses nothing.
 6. Of every distinct set the first place stays if nothing earlier matched.
 
-Defined results: a null text reads as empty and has no lines with words; a null id sorts
-last; texts with one id share places, so neither of two lines at one place is later; empty lines
-are kept as they are; other columns are ignored (``dedup_lines`` carries them through).
+Every text has a number of its own that stands in the order of ids.  Where each id names one row, the id is
+that number; else, or where ids aren't whole numbers, texts are numbered by (id, hashes of the text) in one
+range sort of these keys, and joined with their number wherever they are read.
+
+Sets of words are told apart by 64 bits of a hash over their words' hashes, and partners are verified on 64-bit
+hashes of words.  Where one word's open lines are very many they are compared in one task.
+
+Defined results: a null text reads as empty and has no lines with words; null ids sort last, ids may be of any
+type that sorts; texts of one id stand in the order of a hash of their text; rows that are equal in id and
+text are one text, so each of them gets the same lines; of equal lines the first stays; empty lines are kept
+as they are; a text may be of any length; an empty table gives an empty result; other columns are
+ignored (``dedup_lines`` carries them through, whatever their names).
 """
 
 from __future__ import annotations
@@ -43,7 +52,6 @@ from stakeweave.llm.kernels import CHUNK_BYTES, LOWER, find_words, mix, released
 
 BUCKET_BITS = 24
 _PAGE = 1 << 18  # counters in one row of the count job
-_LAST_ID = (1 << 63) - 1
 FILTER_BITS = 27
 _ROW_BITS = 12  # lines of one block, so that a sort key holds line, rarity and hash
 
@@ -514,11 +522,36 @@ def _verify_open(words: DataFrame, shared, threshold: float) -> DataFrame:
     return posted.repartition(spread, "token").mapInArrow(run, "key long")
 
 
-def _judge(docs: DataFrame, threshold: float, named: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``doc, n_lines`` of every text, and ``doc, lines`` (numbers from 0) of the lines with words that stay."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(word_rarity(rows).tobytes())  # 16 MB, whatever the input
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _numbers(docs: DataFrame) -> DataFrame | None:
+    """``n_id, n_h1, n_h2, doc`` of every distinct text, or None where the ids are numbers that name one row each."""
+    if docs.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        known = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        if known.where("n > 1 OR id IS NULL").isEmpty():
+            return None
+    keys = docs.select(F.col("id").alias("n_id"), *_text_keys()).distinct()
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("n_id").asc_nulls_last(), "n_h1", "n_h2"]
+    return cut(keys.repartitionByRange(spread, *order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id()))
+
+
+def _text_keys() -> list[Column]:
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("n_h1"), F.xxhash64(F.lit(1), text).alias("n_h2")]
+
+
+def _numbered(docs: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """``docs`` (columns ``id, text`` and others) with the number of each text as ``doc``."""
+    if numbers is None:
+        return docs.withColumn("doc", F.col("id").cast("long"))
+    keyed = docs.select("*", *_text_keys())
+    same = F.col("id").eqNullSafe(F.col("n_id")) & (keyed["n_h1"] == numbers["n_h1"]) & (keyed["n_h2"] == numbers["n_h2"])
+    return keyed.join(numbers, same).select(*docs.columns, "doc")
+
+
+def _judge(rows: DataFrame, threshold: float, named: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (``doc, text``): ``doc, n_lines`` of every one, and ``doc, lines`` (numbers from 0) of the lines with words that stay."""
+    shared = rows.sparkSession.sparkContext.broadcast(word_rarity(rows).tobytes())  # 16 MB, whatever the input
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = cut(_meet(_post(rows, shared, threshold, parts), threshold, named, parts))
     pairs = met.where("kind = 1").select("doc", "line", "doc2", "line2").distinct()
     opened = met.where("kind IN (2, 3)").groupBy("doc", "line").agg(F.max(F.col("kind") == 2).alias("is_open"), F.max(F.col("kind") == 3).alias("is_partner"))
@@ -533,7 +566,7 @@ def _judge(docs: DataFrame, threshold: float, named: int, id_col: str, text_col:
         places = places.groupBy("doc", "line").agg(F.max("is_open").alias("is_open"))
         lost = lost.unionByName(_verify_open(words.join(places, ["doc", "line"]), shared, threshold).distinct())
     kept = met.where("kind = 0").select("key", "doc", "line").join(lost, "key", "left_anti")
-    kept = kept.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    kept = kept.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("lines"))  # the lines of one text
     return met.where("kind = 4").select("doc", F.col("line").cast("long").alias("n_lines")), kept
 
 
@@ -542,13 +575,16 @@ def _has_words(text: Column) -> Column:
     return F.transform(lines, lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\f\r"))) > 0)
 
 
-def line_dedup(docs: DataFrame, threshold: float = 0.8, named: int = NAMED) -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: float = 0.8, named: int = NAMED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_removed, kept``: lines with words, how many went, and numbers of those that stay."""
-    texts, kept = _judge(docs, threshold, named, "doc_id", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    numbers = _numbers(rows)
+    texts, kept = _judge(_numbered(rows, numbers).select("doc", "text"), threshold, named)
     lines = F.coalesce(F.col("lines"), F.array().cast("array<int>"))
-    return texts.join(kept, "doc", "left").select(
-        F.when(F.col("doc") != _LAST_ID, F.col("doc")).alias("doc_id"), "n_lines", (F.col("n_lines") - F.size(lines)).alias("n_removed"), lines.alias("kept")
-    )
+    found = texts.join(kept, "doc", "left").select("doc", "n_lines", (F.col("n_lines") - F.size(lines)).alias("n_removed"), lines.alias("kept"))
+    if numbers is None:
+        return found.select(F.col("doc").cast(rows.schema["id"].dataType).alias(id_col), "n_lines", "n_removed", "kept")
+    return found.join(numbers.select("doc", "n_id"), "doc").select(F.col("n_id").alias(id_col), "n_lines", "n_removed", "kept")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -556,15 +592,18 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     A column ``n_chars`` follows the text.  Lines without words stay.  A text all of whose lines go becomes empty; its row stays.
     """
-    kept = _judge(docs, threshold, NAMED, "doc_id", "text")[1].select(F.col("doc").alias("_l_doc"), F.col("lines").alias("_l_kept"))
-    keyed = docs.withColumn("_l_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)))
-    joined = keyed.join(kept, keyed["_l_id"] == kept["_l_doc"], "left")
+    # The row travels as one column, so no name of its columns can clash.
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+    numbers = _numbers(rows.select("id", "text"))
+    kept = _judge(_numbered(rows.select("id", "text"), numbers).select("doc", "text"), threshold, NAMED)[1]
+    joined = _numbered(rows, numbers).join(kept, "doc", "left")
     lines = F.split(F.col("text"), "\n")
     blank = F.filter(F.transform(_has_words(F.col("text")), lambda w, i: F.when(~w, i)), lambda i: i.isNotNull())
-    stays = F.array_sort(F.concat(blank, F.coalesce(F.col("_l_kept"), F.array().cast("array<int>"))))
+    stays = F.array_sort(F.concat(blank, F.coalesce(F.col("lines"), F.array().cast("array<int>"))))
     # The lines are held once, in an array of one element, while the numbers pick from them.
     text = F.element_at(F.transform(F.array(lines), lambda held: F.array_join(F.transform(stays, lambda i: F.get(held, i)), "\n")), 1)
-    out = joined.withColumn("text", F.when(F.col("text").isNotNull(), text))
+    out = joined.select("row", F.when(F.col("text").isNotNull(), text).alias("text"))
+    own = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("row.n_chars"))
+    return out.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -41,22 +41,24 @@ def components(prints, ids, radius=2):
 
 
 def kept_lines(rows, threshold=0.8):
-    """Numbers of the lines that stay, by id; rows are (id, text) and places are (id, line)."""
-    last = 1 << 63
-    first, sets = {}, {}
-    for i, text in rows:
-        for no, line in enumerate((text or "").split("\n")):
-            s = frozenset(words(line))
-            if s:
-                place = (last if i is None else i, no)
-                first[s] = min(first.get(s, place), place)
-    for s, place in first.items():
-        sets[s] = place
+    """By (id, text): numbers of the lines that stay, and how many lines have words."""
+    import xxhash
+
+    def order(x):
+        h = xxhash.xxh64_intdigest(x[1].encode(), 42)
+        return x[0] is None, x[0] if x[0] is not None else 0, h - (h >> 63 << 64)
+
+    texts = sorted({(i, t or "") for i, t in rows}, key=order)
+    first = {}
+    for number, (_, text) in enumerate(texts):
+        for no, line in enumerate(text.split("\n")):
+            if s := frozenset(words(line)):
+                first.setdefault(s, (number, no))
     kept = collections.defaultdict(list)
-    for s, place in sets.items():
-        if not any(p < place and len(s & o) >= threshold * len(s | o) - 1e-9 for o, p in sets.items() if o is not s):
-            kept[place[0]].append(place[1])
-    return {k: sorted(v) for k, v in kept.items()}
+    for s, place in first.items():
+        if not any(p < place and len(s & o) >= threshold * len(s | o) - 1e-9 for o, p in first.items() if o is not s):
+            kept[texts[place[0]]].append(place[1])
+    return {k: (sorted(kept[k]), sum(bool(words(x)) for x in k[1].split("\n"))) for k in texts}
 
 
 def quality(text):

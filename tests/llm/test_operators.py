@@ -244,14 +244,30 @@ def test_collision_rate_is_generalised_jaccard():
 def test_line_dedup(docs, rows, empty, named):
     from stakeweave.llm.line_dedup import line_dedup
 
-    kept = brute.kept_lines([(i, t) for i, t, *_ in rows])
+    want = brute.kept_lines([(i, t) for i, t, *_ in rows])
     got = line_dedup(docs, named=named).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert list(r.kept) == kept.get(1 << 63 if r.doc_id is None else r.doc_id, [])
+    found = lambda i, n, kept: (i is None, i or 0, n, n - len(kept), kept)
+    assert sorted(found(r.doc_id, r.n_lines, list(r.kept)) for r in got) == sorted(found(i, n, k) for i, t, *_ in rows for k, n in [want[i, t or ""]])
+    assert all(r.n_removed == r.n_lines - len(r.kept) for r in got)
+    unique = [r for r in rows if r[0] is not None and r[0] != 7]  # every id once: texts need no numbers
+    unique = list({r[0]: r for r in unique}.values())
+    want = brute.kept_lines([(i, t) for i, t, *_ in unique])
+    for r in line_dedup(docs.sparkSession.createDataFrame(unique, docs.schema).repartition(3), named=named).collect():
+        assert (list(r.kept), r.n_lines) == next(want[i, t or ""] for i, t, *_ in unique if i == r.doc_id)
     assert line_dedup(empty).count() == 0
 
 
+def test_dedup_lines_of_texts_with_one_id(spark):
+    from stakeweave.llm.line_dedup import dedup_lines, line_dedup
+
+    rows = [(7, "alpha beta gamma\nkappa lambda mu"), (7, "delta epsilon zeta"), (None, "one two three"), (None, "four five six"), (None, "four five six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, dedup_lines(docs).collect()), key=key) == sorted(rows, key=key)
+    assert [r.n_removed for r in line_dedup(docs).collect()] == [0] * 5
+    named = docs.select(F.concat(F.lit("d"), F.monotonically_increasing_id()).alias("doc_id"), "text")
+    assert dedup_lines(named).where("text <> ''").count() == 4
+
+
 def test_dedup_lines_rewrites_texts(spark):
     from stakeweave.llm.line_dedup import dedup_lines
 
