@@ -1,8 +1,8 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 Everything runs as DataFrame expressions.  Signals of a text are computed by functions
-on its own array of words, so no row of a text is shuffled; the signals (a few numbers
-a row) are checkpointed, summarised by KLL quantile sketches per language and source,
+on its own array of words, so no text is shuffled; the signals (a few numbers
+a row) are summarised by KLL quantile sketches per language and source,
 merged upwards to language and to the whole table, and joined back.
 
 A row is rejected by the fixed base rule, or when a signal lies outside the fence
@@ -12,7 +12,8 @@ group's quartile range or a floor.  The fence of the mean word length widens by
 than ``min_group`` rows uses its language's sketch, and a language of fewer the table's.
 
 Defined results: a null text has no words and fails the base rule; null language and
-null source are groups of their own; repeated rows each give a row; rows of an empty
+null source are groups of their own; repeated rows each give a row; a value on a fence is inside it; a text
+may be of any length, as its words are held as one array; rows of an empty
 table give none; other columns are ignored (``quality_filter`` carries them through).
 """
 
@@ -110,31 +111,35 @@ def quality_verdicts(
     sketch_k: int = 1024,
 ) -> DataFrame:
     """``id_cols``, the base signals, ``base_failed`` and ``kept`` of every row."""
-    rows = docs.select(
-        *[F.col(c) for c in id_cols],
-        F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"),
-    )
-    rows = cut(base_signals(rows, "_text").drop("_text"))
+    ids = F.struct(*[F.col(c) for c in id_cols]).alias("row")
+    rows = cut(_measured(docs, text_col, lang_col, source_col, ids))
+    found = _judged(rows, _fences(rows, reach, min_group, sketch_k), word_slack)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select(*[F.col("row").getField(c).alias(c) for c in id_cols], *names)
+
+
+def _measured(docs: DataFrame, text_col: str, lang_col: str, source_col: str, row: Column) -> DataFrame:
+    """``row, _lang, _source``, the base signals and the rates of every row."""
+    picked = docs.select(row, F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"))
     words = F.greatest(F.col("n_words"), F.lit(1))
-    rows = rows.withColumns(
+    return base_signals(picked, "_text").drop("_text").withColumns(
         {
             "symbol_rate": F.col("n_symbols") / words,
             "word_length": F.col("word_chars") / words,
             "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         }
-    )
-    fences = _fences(rows, reach, min_group, sketch_k)
-    joined = rows.join(
-        fences, rows["_lang"].eqNullSafe(fences["_f_lang"]) & rows["_source"].eqNullSafe(fences["_f_source"]), "left"
-    )
+    )
+
+
+def _judged(rows: DataFrame, fences: DataFrame, word_slack: float) -> DataFrame:
+    """``rows`` with ``kept``."""
+    same = rows["_lang"].eqNullSafe(fences["_f_lang"]) & rows["_source"].eqNullSafe(fences["_f_source"])
+    joined = rows.join(fences, same, "left")
     inside = F.lit(True)
     for name in SIGNALS:
-        slack = F.lit(word_slack) / F.sqrt(words) if name == "word_length" else F.lit(0.0)
+        slack = F.lit(word_slack) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))) if name == "word_length" else F.lit(0.0)
         inside &= F.coalesce(F.col(name).between(F.col(f"{name}_low") - slack, F.col(f"{name}_high") + slack), F.lit(True))
-    return joined.select(
-        *id_cols, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & inside).alias("kept"),
-    )
+    return joined.withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def _fences(rows: DataFrame, reach: float, min_group: int, k: int) -> DataFrame:
@@ -160,12 +165,23 @@ def _fences(rows: DataFrame, reach: float, min_group: int, k: int) -> DataFrame:
     return levels.select(*out)
 
 
-def quality_filter(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.
+#: Fences (a row for each language and source) that are broadcast; beyond that number they are joined by a shuffle.
+FEW = 100_000
+
+
+def quality_filter(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    reach: float = 3.0, word_slack: float = 8.0, min_group: int = 50, sketch_k: int = 1024,
+) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
 
-    Rows are matched by a key of their own, so ids may repeat or be null: a text that
-    occurs twice under one id, language and source gets one verdict.
+    Signals are computed where the texts are, once for the fences and once to judge by them: no text is
+    shuffled and no row needs a key.
     """
-    keyed = docs.withColumn("_q_key", F.xxhash64(*[F.col(c) for c in ("doc_id", "text", "lang", "source")]))
-    good = quality_verdicts(keyed, id_cols=("_q_key",), **options).where("kept").select("_q_key").distinct()
-    return keyed.join(good, "_q_key", "left_semi").drop("_q_key")
+    fences = cut(_fences(_measured(docs, text_col, lang_col, source_col, F.lit(0).alias("row")), reach, min_group, sketch_k))
+    if fences.count() <= FEW:
+        fences = F.broadcast(fences)
+    rows = _measured(docs, text_col, lang_col, source_col, F.struct("*").alias("row"))
+    # As one expression that the optimiser leaves above the join: pushed below it, signals would be computed twice.
+    good = F.when(F.rand(0) >= 0, F.col("kept"))
+    return _judged(rows, fences, word_slack).where(good).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
