@@ -11,14 +11,16 @@ The draws of a term come from three tables of 4096 rows, each indexed by its own
 the term's hash, so they need no random generator per term.  Terms that share all 36
 bits share draws; samples still tell them apart by the whole hash.
 
-Every text is fingerprinted in a range partition sorted by id, where the next text is
-the next row.  Only the last text of a partition needs the first of a later one;
-those few are joined on their own.
+Texts stand in the order of ids and are dealt to ranges of it, whose bounds are keys read once from a sample; so
+a range means the same in every job.  Each range gets the first text of the next one as well, and every
+text meets its next one there: the texts are shuffled once.
 
 Defined results: a null text reads as empty; a text without words has a fingerprint of
 zeros and is wholly like another such text (1) and unlike any other (0); null ids come
-first; rows with one id stand in order of a hash of their text, and rows equal in both
-are interchangeable; the last row's next is the first (a single row's is itself).
+first; rows with one id stand in order of a hash of their text, and rows equal in both are
+folded into one with their number before they are shuffled, each but the last followed by
+itself; the last row's next is the first (a single row's is itself); a text may be of any length; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stakeweave.llm.common import cut
 from stakeweave.llm.kernels import LOWER, chunks, find_words, mix, released, shingle_hash, span_hash, text_buffer
 
 SAMPLES = 64
@@ -131,58 +134,76 @@ def _compare(ids: list, texts: list[str], followers: list[str], kind: pa.DataTyp
     )
 
 
+_ORDER = ("id", "tie", "tie2")
+
+
+def _key(values=None, kind: str = "") -> Column:
+    if values is None:
+        return F.struct(*_ORDER)
+    return F.struct(F.lit(values[0]).cast(kind).alias("id"), F.lit(values[1]).alias("tie"), F.lit(values[2]).alias("tie2"))
+
+
+def _range_of(bounds: list, kind: str) -> Column:
+    """The number of bounds that a row's key reaches, found in two steps of about the square root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = int(len(bounds) ** 0.5) + 1
+    every = F.array(*[_key(b, kind) for b in bounds])
+    count = lambda some: F.size(F.filter(some, lambda b: b <= _key()))
+    first = (count(F.array(*[_key(b, kind) for b in bounds[::step]])) - 1) * step
+    return F.when(first < 0, 0).otherwise(first + count(F.slice(every, F.greatest(first, F.lit(0)) + 1, step)))
+
+
 def edit_likeness(
     docs: DataFrame, size: int = 5, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", batch_rows: int = 256
 ) -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness and that of the next text."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"), F.xxhash64(F.lit(1), text).alias("tie2"))
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # One exchange serves the fingerprints and the partitions' ends.
-    ordered = rows.repartitionByRange(spread, "id", "tie").sortWithinPartitions("id", "tie")
     kind = rows.schema["id"].dataType.simpleString()
-
-    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All rows but the last of the partition."""
+    keys = cut(rows.groupBy(*_ORDER).agg(F.count(F.lit(1)).alias("n")))  # three numbers a row
+    if keys.where("n > 1").isEmpty():
+        rows = rows.withColumn("n", F.lit(1).cast("long"))
+    else:  # rows that are equal in id and text are folded by each task before they are shuffled
+        rows = rows.groupBy(*_ORDER).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    order = [F.col("id").asc_nulls_first(), "tie", "tie2"]
+    # About 16 keys a range; every bound is a key, so no range is empty.
+    sample = keys.where(F.rand(5) < 16 * spread / max(keys.count(), 1)).select(*_ORDER).limit(32 * spread).orderBy(*order).collect()
+    bounds = [tuple(r) for r in (sample[1:] if len(sample) <= spread else sample[len(sample) // spread :: len(sample) // spread][: spread - 1])]
+    part = _range_of(bounds, kind)
+    firsts = keys.groupBy(part.alias("part")).agg(F.min(_key()).alias("k")).orderBy("part").collect()  # one key a range
+    turned = [(r.part, *firsts[(i + 1) % len(firsts)].k) for i, r in enumerate(firsts)]
+    heads = spark.createDataFrame(turned, f"part int, h_id {kind}, h_tie long, h_tie2 long")
+    same = F.col("id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie")) & (F.col("tie2") == F.col("h_tie2"))
+    heads = rows.join(F.broadcast(heads), same)  # a row for each range
+    dealt = rows.select(part.alias("part"), *_ORDER, "n", F.lit(False).alias("late"), "text")
+    dealt = dealt.unionByName(heads.select("part", *_ORDER, "n", F.lit(True).alias("late"), "text"))
+    ordered = dealt.repartitionById(spread, "part").sortWithinPartitions("late", *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every row of the range with the one that follows it; the last row is the head of the next range."""
         last: tuple | None = None
         for batch in batches:
             for lo in range(0, batch.num_rows, batch_rows):
                 piece = batch.slice(lo, batch_rows)
-                ids, texts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
+                ids, texts, times = (piece.column(i).to_pylist() for i in range(3))
                 if last is not None:
-                    ids, texts = [last[0], *ids], [last[1], *texts]
-                last = (ids[-1], texts[-1])
+                    ids, texts, times = [last[0], *ids], [last[1], *texts], [last[2], *times]
+                last = (ids[-1], texts[-1], times[-1])
                 if len(ids) > 1:
-                    yield _compare(ids[:-1], texts[:-1], texts[1:], batch.schema.field(0).type, size, samples)
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first and the last row of the partition, numbered by partition."""
-        first = last = None
-        for batch in batches:
-            if batch.num_rows:
-                first = first or batch.slice(0, 1)
-                last = batch.slice(batch.num_rows - 1, 1)
-        if first is not None:
-            both = [pa.concat_arrays([first.column(i), last.column(i)]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([both[2], pa.array([True, False]), *both[:2]], names=["part", "is_first", "id", "text"])
-
-    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ids, texts, followers = (batch.column(i).to_pylist() for i in range(3))
-                yield _compare(ids, texts, followers, batch.schema.field(0).type, size, samples)
-
-    schema = f"id {kind}, {_OUT}"
-    inside = ordered.select("id", "text").mapInArrow(released(inner), schema)
-    # The number belongs to the exchange's partition, wherever a later plan puts its task.
-    numbered = ordered.select("id", "text", F.spark_partition_id().alias("part"))
-    edge = numbered.mapInArrow(released(ends), f"part int, is_first boolean, id {kind}, text string")
-    heads = edge.where("is_first").select(F.col("part").alias("h_part"), F.col("text").alias("follower"))
-    # One number for each partition that has rows, in order.
-    order = Window.orderBy("part")
-    parts = edge.where("is_first").select("part")
-    parts = parts.select(F.col("part").alias("n_part"), F.lead("part").over(order).alias("n_next"), F.first("part").over(order).alias("n_first"))
-    parts = parts.select("n_part", F.coalesce("n_next", "n_first").alias("n_next"))
-    tails = edge.where("not is_first").join(parts, F.col("part") == F.col("n_part")).join(heads, F.col("n_next") == F.col("h_part"))
-    return inside.unionByName(tails.select("id", "text", "follower").mapInArrow(released(borders), schema)).withColumnRenamed("id", id_col)
+                    yield counted(_compare(ids[:-1], texts[:-1], texts[1:], batch.schema.field(0).type, size, samples), [1] * (len(ids) - 1))
+                many = [i for i in range(len(ids) - 1) if times[i] > 1]
+                if many:
+                    own = [texts[i] for i in many]
+                    pairs = [_compare([ids[i]], [x], [x], batch.schema.field(0).type, size, samples) for i, x in zip(many, own, strict=True)]
+                    for pair, i in zip(pairs, many, strict=True):
+                        yield counted(pair, [times[i] - 1])
+
+    def counted(rows: pa.RecordBatch, times: list[int]) -> pa.RecordBatch:
+        return rows.append_column("times", pa.array(times, pa.int64()))
+
+    found = ordered.select("id", "text", "n").mapInArrow(released(run), f"id {kind}, {_OUT}, times long")
+    every = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_")
+    return found.select("*", every).drop("times", "_").withColumnRenamed("id", id_col)

@@ -217,6 +217,34 @@ def test_fingerprints(docs, rows, empty, spark):
     assert edit_likeness(spark.createDataFrame([(1, "alone here")], "doc_id long, text string")).first().near_next == 1.0
 
 
+@pytest.mark.parametrize("parts", [1, 4, 23])
+def test_fingerprints_need_no_reused_exchange(spark, parts):
+    from stakeweave.llm.fingerprints import edit_likeness
+
+    rows = [(i % 97 if i % 5 else None, f"text number {i % 131} of many words " * (i % 4)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.exchange.reuse", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = edit_likeness(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    import xxhash
+
+    def order(r):
+        h = xxhash.xxh64_intdigest(r[1].encode(), 42)
+        return r[0] is not None, r[0] or 0, h - (h >> 63 << 64)
+
+    rows.sort(key=order)
+    edited = []
+    for k, (i, t) in enumerate(rows):
+        half = len(t) // 2
+        edited.append((i, hashlib.sha256((t[: len(t) - half] + rows[(k + 1) % 400][1][:half]).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=key) == sorted(edited, key=key)
+
+
 def test_collision_rate_is_generalised_jaccard():
     import numpy as np
     import pyarrow as pa
