@@ -62,8 +62,8 @@ SHORT = 65_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 _CUT = np.uint64(16)  # second and third words are told apart by 48 bits, inside their contexts
 _ID_BITS = 31
-_GRID = float(1 << 27)  # answers carry log10 in steps of 1 / _GRID; 0 stands for an absent n-gram
-_WIDE = (1 << 32) - 1
+_GRID = 4096.0  # answers carry log10 of back-off weights in steps of 1 / _GRID
+_WIDE = -1  # in place of the count of a pair whose context several shards hold
 
 
 def in_fold(id_col: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -406,15 +406,16 @@ class Trie:
         return out
 
 
-def _grid(log: np.ndarray, live: np.ndarray, least: int = 1) -> np.ndarray:
-    return np.where(live, np.clip(np.rint(log * _GRID), least, _WIDE - 1), 0).astype(np.uint32)
+def _grid(log: np.ndarray, live: np.ndarray) -> np.ndarray:
+    return np.where(live, np.clip(np.rint(-log * _GRID), 0, 65535), 0).astype(np.uint16)
 
 
 def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0, np.int64)
 
 
-_ANSWER = ("u4", "u4", "u4", "u4", "u4", "i8", "u4")
+#: Counts of trigrams; runs of pairs, their counts and back-off weights; runs of words, their counts and weights.
+_ANSWER = ("i8", "u4", "i8", "u2", "u4", "i8", "u2")
 _STATS = ("i8", "i8", "i8", "i8", "i8")
 
 
@@ -444,20 +445,17 @@ def answer_shard(asked: list, plan: Plan) -> tuple[list[bytes], bytes]:
     # What the pages ask for, each word, pair and trigram once.
     at1 = trie.words.ids(words)
     count = np.where(at1 >= 0, trie.count[at1], 0) if len(trie.count) else np.zeros(len(words), np.int64)
-    rest1 = _grid(-trie.value("rest1", at1), at1 >= 0, 0) if len(trie.count) else np.zeros(len(words), np.uint32)
+    rest1 = _grid(trie.value("rest1", at1), at1 >= 0) if len(trie.count) else np.zeros(len(words), np.uint16)
     at2 = trie.successor(2, at1[pair_u], trie.names.ids(pair_v))
-    found2 = at2 >= 0
-    some = np.maximum(at2, 0)
-    total2 = 10.0 ** trie.value("p2", some) * np.maximum(count[pair_u], 1) + DISCOUNT if found2.any() else np.ones(len(at2))
-    held2 = _grid(np.log10(np.maximum(total2 - DISCOUNT, 1e-12)), found2)
-    rest2 = _grid(-trie.value("rest2", some), found2, 0) if found2.any() else np.zeros(len(at2), np.uint32)
+    held2, rest2, found2 = np.zeros(len(at2), np.int64), np.zeros(len(at2), np.uint16), np.flatnonzero(at2 >= 0)
+    # Probabilities times the count of their context are counts again, to within the codes' error.
+    held2[found2] = np.rint(10.0 ** trie.value("p2", at2[found2]) * count[pair_u[found2]] + DISCOUNT)
+    rest2[found2] = _grid(trie.value("rest2", at2[found2]), True)
+    at3 = trie.successor(3, at2[tri_pair], trie.names.ids(tri_w))
+    held3, found3 = np.zeros(len(at3), np.int64), np.flatnonzero(at3 >= 0)
+    held3[found3] = np.rint(10.0 ** trie.value("p3", at3[found3]) * np.where(wide >= 0, c2, held2)[tri_pair[found3]] + DISCOUNT)
     shared = np.flatnonzero(wide >= 0)
     held2[shared], rest2[shared] = _WIDE, wide[shared]
-    at3 = trie.successor(3, at2[tri_pair], trie.names.ids(tri_w))
-    found3 = np.flatnonzero(at3 >= 0)
-    held3 = np.zeros(len(at3), np.uint32)
-    # The discounted count: the probability times the shard's own count of the context.
-    held3[found3] = _grid(trie.value("p3", at3[found3]) + np.log10(np.where(wide >= 0, np.maximum(c2, 1), total2))[tri_pair[found3]], True)
     count = np.where(hot >= 0, -1 - hot, count)
     out, a, b, c = [], 0, 0, 0
     for x in asked:
@@ -496,19 +494,18 @@ def _add_up(stats: list[bytes], plan: Plan) -> dict:
 def score_page(n: np.ndarray, place: np.ndarray, answers: list[bytes], total: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Known tokens, base score and score of a page's texts; ``answers`` come in order of shard."""
     held3, v_len, held2, rest2, u_len, count, rest1 = (np.concatenate(x) for x in zip(*(unpack(d, *_ANSWER) for d in answers), strict=True))
-    back = lambda code: 10.0 ** (code.astype(float) / -_GRID)
+    back = lambda code: 10.0 ** (code / -_GRID)
     # By run of first words, by run of pairs, then by question.
     hot = count < 0
     c1, l1 = np.maximum(count, 0).astype(float), back(rest1)
     c1[hot], l1[hot] = total["c1"][-1 - count[hot]], total["rest1"][-1 - count[hot]]
     l1[c1 == 0] = 1.0
-    d2 = np.where(held2 > 0, 10.0 ** (held2 / _GRID), 0.0)
-    c2, l2 = np.where(held2 > 0, d2 + DISCOUNT, 1.0), np.where(held2 > 0, back(rest2), 1.0)
+    c2, l2 = held2.astype(float), np.where(held2 > 0, back(rest2), 1.0)
     wide = held2 == _WIDE
     c2[wide] = total["c2"][rest2[wide]]
-    kept = c2[wide] >= LEAST
-    d2[wide], l2[wide] = np.where(kept, c2[wide] - DISCOUNT, 0), np.where(kept, total["rest2"][rest2[wide]], 1.0)
-    d3 = np.where(held3 > 0, 10.0 ** (held3 / _GRID), 0.0)
+    l2[wide] = np.where(c2[wide] >= LEAST, total["rest2"][rest2[wide]], 1.0)
+    d2 = np.where(c2 >= LEAST, c2 - DISCOUNT, 0.0)
+    d3 = np.where(held3 > 0, held3 - DISCOUNT, 0.0)
     c1, l1 = np.repeat(c1, u_len)[place], np.repeat(l1, u_len)[place]
     d2, l2, q3 = np.repeat(d2, v_len)[place], np.repeat(l2, v_len)[place], (d3 / np.repeat(np.maximum(c2, 1), v_len))[place]
     row = np.repeat(np.arange(len(n)), n)
@@ -547,6 +544,10 @@ def score_texts(
         columns = [pa.array(np.full(n, kind, np.int32)), pa.array(part, pa.int32()), pa.array(page, pa.int64()), pa.array(shard, pa.int32()), pa.array(data, pa.binary()), ids]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
+    def home(page: np.ndarray) -> np.ndarray:
+        """The partition of step 3 that a page belongs to: those of different tasks are dealt in turn."""
+        return (((page >> 32) + (page & 0xFFFFFFFF) * 7919) % shards).astype(np.int32)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -557,7 +558,7 @@ def score_texts(
                 n, place, asked = page_asks(*tokens, train[a:b], plan.value)
                 ids = batch.column(0).slice(a, b - a)
                 lists = lambda n, values: pa.ListArray.from_arrays(pa.array([0] * n + [len(values)], pa.int32()), values)
-                yield sent(OWN, [page % shards], [page], [0], [pack(n.astype(np.uint32), train[a:b], place)], lists(1, ids))
+                yield sent(OWN, home(np.array([page])), [page], [0], [pack(n.astype(np.uint32), train[a:b], place)], lists(1, ids))
                 yield sent(ASKED, [s for s, _ in asked], [page] * len(asked), [s for s, _ in asked], [d for _, d in asked], lists(len(asked), ids.slice(0, 0)))
                 page += 1
 
@@ -565,8 +566,7 @@ def score_texts(
         pages, asked, empty, shard = [], [], None, 0
         for batch in batches:
             own = pa.array(batch.column(0).to_numpy() == OWN)
-            part = (mix(batch.column(2).to_numpy().view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-            yield batch.set_column(1, "part", pa.array(part)).filter(own)
+            yield batch.set_column(1, "part", pa.array(home(batch.column(2).to_numpy()))).filter(own)
             rest = batch.filter(pa.array(batch.column(0).to_numpy() == ASKED))
             if rest.num_rows:
                 pages.append(rest.column(2).to_numpy())
@@ -576,9 +576,8 @@ def score_texts(
             return
         pages = np.concatenate(pages)
         answers, stats = answer_shard(asked, plan.value)
-        part = (mix(pages.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
         none = lambda n: pa.concat_arrays([empty] * n)
-        yield sent(ASKED, part, pages, np.full(len(pages), shard), answers, none(len(pages)))
+        yield sent(ASKED, home(pages), pages, np.full(len(pages), shard), answers, none(len(pages)))
         yield sent(STATS, np.arange(shards), np.zeros(shards, np.int64), np.full(shards, shard), [stats] * shards, none(shards))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
