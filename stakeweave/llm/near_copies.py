@@ -1,17 +1,22 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, found through MinHash bands.
-
-1. Arrow batches turn each text into its set of shingle hashes: a hash of the whole set and ``BANDS``
-   hashes of ``ROWS`` least values each.  Texts with equal sets are folded before anything is compared.
-2. Sets that share a band are candidates.  Two sets of Jaccard similarity s share one with probability
-   ``1 - (1 - s**ROWS)**BANDS``: 0.9996 at 0.8, more above.
-3. Bands with the same members are looked at once.  In each, every set is compared exactly with
+"""SimHash near-dedup with an exact check: near copies at Jaccard similarity 0.8 over five-word shingles.
+
+1. Arrow batches turn each text into its set of shingle hashes: a hash of the whole set, a SimHash fingerprint and
+   ``BANDS`` hashes of ``ROWS`` least values each.  Texts with equal sets are folded before anything is compared.
+2. Fingerprints within ``RADIUS`` bits are found in vantage-point trees, as ``simhash`` does; each link that
+   comes out of them is a bucket of the sets that have its two fingerprints.
+3. Sets that are less alike than that differ in up to about 15 bits, where no ball of a vantage-point tree is
+   small enough to prune anything.  So sets that share a band are a bucket as well: two sets of
+   similarity s share one with probability ``1 - (1 - s**ROWS)**BANDS``, 0.9996 at 0.8, more above.
+4. Buckets with the same members are looked at once.  In each, every set is compared exactly with
    all that aren't joined to it yet, so what comes out is a spanning forest of the links at ``LEAST`` or
    more, never all pairs.
-4. The forests are joined into components; the first row of each stays.
+5. The forests are joined into components; the first row of each stays.
 
 Words are those of the other operators (split at white space, A-Z in lower case), so line breaks don't
-matter.  A text of fewer than five words has its whole run as its shingle; texts without words are
-copies of each other, and a null text reads as empty.
+matter.  Defined results: a text of fewer than five words has its whole run as its shingle; texts without
+words are copies of each other, and a null text reads as empty; the first row is first by id, null first, then by hashes
+of its text and of its columns, and of equal rows one stays; a text may be of any length; an empty table gives
+an empty result; other columns are carried through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +30,9 @@ from pyspark.sql import functions as F
 
 from stakeweave.llm.common import cut
 from stakeweave.llm.kernels import LOWER, chunks, find_words, mix, released, shingle_hash, span_hash, text_buffer
-from stakeweave.llm.simhash import components
+from stakeweave.llm.simhash import components, fingerprints, links
 
-SIZE, LEAST, BANDS, ROWS = 5, 0.8, 20, 5
+SIZE, LEAST, BANDS, ROWS, RADIUS = 5, 0.8, 20, 5, 2
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,56 +91,62 @@ def near_links(sets: np.ndarray, at: np.ndarray, least: float = LEAST) -> list[t
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies, with all their columns.
-
-    The row that is first by id, then by a hash of its text, stays; of rows equal in both
-    one stays.
-    """
-    key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
-    keyed = docs.withColumn("_s_key", key)
+    """``docs`` with one row of each group of near copies, with all their columns."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), F.xxhash64(*plain).alias("r"))
+    keyed = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for a, b in chunks(offsets):
-                whole, bands = band_hashes(*shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                text, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                whole, bands = band_hashes(*shingle_sets(text, at))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(whole.view(np.int64)), lists], names=["_s_key", "fp", "bands"]
-                )
+                sim = pa.array(fingerprints(text, at, SIZE).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(whole.view(np.int64)), sim, lists], names=["key", "set", "fp", "bands"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A task holds whole bands.
+        # A task holds whole buckets.
         held = list(batches)
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        band = table["band"].to_numpy()
-        order = np.argsort(band, kind="stable")
-        for members in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+        bucket = table["bucket"].to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        for members in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             rows = table.take(pa.array(members))
-            fp = rows["fp"].to_numpy()
+            sets = rows["set"].to_numpy()
             pairs = near_links(*shingle_sets(*text_buffer(rows["text"])))
             if pairs:
                 a, b = np.array(pairs).T
-                yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
-
-    kind = keyed.schema["_s_key"].dataType.simpleString()
-    rows = cut(keyed.select("_s_key", F.col("text").cast("string").alias("text")).mapInArrow(released(sketch), f"_s_key {kind}, fp long, bands array<long>"))
-    distinct = cut(rows.groupBy("fp").agg(F.min("_s_key").alias("first_key"), F.first("bands").alias("bands")))
-    members = distinct.where("fp <> 0").select("fp", F.explode("bands").alias("band"))
-    of_band = members.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"), F.bit_xor(F.xxhash64("fp")).alias("mark")
+                yield pa.RecordBatch.from_arrays([pa.array(sets[a]), pa.array(sets[b])], names=["a", "b"])
+
+    kind = keyed.schema["key"].dataType.simpleString()
+    rows = keyed.select("key", "text").mapInArrow(released(sketch), f"key {kind}, set long, fp long, bands array<long>")
+    # One row of each set; no text is held beside its sketch.
+    distinct = cut(rows.groupBy("set").agg(F.min("key").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    worded = distinct.where("set <> 0").select("set", "fp", "bands")
+    near = cut(links(worded.select("fp").distinct(), RADIUS))
+    ends = near.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64("a", "b").alias("bucket"))
+    buckets = (
+        worded.join(ends, "fp").select("set", "bucket")
+        .unionByName(worded.select("set", F.xxhash64("fp").alias("bucket")))
+        .unionByName(worded.select("set", F.explode("bands").alias("bucket")))
+    )
+    counted = buckets.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("set").alias("least"), F.bit_xor(F.xxhash64("set")).alias("mark")
     ).where("n > 1")
-    looked = of_band.groupBy("n", "least", "mark").agg(F.min("band").alias("band")).select("band")
-    texts = keyed.select(F.col("_s_key").alias("first_key"), "text").dropDuplicates(["first_key"])
+    looked = counted.groupBy("n", "least", "mark").agg(F.min("bucket").alias("bucket")).select("bucket")
+    texts = keyed.select(F.col("key").alias("first"), "text").dropDuplicates(["first"])
     # Only what has a candidate is shuffled with its text.
-    wanted = members.join(looked, "band").join(distinct.select("fp", "first_key"), "fp")
-    same = F.col("w.first_key.i").eqNullSafe(F.col("t.first_key.i")) & (F.col("w.first_key.h") == F.col("t.first_key.h"))
-    full = wanted.alias("w").join(texts.alias("t"), same).select("w.band", "w.fp", F.col("t.text").cast("string").alias("text"))
+    wanted = buckets.join(looked, "bucket").join(distinct.select("set", "first"), "set")
+    same = F.col("w.first.i").eqNullSafe(F.col("t.first.i")) & (F.col("w.first.h") == F.col("t.first.h")) & (F.col("w.first.r") == F.col("t.first.r"))
+    full = wanted.alias("w").join(texts.alias("t"), same).select("w.bucket", "w.set", "t.text")
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    roots = cut(components(full.repartition(spread, "band").mapInArrow(released(compare), "a long, b long")))
-    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first_key")
-    firsts = grouped.groupBy("root").agg(F.min("first_key").alias("f")).select(F.col("f.i").alias("_s_i"), F.col("f.h").alias("_s_h"))
-    same = F.col("_s_key.i").eqNullSafe(F.col("_s_i")) & (F.col("_s_key.h") == F.col("_s_h"))
-    return keyed.join(firsts, same, "left_semi").dropDuplicates(["_s_key"]).drop("_s_key")
+    roots = cut(components(full.repartition(spread, "bucket").mapInArrow(released(compare), "a long, b long")))
+    grouped = distinct.join(roots, distinct["set"] == roots["node"], "left").select(F.coalesce("root", "set").alias("root"), "first")
+    firsts = grouped.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.i").alias("first_i"), F.col("f.h").alias("first_h"), F.col("f.r").alias("first_r"))
+    same = F.col("key.i").eqNullSafe(F.col("first_i")) & (F.col("key.h") == F.col("first_h")) & (F.col("key.r") == F.col("first_r"))
+    kept = keyed.select("key", "row").join(firsts, same, "left_semi").dropDuplicates(["key"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
