@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +52,11 @@ def best_claim(claims: DataFrame, *keys: str) -> DataFrame:
 
 def claims_for(claims: DataFrame, from_id: str | None = None, to_id: str | None = None, kind: str | None = None) -> DataFrame:
     """Claims that match all given filters, most credible first; without a filter none."""
-    wanted = [(c, v) for c, v in (("from_id", from_id), ("to_id", to_id), ("kind", kind)) if v is not None]
-    if not wanted:
+    wanted = {"from_id": from_id, "to_id": to_id, "kind": kind}
+    tests = [F.col(c) == v for c, v in wanted.items() if v is not None]
+    if not tests:
         return claims.limit(0)
-    for column, value in wanted:
-        claims = claims.where(F.col(column) == value)
-    return claims.orderBy(F.coalesce("credibility_score", F.lit(0)).desc(), F.coalesce("source_date", F.lit("")).desc(), F.coalesce("source_url", F.lit("")))
+    return claims.where(reduce(and_, tests)).orderBy(F.coalesce("credibility_score", F.lit(0)).desc(), F.coalesce("source_date", F.lit("")).desc(), F.coalesce("source_url", F.lit("")))
 
 
 # An entity's hard identifiers, the source that assigns each, and its record's address.
@@ -81,29 +83,30 @@ def own_record_sources(entities: DataFrame, sources: DataFrame) -> DataFrame:
     return linked.unionByName(fallback).withColumnRenamed("_name", "name")
 
 
-def dedup_provenance(rows: DataFrame, key: str) -> DataFrame:
-    """One row per node, source and link: the latest source date, then the latest visit.
+def dedup_provenance(rows: DataFrame, key: str, sources: DataFrame) -> DataFrame:
+    """One row per node, source and link: the latest source date, then the latest visit; unknown sources drop their rows.
 
-    A source's other columns depend on its id, so one aggregation with map-side sums of rows does it.
+    Rows are folded by these three before the sources' columns join them.
     """
     latest = F.max(F.struct(F.coalesce("source_date", F.lit("")).alias("d"), F.coalesce("last_scraped_at", F.lit("")).alias("l"))).alias("_latest")
-    rest = [c for c in rows.columns if c not in ("source_date", "last_scraped_at")]
-    folded = rows.groupBy(*rest).agg(latest)
-    return folded.select(*rest, F.nullif(F.col("_latest.d"), F.lit("")).alias("source_date"), F.nullif(F.col("_latest.l"), F.lit("")).alias("last_scraped_at"))
+    folded = rows.groupBy(key, "source_id", "source_url").agg(latest)
+    s = sources.select(F.col("id").alias("source_id"), "name", "type", "credibility_score")
+    return folded.join(s, "source_id").select(
+        key, "source_id", "name", "type", "credibility_score", "source_url", F.nullif(F.col("_latest.d"), F.lit("")).alias("source_date"),
+        F.nullif(F.col("_latest.l"), F.lit("")).alias("last_scraped_at"),
+    )
 
 
 def entity_provenance(claims: DataFrame, entities: DataFrame, sources: DataFrame) -> DataFrame:
     """Sources behind every entity: claims about it (an unknown source drops the claim) and its own record."""
-    s = sources.select(F.col("id").alias("source_id"), "name", "type", F.col("credibility_score").alias("_cred"))
     about = claims.select(F.col("to_id").alias("entity_id"), "source_id", "source_url", "source_date", F.col("last_seen_at").alias("last_scraped_at"))
-    about = about.join(s, "source_id").withColumnRenamed("_cred", "credibility_score")
-    own = own_record_sources(entities, sources).withColumn("source_date", F.lit(None).cast("string")).withColumn("last_scraped_at", F.lit(None).cast("string"))
-    return dedup_provenance(about.unionByName(own.select(*about.columns)), "entity_id")
+    missing = F.lit(None).cast("string")
+    own = own_record_sources(entities, sources).select("entity_id", "source_id", "source_url", missing.alias("source_date"), missing.alias("last_scraped_at"))
+    return dedup_provenance(about.unionByName(own), "entity_id", sources)
 
 
 def person_provenance(owns: DataFrame, roles: DataFrame, sources: DataFrame) -> DataFrame:
     """Sources behind every person's edges, one row per source and link."""
-    s = sources.select(F.col("id").alias("source_id"), "name", "type", "credibility_score")
 
     def branch(edges: DataFrame) -> DataFrame:
         has = lambda c: F.col(c) if c in edges.columns else F.lit(None).cast("string")
@@ -112,5 +115,4 @@ def person_provenance(owns: DataFrame, roles: DataFrame, sources: DataFrame) ->
             has("last_scraped_at").alias("last_scraped_at"),
         )
 
-    both = branch(owns).unionByName(branch(roles)).join(s, "source_id")
-    return dedup_provenance(both, "person_id")
+    return dedup_provenance(branch(owns).unionByName(branch(roles)), "person_id", sources)

@@ -156,10 +156,11 @@ def edges_by_neighbour(edges: DataFrame, node: str, other: str, most: int | None
 
 def limited(rows: DataFrame, key: str, order: list[Column], most: int) -> DataFrame:
     """At most ``most`` rows of each key in order, and whether more exist."""
-    place = Window.partitionBy(key).orderBy(*order)
-    total = Window.partitionBy(key)
-    numbered = rows.withColumn("_n", F.row_number().over(place)).withColumn("truncated", F.count(F.lit(1)).over(total) > most)
-    return numbered.where(F.col("_n") <= most).drop("_n")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    # One row more than asked tells whether there are more; a hub's other rows are dropped before they are shuffled.
+    some = rows.withColumn("_n", place).where(F.col("_n") <= most + 1)
+    told = some.withColumn("truncated", F.max("_n").over(Window.partitionBy(key)) > most)
+    return told.where(F.col("_n") <= most).drop("_n")
 
 
 def history(owns: DataFrame, roles: DataFrame, most: int) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stakeweave.functions.classify import derive_ownership_type
 from stakeweave.functions.names import backfilled_search_text, is_nominee_name
+from stakeweave.operators.edges import dedup_owns
 
 # Spellings of countries that the code table lacks.
 COUNTRY_VARIANTS = {
@@ -30,13 +31,14 @@ def migrate_ownership_types(edges: DataFrame) -> DataFrame:
 
 
 def normalize_countries(entities: DataFrame, codes: DataFrame) -> DataFrame:
-    """Country names and variants as two-letter codes; ``codes`` has ``code, name``.  Unknown names stay."""
+    """Country names, variants and known codes as two-letter codes; ``codes`` has ``code, name``.  All else stays."""
     spark = entities.sparkSession
     extra = spark.createDataFrame([(v, k) for k, v in COUNTRY_VARIANTS.items()], "code string, name string")
     table = codes.select("code", "name").unionByName(extra).groupBy(F.lower("name").alias("_name")).agg(F.min("code").alias("_code"))
     joined = entities.join(table, F.lower(F.trim("country")) == F.col("_name"), "left")
-    short = F.when(F.length(F.trim("country")) == 2, F.upper(F.trim("country")))
-    return joined.withColumn("country", F.coalesce("_code", short, "country")).select(*entities.columns)
+    known = codes.select(F.upper("code").alias("_known")).distinct()
+    joined = joined.join(known, F.upper(F.trim("country")) == F.col("_known"), "left")
+    return joined.withColumn("country", F.coalesce("_code", "_known", "country")).select(*entities.columns)
 
 
 def backfill_sources(entities: DataFrame, sources: DataFrame) -> DataFrame:
@@ -54,6 +56,30 @@ def flag_nominees(entities: DataFrame) -> DataFrame:
     return entities.withColumn("is_nominee", F.coalesce("is_nominee", F.lit(False)) | is_nominee_name(F.col("name")))
 
 
+def housekeeping(entities: DataFrame, owns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What follows every import: nominees are flagged, and of active edges of one pair the best one stays."""
+    ended = owns.where("until IS NOT NULL")
+    return flag_nominees(entities), dedup_owns(owns).select(*owns.columns).unionByName(ended)
+
+
+def stamp_freshness(entities: DataFrame, targets: DataFrame, now: Column) -> DataFrame:
+    """Targets of a visit (``id, depth``) with its time; of several passes over one target the deepest counts, and a depth never falls."""
+    seen = targets.where("id IS NOT NULL").groupBy("id").agg(F.max(F.coalesce("depth", F.lit(0))).alias("_depth"))
+    rows = entities.join(seen, "id", "left")
+    hit = F.col("_depth").isNotNull()
+    return rows.withColumns(
+        {
+            "last_scraped_at": F.when(hit, now).otherwise(F.col("last_scraped_at")), "on_demand_scraped": F.when(hit, True).otherwise(F.col("on_demand_scraped")),
+            "scrape_depth": F.greatest("scrape_depth", "_depth"),
+        }
+    ).select(*entities.columns)
+
+
+def without_meta(frame: DataFrame) -> DataFrame:
+    """``frame`` without the columns that the store adds, whose names begin with ``@``."""
+    return frame.select(*[F.col(f"`{c}`") for c in frame.columns if not c.startswith("@")])
+
+
 def backfill_search_text(entities: DataFrame) -> DataFrame:
     text = backfilled_search_text(F.col("name"), F.col("description"), F.col("aliases"))
     return entities.withColumn("search_text", F.coalesce("search_text", text))

@@ -154,6 +154,28 @@ def fold_owns(edges: DataFrame, plan: DataFrame) -> DataFrame:
     return rest.unionByName(united.select(*edges.columns))
 
 
+def move_roles(roles: DataFrame, plan: DataFrame) -> DataFrame:
+    """HAS_ROLE edges after a person merge: every tenure moves to the survivor, none is folded."""
+    p = plan.select(F.col("dup_id").alias("from_id"), F.col("keep_id").alias("_k"))
+    return roles.join(p, "from_id", "left").withColumn("from_id", F.coalesce("_k", "from_id")).select(*roles.columns)
+
+
+def fold_relations(relations: DataFrame, plan: DataFrame) -> DataFrame:
+    """RELATED_TO edges after a person merge: moved at both ends, one a pair, gaps filled in the order of the edges' ids."""
+    p = plan.select(F.col("dup_id").alias("_d"), F.col("keep_id").alias("_k"))
+    out = relations.withColumn("_moved", F.lit(False))
+    for end in ("from_id", "to_id"):
+        out = out.join(p, F.col(end) == F.col("_d"), "left").withColumn("_moved", F.col("_moved") | F.col("_k").isNotNull())
+        out = out.withColumn(end, F.coalesce("_k", end)).drop("_d", "_k")
+    out = out.where("NOT (_moved AND from_id = to_id)")
+    order = F.struct("_moved", "edge_id")
+    rest = [c for c in relations.columns if c not in ("edge_id", "from_id", "to_id")]
+    folded = out.groupBy("from_id", "to_id").agg(
+        F.min_by("edge_id", order).alias("edge_id"), *[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in rest]
+    )
+    return folded.select(*relations.columns)
+
+
 def reversed_name_pairs(persons: DataFrame) -> DataFrame:
     """Two-word names that are each other's reverse: ``dup_id, keep_id``; the larger id folds into the smaller."""
     words = persons.select("id", F.split(F.lower(F.trim("full_name")), " +").alias("w")).where(F.size("w") == 2)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stakeweave.operators.tree import cut
+
 HARD_IDS = ("lei_id", "companies_house_id", "sec_cik", "wikidata_id")
 #: Identifiers in the order in which a lookup believes them.
 LOOKUP_ORDER = ("wikidata_id", "sec_cik", "lei_id", "companies_house_id", "name_normalized", "name")
@@ -39,8 +41,14 @@ def duplicate_names(entities: DataFrame, name: str = "name_normalized") -> DataF
     grade = (
         F.when(definitive, "definitive").when(_shared("registered_address"), "high").when(one("country") & one("founded"), "medium").otherwise("low")
     )
-    grouped = entities.where(F.coalesce(F.col(name), F.lit("")) != "").groupBy(name).agg(F.count(F.lit(1)).alias("n"), grade.alias("confidence"))
-    return grouped.where("n > 1")
+    named = entities.where(F.coalesce(F.col(name), F.lit("")) != "")
+    # Counted first, so that the distinct counts of the grades see shared names alone.
+    shared = named.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return named.join(shared.select(name), name, "left_semi").groupBy(name).agg(F.count(F.lit(1)).alias("n"), grade.alias("confidence"))
+
+
+#: Columns of a group's members in the review list, and how many members it shows.
+MEMBER_COLUMNS, MOST_MEMBERS = ("id", "name", "country", "founded", *HARD_IDS, "registered_address"), 25
 
 
 def duplicate_name_report(entities: DataFrame, name: str = "name_normalized", least: str | None = None, most: int = 100) -> DataFrame:
@@ -49,7 +57,31 @@ def duplicate_name_report(entities: DataFrame, name: str = "name_normalized", le
     groups = duplicate_names(entities, name)
     if least in CONFIDENCE:
         groups = groups.where(rank <= CONFIDENCE.index(least) + 1)
-    return groups.orderBy(F.col("n").desc(), name).limit(most)
+    top = groups.orderBy(F.col("n").desc(), name).limit(most)
+    columns = [c for c in MEMBER_COLUMNS if c in entities.columns]
+    # Each group's first members by id; the window drops the others before anything is collected.
+    place = F.row_number().over(Window.partitionBy(name).orderBy("id"))
+    some = entities.join(top.select(name), name, "left_semi").withColumn("_n", place).where(F.col("_n") <= MOST_MEMBERS)
+    members = some.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("members"))
+    return top.join(members, name).orderBy(F.col("n").desc(), name)
+
+
+def scoped_merge_plan(entities: DataFrame, touched: DataFrame, separate: DataFrame, name: str = "name_normalized") -> DataFrame:
+    """Merges of entities with the name of a touched one (column ``id``), where the group is surely one company.
+
+    Sure groups are those graded definitive or high.  A pair that a moderator told apart stays apart; the
+    group's other members are merged all the same.
+    """
+    names = entities.where(F.coalesce(F.col(name), F.lit("")) != "").join(touched.select("id"), "id", "left_semi").select(name).distinct()
+    members = entities.join(names, name, "left_semi")
+    sure = duplicate_names(members, name).where(F.col("confidence").isin(*CONFIDENCE[:2])).select(name, "confidence")
+    plan = members.join(sure, name).select(F.col("id").alias("dup_id"), _survivor([name]).alias("keep_id"), F.concat(F.lit("same_name_"), "confidence").alias("reason"))
+    return _not_separated(plan.where("dup_id <> keep_id"), separate)
+
+
+def merge_report(plan: DataFrame, most: int = 100) -> DataFrame:
+    """The first rows of a plan, each with the number of all its merges as ``total``."""
+    return plan.orderBy("keep_id", "dup_id").limit(most).withColumn("total", F.lit(plan.count()))
 
 
 def duplicate_name_totals(entities: DataFrame, name: str = "name_normalized") -> DataFrame:
@@ -74,6 +106,11 @@ def _survivor(keys: list[str]) -> Column:
     return F.first("id").over(order)
 
 
+def _not_separated(plan: DataFrame, separate: DataFrame) -> DataFrame:
+    pairs = separate.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
+    return plan.join(pairs, (F.least("dup_id", "keep_id") == F.col("_a")) & (F.greatest("dup_id", "keep_id") == F.col("_b")), "left_anti")
+
+
 def merge_plan(entities: DataFrame, separate: DataFrame, by: tuple[str, ...] = HARD_IDS) -> DataFrame:
     """``dup_id, keep_id, reason``: entities that share an identifier fold into the most credible, verified, smallest one.
 
@@ -81,31 +118,40 @@ def merge_plan(entities: DataFrame, separate: DataFrame, by: tuple[str, ...] = H
     identifiers would fold takes the survivor of the first; a survivor that is itself
     folded passes its own survivor on, so the plan has single hops and no cycles.
     """
-    pairs = separate.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
     plan = None
     for rank, column in enumerate(by):
         some = entities.where(F.coalesce(F.col(column), F.lit("")) != "")
         part = some.select(F.col("id").alias("dup_id"), _survivor([column]).alias("keep_id"), F.lit(rank).alias("rank"), F.lit(column).alias("reason"))
         part = part.where("dup_id <> keep_id")
         plan = part if plan is None else plan.unionByName(part)
-    plan = plan.join(pairs, (F.least("dup_id", "keep_id") == F.col("_a")) & (F.greatest("dup_id", "keep_id") == F.col("_b")), "left_anti")
+    plan = _not_separated(plan, separate)
     plan = plan.groupBy("dup_id").agg(F.min_by(F.struct("keep_id", "reason"), "rank").alias("_p")).select("dup_id", "_p.*")
     return collapse_plan(plan)
 
 
-def collapse_plan(plan: DataFrame, hops: int = 8) -> DataFrame:
-    """A plan without chains: every id's final survivor; members of a cycle fold into its smallest id."""
-    step = plan.select(F.col("dup_id").alias("_d"), F.col("keep_id").alias("_k"))
-    at = plan.withColumn("_low", F.least("dup_id", "keep_id"))
-    for _ in range(hops):
-        joined = at.join(step, F.col("keep_id") == F.col("_d"), "left")
-        at = joined.select(
-            "dup_id", "reason", F.coalesce("_k", "keep_id").alias("keep_id"), F.least("_low", F.coalesce("_k", "keep_id")).alias("_low"),
-            (F.col("_k").isNotNull()).alias("_moved"),
-        )
-        at = at.select("dup_id", "reason", "keep_id", "_low", "_moved")
-    final = F.when(F.col("_moved"), F.col("_low")).otherwise(F.col("keep_id"))
-    return at.select("dup_id", final.alias("keep_id"), "reason").where("dup_id <> keep_id")
+def collapse_plan(plan: DataFrame) -> DataFrame:
+    """A plan without chains: every id's final survivor; ids whose chain ends in a cycle fold into the cycle's smallest id.
+
+    Pointers double: after k rounds each has passed 2**k hops, so the rounds are logarithmic in the longest chain.
+    """
+    plan = cut(plan.select("dup_id", "keep_id", "reason"))
+    at = plan.select("dup_id", "reason", F.col("keep_id").alias("at"), F.col("dup_id").alias("low"))
+    ids = plan.select(F.col("dup_id").alias("at"))
+    if at.join(ids, "at", "left_semi").isEmpty():
+        return plan
+    hops, n = 1, plan.count()
+    while hops <= n:
+        further = at.select(F.col("dup_id").alias("_d"), F.col("at").alias("_at"), F.col("low").alias("_low"))
+        at = cut(at.join(further, F.col("at") == F.col("_d"), "left").select(
+            "dup_id", "reason", F.coalesce("_at", "at").alias("at"), F.least("low", "_low").alias("low")  # least() skips nulls
+        ))
+        hops *= 2
+        if at.join(ids, "at", "left_semi").isEmpty():
+            break
+    # Who still points at an id that folds is in a cycle by now, or has been led into one.
+    low = at.select(F.col("dup_id").alias("_d"), F.col("low").alias("_low"))
+    done = at.join(low, F.col("at") == F.col("_d"), "left").select("dup_id", F.coalesce("_low", "at").alias("keep_id"), "reason")
+    return done.where("dup_id <> keep_id")
 
 
 def bulk_delete_plan(entities: DataFrame, column: str) -> DataFrame:
@@ -199,6 +245,19 @@ def merge_log_rows(plan: DataFrame, entities: DataFrame, at: Column) -> DataFram
     return rows.groupBy("keep_id", "keep_name", "dup_name").agg(F.min("dup_id").alias("dup_id"), F.count(F.lit(1)).cast("int").alias("count")).withColumn("at", at)
 
 
+def reconcile(local: DataFrame, remote: DataFrame, remote_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A peer's snapshot told in local ids: its entities, its edges, and ``remote_id, id`` of every remote entity.
+
+    A remote entity is the local one that its own id, else its best identifier finds; else it is new and keeps its id.
+    """
+    known = remote.select(F.col("id").alias("remote_id")).join(local.select(F.col("id").alias("remote_id")), "remote_id", "left_semi")
+    others = remote.withColumnRenamed("id", "remote_id").join(known, "remote_id", "left_anti")
+    found = resolve_by_identifier(others.drop("name", "name_normalized"), local, "remote_id")
+    ids = known.withColumn("id", F.col("remote_id")).unionByName(found.select("remote_id", F.coalesce("entity_id", "remote_id").alias("id")))
+    told = remote.withColumnRenamed("id", "remote_id").join(ids, "remote_id").select(*remote.columns)
+    return told, rewrite_endpoints(remote_edges, ids.where("remote_id <> id").select(F.col("remote_id").alias("dup_id"), F.col("id").alias("keep_id"))), ids
+
+
 def keep_separate(pairs: DataFrame, ids: DataFrame, kind: str, at: Column) -> DataFrame:
     """``pairs`` with every two ids of each group (columns ``group, id``) kept separate, once a pair."""
     a, b = (ids.select("group", F.col("id").alias(c)) for c in ("a", "b"))

@@ -10,7 +10,33 @@ LIMITS = {EXACT: 10, NOTABLE: 15, TEXT: 30, SUBSTRING: 20, PERSON: 15}
 
 
 def tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)")))
+    """Distinct words in lower case: runs of letters, marks and digits of any script."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([\\p{L}\\p{M}\\p{N}_]+)")))
+
+
+def grams(text: Column, size: int = 3) -> Column:
+    """Distinct runs of ``size`` characters; a shorter text is its own run."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    last = F.greatest(F.char_length(low) - size + 1, F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(low, i, F.lit(size))))
+
+
+def holding(names: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, id``: names that hold a query's text, found by its rarest run of three characters.
+
+    Queries of one or two characters use runs as long as they are.
+    """
+    low = F.lower("q")
+    asked = queries.where(F.char_length("q") > 0).select("query_id", low.alias("low"), F.least(F.char_length("q"), F.lit(3)).alias("size"))
+    found = None
+    for size in (1, 2, 3):
+        q = asked.where(F.col("size") == size).select("query_id", "low", F.explode(grams(F.col("low"), size)).alias("gram"))
+        hits = names.select("id", F.lower("name").alias("held"), F.explode(grams(F.col("name"), size)).alias("gram")).join(q.select("gram").distinct(), "gram")
+        count = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        rarest = q.join(count, "gram", "left").groupBy("query_id", "low").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+        part = rarest.join(hits, "gram").where(F.contains("held", "low")).select("query_id", "id")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def token_index(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -46,8 +72,7 @@ def entity_candidates(entities: DataFrame, index: DataFrame, queries: DataFrame)
     best = [F.col("hits").desc(), F.col("id")]
     staged = exact.unionByName(_top(found.where("wikidata_id IS NOT NULL"), best, NOTABLE)).unionByName(_top(found, best, TEXT))
     bare = queries.join(staged.select("query_id"), "query_id", "left_anti").where("q <> ''")
-    # The fallback is a scan for queries that found nothing, one substring test a row and query.
-    substring = bare.join(e, F.contains(F.lower("name"), F.lower("q"))).where(here)
+    substring = holding(e, bare).join(e, "id").join(bare.select("query_id", "country"), "query_id").where(here)
     return staged.unionByName(_top(substring, [F.col("id")], SUBSTRING))
 
 

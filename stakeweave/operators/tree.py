@@ -6,28 +6,40 @@ round's frontier is checkpointed, so lineage stays short and a lost executor cos
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stakeweave.operators.edges import is_direct
+from stakeweave.operators.edges import is_direct, limited
 
 MAX_DEPTH = 10
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """``frame`` checkpointed in the session's shared folder; a local one only where none is set (tests)."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stakeweave-"))
+    """``frame`` checkpointed in the session's shared folder."""
+    checkpoint_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
-def ownership_tree(edges: DataFrame, roots: DataFrame, depth: int = 3, include_indirect: bool = False) -> DataFrame:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a local master may do without one (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stakeweave-"))
+    return context.getCheckpointDir()
+
+
+def ownership_tree(edges: DataFrame, roots: DataFrame, depth: int = 3, include_indirect: bool = False, most: int | None = None) -> DataFrame:
     """All trails of 1 to ``depth`` edges from each root (column ``id``); no trail repeats an edge.
 
-    Indirect edges are left out before the search, which is the same as testing every hop.
+    Indirect edges are left out before the search, which is the same as testing every hop.  With ``most`` a root keeps
+    its first trails, shorter ones first, then by their edges; ``truncated`` tells whether it has more.  As no trail
+    beyond a level's first ``most + 1`` can be among them, each level goes on from these alone.
     """
     depth = max(1, min(int(depth), MAX_DEPTH))
     kept = edges if include_indirect else edges.where(is_direct())
@@ -41,11 +53,16 @@ def ownership_tree(edges: DataFrame, roots: DataFrame, depth: int = 3, include_i
             "root_id", F.col("_to").alias("node_id"), F.array_append("edge_path", F.col("_edge")).alias("edge_path"),
             F.array_append("node_path", F.col("_to")).alias("node_path"),
         )
-        if level < depth and level % 3 == 0:
+        if most is not None:
+            place = F.row_number().over(Window.partitionBy("root_id").orderBy(F.array_join("edge_path", ">")))
+            frontier = cut(frontier.withColumn("_n", place).where(F.col("_n") <= most + 1).drop("_n"))
+        elif level < depth and level % 3 == 0:
             frontier = cut(frontier)
         part = frontier.withColumn("depth", F.lit(level))
         found = part if found is None else found.unionByName(part)
-    return found
+    if most is None:
+        return found
+    return limited(found, "root_id", [F.col("depth"), F.array_join("edge_path", ">")], most)
 
 
 def reachable(pairs: DataFrame, seeds: DataFrame, start: str, end: str) -> DataFrame:

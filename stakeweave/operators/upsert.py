@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +14,14 @@ RULES = ("existing_first", "new_first", "overwrite", "nonempty_new", "max", "eit
 
 
 def upsert(current: DataFrame, delta: DataFrame, keys: list[str], rules: Mapping[str, str] | None = None, default: str = "new_first") -> DataFrame:
-    """``current`` with ``delta`` folded in by ``keys``; ``delta`` has one row a key.
+    """``current`` with ``delta`` folded in by ``keys``; of several rows of ``delta`` with one key the greatest counts.
 
     Columns that ``delta`` lacks keep their stored values.
     """
     rules = dict(rules or {})
+    values = [c for c in delta.columns if c not in keys]
+    if values:
+        delta = delta.groupBy(*keys).agg(F.max(F.struct(*values)).alias("_v")).select(*keys, "_v.*")
     new = delta.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in delta.columns if c not in keys], F.lit(True).alias("_new"))
     both = current.withColumn("_old", F.lit(True)).join(new, keys, "full")
     kinds = dict(current.dtypes)
@@ -66,13 +70,31 @@ def upsert_edges(current: DataFrame, delta: DataFrame, keys: list[str]) -> DataF
 
 
 def write_version(frame: DataFrame, root: str) -> str:
-    """A new version folder below ``root``; ``read_version`` then reads it."""
+    """A new version folder below ``root``, which ``read_version`` reads from now on.
+
+    Versions are numbered in a table that is only ever appended to, after the version's own folder is whole; so a
+    crash at any point leaves the version before in place.  One writer at a time.
+    """
     spark = frame.sparkSession
+    last = _last_version(spark, root)
     path = f"{root}/v-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+    number = 0 if last is None else last["number"] + 1
+    spark.createDataFrame([(number, path)], "number long, path string").coalesce(1).write.mode("append").parquet(f"{root}/versions")
     return path
 
 
+def _last_version(spark: SparkSession, root: str):
+    try:
+        return spark.read.schema("number long, path string").parquet(f"{root}/versions").orderBy(F.desc("number"), F.desc("path")).first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def read_version(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{root}/current").first()[0])
+    last = _last_version(spark, root)
+    if last is None:
+        raise FileNotFoundError(f"no version of a table at {root}")
+    return spark.read.parquet(last["path"])

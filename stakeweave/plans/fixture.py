@@ -127,7 +127,7 @@ def _braced(text: str, table: str) -> str:
 
 def with_tables(query: str, *names: str) -> str:
     """Oracle SQL: ``query`` behind the named graph tables as common table expressions."""
-    head = ",\n".join(f"{n} AS ({SQL[n]})" for n in names)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in names)
     start = query.lstrip()
     if start.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {head},\n{start[len('WITH RECURSIVE ') :]}"

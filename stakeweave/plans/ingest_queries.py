@@ -11,6 +11,7 @@ from stakeweave.operators import moderation as mo
 from stakeweave.operators import resolution as rs
 from stakeweave.operators import search as se
 from stakeweave.operators.claims import upsert_claims, with_claim_key
+from stakeweave.operators.tree import checkpoint_folder
 from stakeweave.plans.registry import _SHOWN, _driver, query
 from stakeweave.sources import filings, gleif, registers, snapshot, wikidata
 from stakeweave.streaming.deltas import apply_delta
@@ -248,16 +249,24 @@ def shares_outstanding(t, spark, sf_dir):
 
 
 @query(
-    """SELECT page_id, CAST(0 AS INT) AS "row", 'Owner ' || CAST(page_id AS STRING) AS name, CAST(1000 + page_id AS BIGINT) AS shares, CAST(page_id % 90 + 1.5 AS DOUBLE) AS percent FROM pages
-UNION ALL SELECT page_id, 1, 'Jane Roe', 5000, 0.4 FROM pages"""
+    """SELECT page_id, CAST(0 AS INT) AS "row", 'Owner ' || CAST(page_id AS STRING) AS name, CAST(100000 + page_id AS BIGINT) AS shares, CAST(page_id % 90 + 1.5 AS DOUBLE) AS percent FROM pages
+UNION ALL SELECT page_id, 1, 'Jane Roe', 25000, 0.4 FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, 1, 'Jane Roe', 2500000, 33.1 FROM pages WHERE page_id % 2 = 1"""
 )
 def proxy_owner_tables(t, spark, sf_dir):
+    """Pages with a table inside a layout table and padded columns, or with two share classes and a row for each."""
     p = _driver(spark, sf_dir, "pages")
     k = F.col("page_id")
-    table = F.concat(
-        F.lit("<table><tr><th>Name of Beneficial Owner</th><th>Shares</th><th>Percent</th></tr><tr><td>Owner "), k.cast("string"), F.lit(" (1)</td><td>"), (k + 1000).cast("string"),
-        F.lit("</td><td>"), (k % 90 + 1).cast("string"), F.lit(".5%</td></tr><tr><td>Jane Roe</td><td>5,000</td><td>*</td></tr></table>"),
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    single = F.concat(
+        F.lit("<table><tr><td>layout <table>" + row("", "Name of Beneficial Owner", "Shares", "Percent of class") + "<tr><td></td><td>Owner "), k.cast("string"), F.lit(" (1)</td><td>"),
+        (k + 100000).cast("string"), F.lit("</td><td>"), (k % 90 + 1).cast("string"), F.lit(".5%</td></tr>" + row("", "Jane Roe", "25,000 (2)", "*") + row("", "5,000", "7.2%") + "</table></td></tr></table>"),
     )
+    dual = F.concat(
+        F.lit("<table>" + row("Name", "Class", "Class A and B shares", "Voting power") + "<tr><td>Owner "), k.cast("string"), F.lit("</td><td>Class A</td><td>"), (k + 100000).cast("string"), F.lit("</td><td>"),
+        (k % 90 + 1).cast("string"), F.lit(".5%</td></tr>" + row("Jane Roe", "Class A", "100,000", "3.0%") + row("", "Class B", "2,500,000", "33.1%", "31.0%") + "</table>"),
+    )
+    table = F.when(k % 2 == 0, single).otherwise(dual)
     return filings.proxy_owners(p.select("page_id", F.concat("html", table).alias("html")), "page_id", "html")
 
 
@@ -326,7 +335,7 @@ def filing_texts(t, spark, sf_dir):
 @query(
     """SELECT o_orderkey, 'Larry C' || CAST(o_custkey AS STRING) || '|C' || CAST(o_custkey AS STRING) || ' Larry|Lawrence C' || CAST(o_custkey AS STRING) || '|C' || CAST(o_custkey AS STRING) || ' Lawrence' AS variants,
   'The Acme ' || CAST(o_custkey AS STRING) || ', Inc.|Acme ' || CAST(o_custkey AS STRING) || ', Inc.|The Acme ' || CAST(o_custkey AS STRING) || ' Inc|Acme ' || CAST(o_custkey AS STRING) || ' Inc' AS entity_variants,
-  'Timothy D Cook' AS sec_name, TRUE AS reordered FROM orders"""
+  'Timothy D C' || CAST(o_custkey AS STRING) AS sec_name, o_orderkey % 2 = 0 AS reordered FROM orders"""
 )
 def name_variants(t, spark, sf_dir):
     c = F.col("o_custkey").cast("string")
@@ -334,7 +343,8 @@ def name_variants(t, spark, sf_dir):
     return _driver(spark, sf_dir, "orders").select(
         "o_orderkey", F.array_join(names.person_name_variants(name), "|").alias("variants"),
         F.array_join(names.entity_name_variants(F.concat(F.lit("The Acme "), c, F.lit(", Inc."))), "|").alias("entity_variants"),
-        names.normalize_sec_name(F.lit("COOK TIMOTHY D")).alias("sec_name"), names.is_reordering(name, F.concat(F.lit("C"), c, F.lit(" Larry"))).alias("reordered"),
+        names.normalize_sec_name(F.concat(F.lit("C"), c, F.lit(" TIMOTHY D"))).alias("sec_name"),
+        names.is_reordering(name, F.concat(F.lit("C"), c, F.when(F.col("o_orderkey") % 2 == 0, F.lit(" Larry")).otherwise(F.lit(" Lars")))).alias("reordered"),
     )
 
 
@@ -415,7 +425,7 @@ def purged_entities(t, spark, sf_dir):
 
 
 @query(
-    """WITH q AS (SELECT * FROM (VALUES ('q1', 'red'), ('q1', 'widget')) AS v(query_id, token)), idx AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS token FROM entity),
+    r"""WITH q AS (SELECT * FROM (VALUES ('q1', 'red'), ('q1', 'widget')) AS v(query_id, token)), idx AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(name), '[\p{L}\p{M}\p{N}_]+')) AS token FROM entity),
 hits AS (SELECT id, COUNT(*) AS h FROM q JOIN idx USING (token) GROUP BY id), staged AS (
   SELECT id, 0 AS stage, ROW_NUMBER() OVER (ORDER BY id) AS place FROM entity WHERE name = 'red widget' QUALIFY place <= 10
   UNION ALL SELECT id, 1, ROW_NUMBER() OVER (ORDER BY h DESC, id) AS place FROM hits JOIN entity USING (id) WHERE wikidata_id IS NOT NULL QUALIFY place <= 15
@@ -444,7 +454,8 @@ def ranked_search(t, spark, sf_dir):
 def merge_log(t, spark, sf_dir):
     e = t("entity")
     plan = rs.merge_plan(e, spark.createDataFrame([], "a string, b string"), ("lei_id",))
-    return rs.merge_log_rows(plan, e, F.lit("2024-01-01")).select("keep_id", "keep_name", "dup_name", "dup_id", "count")
+    rows = rs.merge_log_rows(plan, e, F.lit("2024-01-01"))
+    return rows.orderBy(F.desc("at"), "keep_id", "dup_name").select("keep_id", "keep_name", "dup_name", "dup_id", "count")
 
 
 @query(
@@ -565,14 +576,10 @@ def person_profiles(t, spark, sf_dir):
 
 
 def _stream_folder(spark) -> str:
-    """A folder that driver and executors share; a local one only where none is set (tests)."""
-    import tempfile
+    """A folder of its own below the checkpoint folder, which driver and executors share."""
     import uuid
 
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stakeweave-"))
-    return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query()

@@ -519,7 +519,7 @@ def person_duplicates(t, spark, sf_dir):
 # Search
 
 
-@query("SELECT token, COUNT(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY token")
+@query(r"SELECT token, COUNT(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS token FROM documents) GROUP BY token")
 def token_document_frequency(t, spark, sf_dir):
     return se.document_frequency(se.token_index(_driver(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -537,7 +537,7 @@ def entity_search(t, spark, sf_dir):
 
 
 @query(
-    """WITH idx AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(name || ' ' || description), '[a-z0-9]+')) AS token FROM entity),
+    r"""WITH idx AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(name || ' ' || description), '[\p{L}\p{M}\p{N}_]+')) AS token FROM entity),
 q AS (SELECT * FROM (VALUES ('q1', 'red'), ('q1', 'widget'), ('q2', 'small'), ('q2', 'ring'), ('q3', 'custodian')) AS v(query_id, token))
 SELECT query_id, id, COUNT(*) AS hits FROM q JOIN idx USING (token) GROUP BY query_id, id""",
     "entity",
@@ -552,12 +552,12 @@ def full_text_matches(t, spark, sf_dir):
 
 
 @query(
-    """SELECT target_kind, from_id, to_id, role, node_id, category, COUNT(*) AS n, MAX(created_at) AS created_at FROM (SELECT * FROM flag ORDER BY created_at DESC, id DESC LIMIT 1000)
-GROUP BY 1, 2, 3, 4, 5, 6""",
+    """SELECT target_kind, from_id, to_id, role, node_id, category, COUNT(*) AS n, MAX(created_at) AS created_at, arg_max(NULLIF(note, ''), (created_at, id)) AS note,
+  array_to_string(list_sort(list(id)), ',') AS ids FROM (SELECT * FROM flag ORDER BY created_at DESC, id DESC LIMIT 1000) GROUP BY 1, 2, 3, 4, 5, 6""",
     "flag",
 )
 def flag_groups(t, spark, sf_dir):
-    return mo.group_flags(t("flag")).drop("note", "ids")
+    return mo.group_flags(t("flag")).withColumn("ids", F.array_join("ids", ","))
 
 
 @query("SELECT target_kind, from_id, to_id, role, node_id, COUNT(*) AS n FROM flag WHERE status = 'open' GROUP BY 1, 2, 3, 4, 5", "flag")

@@ -20,9 +20,10 @@ def match_tickers(queries: DataFrame, tickers: DataFrame) -> DataFrame:
     t = tickers.select(F.lpad(F.col("cik_str").cast("string"), 10, "0").alias("cik"), "title", normalize_ticker_name(F.col("title")).alias("norm"))
     q = queries.select("q", normalize_ticker_name(F.col("q")).alias("nq")).where("nq <> ''")
     exact = q.join(t, F.col("nq") == F.col("norm")).withColumn("pool", F.lit(0))
-    # Leading words of the title make a prefix match an equal join; a cut inside a word is found by its first three letters.
-    head = F.substring("norm", 1, 3)
-    prefix = q.withColumn("h", F.substring("nq", 1, 3)).join(t.withColumn("h", head), "h").where((F.col("norm") != F.col("nq")) & F.startswith("norm", "nq")).drop("h")
+    # A title is posted under its beginnings that are as long as some query, so a prefix match is an equal join.
+    sizes = [r.n for r in q.select(F.length("nq").alias("n")).distinct().collect()]  # as many as queries have lengths
+    heads = t.withColumn("n", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).where(F.length("norm") > F.col("n"))
+    prefix = q.join(heads.withColumn("h", F.substring("norm", F.lit(1), F.col("n"))), F.col("nq") == F.col("h")).drop("h", "n")
     both = exact.unionByName(prefix.withColumn("pool", F.lit(1)))
     order = Window.partitionBy("q", "pool").orderBy(F.length("title"), "title", "cik")
     best = both.withColumn("_n", F.row_number().over(order)).where("_n = 1")
@@ -76,8 +77,8 @@ def latest_holdings(filings: DataFrame) -> DataFrame:
     return ended.select("cik", "issuer_cik", F.col("s.issuer").alias("issuer"), F.col("s.percent").alias("stake_percent"), F.col("s.filed").alias("since"), "until")
 
 
-def insiders(filings: DataFrame, most: int = 25) -> DataFrame:
-    """Executives of companies from insider filings (column ``xml``), newest first, one row a person."""
+def insiders(filings: DataFrame, most: int | None = 25) -> DataFrame:
+    """Executives of companies from insider filings (column ``xml``), newest first, one row a person; all of them without ``most``."""
     x = F.col("xml")
     rows = filings.where(F.col("form").isin("3", "4", "3/A", "4/A")).select(
         F.lpad(_xml(x, "issuerCik"), 10, "0").alias("issuer_cik"), normalize_sec_name(_xml(x, "rptOwnerName")).alias("person"), _xml(x, "rptOwnerCik").alias("person_cik"),
@@ -88,6 +89,8 @@ def insiders(filings: DataFrame, most: int = 25) -> DataFrame:
     order = Window.partitionBy("issuer_cik", "person").orderBy(F.col("filed").desc(), "accession")
     first = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     role = F.when(F.coalesce("title", F.lit("")) != "", title_to_role(F.col("title"))).when(F.col("is_director"), "director").otherwise("Officer")
+    if most is None:
+        return first.withColumn("role", role)
     place = F.row_number().over(Window.partitionBy("issuer_cik").orderBy(F.col("filed").desc(), "person"))
     return first.withColumn("role", role).withColumn("_p", place).where(F.col("_p") <= most).drop("_p")
 
@@ -106,7 +109,7 @@ def holding_pages(recent: DataFrame, archives: DataFrame, most: int = 4) -> Data
 
 def insider_holding(filings: DataFrame, issuers: DataFrame) -> DataFrame:
     """Shares of each person at each issuer (``issuer_cik``) from the newest filing that names it; none held gives no row."""
-    rows = insiders(filings.where(F.col("form").isin("4", "4/A")), most=1_000_000).join(issuers, "issuer_cik", "left_semi")
+    rows = insiders(filings.where(F.col("form").isin("4", "4/A")), most=None).join(issuers, "issuer_cik", "left_semi")
     return rows.where("shares > 0").select("issuer_cik", "person", "person_cik", "shares", "filed")
 
 
@@ -127,59 +130,144 @@ def locate_proxy(queries: DataFrame, candidates: DataFrame, since: str) -> DataF
     return rows.groupBy("q").agg(best.alias("b")).select("q", "b.*")
 
 
+def filing_index(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``investor, investor_cik, document_url`` of filing index pages: who filed, and the first document of a holding form.
+
+    What a page does not have is null; all other columns stay.
+    """
+    page = F.coalesce(F.col(html), F.lit(""))
+    filer = r'(?is)class="companyName">\s*([^<(]+?)\s*\(Filed by\).*?CIK=(\d+)'
+    name, cik = (F.nullif(F.regexp_extract(page, filer, k), F.lit("")) for k in (1, 2))
+    link = r'(?is)href="(/Archives/edgar/data/\d+/[^"]+\.(?:htm|txt))"[^>]*>[^<]*</a>\s*</td>\s*<td[^>]*>SC\s*13'
+    path = F.nullif(F.regexp_extract(page, link, 1), F.lit(""))
+    plain = F.replace(F.replace(F.replace(name, F.lit("&#39;"), F.lit("'")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    return pages.select(
+        *[c for c in pages.columns if c != html], F.trim(plain).alias("investor"), F.lpad(cik, 10, "0").alias("investor_cik"),
+        F.concat(F.lit("https://www.sec.gov"), path).alias("document_url"),
+    )
+
+
+def find_companies(queries: DataFrame, tickers: DataFrame, registered: DataFrame, hits: DataFrame) -> DataFrame:
+    """``q, cik, name, stage`` of each query (column ``q``): the first of three look-ups that finds a company.
+
+    1. a ticker's title; 2. of ``registered`` (``q, cik, name, form_rank``: what the name index answers) the most
+    similar one of the first form that has a similar one; 3. of full-text ``hits`` (``q, cik, name, form_rank``: the
+    first hit of each form) the first similar one.
+    """
+    one = match_tickers(queries, tickers).select("q", "cik", F.col("title").alias("name"), F.lit(1).alias("stage"), F.lit(0).alias("form_rank"), F.lit(1.0).alias("similarity"))
+    close = lambda rows, stage: (
+        rows.join(queries.select("q").distinct(), "q", "left_semi").where("cik IS NOT NULL AND name <> ''")
+        .withColumn("similarity", ticker_similarity(F.col("q"), F.col("name"))).where(F.col("similarity") >= MIN_TICKER_SIMILARITY)
+        .select("q", F.lpad("cik", 10, "0").alias("cik"), "name", F.lit(stage).alias("stage"), "form_rank", "similarity")
+    )
+    every = one.unionByName(close(registered, 2)).unionByName(close(hits, 3))
+    best = F.min_by(F.struct("cik", "name", "stage"), F.struct("stage", "form_rank", -F.col("similarity"), "name", "cik"))
+    return every.groupBy("q").agg(best.alias("b")).select("q", "b.*")
+
+
 class _Tables(HTMLParser):
-    """Rows of cell texts of every table; nested tables join the outer one's cell."""
+    """Rows of cell texts of every table, each nesting level on its own: what an inner table says is not its outer cell's."""
 
     def __init__(self):
         super().__init__()
         self.tables: list[list[list[str]]] = []
-        self.depth, self.cell = 0, None
+        self.open: list[tuple[list[list[str]], list[list[str] | None]]] = []  # rows, and the cell that is open if any
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
-            self.depth += 1
-            if self.depth == 1:
-                self.tables.append([])
-        elif self.depth == 1 and tag == "tr":
-            self.tables[-1].append([])
-        elif self.depth == 1 and tag in ("td", "th") and self.tables[-1]:
-            self.cell = []
+            self.open.append(([], [None]))
+            self.tables.append(self.open[-1][0])
+        elif self.open and tag == "tr":
+            self._end_cell()
+            self.open[-1][0].append([])
+        elif self.open and tag in ("td", "th"):
+            self._end_cell()
+            self.open[-1][1][0] = []
 
     def handle_endtag(self, tag):
-        if tag == "table":
-            self.depth = max(0, self.depth - 1)
-        elif self.depth == 1 and tag in ("td", "th") and self.cell is not None:
-            self.tables[-1][-1].append(re.sub(r"\s+", " ", "".join(self.cell)).strip())
-            self.cell = None
+        if tag == "table" and self.open:
+            self._end_cell()
+            self.open.pop()
+        elif self.open and tag in ("td", "th", "tr"):
+            self._end_cell()
 
     def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+        if self.open and self.open[-1][1][0] is not None:
+            self.open[-1][1][0].append(data)
+
+    def _end_cell(self):
+        rows, cell = self.open[-1]
+        if cell[0] is not None:
+            text = re.sub(r"[\s\u200b]+", " ", "".join(cell[0])).strip()
+            (rows or [rows.append([]) or rows[-1]])[-1].append(text)
+            cell[0] = None
+
+
+# What tells an ownership table, a table of two share classes, and rows that name no owner.
+_SINGLE = re.compile(r"beneficial ownership|beneficially owned|percent of common|percent of outstanding|percent of class|percent of", re.I)
+_DUAL = ("voting power", ("class a", "class b"))
+_HEADING = re.compile(r"name of beneficial|^name$|shares", re.I)
+_NO_OWNER = re.compile(r"^(class [ab]\b.*|common stock.*|total.*|percent.*|number.*|title of class.*)$", re.I)
+_FOOTNOTE = re.compile(r"\s*(\(\w{1,3}\)|\[\w{1,3}\])+\s*$")
+MOST_HEADER_ROWS, MANY_SHARES = 5, 10_000
+
 
+def _count_of(cell: str) -> int:
+    digits = _FOOTNOTE.sub("", cell).replace(",", "").strip()
+    return int(digits) if digits.isascii() and digits.isdigit() else 0
 
-_HEADER = re.compile(r"beneficial|name\s+(and\s+address\s+)?of|percent", re.I)
-_PERCENT = re.compile(r"percent|%|voting power", re.I)
+
+def _percent_of(cell: str) -> str:
+    """The cell if it reads as a percentage: a star, a number with its sign, or a decimal below 100."""
+    plain = _FOOTNOTE.sub("", cell).strip()
+    number = re.fullmatch(r"(\d[\d,]*\.?\d*|\.\d+)\s*(%?)", plain)
+    if plain == "*" or number and (number[2] or "." in plain and 0 < float(number[1].replace(",", "")) < 100):
+        return plain
+    return ""
 
 
 def owner_rows(html: str) -> list[tuple[str, str, str]]:
-    """``(name, shares, percent)`` texts of ownership tables: three rows or more, a matching header in the first five."""
+    """``(name, shares, percent)`` texts of ownership tables, of tables with two share classes or else of all others.
+
+    A name is a row's first cell that says anything, wherever columns are padded.  Shares are the largest number
+    above ``MANY_SHARES``.  In a table of two classes the percentage is the last column's, and a row that names a class
+    instead of an owner belongs to the owner before it: its figure before the last one is that owner's percentage.
+    """
     parser = _Tables()
     parser.feed(html or "")
+    parser.close()
+    tables = [[row for row in t if any(row)] for t in parser.tables]
+    texts = [" ".join(" ".join(r) for r in t).lower() for t in tables]
+    long = [i for i, t in enumerate(tables) if len(t) >= 3]
+    dual = next((i for i in long if _DUAL[0] in texts[i] and any(c in texts[i] for c in _DUAL[1])), None)
+    if dual is not None:
+        return _owners_of(tables[dual], True)
+    single = [i for i in long if _SINGLE.search(" ".join(" ".join(r) for r in tables[i][:MOST_HEADER_ROWS]))]
+    return [row for i in single for row in _owners_of(tables[i], False)]
+
+
+def _owners_of(rows: list[list[str]], dual: bool) -> list[tuple[str, str, str]]:
+    # Columns' headings end with the last of the first rows that reads like one.
+    heads = [i for i, r in enumerate(rows[: MOST_HEADER_ROWS + 1]) if r[0] and (_HEADING.search(r[0]) or {"voting", "percent"} <= set(" ".join(r).lower().split()))]
+    heads += [i for i, r in enumerate(rows[:MOST_HEADER_ROWS]) if _SINGLE.search(" ".join(r)) and not any(map(_count_of, r))]
     out: list[tuple[str, str, str]] = []
-    for table in parser.tables:
-        rows = [row for row in table if any(row)]
-        head = [i for i, r in enumerate(rows[:5]) if _HEADER.search(" ".join(r)) and _PERCENT.search(" ".join(r))]
-        if len(rows) < 3 or not head:
+    for row in rows[max(heads, default=-1) + 1 :]:
+        said = [c for c in row if c]
+        figures = said[1:]
+        if not re.search(r"[^\W\d_]{2}", said[0]) or _NO_OWNER.match(said[0]):
+            if dual and out and len(figures) >= 2:
+                name, shares, percent = out[-1]
+                most = max(figures, key=_count_of)
+                shares = most if _count_of(most) > max(MANY_SHARES, _count_of(shares)) else shares
+                out[-1] = (name, shares, _percent_of(figures[-2]) or percent)
+            continue
+        if not figures:
             continue
-        for row in rows[head[-1] + 1 :]:
-            named = re.search(r"[A-Za-z]{2}", row[0])
-            figures = [c for c in (row[1:] if named else row) if c]
-            shares = next((c for c in figures if re.fullmatch(r"[\d,]+(\s*\(\d+\))*", c) and len(c.replace(",", "")) > 2), "")
-            percent = next((c for c in reversed(figures) if re.fullmatch(r"\*|[\d.]+\s*%?(\s*\(\d+\))*", c) and c != shares), "")
-            if named and (shares or percent):
-                out.append((row[0], shares, percent))
-            elif out and not named and (shares or percent):
-                out[-1] = (out[-1][0], shares or out[-1][1], percent or out[-1][2])  # a further line of the owner before
+        most = max(figures, key=_count_of)
+        shares = most if _count_of(most) > MANY_SHARES else ""
+        percent = _percent_of(figures[-1]) if dual else next(filter(None, map(_percent_of, figures)), "")
+        if shares or percent:
+            out.append((said[0], shares, percent))
     return out
 
 

@@ -23,13 +23,23 @@ UK_PARTS = "england|wales|scotland|northern ireland|united kingdom|great britain
 CONTROL_URL = "https://find-and-update.company-information.service.gov.uk/company/"
 
 
-def _iso2(name: Column) -> Column:
+def _iso2(name: Column, named: Column) -> Column:
+    """Parts of the United Kingdom, then the code of a known name, then two letters as they are."""
     n = F.lower(strip(name))
-    return F.when(n.isin("uk", "gb") | n.rlike(UK_PARTS), "GB").when(F.length(n) == 2, F.upper(n))
+    return F.when(n.isin("uk", "gb") | n.rlike(UK_PARTS), "GB").otherwise(F.coalesce(named, F.when(F.length(n) == 2, F.upper(n))))
 
 
-def control_rows(records: DataFrame) -> DataFrame:
-    """Accepted records with names, ids and control; records without a company, a known kind or a name are dropped."""
+def control_rows(records: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """Accepted records with names, ids and control; records without a company, a known kind or a name are dropped.
+
+    ``codes`` (``code, name``) tells the codes of countries; without it only two-letter countries and the United Kingdom have one.
+    """
+    country = F.lower(strip(F.col("data.address.country")))
+    if codes is None:
+        records = records.withColumn("_code", F.lit(None).cast("string"))
+    else:
+        table = codes.groupBy(F.lower(F.trim("name")).alias("_name")).agg(F.min("code").alias("_code"))
+        records = records.join(table, country == F.col("_name"), "left")
     d = F.col("data")
     parts = F.concat_ws(" ", *[F.nullif(d["name_elements"][c], F.lit("")) for c in ("forename", "middle_name", "surname")])
     number = blank_to_null(d["identification"]["registration_number"])
@@ -47,17 +57,26 @@ def control_rows(records: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.lit("gb-coh:"), own_number), link).alias("owner_id"), own_number.alias("owner_number"), control(d["natures_of_control"]).alias("c"),
         F.nullif(d["notified_on"], F.lit("")).alias("since"), F.nullif(d["ceased_on"], F.lit("")).alias("until"), d["nationality"].alias("nationality"),
         partial_birth_date(d["date_of_birth"]["year"], d["date_of_birth"]["month"]).alias("birth_date"), d["identification"]["country_registered"].alias("country"),
-        address.alias("address"), blank_to_null(d["address"]["locality"]).alias("city"), _iso2(d["address"]["country"]).alias("address_country"),
+        address.alias("address"), blank_to_null(d["address"]["locality"]).alias("city"), _iso2(d["address"]["country"], F.col("_code")).alias("address_country"),
     )
     return rows.where("company_number IS NOT NULL AND name IS NOT NULL")
 
 
 def control_persons(rows: DataFrame) -> DataFrame:
     name = split_full_name(F.col("name"))
-    return rows.where("is_person").select(
+    people = rows.where("is_person").select(
         F.col("owner_id").alias("id"), name["first"].alias("first_name"), name["last"].alias("last_name"), F.col("name").alias("full_name"),
         F.col("name").alias("search_text"), F.coalesce("nationality", F.lit("")).alias("nationality"), "birth_date",
-    ).dropDuplicates(["id"])
+    )
+    return _first_record(people)
+
+
+def _first_record(rows: DataFrame) -> DataFrame:
+    """One row for each id: the first of its records, named ones before others, with its gaps filled from those that follow."""
+    rest = [c for c in rows.columns if c != "id"]
+    named = "name" if "name" in rest else "full_name"
+    order = F.struct(F.col(named).isNull(), *rest)
+    return rows.groupBy("id").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in rest])
 
 
 def control_entities(rows: DataFrame, source_id: str, credibility: int) -> DataFrame:
@@ -70,8 +89,7 @@ def control_entities(rows: DataFrame, source_id: str, credibility: int) -> DataF
         F.col("city").alias("hq_city"), F.col("address_country").alias("hq_country"),
     )
     both = owned.unionByName(owners)
-    filled = [F.max(c).alias(c) for c in both.columns if c != "id"]
-    return both.groupBy("id").agg(*filled).select(
+    return _first_record(both).select(
         "*", normalize_entity_name(F.col("name")).alias("name_normalized"), is_nominee_name(F.col("name")).alias("is_nominee"),
         F.lit(source_id).alias("source_id"), F.lit(credibility).alias("name_credibility"),
     )

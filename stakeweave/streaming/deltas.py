@@ -14,7 +14,8 @@ _KEY = ["from_id", "to_id", "direct_or_indirect"]
 
 def apply_delta(edges: DataFrame, upserts: DataFrame, closures: DataFrame) -> DataFrame:
     """All upserts, then all closures.  A reopened edge loses its end, a known start stays, nothing is deleted."""
-    new = upserts.dropDuplicates(_KEY)
+    values = [c for c in upserts.columns if c not in _KEY]
+    new = upserts.groupBy(*_KEY).agg(F.max(F.struct(*values)).alias("_v")).select(*_KEY, "_v.*")
     n = new.select(*_KEY, *[F.col(c).alias(f"_n_{c}") for c in new.columns if c not in _KEY], F.lit(True).alias("_new"))
     both = edges.join(n, _KEY, "full")
     out = []
