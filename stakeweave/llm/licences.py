@@ -12,11 +12,12 @@ Runs of words are compared too, wherever they begin and end, so a notice is foun
 before or after it.  A best run begins and ends at a bigram that the template has; from each such
 place the run grows until it has more distinct bigrams than a match can have, or only repeats
 itself for twice as many.  Of runs that begin within a match the best counts.  Runs are reported
-as unit ``words`` where no reported unit or better run of the same licence overlaps them.
+as unit ``words`` where no reported unit or run of the same licence overlaps them, nor one of another licence
+with as high a coefficient.
 
 Defined results: a null text reads as empty and matches nothing; of equal coefficients
 the first licence by name wins, and the larger unit before the smaller; repeated rows
-each give a row; other columns are ignored.
+each give a row; a text may be of any length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,15 @@ from pyspark.sql import functions as F
 from stakeweave.llm.kernels import LOWER, chunks, find_words, mix, span_hash, text_buffer
 
 # Notices and texts of public licences, by SPDX name.
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -40,11 +50,49 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
         "specific language governing permissions and limitations under the License.",
     ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero "
+        "General Public License for more details.",
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. " + _BSD_DISCLAIMER,
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used "
+        "to endorse or promote products derived from this software without specific prior written permission. " + _BSD_DISCLAIMER,
+    ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
+    "CC-BY-SA-4.0": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this "
+        "software to the public domain worldwide. This software is distributed without any warranty. You should have "
+        "received a copy of the CC0 Public Domain Dedication along with this software.",
+    ),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+        "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public "
+        "License for more details.",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
@@ -57,6 +105,20 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+        "any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser "
+        "General Public License for more details.",
+    ),
+    "LGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser "
+        "General Public License for more details.",
+    ),
     "MIT": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -70,6 +132,15 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
         "DEALINGS IN THE SOFTWARE.",
     ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means.",
+    ),
 }
 THRESHOLD = 0.9
 WORD = np.zeros(256, bool)
@@ -105,10 +176,18 @@ class Templates:
         self.bounds = [(least * len(s), len(s) / least) for s in self.sets]
         self.largest = max((high for _, high in self.bounds), default=0)
         self.all = np.array(sorted(frozenset().union(*self.sets)), np.uint64)
+        #: For every template, which of all bigrams it has.
+        self.has = np.array([np.isin(self.all, np.array(sorted(s), np.uint64)) for s in self.sets], bool).reshape(len(self.sets), len(self.all))
 
     def known(self, grams: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.all, grams), max(len(self.all) - 1, 0))
-        return self.all[at] == grams if len(self.all) else np.zeros(len(grams), bool)
+        return self.places(grams) >= 0
+
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        """Where each bigram stands among those of all templates, or -1."""
+        if not len(self.all):
+            return np.full(len(grams), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.all, grams), len(self.all) - 1)
+        return np.where(self.all[at] == grams, at, -1)
 
     def best(self, grams: frozenset) -> tuple[float, str] | None:
         found = None
@@ -120,6 +199,11 @@ class Templates:
         return found
 
 
+def _shared(size: int, low: float, least: float) -> float:
+    """Shared bigrams of the smallest match with a template of ``size``."""
+    return least * (low + size) / 2 - 1e-9
+
+
 def _best_end(first: int, hit: np.ndarray, marks: list[int], size: int, high: float) -> tuple[float, int, int]:
     """Greatest Dice with a template of ``size`` of runs that begin at ``first``, and the run's ends; ``hit`` tells its bigrams."""
     found = (0.0, first, first)
@@ -142,17 +226,13 @@ def _best_end(first: int, hit: np.ndarray, marks: list[int], size: int, high: fl
     return found
 
 
-def _runs(marks: np.ndarray, own: np.ndarray, size: int, low: float, high: float, least: float) -> list[tuple[float, int, int]]:
-    """Runs ``(dice, first bigram, last bigram)`` apart from each other that reach ``least``; ``own`` are the template's bigrams.
+def _runs(listed: list[int], hit: np.ndarray, size: int, low: float, high: float, least: float) -> list[tuple[float, int, int]]:
+    """Runs ``(dice, first bigram, last bigram)`` apart from each other that reach ``least``; ``hit`` are the template's bigrams.
 
     From left to right: of the runs that begin within the first match, the best.
     """
-    hit = np.isin(marks, own)
     places, found, k = np.flatnonzero(hit), [], 0
-    need = least * (low + size) / 2 - 1e-9  # shared bigrams of the smallest match
-    if len(places) < need:
-        return found
-    listed = marks.tolist()
+    need = _shared(size, low, least)
     # A match spans at least ``need`` shared bigrams, with at most ``high`` distinct ones in all.
     while k + need <= len(places):
         best = _best_end(int(places[k]), hit, listed, size, high)
@@ -183,13 +263,13 @@ def find_licences(data: np.ndarray, offsets: np.ndarray, templates: Templates) -
         base = int(offsets[a])
         text, cut = data[base : offsets[b]], offsets[a : b + 1] - base
         owner, start, end = _units(text, cut)
-        if not len(start):
+        # Bigrams of whole texts, so that those across a line break count as well.
+        whole, row, *_ = _grams(text, cut)
+        if not len(start) or not (hit := np.unique(row[templates.known(whole)])).size:
             continue
         grams, line, word_line, _, _ = _grams(text, np.append(start, end[-1]))
         order = np.argsort(line, kind="stable")
         grams, line = grams[order], line[order]
-        if not (hit := np.unique(owner[line[templates.known(grams)]])).size:
-            continue
         first = np.searchsorted(line, np.arange(len(start) + 1))
         words = np.bincount(word_line, minlength=len(start))
         line_of = np.searchsorted(owner, np.arange(b - a + 1))
@@ -222,15 +302,24 @@ def _word_runs(text: np.ndarray, templates: Templates, units: list) -> list[tupl
         return []
     h = span_hash(LOWER[text], start, end)
     marks = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+    at = templates.places(marks)
+    known = np.flatnonzero(at >= 0)
+    held = templates.has[:, at[known]]
+    listed: list[int] = []
     found = []
-    for name, own, (low, high) in zip(templates.names, templates.sets, templates.bounds, strict=True):
-        held = np.array(sorted(own), np.uint64)
-        for dice, a, b in _runs(marks, held, len(own), low, high, templates.threshold):
-            found.append((name, dice, "words", int(start[a]), int(end[b + 1])))
+    for t in np.flatnonzero(held.any(1)).tolist():
+        size, (low, high) = len(templates.sets[t]), templates.bounds[t]
+        if held[t].sum() < _shared(size, low, templates.threshold):
+            continue
+        hit = np.zeros(len(marks), bool)
+        hit[known[held[t]]] = True
+        listed = listed or marks.tolist()
+        for dice, a, b in _runs(listed, hit, size, low, high, templates.threshold):
+            found.append((templates.names[t], dice, "words", int(start[a]), int(end[b + 1])))
     kept: list[tuple[str, float, str, int, int]] = []
     for x in sorted(found, key=lambda x: (-x[1], x[3] - x[4], x[0])):
-        # A run holds nothing outside its ends, so it is likelier than the unit around it; that unit has reported it.
-        if not any(u[0] == x[0] and u[3] < x[4] and x[3] < u[4] for u in [*units, *kept]):
+        # A unit or a likelier run there has reported the licence, or a licence that is worded alike.
+        if not any((u[0] == x[0] or u[1] >= x[1]) and u[3] < x[4] and x[3] < u[4] for u in [*units, *kept]):
             kept.append(x)
     return sorted(kept, key=lambda x: x[3])
 

@@ -93,6 +93,47 @@ def test_licences_in_runs_of_words():
     assert dice == 1 and raw[1][first:end].startswith(b"Permission is") and raw[1][first:end].endswith(b"THE SOFTWARE")
 
 
+def test_licences_across_lines_match_brute_force(spark):
+    import random
+
+    from stakeweave.llm.licences import TEMPLATES, scan_licences
+
+    bigrams = lambda t: (lambda w: set(zip(w, w[1:])) or {(x,) for x in w})(re.findall(r"[a-z0-9]+", t.lower()))
+    draw, texts = random.Random(7), []
+    names = sorted(TEMPLATES)
+    for k in range(60):
+        words = draw.choice(TEMPLATES[names[k % len(names)]]).split(" ")
+        words = [w if draw.random() > 0.02 else "changed" for w in words]
+        width = draw.randrange(1, 15)
+        lines = [draw.choice(["", "# ", "// ", " * "]) + " ".join(words[i : i + width]) for i in range(0, len(words), width)]
+        code = [f"x{draw.randrange(99)} = f{draw.randrange(99)}({draw.randrange(99)})" for _ in range(draw.randrange(0, 9))]
+        texts.append("\n".join([*code, *lines, *code]) if k % 2 else "\n".join(lines))
+    texts += ["Released\nunder\nthe\nMIT\nLicense.", "a = 1\n# Released under\n# the MIT License.\nb = 2"]
+    got = {r.doc_id: r for r in scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        own = bigrams(t)
+        best = max((2 * len(own & bigrams(x)) / (len(own) + len(bigrams(x))) for n in names for x in TEMPLATES[n]))
+        if best >= 0.9:  # runs of words may be better still
+            assert got[i].dice >= best - 1e-9, (i, best, got[i])
+        tokens = re.findall(r"[a-z0-9]+", t.lower())
+        pairs = list(zip(tokens, tokens[1:]))
+        # Every run of words against every template.
+        runs = 0.0
+        for x in {x for n in names for x in TEMPLATES[n]}:
+            other = bigrams(x)
+            for a in [p for p in range(len(pairs)) if pairs[p] in other]:
+                seen, common = set(), 0
+                for p in pairs[a : a + 2 * len(other) + 20]:
+                    if p not in seen:
+                        seen.add(p)
+                        common += p in other
+                    runs = max(runs, 2 * common / (len(seen) + len(other)))
+        assert (max(runs, best) >= 0.9 - 1e-9) == (got[i].licence is not None), (i, runs, best)
+        if got[i].licence:  # a unit that matches speaks for the runs inside it
+            assert got[i].dice <= max(runs, best) + 1e-9 and (got[i].matches[0].unit != "words" or abs(got[i].dice - runs) < 1e-9), (i, runs, got[i])
+    assert got[60].licence == got[61].licence == "MIT"
+
+
 def test_licence_bounds_prune_nothing_that_matches():
     from stakeweave.llm.licences import TEMPLATES, Templates
 
