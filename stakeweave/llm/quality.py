@@ -182,6 +182,6 @@ def quality_filter(
     if fences.count() <= FEW:
         fences = F.broadcast(fences)
     rows = _measured(docs, text_col, lang_col, source_col, F.struct("*").alias("row"))
-    # As one expression that the optimiser leaves above the join: pushed below it, signals would be computed twice.
-    good = F.when(F.rand(0) >= 0, F.col("kept"))
-    return _judged(rows, fences, word_slack).where(good).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    # A filter isn't pushed through a projection that draws: below it, every mention of a signal would compute it again.
+    found = _judged(rows, fences, word_slack).select("row", "kept", F.rand(0).alias("draw"))
+    return found.where("kept AND draw >= 0").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
