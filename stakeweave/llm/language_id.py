@@ -186,9 +186,10 @@ def train(docs: DataFrame, per_label: int = 1200, id_col: str = "doc_id", text_c
         return None
     wide = 1 << 30
     take = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(wide, wide * per_label // n))) for k, n in counts.items()])
-    draw = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(wide))
-    place = F.pmod(F.xxhash64("id", F.lit(10)), F.greatest(F.length("text") - WINDOW, F.lit(1)).cast("long")).cast("int") + 1
-    sample = known.where(draw < take).select("id", "label", F.substring(F.col("text"), place, F.lit(WINDOW)).alias("text"))
+    # By id and text, so that one id on very many rows is drawn as often as any other; equal rows count once.
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(9)), F.lit(wide))
+    place = F.pmod(F.xxhash64("id", "text", F.lit(10)), F.greatest(F.length("text") - WINDOW, F.lit(1)).cast("long")).cast("int") + 1
+    sample = known.where(draw < take).select("id", "label", F.substring(F.col("text"), place, F.lit(WINDOW)).alias("text")).distinct()
     rows = sorted((r["label"], r["id"], r["text"]) for r in sample.collect())  # ``per_label`` windows a label
     if not rows:
         return None

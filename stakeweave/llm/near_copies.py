@@ -9,7 +9,8 @@
    similarity s share one with probability ``1 - (1 - s**ROWS)**BANDS``, 0.9996 at 0.8, more above.
 4. Buckets with the same members are looked at once.  In each, every set is compared exactly with
    all that aren't joined to it yet, so what comes out is a spanning forest of the links at ``LEAST`` or
-   more, never all pairs.
+   more, never all pairs.  A bucket of more than ``BLOCK`` sets is dealt to blocks that share its least
+   set; if its sets are in several classes after that, its blocks are compared with each other too.
 5. The forests are joined into components; the first row of each stays.
 
 Words are those of the other operators (split at white space, A-Z in lower case), so line breaks don't
@@ -33,6 +34,8 @@ from stakeweave.llm.kernels import LOWER, chunks, find_words, mix, released, shi
 from stakeweave.llm.simhash import components, fingerprints, links
 
 SIZE, LEAST, BANDS, ROWS, RADIUS = 5, 0.8, 20, 5, 2
+#: Sets of one bucket that one task compares at once.
+BLOCK = 1024
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,11 +93,18 @@ def near_links(sets: np.ndarray, at: np.ndarray, least: float = LEAST) -> list[t
     return found
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies, with all their columns."""
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``key`` (id, hash of the text, hash of the columns), ``text`` and the whole ``row``."""
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), F.xxhash64(*plain).alias("r"))
-    keyed = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+    return docs.select(key.alias("key"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+
+
+def near_classes(keyed: DataFrame, most: int = BLOCK) -> DataFrame:
+    """``set, first, root`` of every distinct set of shingles: its hash, its first key and the hash that names its class.
+
+    ``keyed`` has ``key`` (a struct of ``i, h, r``) and ``text``.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,16 +147,41 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     counted = buckets.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("set").alias("least"), F.bit_xor(F.xxhash64("set")).alias("mark")
     ).where("n > 1")
-    looked = counted.groupBy("n", "least", "mark").agg(F.min("bucket").alias("bucket")).select("bucket")
+    looked = counted.groupBy("n", "least", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "least")
+    members = cut(buckets.distinct().join(looked, "bucket"))
     texts = keyed.select(F.col("key").alias("first"), "text").dropDuplicates(["first"])
-    # Only what has a candidate is shuffled with its text.
-    wanted = buckets.join(looked, "bucket").join(distinct.select("set", "first"), "set")
-    same = F.col("w.first.i").eqNullSafe(F.col("t.first.i")) & (F.col("w.first.h") == F.col("t.first.h")) & (F.col("w.first.r") == F.col("t.first.r"))
-    full = wanted.alias("w").join(texts.alias("t"), same).select("w.bucket", "w.set", "t.text")
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    roots = cut(components(full.repartition(spread, "bucket").mapInArrow(released(compare), "a long, b long")))
-    grouped = distinct.join(roots, distinct["set"] == roots["node"], "left").select(F.coalesce("root", "set").alias("root"), "first")
-    firsts = grouped.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.i").alias("first_i"), F.col("f.h").alias("first_h"), F.col("f.r").alias("first_r"))
+    spread = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compared(groups: DataFrame) -> DataFrame:
+        """``a, b``: links found among the sets of each bucket; only what has a candidate is shuffled with its text."""
+        wanted = groups.join(distinct.select("set", "first"), "set")
+        same = F.col("w.first.i").eqNullSafe(F.col("t.first.i")) & (F.col("w.first.h") == F.col("t.first.h")) & (F.col("w.first.r") == F.col("t.first.r"))
+        full = wanted.alias("w").join(texts.alias("t"), same).select("w.bucket", "w.set", "t.text")
+        return cut(full.repartition(spread, "bucket").mapInArrow(released(compare), "a long, b long"))
+
+    # A large bucket is dealt to blocks that each hold its least set as well.
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    block = F.pmod(F.xxhash64("set", F.lit(5)), blocks).cast("int")
+    large = members.where(F.col("n") > most).withColumn("block", block)
+    each = F.explode(F.sequence(F.lit(0), blocks - 1))
+    hubs = looked.where(F.col("n") > most).select("bucket", "least", each.alias("block")).select(F.col("least").alias("set"), F.xxhash64("bucket", "block").alias("bucket"))
+    groups = members.where(F.col("n") <= most).select("set", "bucket").unionByName(large.select("set", F.xxhash64("bucket", "block").alias("bucket"))).unionByName(hubs)
+    found = compared(groups.distinct())
+    roots = cut(components(found))
+    # What the blocks and the other buckets have not joined is compared block against block, so no link is lost.
+    classes = large.join(roots, F.col("set") == F.col("node"), "left").withColumn("class", F.coalesce("root", "set"))
+    apart = cut(classes.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket"))
+    if not apart.isEmpty():
+        pairs = large.join(apart, "bucket").select("set", "bucket", "block", each.alias("other")).where("block <> other")
+        found = found.unionByName(compared(pairs.select("set", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"))))
+        roots = cut(components(found))
+    return distinct.join(roots, distinct["set"] == roots["node"], "left").select("set", "first", F.coalesce("root", "set").alias("root"))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near copies, with all their columns."""
+    keyed = with_keys(docs)
+    firsts = near_classes(keyed.select("key", "text")).groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.i").alias("first_i"), F.col("f.h").alias("first_h"), F.col("f.r").alias("first_r"))
     same = F.col("key.i").eqNullSafe(F.col("first_i")) & (F.col("key.h") == F.col("first_h")) & (F.col("key.r") == F.col("first_r"))
     kept = keyed.select("key", "row").join(firsts, same, "left_semi").dropDuplicates(["key"])
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -75,6 +75,22 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def quality_base_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the base rule of operator 8 measures."""
+    from stakeweave.llm.quality import quality_verdicts
+
+    return quality_verdicts(documents(spark, sf_dir)).drop("kept")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 4 aims at, for every document."""
+    from pyspark.sql import functions as F
+
+    from stakeweave.llm.mixing import mix_sources
+
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_licence_scan": op2_licence_scan,
@@ -86,5 +102,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash_groups": op10_simhash_groups,
+    "quality_base_signals": quality_base_signals,
+    "mixing_targets": mixing_targets,
+}
+
+#: The operators' whole results rest on models, hashes and sketches, which SQL cannot express; these parts of two it can.
+ORACLE_SQL: dict[str, str] = {
+    "quality_base_signals": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+runs AS (SELECT r, i, words[i : i + 4] AS run FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+twice AS (SELECT r, i FROM (SELECT r, i, COUNT(*) OVER (PARTITION BY r, run) AS n FROM runs) WHERE n > 1),
+covered AS (SELECT r, COUNT(*) AS n FROM (SELECT DISTINCT r, i + k AS at FROM twice, (SELECT unnest(range(0, 5)) AS k)) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  COALESCE(c.n, 0) AS n_repeat_words FROM w LEFT JOIN covered c USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m""",
+    "mixing_targets": r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(SUM(size) AS DOUBLE) AS size, 1 + (ROW_NUMBER() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS w FROM d GROUP BY source),
+-- Sources in the order in which the level rises to their caps: those below the level that is left when they are reached stop there.
+o AS (SELECT *, SUM(size) OVER () - COALESCE(SUM(3 * size) OVER (ORDER BY 3 * size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  SUM(w) OVER (ORDER BY 3 * size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM s),
+l AS (SELECT *, 3 * size / w < rest / weights AS capped FROM o),
+t AS (SELECT source, size, CASE WHEN capped THEN 3 * size ELSE w * (SELECT MAX(rest / weights) FROM l WHERE NOT capped) END AS target FROM l)
+SELECT d.doc_id, d.size, CAST(t.size AS BIGINT) AS source_size, ROUND(t.target, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
 }
-ORACLE_SQL: dict[str, str] = {}

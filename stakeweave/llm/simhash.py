@@ -296,16 +296,17 @@ def simhash_groups(
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, with all their columns.
+    """``docs`` with one row of each near-duplicate group, with all their columns, whatever their names.
 
-    The row that is first by id, then by a hash of its text, stays; of rows equal in both
-    one stays.
+    The row that is first by id, null first, then by hashes of its text and of its columns, stays; of equal rows one stays.
     """
-    key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
-    keyed = docs.withColumn("_s_key", key)
-    groups = simhash_groups(keyed.select("_s_key", "text"), id_col="_s_key", **options)
-    firsts = groups.where(F.col("_s_key").eqNullSafe(F.col("component_id"))).select(
-        F.col("_s_key.i").alias("_s_i"), F.col("_s_key.h").alias("_s_h")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), F.xxhash64(*plain).alias("r"))
+    keyed = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+    groups = simhash_groups(keyed.select("key", "text"), id_col="key", **options)
+    firsts = groups.where(F.col("key").eqNullSafe(F.col("component_id"))).select(
+        F.col("key.i").alias("first_i"), F.col("key.h").alias("first_h"), F.col("key.r").alias("first_r")
     ).distinct()
-    same = F.col("_s_key.i").eqNullSafe(F.col("_s_i")) & (F.col("_s_key.h") == F.col("_s_h"))
-    return keyed.join(firsts, same, "left_semi").dropDuplicates(["_s_key"]).drop("_s_key")
+    same = F.col("key.i").eqNullSafe(F.col("first_i")) & (F.col("key.h") == F.col("first_h")) & (F.col("key.r") == F.col("first_r"))
+    kept = keyed.select("key", "row").join(firsts, same, "left_semi").dropDuplicates(["key"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

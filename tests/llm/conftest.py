@@ -45,7 +45,8 @@ def model():
         return f.read()
 
 
-CLASHES = ("id", "kind", "key", "size", "shard", "order", "words", "fp", "n_tokens", "n_words", "kept", "lines", "taken", "target", "label", "part", "_words", "tie")
+CLASHES = ("id", "kind", "key", "size", "shard", "order", "words", "fp", "n_tokens", "n_words", "kept", "lines", "taken", "target", "label", "part", "_words", "tie", "row", "draw", "doc", "times", "set", "bucket", "first", "held", "_q_key", "_m_key", "_s_key", "_m_times", "_l_kept", "_s_i",
+           "page", "data", "ids", "late", "copies", "behind", "_text", "_lang", "_source", "n_lines", "symbol_rate", "n_id", "doc_")
 
 
 @pytest.fixture(scope="session")

@@ -605,6 +605,31 @@ def test_pipeline_drops_rewrapped_near_copies(spark, tmp_path):
     assert kept.count() == len(texts) - near and kept.where("doc_id % 2 = 0").count() == len(texts) // 2
 
 
+@pytest.mark.parametrize("most", [2, 7, 1000])
+def test_large_buckets_lose_no_link(spark, most):
+    import random
+
+    from stakeweave.llm.near_copies import near_classes, with_keys
+
+    draw, texts = random.Random(1), []
+    for k in range(4):  # chains: each text is near the one before it, the last is far from the first
+        words = [f"w{k}x{i}" for i in range(200)]
+        for step in range(12):
+            words = words[:]
+            words[step * 16 + draw.randrange(3)] = f"edit{k}x{step}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = near_classes(with_keys(docs).select("key", "text"), most).select("first.i", "root").collect()
+    name = {}
+    assert len(got) == len(texts) and all(name.setdefault(r.root, root[r.i]) == root[r.i] for r in got) and len(name) == len(set(root))
+
+
 def test_near_links_match_all_pairs():
     import numpy as np
 
@@ -652,7 +677,7 @@ def test_pipeline_on_odd_tables(spark, tmp_path, rows):
         assert stage(spark, frame, str(tmp_path)).count() <= 3 * len(rows), name
 
 
-@pytest.mark.parametrize("rows", [[(None, None, None, None, None)] * 3, [(1, "same words here in this line of text again and more", "en", "s", 3)] * 4])
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3, [(1, "same words here in this line of text again and more", "en", "s", 3)] * 4])
 def test_queries_on_odd_tables(spark, tmp_path, rows):
     import __spark_entry__ as entry
     from tests.llm.conftest import SCHEMA
