@@ -3,6 +3,11 @@
 Every stage takes all that the one before kept.  ``run`` writes each stage's result as
 Parquet below ``spark.checkpoint.dir`` and reads it again, so a lost executor costs one stage's
 tasks at most and no stage is computed twice.
+
+Defined results: a document without words fails the quality rules; null language and null source are groups
+of their own; null ids sort last in line dedup and first among near copies; rows of one id stand apart by their
+texts; of equal rows one stays; texts may be of any length; an empty table gives an empty result; further columns are
+carried through to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard 0.8 or more over five-word shingles) stays."""
+    """Operator 10 over five-word shingles, with an exact check at Jaccard 0.8: one document of each group stays."""
     ship(spark)
     return drop_near_copies(docs)
 
