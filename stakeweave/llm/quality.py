@@ -165,23 +165,22 @@ def _fences(rows: DataFrame, reach: float, min_group: int, k: int) -> DataFrame:
     return levels.select(*out)
 
 
-#: Fences (a row for each language and source) that are broadcast; beyond that number they are joined by a shuffle.
-FEW = 100_000
+#: Rejected rows whose keys are broadcast (16 bytes each); more of them are joined by a shuffle.
+FEW = 1 << 20
 
 
-def quality_filter(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    reach: float = 3.0, word_slack: float = 8.0, min_group: int = 50, sketch_k: int = 1024,
-) -> DataFrame:
+def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
 
-    Signals are computed where the texts are, once for the fences and once to judge by them: no text is
-    shuffled and no row needs a key.
+    Signals are computed once and the rows that are rejected taken out by a key over id, text, language and source,
+    so rows that are equal in these share a verdict.
     """
-    fences = cut(_fences(_measured(docs, text_col, lang_col, source_col, F.lit(0).alias("row")), reach, min_group, sketch_k))
-    if fences.count() <= FEW:
-        fences = F.broadcast(fences)
-    rows = _measured(docs, text_col, lang_col, source_col, F.struct("*").alias("row"))
-    # A filter isn't pushed through a projection that draws: below it, every mention of a signal would compute it again.
-    found = _judged(rows, fences, word_slack).select("row", "kept", F.rand(0).alias("draw"))
-    return found.where("kept AND draw >= 0").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    own = [F.col(c) for c in ("doc_id", text_col, lang_col, source_col)]
+    keyed = docs.select(
+        F.xxhash64(*own).alias("k1"), F.xxhash64(F.lit(1), *own).alias("k2"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
+        F.col(source_col).alias("source"), F.struct("*").alias("row"),
+    )
+    bad = cut(quality_verdicts(keyed, id_cols=("k1", "k2"), **options).where("NOT kept").select("k1", "k2").distinct())
+    if bad.count() <= FEW:
+        bad = F.broadcast(bad)
+    return keyed.join(bad, ["k1", "k2"], "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
