@@ -6,11 +6,31 @@ import uuid
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What becomes of a column where both a stored and a new row exist.
-RULES = ("existing_first", "new_first", "overwrite", "nonempty_new", "max", "either")
+#: What becomes of a column where both a stored and a new row exist.  Empty texts and empty arrays count as missing in
+#: ``existing_first`` and ``nonempty_new``; ``credible`` takes the new value unless the stored ``name_credibility`` is higher.
+RULES = ("existing_first", "new_first", "overwrite", "nonempty_new", "max", "either", "credible")
+
+# Which side each column of the three sources' upserts believes.
+ENTITY_OF_WIKIDATA = {
+    "wikidata_id": "overwrite", "search_text": "overwrite", "name_normalized": "overwrite",
+    "lei_id": "existing_first", "sec_cik": "existing_first", "source_id": "existing_first",
+    "hq_lat": "existing_first", "hq_lng": "existing_first", "hq_city": "existing_first", "hq_country": "existing_first",
+    "type": "new_first", "country": "new_first", "founded": "new_first", "revenue": "new_first", "employees": "new_first",
+    "employees_as_of": "new_first", "description": "new_first",
+    "aliases": "nonempty_new", "countries": "nonempty_new", "hq_locations": "nonempty_new",
+    "name": "credible", "name_credibility": "credible",
+}
+PERSON_OF_WIKIDATA = {c: "existing_first" for c in ("birth_date", "death_date", "birth_place", "description", "nationality", "alias", "nationalities", "source_id")}
+ENTITY_BY_NAME = {"sec_cik": "new_first", "lei_id": "new_first", "source_id": "existing_first"}
+
+
+def _said(value: Column, kind: str) -> Column:
+    if kind == "string":
+        return F.nullif(value, F.lit(""))
+    return F.when(F.size(value) > 0, value) if kind.startswith("array") else value
 
 
 def upsert(current: DataFrame, delta: DataFrame, keys: list[str], rules: Mapping[str, str] | None = None, default: str = "new_first") -> DataFrame:
@@ -25,16 +45,18 @@ def upsert(current: DataFrame, delta: DataFrame, keys: list[str], rules: Mapping
     new = delta.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in delta.columns if c not in keys], F.lit(True).alias("_new"))
     both = current.withColumn("_old", F.lit(True)).join(new, keys, "full")
     kinds = dict(current.dtypes)
+    if "credible" in rules.values():
+        stronger = F.col("_new") & (F.coalesce("name_credibility", F.lit(0)) <= F.col("_n_name_credibility"))
     out = []
     for c in current.columns:
         if c in keys or c not in delta.columns:
             out.append(F.col(c))
             continue
         old, fresh, rule = F.col(c), F.col(f"_n_{c}"), rules.get(c, default)
-        some = F.nullif(fresh, F.lit("")) if kinds[c] == "string" else fresh
         value = {
-            "existing_first": F.coalesce(F.nullif(old, F.lit("")) if kinds[c] == "string" else old, fresh, old), "new_first": F.coalesce(fresh, old),
-            "overwrite": F.when(F.col("_new"), fresh).otherwise(old), "nonempty_new": F.coalesce(some, old), "max": F.greatest(old, fresh) if rule == "max" else old,
+            "existing_first": F.coalesce(_said(old, kinds[c]), fresh, old), "new_first": F.coalesce(fresh, old),
+            "overwrite": F.when(F.col("_new"), fresh).otherwise(old), "nonempty_new": F.coalesce(_said(fresh, kinds[c]), old), "max": F.greatest(old, fresh) if rule == "max" else old,
+            "credible": F.when(stronger, fresh).otherwise(old) if rule == "credible" else old,
             "either": (F.coalesce(old, F.lit(False)) | F.coalesce(fresh, F.lit(False))) if rule == "either" else old,
         }[rule]
         out.append(value.alias(c))

@@ -15,7 +15,7 @@ from stakeweave.operators import resolution as rs
 from stakeweave.operators import search as se
 from stakeweave.operators import tree as tr
 from stakeweave.operators.imports import ImportLock, ImportLocked, import_control
-from stakeweave.operators.upsert import read_version, upsert, write_version
+from stakeweave.operators.upsert import ENTITY_OF_WIKIDATA, PERSON_OF_WIKIDATA, read_version, upsert, write_version
 from stakeweave.sources import filings, registers
 
 
@@ -92,6 +92,18 @@ def test_versions_survive_a_crash_and_fold_repeated_keys(spark, tmp_path):
     assert sorted(map(tuple, upsert(current, delta, ["id"]).collect())) == [("a", 7), ("b", 2)]
 
 
+def test_sources_believe_columns_in_their_own_order(spark):
+    kinds = "id string, name string, name_credibility int, lei_id string, country string, aliases array<string>, wikidata_id string"
+    stored = spark.createDataFrame([("1", "Register Name", 95, "L1", "US", ["a"], None), ("2", "Weak Name", 10, None, "US", [], None)], kinds)
+    new = spark.createDataFrame([("1", "Wiki", 90, "L9", "FR", [], "Q1"), ("2", "Wiki", 90, "L9", None, ["b"], "Q2")], kinds)
+    got = {r.id: tuple(r)[1:] for r in upsert(stored, new, ["id"], ENTITY_OF_WIKIDATA).collect()}
+    assert got == {"1": ("Register Name", 95, "L1", "FR", ["a"], "Q1"), "2": ("Wiki", 90, "L9", "US", ["b"], "Q2")}
+    kinds = "id string, description string, nationality string, alias array<string>"
+    stored = spark.createDataFrame([("1", "", "FR", []), ("2", "kept", "", ["x"])], kinds)
+    new = spark.createDataFrame([("1", "d", "US", ["y"]), ("2", "d", "US", ["y"])], kinds)
+    assert sorted(map(tuple, upsert(stored, new, ["id"], PERSON_OF_WIKIDATA).collect())) == [("1", "d", "FR", ["y"]), ("2", "kept", "US", ["x"])]
+
+
 def test_import_lock(spark, tmp_path):
     one, two = ImportLock(spark, str(tmp_path)), ImportLock(spark, str(tmp_path))
     start = datetime(2024, 1, 1, tzinfo=UTC)
