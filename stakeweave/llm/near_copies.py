@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stakeweave.llm.common import cut
@@ -36,6 +36,8 @@ from stakeweave.llm.simhash import components, fingerprints, links
 SIZE, LEAST, BANDS, ROWS, RADIUS = 5, 0.8, 20, 5, 2
 #: Sets of one bucket that one task compares at once.
 BLOCK = 1024
+#: Keys (some 50 bytes each) that are broadcast to the texts; more of them are joined by a shuffle.
+FEW = 1 << 18
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,7 +103,7 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 
 def near_classes(keyed: DataFrame, most: int = BLOCK) -> DataFrame:
-    """``set, first, root`` of every distinct set of shingles: its hash, its first key and the hash that names its class.
+    """``key, set, root`` of every row: the hash of its set of shingles and the hash that names its class.
 
     ``keyed`` has ``key`` (a struct of ``i, h, r``) and ``text``.
     """
@@ -133,7 +135,7 @@ def near_classes(keyed: DataFrame, most: int = BLOCK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sets[a]), pa.array(sets[b])], names=["a", "b"])
 
     kind = keyed.schema["key"].dataType.simpleString()
-    rows = keyed.select("key", "text").mapInArrow(released(sketch), f"key {kind}, set long, fp long, bands array<long>")
+    rows = cut(keyed.select("key", "text").mapInArrow(released(sketch), f"key {kind}, set long, fp long, bands array<long>"))
     # One row of each set; no text is held beside its sketch.
     distinct = cut(rows.groupBy("set").agg(F.min("key").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     worded = distinct.where("set <> 0").select("set", "fp", "bands")
@@ -149,15 +151,16 @@ def near_classes(keyed: DataFrame, most: int = BLOCK) -> DataFrame:
     ).where("n > 1")
     looked = counted.groupBy("n", "least", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "least")
     members = cut(buckets.distinct().join(looked, "bucket"))
-    texts = keyed.select(F.col("key").alias("first"), "text").dropDuplicates(["first"])
     spread = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compared(groups: DataFrame) -> DataFrame:
         """``a, b``: links found among the sets of each bucket; only what has a candidate is shuffled with its text."""
-        wanted = groups.join(distinct.select("set", "first"), "set")
-        same = F.col("w.first.i").eqNullSafe(F.col("t.first.i")) & (F.col("w.first.h") == F.col("t.first.h")) & (F.col("w.first.r") == F.col("t.first.r"))
-        full = wanted.alias("w").join(texts.alias("t"), same).select("w.bucket", "w.set", "t.text")
-        return cut(full.repartition(spread, "bucket").mapInArrow(released(compare), "a long, b long"))
+        wanted = cut(groups.join(distinct.select("set", "first"), "set").select("bucket", "set", *_parts("first")))
+        if wanted.count() <= FEW:
+            wanted = F.broadcast(wanted)
+        # Equal rows give a set twice, which links it to itself.
+        full = keyed.join(wanted, _same()).select("bucket", "set", "text")
+        return cut(full.repartition(spread, "bucket").mapInArrow(released(compare), "a long, b long").where("a <> b"))
 
     # A large bucket is dealt to blocks that each hold its least set as well.
     blocks = F.ceil(F.col("n") / most).cast("int")
@@ -175,13 +178,28 @@ def near_classes(keyed: DataFrame, most: int = BLOCK) -> DataFrame:
         pairs = large.join(apart, "bucket").select("set", "bucket", "block", each.alias("other")).where("block <> other")
         found = found.unionByName(compared(pairs.select("set", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"))))
         roots = cut(components(found))
-    return distinct.join(roots, distinct["set"] == roots["node"], "left").select("set", "first", F.coalesce("root", "set").alias("root"))
+    classes = distinct.join(roots, distinct["set"] == roots["node"], "left").select("set", F.coalesce("root", "set").alias("root"))
+    return rows.select("key", "set").join(classes, "set")
+
+
+def _parts(key: str) -> list[Column]:
+    return [F.col(f"{key}.{x}").alias(f"first_{x}") for x in "ihr"]
+
+
+def _same() -> Column:
+    return F.col("key.i").eqNullSafe(F.col("first_i")) & (F.col("key.h") == F.col("first_h")) & (F.col("key.r") == F.col("first_r"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies, with all their columns."""
     keyed = with_keys(docs)
-    firsts = near_classes(keyed.select("key", "text")).groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.i").alias("first_i"), F.col("f.h").alias("first_h"), F.col("f.r").alias("first_r"))
-    same = F.col("key.i").eqNullSafe(F.col("first_i")) & (F.col("key.h") == F.col("first_h")) & (F.col("key.r") == F.col("first_r"))
-    kept = keyed.select("key", "row").join(firsts, same, "left_semi").dropDuplicates(["key"])
+    classes = cut(near_classes(keyed.select("key", "text")))
+    firsts = classes.groupBy("root").agg(F.min("key").alias("first"))
+    lost = cut(classes.join(firsts, "root").where("key <> first").select(*_parts("key")).distinct())
+    if lost.count() <= FEW:
+        kept = keyed.select("key", "row").join(F.broadcast(lost), _same(), "left_anti")
+    else:
+        kept = keyed.select("key", "row").join(firsts.select(*_parts("first")), _same(), "left_semi")
+    if not classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["key"])
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

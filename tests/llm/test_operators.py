@@ -625,11 +625,20 @@ def test_large_buckets_lose_no_link(spark, most):
         for i, j in near:
             root[i] = root[j] = min(root[i], root[j])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = near_classes(with_keys(docs).select("key", "text"), most).select("first.i", "root").collect()
+    got = near_classes(with_keys(docs).select("key", "text"), most).select("key.i", "root").collect()
     name = {}
     assert len(got) == len(texts) and all(name.setdefault(r.root, root[r.i]) == root[r.i] for r in got) and len(name) == len(set(root))
 
 
+def test_filters_without_broadcasts_give_the_same(docs, monkeypatch):
+    from stakeweave.llm import near_copies, quality
+
+    for module, f in ((near_copies, near_copies.drop_near_copies), (quality, quality.quality_filter)):
+        few = sorted(map(str, f(docs).collect()))
+        monkeypatch.setattr(module, "FEW", -1)
+        assert sorted(map(str, f(docs).collect())) == few and 0 < len(few) < docs.count()
+
+
 def test_near_links_match_all_pairs():
     import numpy as np
 
