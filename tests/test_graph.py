@@ -212,7 +212,7 @@ def test_search_ranking(spark):
 def test_maintenance(spark):
     rows = [("1", "Germany", "n", None, "Q1", None), ("2", "usa", "n", None, None, "1"), ("3", "fr", "n", "s", None, None), ("4", "Narnia", "n", None, None, None)]
     frame = spark.createDataFrame(rows, "id string, country string, name string, source_id string, wikidata_id string, sec_cik string")
-    codes = spark.createDataFrame([("DE", "Germany")], "code string, name string")
+    codes = spark.createDataFrame([("DE", "Germany"), ("FR", "France")], "code string, name string")
     assert [r.country for r in maintenance.normalize_countries(frame, codes).orderBy("id").collect()] == ["DE", "US", "FR", "Narnia"]
     sources = spark.createDataFrame([("w", "Wikidata"), ("e", "SEC EDGAR")], "id string, name string")
     assert [r.source_id for r in maintenance.backfill_sources(frame, sources).orderBy("id").collect()] == ["w", "e", "s", None]
