@@ -309,7 +309,7 @@ def _table(proto: bytes) -> PieceTable:
     return _tables[key]
 
 
-def encode_pieces(docs: DataFrame, model_proto: bytes, id_col: str = "doc_id", text_col: str = "text", rows: int = 512) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_proto: bytes, id_col: str = "doc_id", text_col: str = "text", rows: int = 128) -> DataFrame:
     """``id, n_pieces, ids, round_trip``: the piece ids of every text, and whether they decode to it."""
     shared = docs.sparkSession.sparkContext.broadcast(model_proto)  # the model file, half a megabyte
 
