@@ -30,6 +30,27 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def positions(frame: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+    """Checkpointed rows of ``frame`` with their place (from 0) in ``order``.
+
+    Rows are dealt to ranges and sorted there; a range's first place is the number of rows in
+    the ranges before it, of which the driver holds one count a range.
+    """
+    spark = frame.sparkSession
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = frame.repartitionByRange(spread, *order).sortWithinPartitions(*order)
+    # The id's upper bits are the range, the lower 33 the place in it.
+    marked = cut(dealt.withColumn(name, F.monotonically_increasing_id()))
+    part, first, starts = F.shiftright(name, 33), 0, []
+    for row in marked.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((row["part"], first))
+        first += row["count"]
+    starts = spark.createDataFrame(starts, f"{name}_part long, {name}_first long")
+    placed = marked.join(F.broadcast(starts), part == F.col(f"{name}_part"))  # a row for each range
+    place = F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(f"{name}_first")
+    return placed.withColumn(name, place).drop(f"{name}_part", f"{name}_first")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -75,6 +75,28 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stakeweave.llm.fill_middle import fill_in_middle_digest
+
+    return fill_in_middle_digest(documents(spark, sf_dir))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from stakeweave.llm.packing import packed_pieces
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return packed_pieces(documents(spark, sf_dir), f.read(), keep_ids=False)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stakeweave.llm.resampling import importance_ranks
+
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance_ranks(documents(spark, sf_dir), target).drop("key")
+
+
 def quality_base_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the base rule of operator 8 measures."""
     from stakeweave.llm.quality import quality_verdicts
@@ -102,12 +124,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash_groups": op10_simhash_groups,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_importance_resampling": op13_importance_resampling,
     "quality_base_signals": quality_base_signals,
     "mixing_targets": mixing_targets,
 }
 
 #: The operators' whole results rest on models, hashes and sketches, which SQL cannot express; these parts of two it can.
 ORACLE_SQL: dict[str, str] = {
+    "op11_fill_in_middle": r"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS text, sha256('7:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines, list_transform(range(0, 4), lambda k: CAST('0x' || substr(h, CAST(8 * k + 1 AS BIGINT), 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT *, len(lines) AS n, LEAST(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS a, GREATEST(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p""",
     "quality_base_signals": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
