@@ -1,96 +1,46 @@
-"""Files of records: JSON documents with one large array, NDJSON, zips, id lists."""
+"""Files of records: NDJSON, JSON documents with one large array, id lists."""
 
 from __future__ import annotations
 
-import codecs
-import json
-import re
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stakeweave.functions.names import strip
+from stakeweave.sources.arrays import array_records
 
 
-def open_member(path: str, suffix: str = ".json"):
-    """A binary stream of a file, or of the first member with ``suffix`` of a zip."""
-    if not zipfile.is_zipfile(path):
-        return open(path, "rb")
-    archive = zipfile.ZipFile(path)
-    name = next(n for n in archive.namelist() if n.lower().endswith(suffix))
-    return archive.open(name)
-
-
-#: What matters to the nesting of JSON text: an escaped character, a quote, or a bracket.
-_MARKS = re.compile(r'\\.|["{}\[\]]', re.S)
-
-
-def iter_array_objects(stream, chunk: int = 1 << 20) -> Iterator[str]:
-    """The objects of the first array of a JSON document, each as its text, in constant memory."""
-    decoder = codecs.getincrementaldecoder("utf-8")("replace")
-    held, at, depth, first, started, quoted = "", 0, 0, 0, False, False
-    while block := stream.read(chunk):
-        held += decoder.decode(block) if isinstance(block, bytes) else block
-        end = at
-        for mark in _MARKS.finditer(held, at):
-            c, end = mark[0], mark.end()
-            if quoted:
-                quoted = c != '"'
-            elif c == '"':
-                quoted = True
-            elif not started:
-                started = c == "["
-            elif c == "{":
-                if depth == 0:
-                    first = end - 1
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if depth == 0:
-                    yield held[first:end]
-            elif c == "]" and depth == 0:
-                return
-        # A backslash at the very end waits for the character that it escapes.
-        at = len(held) - (held.endswith("\\") and end < len(held))
-        keep = first if depth else at
-        held, at, first = held[keep:], at - keep, 0
-
-
-def split_records(path: str, folder: str, per_file: int = 50_000) -> str:
-    """An array document (plain or zipped) as NDJSON files, which Spark can split; returns ``folder``."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    out, n = None, 0
-    with open_member(path) as stream:
-        for text in iter_array_objects(stream):
-            if n % per_file == 0:
-                if out:
-                    out.close()
-                out = open(Path(folder) / f"part-{n // per_file:05d}.json", "w", encoding="utf-8")
-            out.write(json.dumps(json.loads(text), ensure_ascii=False) + "\n")
-            n += 1
-    if out:
-        out.close()
-    return folder
-
-
-def read_records(spark: SparkSession, path: str, schema: str, array: str | None = None, only: list[str] | None = None) -> DataFrame:
-    """Records of NDJSON files, or of small documents with an array named ``array``.
-
-    With ``only``, lines that mention none of these ids are dropped before they are parsed.
-    A line that does not parse has its text in ``_corrupt``.
+def mentioning(lines: DataFrame, ids: list[str], column: str = "value") -> DataFrame:
+    """Rows whose text holds any of ``ids``, by one automaton over all of them: a scan of the text, however many they are."""
+    shared = lines.sparkSession.sparkContext.broadcast(sorted({i for i in ids if i}))  # the list that was given
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for one in shared.value:
+            automaton.add_word(one, True)
+        automaton.make_automaton()
+        hit = lambda text: text is not None and next(automaton.iter(text), None) is not None
+        for batch in batches:
+            if len(automaton):
+                at = batch.schema.get_field_index(column)
+                yield batch.filter(pa.array([hit(x) for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    return lines.mapInArrow(run, lines.schema)
+
+
+def read_records(spark: SparkSession, path: str, schema: str, array: bool = False, only: list[str] | None = None) -> DataFrame:
+    """Records of NDJSON files, or with ``array`` of documents that hold them in one array, of any size.
+
+    With ``only``, records that mention none of these ids are dropped before they are parsed.
+    A record that does not parse has its text in ``_corrupt``.
     """
-    if array is not None:
-        whole = spark.read.option("multiLine", True).schema(f"{array} array<struct<{schema}>>").json(path)
-        return whole.select(F.explode(array).alias("r")).select("r.*")
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = array_records(spark, path) if array else spark.read.text(path).where(F.trim("value") != "")
     if only is not None:
-        hit = F.lit(False)
-        for one in only:
-            hit |= F.contains("value", F.lit(one))
-        lines = lines.where(hit)
+        lines = mentioning(lines, only)
     parsed = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
     return parsed.select("r.*", F.coalesce("r._bad", F.when(F.col("r").isNull(), F.col("value"))).alias("_corrupt")).drop("_bad")
 

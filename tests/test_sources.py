@@ -1,29 +1,134 @@
-import io
 import json
+import random
 import zipfile
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from stakeweave.sources import filings, gleif, records, registers, snapshot, wikidata
+from stakeweave.sources import arrays, filings, gleif, records, registers, snapshot, wikidata
 
 
 def w(x):
     return {"$": x}
 
 
-def test_array_documents_are_split(tmp_path, spark):
-    doc = {"records": [{"LEI": w(f"L{i}"), "t": 'a "quoted } brace" [x] é日 \\\\', "n": {"m": [1, {"k": "\\"}]}} for i in range(50)]}
-    for indent in (None, 2):
-        for chunk in (1, 7, 37, 100_000):
-            raw = json.dumps(doc, indent=indent, ensure_ascii=False).encode()
-            assert [json.loads(x) for x in records.iter_array_objects(io.BytesIO(raw), chunk)] == doc["records"]
-    path = tmp_path / "x.zip"
-    with zipfile.ZipFile(path, "w") as z:
+DOCUMENTS = [
+    {"records": [{"LEI": w(f"L{i}"), "t": 'a "quoted } brace" [x] é日 \\', "n": {"m": [1, {"k": "\\"}]}} for i in range(12)], "more": [{"not": "this"}]},
+    [{"a": '}{][\\"}'}, 5, [{"no": 1}], {"b": {"c": {}}}, "text }", None, {}, [[{}]], {"d": "x" * 90}],
+    {"head": {"x": "[ {", "y": {"z": 1}}, "rows": [{"k": '\\"'}], "tail": {"a": [{"b": 1}]}},
+    {"rows": []}, {"none": {"a": "b"}}, [[], {"z": "\\\\"}, {"y": '\\\\"'}], [{"deep": [[[{"x": [{}]}]]]}, {"w": 1}],
+]
+
+
+def records_of(document):
+    """Objects in the document's first array, in the order of its text."""
+    if isinstance(document, list):
+        return [x for x in document if isinstance(x, dict)]
+    return next((found for v in document.values() if (found := records_of(v) if isinstance(v, dict) else records_of(v) if isinstance(v, list) else None) is not None), None)
+
+
+def bare(x):
+    return json.dumps(x, sort_keys=True)
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("most", [1, 5, 64, 1 << 20])
+def test_array_documents_are_cut_wherever_ranges_end(tmp_path, spark, indent, most):
+    want = []
+    for i, d in enumerate(DOCUMENTS):
+        (tmp_path / f"{i}.json").write_text(json.dumps(d, indent=indent, ensure_ascii=i % 2 == 0) + "\n" * (i % 3), encoding="utf-8-sig" if i == 2 else "utf-8")
+        want += [bare(x) for x in records_of(d) or []]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        if most < 1 << 20:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most if most > 1 else 40)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        path = str(tmp_path) if most > 1 else str(tmp_path / "1.json")
+        if most == 1:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", 1)
+            want = [bare(x) for x in records_of(DOCUMENTS[1])]
+        assert sorted(bare(json.loads(r.value)) for r in arrays.array_records(spark, path).collect()) == sorted(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_ranges_of_random_documents():
+    """The sums and cuts without Spark, with ranges that end behind any closing brace."""
+    draw = random.Random(11)
+
+    def value(depth):
+        kind = draw.random()
+        if depth > 3 or kind < 0.4:
+            return "".join(draw.choice('ab"\\{}[],:é') for _ in range(draw.randrange(6)))
+        if kind < 0.7:
+            return {draw.choice('x"{['): value(depth + 1) for _ in range(draw.randrange(3))}
+        return [value(depth + 1) for _ in range(draw.randrange(4))]
+
+    for trial in range(300):
+        document = {"h": value(1), "records": [value(2) for _ in range(6)], "t": value(1)} if trial % 2 else [value(1) for _ in range(8)]
+        raw = np.frombuffer(json.dumps(document, ensure_ascii=False).encode(), np.uint8)
+        places = np.flatnonzero(raw == ord("}")) + 1
+        cuts = sorted({0, len(raw), *(p for p in places.tolist() if draw.random() < 0.4)})
+        quotes = depth = 0
+        array = begun_in = None
+        inside = done = False
+        found, open_ = [], {}
+        starts = []
+        for a, b in zip(cuts, cuts[1:]):
+            r = arrays.Range()
+            for x, y in zip([a, *(m := sorted({draw.randrange(a, b) for _ in range(2)} & set(places.tolist())))], [*m, b]):
+                r.add(raw[x:y])
+            odd = quotes % 2
+            starts.append((a, b, quotes % 2, depth, r, odd))
+            quotes, depth = quotes + r.quotes, depth + r.depth[odd]
+        array = next((d + r.first[o] for _, _, _, d, r, o in starts if r.first[o] is not None), None)
+        for a, b, q, d, r, odd in starts:
+            here = not inside and r.first[odd] is not None
+            c = arrays.Cutter(q, d, array, inside)
+            c.over = done or array is None
+            c.late = c.late and not c.over
+            out = list(c.add(raw[a:b]))
+            out += [c.rest()] if c.rest() else []
+            for begins, ends, text in out:
+                if begins and ends:
+                    found.append(text)
+                else:
+                    open_.setdefault(a if begins else begun_in, []).append((begins, ends, text))
+            low = r.low_after[odd] if here else r.low[odd] if inside else None
+            if array is not None and (here or (inside and d + r.low[odd] <= array)):
+                begun_in = a
+            done = done or (low is not None and d + low < array)
+            inside = inside or here
+        found += [b"".join(x[2] for x in v) for v in open_.values() if any(x[0] for x in v) and any(x[1] for x in v)]
+        want = records_of(document) or []
+        assert sorted(bare(json.loads(x)) for x in found) == sorted(map(bare, want)), document
+
+
+def test_broken_and_zipped_documents(tmp_path, spark):
+    (tmp_path / "cut.json").write_text('{"records": [{"a": 1}, {"a": {"b": 2}')
+    assert [r.value for r in arrays.array_records(spark, str(tmp_path / "cut.json")).collect()] == ['{"a": 1}']
+    with zipfile.ZipFile(tmp_path / "x.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("readme.txt", "no")
-        z.writestr("data.json", json.dumps(doc))
-    folder = records.split_records(str(path), str(tmp_path / "out"), per_file=20)
-    rows = records.read_records(spark, folder, "LEI struct<`$`:string>", only=["L7", "L49"])
-    assert sorted(r.LEI["$"] for r in rows.collect()) == ["L49", "L7"]
+        z.writestr("data.json", json.dumps(DOCUMENTS[0], indent=1))
+    plain = arrays.unzip(spark, str(tmp_path / "x.zip"), str(tmp_path / "plain" / "data.json"))
+    folder = arrays.split_records(spark, plain, str(tmp_path / "out"))
+    schema = "LEI struct<`$`:string>"
+    for rows in (records.read_records(spark, folder, schema, only=["L7", "L11", ""]), records.read_records(spark, plain, schema, array=True, only=["L7", "L11"])):
+        assert sorted((r.LEI["$"], r._corrupt) for r in rows.collect()) == [("L11", None), ("L7", None)]
+    assert records.read_records(spark, plain, schema, array=True, only=[]).count() == 0
+    with pytest.raises(ValueError):
+        arrays.unzip(spark, str(tmp_path / "x.zip"), str(tmp_path / "y"), ".xml")
+
+
+def test_many_ids_make_no_larger_plan(spark):
+    lines = spark.createDataFrame([(f'{{"id": "N{i:019d}"}}',) for i in range(200)] + [(None,)], "value string")
+    ids = [f"N{i * 7:019d}" for i in range(100_000)]
+    some = records.mentioning(lines, ids)
+    assert sorted(r.value for r in some.collect()) == sorted(f'{{"id": "N{i:019d}"}}' for i in range(0, 200, 7))
+    plan = lambda f: len(f._jdf.queryExecution().toString())
+    assert plan(some) < plan(records.mentioning(lines, ids[:1])) + 50
 
 
 def test_bad_lines_are_counted(tmp_path, spark):
