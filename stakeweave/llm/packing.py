@@ -12,7 +12,7 @@ ranges of that order, and each looks up where the pieces of its rank lie.
 Tokens come from the library inside Arrow batches.  For byte-level models without a normaliser, texts are cut before each
 single space between characters that are no white space: such a model begins a new unit there
 whatever stands around, so the parts' ids joined are the text's ids (the model's definition is read to tell whether this
-holds; otherwise whole texts are encoded).  Parts seen before come from a memory of ``KNOWN`` parts, which is emptied when full.
+holds; otherwise whole texts are encoded).  Parts seen before come from a memory of ``KNOWN`` of them, which is emptied when full.
 
 A document is its ids and the end id; one of more than ``capacity`` is cut into pieces of ``capacity``, of which the
 first may be shorter.
@@ -39,15 +39,19 @@ from stakeweave.llm.kernels import released
 
 #: A run without white space, with what follows it up to the next single space between two such runs.
 PART = re.compile(r"\s*\S+(?:(?:\s\s+|[^\S ])\S*)*|\s+")
-#: Parts that a worker remembers, and the longest of them in characters.
-KNOWN, KNOWN_CHARS = 1 << 18, 32
+#: Words that a worker remembers, and the longest of them in characters.
+KNOWN, KNOWN_CHARS = 1 << 19, 32
+#: Marks that stand alone behind letters.
+MARKS = ".,;:!?)"
+#: New words that are encoded as one text.
+JOINED = 512
 #: Characters of a text that are looked at together.
 WINDOW = 1 << 16
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer's definition, part by part where that gives the same."""
+    """Ids of whole texts by a tokenizer's definition, word by word where that gives the same."""
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,35 +64,97 @@ class Encoder:
         added = spec.get("added_tokens") or []
         plain = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         self.parts = byte_level and spec.get("normalizer") is None and plain
-        self.known: dict[str, list[int]] = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        # A byte-level token has a character for each of its bytes.
+        vocabulary = self.model.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(max([*vocabulary.values(), *(t["id"] for t in added), 0]) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)
+        for t in added:
+            self.lengths[t["id"]] = len(t["content"].encode())
+        self.known: dict[str, bytes] = {}
+        # No word holds a space, so these names are no words.
+        self.marks = {" " + m: ids for m, ids in zip(MARKS, self._encode(list(MARKS)), strict=True)} if self.parts else {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as unsigned little-endian 32-bit numbers."""
         if not self.parts:
             return self._encode(texts)
-        return [self._by_parts(text) for text in texts]
-
-    def _by_parts(self, text: str) -> list[int]:
-        out: list[int] = []
-        first = 0
-        while first < len(text):
-            last = self._cut(text, first + WINDOW)
-            parts = PART.findall(text, first, last)
-            known = self.known
-            missing = list({p for p in parts if p not in known})
-            fresh: dict[str, list[int]] = {}
-            if missing:
-                fresh = dict(zip(missing, self._encode(missing), strict=True))
-                if len(known) > KNOWN:
-                    fresh |= {p: known[p] for p in parts if p in known}
-                    known.clear()
-                known.update((p, ids) for p, ids in fresh.items() if len(p) <= KNOWN_CHARS)
-            for p in parts:
-                out += known[p] if p in known else fresh[p]
-            first = last
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            first = 0
+            while first < len(text):
+                last = self._cut(text, first + WINDOW)
+                held.append((out[i], *self._units(text, first, last)))
+                size += last - first
+                first = last
+                if size > 4 * WINDOW:
+                    self._fill(held)
+                    held, size = [], 0
+        self._fill(held)
+        return [b"".join(x) for x in out]
+
+    def _units(self, text: str, first: int, last: int) -> tuple[list[str], dict[int, str], list[bytes | None], list[str]]:
+        """Words that follow a space each, units of another kind by place, the ids that are known, and the words without."""
+        words = text[first + 1 if first else 0 : last].split(" ")
+        got = list(map(self.known.get, words))
+        missing = [w for w, ids in zip(words, got, strict=True) if ids is None] if None in got else []
+        odd = {} if first else {0: words[0]}
+        # A word with white space at an edge, or none at all, is never known; its space belongs to a longer run.
+        if any(map(_rough, missing)) or (odd and _rough(words[0])):
+            units = PART.findall(text, first, last)
+            odd = {k: u for k, u in enumerate(units) if u[0] != " " or _rough(u[1:])}
+            words = [u[1:] for u in units]
+            got = list(map(self.known.get, words))
+            missing = [w for k, (w, ids) in enumerate(zip(words, got, strict=True)) if ids is None and k not in odd]
+        return words, odd, got, missing
+
+    def _fill(self, held: list[tuple]) -> None:
+        missing = {w: self._pieces(w) for _, _, _, _, some in held for w in some}
+        new = list(dict.fromkeys(x for parts in missing.values() for x in parts if x not in self.known and x not in self.marks))
+        fresh = self._encode_words([x for x in new if x[0] != "\n"], " ") | self._encode_words([x[1:] for x in new if x[0] == "\n"], "\n")
+        for w, parts in missing.items():
+            if len(parts) > 1:
+                fresh[w] = b"".join([self.marks.get(x) or self.known.get(x) or fresh[x] for x in parts])
+        alone = iter(self._encode([u for _, _, odd, _, _ in held for u in odd.values()]))
+        for out, words, odd, got, some in held:
+            for k in odd:
+                got[k] = next(alone)
+            out.append(b"".join([fresh[w] if ids is None else ids for w, ids in zip(words, got, strict=True)] if some else got))
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        self.known.update([x for x in fresh.items() if len(x[0]) <= KNOWN_CHARS])
+
+    def _pieces(self, word: str) -> list[str]:
+        """Where a word that isn't known is sure to be cut by the model: about a line end between other characters, and before one mark behind letters."""
+        at = word.find("\n", 1)
+        if at > 0 and not word[at - 1].isspace() and not word[at + 1].isspace():
+            return self._pieces(word[:at]) + self._pieces(word[at:])
+        if word[-1] in MARKS:
+            stem = word[1:-1] if word[0] == "\n" else word[:-1]
+            if stem.isalpha() and max(stem) < "\u0250":
+                return [word[:-1], " " + word[-1]]
+        return [word]
+
+    def _encode_words(self, words: list[str], before: str) -> dict[str, bytes]:
+        """Ids of words with ``before`` in front: many are encoded as one text and told apart by the bytes of its tokens."""
+        found: dict[str, bytes] = {}
+        for i in range(0, len(words), JOINED):
+            some = words[i : i + JOINED]
+            ids = np.array(self.model.encode_batch_fast([before + before.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self.lengths[ids])
+            cuts = np.cumsum([len(w.encode()) + 1 for w in some])
+            at = np.searchsorted(ends, cuts)
+            names = some if before == " " else [before + w for w in some]
+            if len(ends) and ends[-1] == cuts[-1] and (ends[at] == cuts).all():
+                raw, place = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+                found.update((w, raw[place[k] : place[k + 1]]) for k, w in enumerate(names))
+            else:
+                found.update(zip(names, self._encode([before + w for w in some]), strict=True))
+        return found
 
     @staticmethod
     def _cut(text: str, at: int) -> int:
@@ -103,6 +169,10 @@ class Encoder:
         return len(text)
 
 
+def _rough(word: str) -> bool:
+    return not word or word[0].isspace() or word[-1].isspace()
+
+
 def encoder(definition: str) -> Encoder:
     if definition not in _encoders:
         _encoders[definition] = Encoder(definition)
@@ -114,27 +184,30 @@ def token_pieces(
 ) -> DataFrame:
     """``id, piece, start, length, ids`` of every piece; ``ids`` are unsigned little-endian 32-bit numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # a tokenizer file, some megabytes
-    end = [] if end_id is None else [end_id]
+    end = np.array([] if end_id is None else [end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(shared.value)
         for batch in batches:
-            held: list[tuple] = []
-            size = 0
-            for row in range(batch.num_rows):
-                text = batch.column(1)[row].as_py()
-                ids = np.array(model.encode([text])[0] + end, "<u4")
-                short = len(ids) % capacity
-                starts = [*([0] if short and len(ids) else []), *range(short, len(ids), capacity)]
-                for piece, start in enumerate(starts):
-                    own = ids[start : short if start < short else start + capacity]
-                    held.append((row, piece, start, len(own), own.tobytes()))
-                    size += len(own)
-                    if size >= batch_ids:
-                        yield made(batch, held)
-                        held, size = [], 0
-            if held:
-                yield made(batch, held)
+            for lo in range(0, batch.num_rows, 64):
+                yield from pieces_of(batch.slice(lo, 64), model)
+
+    def pieces_of(batch: pa.RecordBatch, model: Encoder) -> Iterator[pa.RecordBatch]:
+        encoded = model.encode(batch.column(1).to_pylist())
+        held: list[tuple] = []
+        size = 0
+        for row, raw in enumerate(encoded):
+            ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
+            short = len(ids) % capacity
+            for piece, start in enumerate([*([0] if short else []), *range(short, len(ids), capacity)]):
+                own = ids[start : short if start < short else start + capacity]
+                held.append((row, piece, start, len(own), own.tobytes()))
+                size += len(own)
+                if size >= batch_ids:
+                    yield made(batch, held)
+                    held, size = [], 0
+        if held:
+            yield made(batch, held)
 
     def made(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
         rows, piece, start, length, ids = zip(*held, strict=True)
