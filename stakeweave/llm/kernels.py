@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_WORD = np.ones(256, bool)
@@ -26,7 +27,6 @@ LOWER[65:91] += 32
 CHUNK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
 
 
 def release() -> None:
@@ -58,23 +58,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(kind: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        _powers[kind] = have
-    return have[:n]
+#: Random numbers for each byte at each place in a span of up to ``PLACES`` bytes.
+PLACES = 64
+_DRAWN = mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * np.uint64(_BASE))
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[start:end]``, from one running polynomial sum."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, n), out=total[1:])
-    back = _power("down", pow(_BASE, -1, 1 << 64), n + 1)
-    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+    """64-bit hashes of the spans ``data[start:end]``, which rise and don't overlap.
+
+    A span's bytes add up the numbers drawn for them at their places (tabulation hashing), so two
+    spans that differ have equal sums with probability 2**-64 over the draw, whatever their pattern.  Longer spans are
+    hashed by XXH64, one by one.
+    """
+    size = end - start
+    place = np.zeros(len(data), np.int32)
+    place[start] = start
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(len(data), dtype=np.int32), place, out=place)
+    np.minimum(place, PLACES - 1, out=place)
+    place <<= 8
+    place |= data
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_DRAWN[place], out=total[1:])
+    h = mix(total[end] - total[start] + size.astype(np.uint64) * np.uint64(_BASE))
+    for i in np.flatnonzero(size > PLACES).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes(), int(size[i]))
+    return h
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,4 @@
-"""Line dedup by an exact set-similarity join over the lines of all texts.
+"""Line dedup by a set-similarity join over the lines of all texts, exact but for collisions of 64-bit hashes.
 
 A line is its set of lower-cased (A-Z) words.  Lines stand in the order (id, line
 number); a line goes when an earlier line of any text has Jaccard similarity of at
@@ -27,7 +27,7 @@ that number; else, or where ids aren't whole numbers, texts are numbered by (id,
 range sort of these keys, and joined with their number wherever they are read.
 
 Sets of words are told apart by 64 bits of a hash over their words' hashes, and partners are verified on 64-bit
-hashes of words.  Where one word's open lines are very many they are compared in one task.
+hashes of words; two given words or sets that differ share a hash with probability 2**-64.  Where one word's open lines are very many they are compared in one task.
 
 Defined results: a null text reads as empty and has no lines with words; null ids sort last, ids may be of any
 type that sorts; texts of one id stand in the order of a hash of their text; rows that are equal in id and

@@ -13,6 +13,8 @@
    set; if its sets are in several classes after that, its blocks are compared with each other too.
 5. The forests are joined into components; the first row of each stays.
 
+Jaccard similarities are those of the sets of shingle hashes; two given shingles, or sets, that differ share a 64-bit hash with probability 2**-64.
+
 Words are those of the other operators (split at white space, A-Z in lower case), so line breaks don't
 matter.  Defined results: a text of fewer than five words has its whole run as its shingle; texts without
 words are copies of each other, and a null text reads as empty; the first row is first by id, null first, then by hashes

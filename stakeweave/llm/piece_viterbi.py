@@ -259,6 +259,12 @@ class PieceTable:
         at_front[cut] = True
         h = span_hash(text, start, end) ^ np.where(at_front[start], np.uint64(0x5851F42D4C957F2D), np.uint64(0))
         _, one, which = np.unique(h, return_index=True, return_inverse=True)
+        # Words of one hash are compared with the first of them byte by byte; should any differ, every word stands for itself.
+        twin, size = start[one][which], end - start
+        shift = np.repeat(twin - start, size)
+        shift += np.arange(n)
+        if (size != size[one][which]).any() or (at_front[start] != at_front[twin]).any() or (text[shift] != text).any():
+            one = which = np.arange(len(start))
         raw = text.tobytes()
         words = [
             (_MARK if at_front[s] else b"") + raw[s:e].replace(b" ", _MARK) for s, e in zip(start[one].tolist(), end[one].tolist(), strict=True)
