@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from stakeweave.operators.claims import claim_rows, upsert_claims
 from stakeweave.operators.maintenance import housekeeping
+from stakeweave.operators.store import Files
 from stakeweave.operators.upsert import upsert, upsert_edges
 from stakeweave.sources.registers import control_edges, control_entities, control_persons, control_rows
 
@@ -44,49 +45,54 @@ class ImportLocked(RuntimeError):
 
 
 class ImportLock:
-    """One import at a time over the tables below ``root``: a file that only one writer can create.
+    """One import at a time over the tables below ``root``.
 
-    A holder that has not let go after ``stale_after`` loses it to the next one.
+    Every holder leaves a file with the next number, which appears whole and which only one can take; nothing is ever
+    replaced, so of two that see a stale lock one takes it over and the other is told.  The number is the holder's fence: a
+    ``Store`` that has seen a higher one refuses its commits.
     """
 
     def __init__(self, spark: SparkSession, root: str, stale_after: timedelta = timedelta(hours=6)):
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path(f"{root}/import.lock")
-        self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._read = lambda: jvm.org.apache.commons.io.IOUtils.toString(self._fs.open(self._path), "UTF-8")
-        self.stale_after, self.held = stale_after, None
+        self._files = Files(spark, root)
+        self.stale_after, self.fence = stale_after, None
+
+    def _last(self) -> tuple[int, bool]:
+        """The last number, and whether it has been given back."""
+        names = self._files.names("locks")
+        if not names:
+            return 0, True
+        number = max(int(n.split(".")[0]) for n in names)
+        return number, f"{number:012d}.free" in names
 
     def status(self, now: datetime | None = None) -> dict:
-        """Whether the lock is held, by whom, since when, and whether it is stale."""
-        if not self._fs.exists(self._path):
-            return {"held": False}
-        since, holder = self._read().split(" ", 1)
+        """Whether the lock is held, by whom, since when, with which fence, and whether it is stale."""
+        number, free = self._last()
+        if free:
+            return {"held": False, "fence": number}
+        since, holder = self._files.read(f"locks/{number:012d}.held").split(" ", 1)
         age = (now or datetime.now(UTC)) - datetime.fromisoformat(since)
-        return {"held": True, "holder": holder, "since": since, "stale": age >= self.stale_after}
+        return {"held": True, "holder": holder, "since": since, "stale": age > self.stale_after, "fence": number}
 
-    def acquire(self, holder: str, now: datetime | None = None) -> None:
+    def acquire(self, holder: str, now: datetime | None = None) -> int:
+        """The fence under which to write."""
         now = now or datetime.now(UTC)
         before = self.status(now)
         if before["held"] and not before["stale"]:
             raise ImportLocked(f"{before['holder']} imports since {before['since']}")
-        if before["held"]:
-            self._fs.delete(self._path, False)
-        try:
-            out = self._fs.create(self._path, False)  # fails where another writer was faster
-        except Exception as e:
-            raise ImportLocked("another import was faster") from e
-        self.held = f"{now.isoformat()} {holder}"
-        out.write(bytearray(self.held.encode()))
-        out.close()
+        number = before["fence"] + 1
+        if not self._files.put_new(f"locks/{number:012d}.held", f"{now.isoformat()} {holder}"):
+            raise ImportLocked("another import was faster")
+        self.fence = number
+        return number
 
     def release(self) -> None:
-        """Lets go of a lock of one's own; one that was lost to another stays with it."""
-        if self.held and self._fs.exists(self._path) and self._read() == self.held:
-            self._fs.delete(self._path, False)
-        self.held = None
+        """Lets go of one's own lock; one that was lost to another stays with it."""
+        if self.fence is not None:
+            self._files.put_new(f"locks/{self.fence:012d}.free", "")
+        self.fence = None
 
     def __enter__(self) -> ImportLock:
-        if self.held is None:
+        if self.fence is None:
             self.acquire("import")
         return self
 

@@ -33,15 +33,25 @@ def _said(value: Column, kind: str) -> Column:
     return F.when(F.size(value) > 0, value) if kind.startswith("array") else value
 
 
-def upsert(current: DataFrame, delta: DataFrame, keys: list[str], rules: Mapping[str, str] | None = None, default: str = "new_first") -> DataFrame:
-    """``current`` with ``delta`` folded in by ``keys``; of several rows of ``delta`` with one key the greatest counts.
+def last_of_key(rows: DataFrame, keys: list[str], sequence: str | None = None) -> DataFrame:
+    """One row a key: the last by the column ``sequence``, which goes; of equal ones, or without it, the greatest."""
+    values = [c for c in rows.columns if c not in keys and c != sequence]
+    order = [] if sequence is None else [sequence]
+    if not order + values:
+        return rows.distinct()
+    last = rows.groupBy(*keys).agg(F.max(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order + values)])).alias("_v"))
+    return last.select(*keys, *[F.col(f"_v._{len(order) + i}").alias(c) for i, c in enumerate(values)])
+
+
+def upsert(
+    current: DataFrame, delta: DataFrame, keys: list[str], rules: Mapping[str, str] | None = None, default: str = "new_first", sequence: str | None = None
+) -> DataFrame:
+    """``current`` with ``delta`` folded in by ``keys``; of several rows of ``delta`` with one key the last by ``sequence`` counts, or the greatest.
 
     Columns that ``delta`` lacks keep their stored values.
     """
     rules = dict(rules or {})
-    values = [c for c in delta.columns if c not in keys]
-    if values:
-        delta = delta.groupBy(*keys).agg(F.max(F.struct(*values)).alias("_v")).select(*keys, "_v.*")
+    delta = last_of_key(delta, keys, sequence)
     new = delta.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in delta.columns if c not in keys], F.lit(True).alias("_new"))
     both = current.withColumn("_old", F.lit(True)).join(new, keys, "full")
     kinds = dict(current.dtypes)

@@ -96,8 +96,9 @@ def _relationships(records: DataFrame) -> DataFrame:
     periods = as_list(rel["RelationshipPeriods"]["RelationshipPeriod"], period)
     wanted = F.get(F.filter(periods, lambda p: unwrap(p["PeriodType"]) == "RELATIONSHIP_PERIOD"), F.lit(0))
     marker = F.element_at(F.create_map(*[F.lit(x) for pair in CONSOLIDATION.items() for x in pair]), unwrap(rel["RelationshipType"]))
+    order = [c for c in ("_sequence",) if c in records.columns]
     return records.select(
-        lei(rel["EndNode"]).alias("parent_lei"), lei(rel["StartNode"]).alias("child_lei"), marker.alias("direct_or_indirect"),
+        *order, lei(rel["EndNode"]).alias("parent_lei"), lei(rel["StartNode"]).alias("child_lei"), marker.alias("direct_or_indirect"),
         unwrap(rel["RelationshipStatus"]).alias("status"), iso_prefix(unwrap(wanted["StartDate"])).alias("since"), iso_prefix(unwrap(wanted["EndDate"])).alias("until"),
     ).where("direct_or_indirect IS NOT NULL AND parent_lei IS NOT NULL AND child_lei IS NOT NULL AND parent_lei <> child_lei")
 
@@ -106,7 +107,7 @@ def owns_edges(records: DataFrame, source_id: str, credibility: int) -> DataFram
     """Consolidation edges of active relationships (a missing status counts as active)."""
     rows = _relationships(records).where("status IS NULL OR status = 'ACTIVE'")
     return rows.select(
-        F.concat_ws("|", "parent_lei", "child_lei", "direct_or_indirect").alias("edge_id"), F.concat(F.lit("lei:"), "parent_lei").alias("from_id"),
+        *[c for c in ("_sequence",) if c in rows.columns], F.concat_ws("|", "parent_lei", "child_lei", "direct_or_indirect").alias("edge_id"), F.concat(F.lit("lei:"), "parent_lei").alias("from_id"),
         F.concat(F.lit("lei:"), "child_lei").alias("to_id"), "direct_or_indirect", F.lit("controlling").alias("ownership_type"),
         F.array(F.lit("accountingConsolidation")).alias("interest_types"), "since", "until", F.lit(source_id).alias("source_id"),
         F.lit(credibility).alias("credibility_score"), F.concat(F.lit(RECORD_URL), "child_lei").alias("source_url"), F.col("since").alias("source_date"),

@@ -15,6 +15,7 @@ from stakeweave.operators import resolution as rs
 from stakeweave.operators import search as se
 from stakeweave.operators import tree as tr
 from stakeweave.operators.imports import ImportLock, ImportLocked, import_control
+from stakeweave.operators.store import Conflict, Store
 from stakeweave.operators.upsert import ENTITY_OF_WIKIDATA, PERSON_OF_WIKIDATA, read_version, upsert, write_version
 from stakeweave.sources import filings, registers
 
@@ -107,19 +108,39 @@ def test_sources_believe_columns_in_their_own_order(spark):
 def test_import_lock(spark, tmp_path):
     one, two = ImportLock(spark, str(tmp_path)), ImportLock(spark, str(tmp_path))
     start = datetime(2024, 1, 1, tzinfo=UTC)
-    one.acquire("first", start)
+    assert one.acquire("first", start) == 1
     with pytest.raises(ImportLocked, match="first"):
         two.acquire("second", start + timedelta(hours=5))
     assert two.status(start + timedelta(hours=7))["stale"]
-    two.acquire("second", start + timedelta(hours=7))
+    assert two.acquire("second", start + timedelta(hours=7)) == 2
     one.release()  # lost to the second, so it stays
     assert two.status(start + timedelta(hours=7))["holder"] == "second"
     two.release()
     with one:
-        assert one.status()["held"]
+        assert one.status()["held"] and one.fence == 3
     assert not one.status()["held"]
 
 
+@pytest.mark.parametrize("first", [0, 1])
+def test_two_that_see_a_stale_lock(spark, tmp_path, first):
+    """Both have looked before either takes over: one wins, and the one that was slow to notice cannot write."""
+    old, *both = (ImportLock(spark, str(tmp_path)) for _ in range(3))
+    store = Store(spark, str(tmp_path / "tables"))
+    start = datetime(2024, 1, 1, tzinfo=UTC)
+    late = start + timedelta(hours=9)
+    rows = spark.range(3)
+    store.create({"t": (rows, ["id"], 2)}, fence=old.acquire("old", start))
+    winner, loser = both[first], both[1 - first]
+    seen = loser.status(late)
+    assert winner.acquire("winner", late) == 2
+    loser.status = lambda now=None: seen
+    with pytest.raises(ImportLocked, match="faster"):
+        loser.acquire("loser", late)
+    store.commit(store.latest(), {}, fence=winner.fence)
+    with pytest.raises(Conflict):
+        store.commit(store.latest(), {}, fence=old.fence)
+
+
 def test_control_register_import(spark):
     schema = registers.PSC_SCHEMA
     records = spark.createDataFrame(
