@@ -114,12 +114,16 @@ def _mapped(value: Column, names: Mapping[str, str]) -> Column:
     return F.element_at(table, value)
 
 
+def full_given_name(token: Column) -> Column:
+    """The full form of a nickname, or the name as it stands."""
+    return F.coalesce(_mapped(token, NICKNAMES), token)
+
+
 def given_names_compatible(a: Column, b: Column) -> Column:
     """Whether two given names may denote one person: equal, nickname, prefix, or the same first two letters."""
     x, y = first_token(a), first_token(b)
-    full = lambda t: F.coalesce(_mapped(t, NICKNAMES), t)
     stem = (F.length(x) >= 2) & (F.substring(x, 1, 2) == F.substring(y, 1, 2))
-    return (x != "") & (y != "") & ((full(x) == full(y)) | x.startswith(y) | y.startswith(x) | stem)
+    return (x != "") & (y != "") & ((full_given_name(x) == full_given_name(y)) | x.startswith(y) | y.startswith(x) | stem)
 
 
 def split_full_name(name: Column) -> Column:

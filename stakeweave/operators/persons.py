@@ -4,16 +4,21 @@ Signals are grouped as sets: birth (date and place), name (any name or alias key
 surname pairs that share a company and have compatible given names.  A set of ids found
 by an earlier signal is not reported again by a later one.
 
-A key that very many persons share (one surname, say) is never expanded into all pairs:
-surname pairs are joined on (surname, company), which is what the signal needs anyway.
+A group is a row for each member, never one value that holds them all: what a group is told by (its size, its dates, its
+survivor, whether two members share a company) are aggregates that add up in parts, and whether two groups are the same
+set is decided by their sizes and two sums of 64-bit hashes of their ids (two given sets that differ agree with a probability of about 2**-128).  Name
+variants are found by equal joins: given names are compatible if they share a nickname's full form, their first
+two letters, or the first letter where one is an initial, so a surname at a company is dealt by these and
+by the names that occur, and only compatible names of different spelling ever meet.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stakeweave.functions.names import given_names_compatible, name_key, normalize_place, surname_key
+from stakeweave.functions.names import first_token, full_given_name, name_key, normalize_place, surname_key
+from stakeweave.operators.tree import cut
 
 
 def _aliases() -> Column:
@@ -30,47 +35,70 @@ def _company_links(edges: list[DataFrame], persons: DataFrame) -> DataFrame:
     return out.join(persons.select("id"), "id", "left_semi").distinct()
 
 
-def duplicate_groups(persons: DataFrame, edges: list[DataFrame], separate: DataFrame) -> DataFrame:
-    """``members`` (sorted ids), ``confidence, likely_distinct, reason, keep_id`` of every likely group.
-
-    ``edges`` link persons and entities; ``separate`` has pairs ``a, b`` that a moderator told apart.
-    """
-    links = _company_links(edges, persons)
+def _signals(persons: DataFrame, links: DataFrame) -> DataFrame:
+    """``stage, key, width, id``: which persons share which signal."""
     keys = persons.select(
         "id", "birth_date", "birth_place", "full_name",
         F.array_distinct(F.filter(F.transform(F.concat(F.array("full_name"), _aliases()), name_key), lambda k: F.size(k) > 0)).alias("name_keys"),
-        surname_key(F.col("last_name"), F.col("full_name")).alias("surname"), name_key(F.col("full_name")).alias("own_key"),
-        F.coalesce(F.nullif("first_name", F.lit("")), F.col("full_name")).alias("given"),
+        surname_key(F.col("last_name"), F.col("full_name")).alias("surname"), F.concat_ws(" ", name_key(F.col("full_name"))).alias("own_key"),
+        F.size(name_key(F.col("full_name"))).alias("own_width"), first_token(F.coalesce(F.nullif("first_name", F.lit("")), F.col("full_name"))).alias("given"),
     )
     birth = keys.where("birth_date <> '' AND birth_place <> ''").select(
-        F.lit(0).alias("stage"), F.concat_ws("|", "birth_date", normalize_place(F.col("birth_place"))).alias("key"), F.size("own_key").alias("width"), "id"
+        F.lit(0).alias("stage"), F.concat_ws("|", "birth_date", normalize_place(F.col("birth_place"))).alias("key"), F.col("own_width").alias("width"), "id"
     )
     names = keys.select("id", F.explode("name_keys").alias("k")).select(
         F.lit(1).alias("stage"), F.concat_ws(" ", "k").alias("key"), F.size("k").alias("width"), "id"
     )
-    held = keys.where("surname <> ''").join(links, "id").select("surname", "entity_id", "id", "given", "own_key")
-    a = held.select("surname", "entity_id", F.col("id").alias("a"), F.col("given").alias("ga"), F.col("own_key").alias("ka"))
-    b = held.select("surname", "entity_id", F.col("id").alias("b"), F.col("given").alias("gb"), F.col("own_key").alias("kb"))
-    pairs = a.join(b, ["surname", "entity_id"]).where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")))
-    pairs = pairs.where(given_names_compatible(F.col("ga"), F.col("gb"))).select("a", "b").distinct()
+    pairs = _variants(keys.where("surname <> '' AND given <> ''").join(links, "id").select("surname", "entity_id", "own_key", "given", "id"))
     variants = pairs.select(F.lit(2).alias("stage"), F.concat_ws("|", "a", "b").alias("key"), F.lit(0).alias("width"), F.explode(F.array("a", "b")).alias("id"))
+    return birth.unionByName(names).unionByName(variants)
+
+
+def _variants(held: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of persons of one surname at one company whose given names are compatible but whose names differ."""
+    place = ["surname", "entity_id"]
+    names = held.select(*place, "own_key", "given").distinct()
+    kinds = F.filter(
+        F.array(
+            F.concat(F.lit("full:"), full_given_name(F.col("given"))),
+            F.when(F.length("given") >= 2, F.concat(F.lit("stem:"), F.substring("given", 1, 2))),
+            F.when(F.length("given") == 1, F.concat(F.lit("initial:"), "given")),
+        ),
+        lambda k: k.isNotNull(),
+    )
+    kinds_of_other = F.when(F.length("given") >= 2, F.array_append(kinds, F.concat(F.lit("initial:"), F.substring("given", 1, 1)))).otherwise(kinds)
+    side = lambda n, kinds: names.select(*place, F.explode(kinds).alias("kind"), F.col("own_key").alias(f"k{n}"), F.col("given").alias(f"g{n}"))
+    # Longer names meet an initial under its kind, never each other; other kinds meet among themselves, in one order.
+    met = side("a", kinds).join(side("b", kinds_of_other), [*place, "kind"]).where("ka < kb OR (ka <> kb AND kind LIKE 'initial:%')").select(*place, "ka", "ga", "kb", "gb").distinct()
+    one, two = (held.select(*place, F.col("own_key").alias(f"k{n}"), F.col("given").alias(f"g{n}"), F.col("id").alias(n)) for n in "ab")
+    found = met.join(one, [*place, "ka", "ga"]).join(two, [*place, "kb", "gb"])
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
-    member = birth.unionByName(names).unionByName(variants)
-    groups = member.groupBy("stage", "key").agg(F.array_sort(F.collect_set("id")).alias("members"), F.max("width").alias("width")).where(F.size("members") > 1)
-    # One report a set of ids: the earliest signal; of several name keys the first in order.
-    order = Window.partitionBy("members").orderBy("stage", "key")
-    groups = groups.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").withColumn("gid", F.concat_ws(",", "members"))
+def duplicate_members(persons: DataFrame, edges: list[DataFrame], separate: DataFrame) -> DataFrame:
+    """``gid, id, n, confidence, likely_distinct, reason, keep_id``: a row for each member of every likely group.
+
+    ``edges`` link persons and entities; ``separate`` has pairs ``a, b`` that a moderator told apart.
+    """
+    links = _company_links(edges, persons)
+    member = _signals(persons, links).distinct()
+    ids = [F.xxhash64(F.lit(k), F.col("id")) for k in (1, 2)]
+    wide = lambda h: F.sum(h.cast("decimal(38,0)"))
+    groups = member.groupBy("stage", "key").agg(F.count(F.lit(1)).alias("n"), wide(ids[0]).alias("h1"), wide(ids[1]).alias("h2"), F.max("width").alias("width")).where("n > 1")
+    # One report a set of ids: the earliest signal; of several keys the first in order.
+    groups = groups.groupBy("n", "h1", "h2").agg(F.min(F.struct("stage", "key", "width")).alias("g")).select("n", "g.*")
+    groups = cut(groups.withColumn("gid", F.concat_ws("|", "stage", "key")))
+    rows = cut(member.select("stage", "key", "id").join(groups.select("stage", "key", "gid"), ["stage", "key"]).select("gid", "id"))
 
-    rows = groups.select("gid", F.explode("members").alias("id"))
     shared = rows.join(links, "id").groupBy("gid", "entity_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gid").distinct()
-    connected = rows.join(links, "id").groupBy("gid", "id").agg(F.count(F.lit(1)).alias("connected"))
-    facts = rows.join(persons.select("id", "birth_date", "wikidata_id", "full_name"), "id").join(connected, ["gid", "id"], "left")
+    connected = links.groupBy("id").agg(F.count(F.lit(1)).alias("connected"))
+    facts = rows.join(persons.select("id", "birth_date", "wikidata_id", "full_name"), "id").join(connected, "id", "left")
     dated = F.nullif("birth_date", F.lit(""))
     keep = F.struct(F.coalesce(F.col("wikidata_id"), F.lit("")) == "", -F.coalesce("connected", F.lit(0)), F.length(F.coalesce("full_name", F.lit(""))), "id")
-    graded = facts.groupBy("gid").agg(F.count(dated).alias("dates"), F.count_distinct(dated).alias("distinct_dates"), F.min_by("id", keep).alias("keep_id"))
+    graded = facts.groupBy("gid").agg(F.count(dated).alias("dates"), F.min(dated).alias("first_date"), F.max(dated).alias("last_date"), F.min_by("id", keep).alias("keep_id"))
     out = groups.join(graded, "gid").join(shared.withColumn("shared", F.lit(True)), "gid", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
-    same_birth = (F.col("distinct_dates") == 1) & (F.col("dates") >= 2)
-    distinct = (F.col("distinct_dates") >= 2) & ~F.col("shared")
+    same_birth = F.coalesce((F.col("first_date") == F.col("last_date")) & (F.col("dates") >= 2), F.lit(False))
+    distinct = F.coalesce((F.col("first_date") < F.col("last_date")) & ~F.col("shared"), F.lit(False))
     confidence = (
         F.when(F.col("stage") == 2, F.when(same_birth, "high").otherwise("medium")).when(F.col("shared") | same_birth, "high").when(distinct, "low")
         .when(F.col("width") >= 3, "medium").otherwise("low")
@@ -82,19 +110,36 @@ def duplicate_groups(persons: DataFrame, edges: list[DataFrame], separate: DataF
         F.when(F.col("shared") & (F.col("stage") != 2), "share a company"), F.when(same_birth & (F.col("stage") != 0), "same birth date"),
         F.when(distinct & (F.col("stage") != 2), "but DIFFERENT birth dates — likely distinct people"),
     )
-    out = out.select("members", confidence.alias("confidence"), distinct.alias("likely_distinct"), reason.alias("reason"), "keep_id")
-    return drop_dismissed(out, separate)
+    out = out.select("gid", "n", confidence.alias("confidence"), distinct.alias("likely_distinct"), reason.alias("reason"), "keep_id")
+    # Groups of which every pair has been told apart are no longer likely.
+    told = _told_apart(rows, separate)
+    open_ = out.join(told, "gid", "left").where(F.coalesce("told", F.lit(0)) < F.col("n") * (F.col("n") - 1) / 2).drop("told")
+    return rows.join(open_, "gid").select("gid", "id", "n", "confidence", "likely_distinct", "reason", "keep_id")
+
+
+def _told_apart(rows: DataFrame, separate: DataFrame) -> DataFrame:
+    """``gid, told``: how many pairs of a group's members (``gid, id``) a moderator told apart."""
+    pairs = separate.where("a <> b").select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).distinct()
+    one = rows.select("gid", F.col("id").alias("_a")).join(pairs, "_a")
+    return one.join(rows.select("gid", F.col("id").alias("_b")), ["gid", "_b"]).groupBy("gid").agg(F.count(F.lit(1)).alias("told"))
+
+
+def duplicate_groups(persons: DataFrame, edges: list[DataFrame], separate: DataFrame) -> DataFrame:
+    """``members`` (sorted ids), ``confidence, likely_distinct, reason, keep_id`` of every likely group, for review.
+
+    A group's members come as one array here; ``duplicate_members`` has a row for each.
+    """
+    rows = duplicate_members(persons, edges, separate)
+    one = F.first(F.struct("confidence", "likely_distinct", "reason", "keep_id")).alias("g")  # the same in all rows of a group
+    return rows.groupBy("gid").agg(F.array_sort(F.collect_list("id")).alias("members"), one).select("members", "g.*")
 
 
 def drop_dismissed(groups: DataFrame, separate: DataFrame) -> DataFrame:
     """Groups of which some pair has not been told apart."""
-    pairs = separate.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).distinct()
-    rows = groups.select(F.concat_ws(",", "members").alias("_gid"), "members")
-    inside = rows.select("_gid", F.explode("members").alias("_a")).join(pairs, "_a").join(rows.select("_gid", F.explode("members").alias("_b")), ["_gid", "_b"])
-    told = inside.groupBy("_gid").agg(F.count(F.lit(1)).alias("_told"))
+    rows = groups.select(F.concat_ws(",", "members").alias("gid"), F.explode("members").alias("id"))
     n = F.size("members")
-    joined = groups.withColumn("_gid", F.concat_ws(",", "members")).join(told, "_gid", "left")
-    return joined.where(F.coalesce("_told", F.lit(0)) < n * (n - 1) / 2).drop("_gid", "_told")
+    joined = groups.withColumn("gid", F.concat_ws(",", "members")).join(_told_apart(rows, separate), "gid", "left")
+    return joined.where(F.coalesce("told", F.lit(0)) < n * (n - 1) / 2).drop("gid", "told")
 
 
 def review_order(groups: DataFrame) -> DataFrame:
@@ -112,9 +157,10 @@ def candidate_persons(persons: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def auto_merge_plan(groups: DataFrame) -> DataFrame:
-    """``dup_id, keep_id`` of groups that are sure and not likely distinct people."""
+    """``dup_id, keep_id`` of groups that are sure and not likely distinct people; groups as arrays or as rows of members."""
     sure = groups.where("confidence = 'high' AND NOT likely_distinct")
-    plan = sure.select(F.explode("members").alias("dup_id"), "keep_id", "reason").where("dup_id <> keep_id")
+    member = F.explode("members") if "members" in groups.columns else F.col("id")
+    plan = sure.select(member.alias("dup_id"), "keep_id", "reason").where("dup_id <> keep_id")
     from stakeweave.operators.resolution import collapse_plan
 
     return collapse_plan(plan.groupBy("dup_id").agg(F.min_by(F.struct("keep_id", "reason"), F.struct("keep_id")).alias("_p")).select("dup_id", "_p.*"))

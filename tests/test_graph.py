@@ -1,6 +1,11 @@
+import collections
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from stakeweave.functions import names
 from stakeweave.operators import claims, edges, maintenance, moderation, persons, resolution, search, tree
 from stakeweave.operators.upsert import read_version, update_only, upsert, write_version
 
@@ -98,6 +103,83 @@ def test_person_duplicates(spark):
     assert merged.count() == len(people) - 4 and "Page Larry" in merged.where("id = 'a2'").first().alias
 
 
+def groups_by_pairs(people, links, separate):
+    """Groups of persons (with their keys) by the signals' definitions, all pairs compared."""
+    linked = collections.defaultdict(set)
+    for p, e in links:
+        linked[p].add(e)
+    signals = []
+    for kind in ("birth", "name"):
+        by = collections.defaultdict(set)
+        for p in people:
+            keys = ([(p.birth_date, p.place)] if p.birth_date and p.birth_place else []) if kind == "birth" else map(tuple, p.name_keys)
+            for k in keys:
+                by[k].add(p.id)
+        signals += [(kind, k, frozenset(m)) for k, m in sorted(by.items())]
+    rows = {p.id: p for p in people}
+    for a, b in itertools.combinations(people, 2):
+        x, y = a.given, b.given
+        alike = x and y and (a.full == b.full or x.startswith(y) or y.startswith(x) or (len(x) > 1 and x[:2] == y[:2]))
+        if a.surname and a.surname == b.surname and a.own_key != b.own_key and alike and linked[a.id] & linked[b.id]:
+            signals.append(("variant", None, frozenset((a.id, b.id))))
+    out, told = {}, {frozenset(x) for x in separate}
+    for kind, key, m in signals:
+        if len(m) < 2 or m in out:
+            continue
+        shared = any(linked[a] & linked[b] for a, b in itertools.combinations(m, 2))
+        dates = [rows[i].birth_date for i in m if rows[i].birth_date]
+        same, differ = len(dates) > 1 and len(set(dates)) == 1, len(set(dates)) > 1 and not shared
+        width = len(key) if kind == "name" else max(len(rows[i].own_key) for i in m)
+        grade = ("high" if same else "medium") if kind == "variant" else "high" if shared or same else "low" if differ else "medium" if width > 2 else "low"
+        keep = min(m, key=lambda i: (not rows[i].wikidata_id, -len(linked[i]), len(rows[i].full_name), i))
+        out[m] = (grade, differ, keep)
+    return {tuple(sorted(m)): v for m, v in out.items() if not all(frozenset(x) in told for x in itertools.combinations(m, 2))}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_person_duplicates_match_all_pairs(spark, seed):
+    draw = random.Random(seed)
+    given, last = ["Bob", "Robert", "R", "B", "Ro", "Larry", "Laurence", "L", "Ann", "Anna", "", "Mr Ed"], ["Fink", "Stone", "St-One", "Fink Jr"]
+    people = []
+    for i in range(140):
+        g, n = draw.choice(given), draw.choice(last)
+        name = f"{g} {n}" if draw.random() < 0.8 else f"{n} {g}"
+        alias = [f"{draw.choice(given)} {draw.choice(last)} Extra"] if draw.random() < 0.2 else None if draw.random() < 0.3 else []
+        people.append((f"p{i:03d}", name, draw.choice([None, "", g]), draw.choice([None, n, ""]), draw.choice([None, "", "1970-01-01", "1980-02-02"]), draw.choice([None, "Oslo", "Os lo", "Rome", ""]), draw.choice([None, None, f"Q{i}", ""]), alias))
+    links = [(f"p{draw.randrange(150):03d}", f"c{draw.randrange(12)}") for _ in range(200)]
+    separate = [(f"p{draw.randrange(140):03d}", f"p{draw.randrange(140):03d}") for _ in range(600)]
+    table = spark.createDataFrame(people, PERSON)
+    e = spark.createDataFrame([x if k % 2 else x[::-1] for k, x in enumerate(links)] + links[:5], "from_id string, to_id string")
+    keyed = table.select(
+        "*", names.normalize_place(F.col("birth_place")).alias("place"), names.name_key(F.col("full_name")).alias("own_key"), names.surname_key(F.col("last_name"), F.col("full_name")).alias("surname"),
+        F.filter(F.transform(F.concat(F.array("full_name"), F.coalesce("alias", F.array().cast("array<string>"))), names.name_key), lambda k: F.size(k) > 0).alias("name_keys"),
+        names.first_token(F.coalesce(F.nullif("first_name", F.lit("")), F.col("full_name"))).alias("given"),
+    ).withColumn("full", names.full_given_name(F.col("given"))).collect()
+    want = groups_by_pairs(keyed, set(links), separate)
+    pairs = spark.createDataFrame(separate, "a string, b string")
+    got = persons.duplicate_groups(table, [e], pairs)
+    assert {tuple(r.members): (r.confidence, r.likely_distinct, r.keep_id) for r in got.collect()} == want and got.count() == len(want) > 30
+    rows = persons.duplicate_members(table, [e], pairs)
+    assert rows.count() == sum(map(len, want))
+    plan = lambda x: sorted(map(tuple, persons.auto_merge_plan(x).select("dup_id", "keep_id").collect()))
+    assert plan(rows) == plan(got)
+
+
+def test_hot_names_and_surnames(spark):
+    """Half of all persons have one name, a third one surname at one company, and no value holds them all."""
+    people = spark.range(60_000).select(
+        F.concat(F.lit("p"), "id").alias("id"),
+        F.when(F.col("id") % 2 == 0, F.lit("Ann Lee Common")).otherwise(F.concat(F.chr(97 + F.col("id") % 26), F.chr(97 + (F.col("id") / 26).cast("long") % 26), F.lit("x"), F.col("id"), F.lit(" Hot"))).alias("full_name"),
+        *[F.lit(None).cast("string").alias(c) for c in ("first_name", "last_name", "birth_date", "birth_place", "wikidata_id")], F.lit(None).cast("array<string>").alias("alias"),
+    )
+    links = people.where("full_name LIKE '% Hot' AND int(substring(id, 2)) % 3 = 0").select(F.col("id").alias("from_id"), F.lit("c1").alias("to_id"))
+    rows = persons.duplicate_members(people, [links], spark.createDataFrame([], "a string, b string"))
+    assert "collect_" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    sizes = {r.reason: (r.n, r.g) for r in rows.groupBy("reason").agg(F.max("n").alias("n"), F.count_distinct("gid").alias("g")).collect()}
+    stems = collections.Counter((i % 26, i // 26 % 26) for i in range(60_000) if i % 2 and i % 3 == 0)
+    assert sizes == {"same name/alias (order/spelling/title)": (30_000, 1), "same surname + shared company (name variant)": (2, sum(n * (n - 1) // 2 for n in stems.values()))}
+
+
 ENTITY = "id string, name string, name_normalized string, country string, founded int, lei_id string, companies_house_id string, sec_cik string, wikidata_id string, registered_address string, name_credibility int, verified boolean, aliases array<string>, description string"
 
 
