@@ -103,12 +103,13 @@ class Store:
         raw = json.loads(self.files.read(f"versions/{number:012d}.json"))
         return Version(raw["number"], raw["fence"], {k: Table(**t) for k, t in raw["tables"].items()}, raw["tags"])
 
-    def commit(self, base: Version, tables: Mapping[str, Table], tags: Mapping[str, str] | None = None, fence: int | None = None) -> Version:
-        """The version after ``base``, with ``tables`` in place of those of the same names."""
+    def commit(self, base: Version, tables: Mapping[str, Table | None], tags: Mapping[str, str] | None = None, fence: int | None = None) -> Version:
+        """The version after ``base``, with ``tables`` in place of those of the same names; one given as None goes."""
         fence = base.fence if fence is None else fence
         if fence < base.fence:
             raise Conflict(f"lock number {fence} has been followed by {base.fence}")
-        made = Version(base.number + 1, fence, {**base.tables, **tables}, {**base.tags, **(tags or {})})
+        named = {k: t for k, t in {**base.tables, **tables}.items() if t is not None}
+        made = Version(base.number + 1, fence, named, {**base.tags, **(tags or {})})
         body = {"number": made.number, "fence": made.fence, "tags": made.tags, "tables": {k: vars(t) for k, t in made.tables.items()}}
         if not self.files.put_new(f"versions/{made.number:012d}.json", json.dumps(body)):
             raise Conflict(f"version {made.number} has been written by another")
@@ -139,11 +140,14 @@ class Store:
         table = version.tables[name]
         return self.read(name, version, self.touched(table, keys)).join(keys.select(*table.keys).distinct(), table.keys, "left_semi")
 
-    def write(self, table: Table, rows: DataFrame, buckets: list[int] | None = None) -> Table:
-        """``table`` with ``rows`` as all that ``buckets`` (or all of them) hold; nothing shows before a commit."""
+    def write(self, table: Table, rows: DataFrame, buckets: list[int] | None = None, deal: Column | None = None) -> Table:
+        """``table`` with ``rows`` as all that ``buckets`` (or all of them) hold; nothing shows before a commit.
+
+        A bucket is one task's work and one file; where one key has very many rows, ``deal`` spreads them over several.
+        """
         schema = StructType.fromJson(json.loads(table.schema))
         folder = f"data/{uuid.uuid4().hex}"
-        dealt = rows.select(*schema.names).withColumn("_bucket", self.bucket_of(table)).repartition("_bucket").sortWithinPartitions("_bucket", *table.keys)
+        dealt = rows.select(*schema.names).withColumn("_bucket", self.bucket_of(table)).repartition("_bucket", *([] if deal is None else [deal])).sortWithinPartitions("_bucket", *table.keys)
         dealt.write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
         new = {n.split("=")[1]: f"{folder}/{n}" for n in self.files.names(folder) if n.startswith("_bucket=")}
         replaced = set(table.paths) if buckets is None else {str(b) for b in buckets}
