@@ -502,9 +502,29 @@ def shared_birth_places(t, spark, sf_dir):
     return t("person").where("birth_place <> ''").groupBy("birth_place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query()
+@query(
+    """WITH p AS (SELECT id, ['Bob', 'Robert', 'Larry', 'Laurence', 'Ann'][k % 5 + 1] AS given, k % 97 AS s, CASE WHEN k % 11 = 0 THEN '1970-01-01' END AS birth,
+  regexp_replace(lower(birth_place), '[^a-z0-9]', '', 'g') AS place, k % 13 = 0 AS notable FROM (SELECT *, CAST(regexp_extract(full_name, '([0-9]+)$', 1) AS BIGINT) AS k FROM person)),
+links AS (SELECT from_id AS id, to_id AS e FROM has_role WHERE from_id IN (SELECT id FROM p) UNION SELECT to_id, from_id FROM has_role WHERE to_id IN (SELECT id FROM p)),
+member AS (SELECT 0 AS stage, birth || '|' || place AS key, id FROM p WHERE birth <> '' AND place <> '' UNION ALL SELECT 1, given || ' ' || CAST(s AS STRING), id FROM p),
+-- Of these given names only nicknames and common stems are compatible.
+pair AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.s = b.s AND a.id < b.id AND a.given <> b.given AND (CASE WHEN a.given IN ('Bob', 'Robert') THEN 1 WHEN a.given = 'Ann' THEN 3 ELSE 2 END)
+  = (CASE WHEN b.given IN ('Bob', 'Robert') THEN 1 WHEN b.given = 'Ann' THEN 3 ELSE 2 END) JOIN links x ON x.id = a.id JOIN links y ON y.id = b.id AND y.e = x.e),
+sets AS (SELECT stage, string_agg(id, ',' ORDER BY id) AS members FROM member GROUP BY stage, key HAVING COUNT(*) > 1 UNION ALL SELECT 2, a || ',' || b FROM pair),
+one AS (SELECT members, MIN(stage) AS stage FROM sets GROUP BY members),
+rows AS (SELECT members, stage, unnest(string_split(members, ',')) AS id FROM one),
+deg AS (SELECT id, COUNT(*) AS n FROM links GROUP BY id),
+shared AS (SELECT DISTINCT members FROM (SELECT members, e FROM rows JOIN links USING (id) GROUP BY members, e HAVING COUNT(*) > 1)),
+facts AS (SELECT members, MIN(stage) AS stage, COUNT(birth) > 1 AND MIN(birth) = MAX(birth) AS same, first(id ORDER BY NOT notable, COALESCE(n, 0) DESC, length(given) + length(CAST(s AS STRING)), id) AS keep_id
+  FROM rows JOIN p USING (id) LEFT JOIN deg USING (id) GROUP BY members)
+SELECT f.members, CASE WHEN stage = 2 THEN CASE WHEN same THEN 'high' ELSE 'medium' END WHEN s.members IS NOT NULL OR same THEN 'high' ELSE 'low' END AS confidence, FALSE AS likely_distinct,
+  CASE stage WHEN 0 THEN 'same birth date + place' WHEN 1 THEN 'same name/alias (order/spelling/title)' ELSE 'same surname + shared company (name variant)' END
+  || CASE WHEN s.members IS NOT NULL AND stage <> 2 THEN ', share a company' ELSE '' END || CASE WHEN same AND stage <> 0 THEN ', same birth date' ELSE '' END AS reason, keep_id
+FROM facts f LEFT JOIN shared s USING (members)""",
+    "person", "has_role",
+)
 def person_duplicates(t, spark, sf_dir):
-    """Groups over persons whose given names repeat; SQL has no compatible-name test."""
+    """Groups over persons whose given names repeat."""
     p = t("person")
     k = F.regexp_extract("full_name", "([0-9]+)$", 1).cast("long")
     people = p.select(
