@@ -260,11 +260,13 @@ def proxy_owner_tables(t, spark, sf_dir):
     row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
     single = F.concat(
         F.lit("<table><tr><td>layout <table>" + row("", "Name of Beneficial Owner", "Shares", "Percent of class") + "<tr><td></td><td>Owner "), k.cast("string"), F.lit(" (1)</td><td>"),
-        (k + 100000).cast("string"), F.lit("</td><td>"), (k % 90 + 1).cast("string"), F.lit(".5%</td></tr>" + row("", "Jane Roe", "25,000 (2)", "*") + row("", "5,000", "7.2%") + "</table></td></tr></table>"),
+        (k + 100000).cast("string"), F.lit("</td><td>"), (k % 90 + 1).cast("string"), F.lit(".5%</td></tr>" + row("", "Jane Roe 410 Terry Ave N", "25,000 (2)", "*") + row("", "5,000", "7.2%")
+              + row("", "Executive Officers:", "", "") + row("", "All directors and executive officers as a group (12 persons)", "90,000", "12.0%") + "</table></td></tr></table>"),
     )
     dual = F.concat(
         F.lit("<table>" + row("Name", "Class", "Class A and B shares", "Voting power") + "<tr><td>Owner "), k.cast("string"), F.lit("</td><td>Class A</td><td>"), (k + 100000).cast("string"), F.lit("</td><td>"),
-        (k % 90 + 1).cast("string"), F.lit(".5%</td></tr>" + row("Jane Roe", "Class A", "100,000", "3.0%") + row("", "Class B", "2,500,000", "33.1%", "31.0%") + "</table>"),
+        (k % 90 + 1).cast("string"), F.lit(".5%</td></tr>" + row("Jane Roe", "Class A", "100,000", "3.0%") + row("", "Class B", "2,500,000", "33.1%", "31.0%")
+              + row("All directors and executive officers as a group (9 persons)", "Class A", "9,000,000", "71.0%") + "</table>"),
     )
     table = F.when(k % 2 == 0, single).otherwise(dual)
     return filings.proxy_owners(p.select("page_id", F.concat("html", table).alias("html")), "page_id", "html")

@@ -207,7 +207,14 @@ class _Tables(HTMLParser):
 _SINGLE = re.compile(r"beneficial ownership|beneficially owned|percent of common|percent of outstanding|percent of class|percent of", re.I)
 _DUAL = ("voting power", ("class a", "class b"))
 _HEADING = re.compile(r"name of beneficial|^name$|shares", re.I)
-_NO_OWNER = re.compile(r"^(class [ab]\b.*|common stock.*|total.*|percent.*|number.*|title of class.*)$", re.I)
+_NO_OWNER = re.compile(
+    r"name\s+of\s+beneficial|name\s+and\s+address|beneficial\s+owner\s+name|class\s+[abc]|shares|percent|voting\s+power"
+    r"|executive\s+officers|other\s+[>5%]|all\s+(executive|directors)|^(common stock|total|number|title of class)",
+    re.I,
+)
+_CLASS_ROW = re.compile(r"class\s+[abc]\b", re.I)
+# An address that follows a name: a number, then a word.
+_ADDRESS = re.compile(r"\s+\d+\s+[A-Za-z]")
 _FOOTNOTE = re.compile(r"\s*(\(\w{1,3}\)|\[\w{1,3}\])+\s*$")
 MOST_HEADER_ROWS, MANY_SHARES = 5, 10_000
 
@@ -231,7 +238,8 @@ def owner_rows(html: str) -> list[tuple[str, str, str]]:
 
     A name is a row's first cell that says anything, wherever columns are padded.  Shares are the largest number
     above ``MANY_SHARES``.  In a table of two classes the percentage is the last column's, and a row that names a class
-    instead of an owner belongs to the owner before it: its figure before the last one is that owner's percentage.
+    instead of an owner belongs to the owner before it: its figure before the last one is that owner's percentage.  Headings
+    between rows and rows of all directors and officers as a group name no owner and change none; an address behind a name is cut off.
     """
     parser = _Tables()
     parser.feed(html or "")
@@ -254,8 +262,12 @@ def _owners_of(rows: list[list[str]], dual: bool) -> list[tuple[str, str, str]]:
     for row in rows[max(heads, default=-1) + 1 :]:
         said = [c for c in row if c]
         figures = said[1:]
-        if not re.search(r"[^\W\d_]{2}", said[0]) or _NO_OWNER.match(said[0]):
-            if dual and out and len(figures) >= 2:
+        name = _FOOTNOTE.sub("", said[0])
+        address = _ADDRESS.search(name)
+        name = name[: address.start()].strip() if address else said[0]
+        bare = not re.search(r"[^\W\d_]{2}", said[0])
+        if bare or _NO_OWNER.search(said[0]):
+            if dual and out and len(figures) >= 2 and (bare or _CLASS_ROW.match(said[0])):
                 name, shares, percent = out[-1]
                 most = max(figures, key=_count_of)
                 shares = most if _count_of(most) > max(MANY_SHARES, _count_of(shares)) else shares
@@ -267,7 +279,7 @@ def _owners_of(rows: list[list[str]], dual: bool) -> list[tuple[str, str, str]]:
         shares = most if _count_of(most) > MANY_SHARES else ""
         percent = _percent_of(figures[-1]) if dual else next(filter(None, map(_percent_of, figures)), "")
         if shares or percent:
-            out.append((said[0], shares, percent))
+            out.append((name, shares, percent))
     return out
 
 

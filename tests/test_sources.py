@@ -250,6 +250,16 @@ def test_proxy_tables(spark):
     assert got == [(1, "Jane Roe", 1234567, 27.4), (1, "John Doe", 12345, 0.4)]
 
 
+@pytest.mark.parametrize("dual", [False, True])
+def test_proxy_rows_that_name_no_owner(dual):
+    head = ["Name", "Class A", "Class B", "Voting power"] if dual else ["Name of Beneficial Owner", "Shares", "Percent of class", ""]
+    rows = [head, ["5% holders:", "", "", ""], ["Jeffrey P. Bezos 410 Terry Ave N, Seattle", "1,000,000", "", "9.5%"], ["Executive Officers and Directors:", "", "", ""], ["Vanguard 500 Fund (3)", "60,000", "", "7.5%"],
+            ["Other >5% Security Holders", "1", "2", "3.0%"], ["Jane Roe (1)(2)", "20,000", "", "1.5%"], ["All directors and executive officers as a group (12 persons)", "90,000", "80,000", "12.0%"]]
+    html = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+    # A number and a word behind a name read as an address, as in "Vanguard 500 Fund".
+    assert filings.owner_rows(html) == [("Jeffrey P. Bezos", "1,000,000", "9.5%"), ("Vanguard", "60,000", "7.5%"), ("Jane Roe (1)(2)", "20,000", "1.5%")]
+
+
 def test_wikidata(spark):
     def row(**k):
         return {a: {"value": b} for a, b in k.items()}
