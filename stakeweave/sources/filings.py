@@ -59,6 +59,65 @@ def _xml(text: Column, name: str) -> Column:
     return F.nullif(F.trim(F.xpath_string(text, F.lit(f"//*[local-name()='{name}']"))), F.lit(""))
 
 
+def xml_elements(text: Column, name: str) -> Column:
+    """Every element of this name, at any depth and under any namespace, as a document of its own.
+
+    Elements that hold another of their name end with it.
+    """
+    tag = rf"(?:[\w.-]+:)?{re.escape(name)}"
+    inner = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?s)<{tag}(?:\s[^>]*)?(?<!/)>(.*?)</{tag}\s*>"))
+    # Prefixes of elements and attributes go, since what declares them stays outside.
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(</?)[\w.-]+:(?=[\w.-])", "$1"), r"(?<=\s)[\w.-]+:(?=[\w.-]+\s*=\s*[\"'])", "")
+    return F.transform(inner, lambda x: F.concat(F.lit("<x>"), bare(x), F.lit("</x>")))
+
+
+def _fields(element: Column, schema: str) -> Column:
+    """Children of an element; one that isn't well formed has none."""
+    return F.from_xml(element, schema, {"rowTag": "x", "mode": "PERMISSIVE"})
+
+
+def affiliated_managers(filings: DataFrame) -> DataFrame:
+    """``cik, manager_cik, manager, source_url, source_date, form_type``: the other managers that a filer's latest 13F cover names.
+
+    ``filings`` has ``cik, form, accession, filed, xml``.  It says who reports together, not who owns whom.  A manager
+    counts once, by its id or else by its name, as it is named first.
+    """
+    rows = filings.where(F.col("form").rlike("^13F-(NT|HR)"))
+    last = rows.groupBy("cik").agg(F.max_by(F.struct("form", "accession", "filed", "xml"), F.struct("filed", "accession")).alias("f")).select("cik", "f.*")
+    named = last.select("cik", "form", "accession", "filed", F.posexplode(xml_elements(F.col("xml"), "otherManager")).alias("place", "m"))
+    named = named.withColumn("m", _fields(F.col("m"), "cik string, name string")).select("*", F.trim("m.cik").alias("raw"), F.nullif(F.trim("m.name"), F.lit("")).alias("manager"))
+    named = named.where("manager IS NOT NULL").withColumn("manager_cik", F.when(F.col("raw").rlike("^[0-9]+$"), F.lpad(F.regexp_replace("raw", "^0+", ""), 10, "0")))
+    first = named.groupBy("cik", F.coalesce("manager_cik", F.lower("manager")).alias("key")).agg(F.min_by(F.struct("manager_cik", "manager", "form", "accession", "filed"), "place").alias("m"))
+    return first.select(
+        "cik", "m.manager_cik", "m.manager", filing_index_url(F.col("cik"), F.col("m.accession")).alias("source_url"), F.col("m.filed").alias("source_date"), F.col("m.form").alias("form_type")
+    )
+
+
+_ENTRY = "id string, title string, content struct<`accession-number`:string, `filing-date`:string, `filing-type`:string>"
+
+
+def feed_companies(feeds: DataFrame, xml: str = "xml") -> DataFrame:
+    """``cik, name`` of the one company that an Atom feed is about, null where it lists several; all other columns stay."""
+    head = F.regexp_replace(F.coalesce(F.col(xml), F.lit("")), r"(?s)<(?:[\w.-]+:)?entry(?:\s[^>]*)?>.*?</(?:[\w.-]+:)?entry\s*>", "")
+    info = _fields(F.get(xml_elements(head, "company-info"), F.lit(0)), "cik string, `conformed-name` string")
+    rows = feeds.withColumn("_i", info)
+    return rows.select(
+        *[c for c in feeds.columns if c != xml], F.lpad(F.nullif(F.trim("_i.cik"), F.lit("")), 10, "0").alias("cik"), F.coalesce(F.trim("_i.conformed-name"), F.lit("")).alias("name")
+    )
+
+
+def feed_entries(feeds: DataFrame, xml: str = "xml") -> DataFrame:
+    """``place, accession, filed, form, entry_cik, title`` of every entry of Atom feeds: filings, or companies by the id in theirs."""
+    e = F.col("_e")
+    rows = feeds.select(*[c for c in feeds.columns if c != xml], F.posexplode(xml_elements(F.col(xml), "entry")).alias("place", "_x")).withColumn("_e", _fields(F.col("_x"), _ENTRY))
+    said = lambda c: F.nullif(F.trim(c), F.lit(""))
+    cik = F.lpad(F.nullif(F.regexp_extract(F.coalesce(e["id"], F.lit("")), r"(?i)cik=(\d+)", 1), F.lit("")), 10, "0")
+    return rows.select(
+        *[c for c in feeds.columns if c != xml], "place", said(e["content"]["accession-number"]).alias("accession"), said(e["content"]["filing-date"]).alias("filed"),
+        said(e["content"]["filing-type"]).alias("form"), cik.alias("entry_cik"), said(e["title"]).alias("title"),
+    )
+
+
 def holding_xml(filings: DataFrame) -> DataFrame:
     """``issuer_cik, issuer, percent`` of structured holding filings (column ``xml``); 0.0 is a real value."""
     x = F.col("xml")
@@ -119,15 +178,57 @@ def former_names(rows: DataFrame) -> DataFrame:
     return rows.select("cik", F.filter("former", lambda x, i: F.array_position(low, F.lower(x)) == i + 1).alias("names"))
 
 
-def locate_proxy(queries: DataFrame, candidates: DataFrame, since: str) -> DataFrame:
-    """``q, cik, accession, filed``: the recent proxy filing of the most similar company, the latest of equals.
+def proxy_by_cik(queries: DataFrame, filings: DataFrame) -> DataFrame:
+    """``q, cik, accession, document, filed``: the first proxy statement on a company's pages of filings, recent page first.
+
+    ``queries`` has ``q, cik``; ``filings`` has ``cik, page, place, form, accession, document, filed``, pages counted from 0.
+    """
+    rows = filings.where("form = 'DEF 14A' AND document <> ''").groupBy("cik").agg(F.min_by(F.struct("accession", "document", "filed"), F.struct("page", "place")).alias("f"))
+    return queries.where("cik IS NOT NULL").select("q", F.lpad("cik", 10, "0").alias("cik")).join(rows, "cik").select("q", "cik", "f.*")
+
 
-    ``candidates`` has ``q, cik, company, form, accession, filed``.
+def proxy_by_name(queries: DataFrame, feeds: DataFrame, companies: DataFrame, filings: DataFrame, most: int = 8) -> DataFrame:
+    """``q, cik, accession, document, filed`` by what a search feed (``q, xml``) says to a name.
+
+    A feed about one company gives its first filing, if the company's name is alike and its recent page has the filing as a proxy
+    statement.  A feed that lists companies gives, of its first ``most``, the proxy statement of the most similar one,
+    the latest of equals.  ``companies`` has ``cik, name``; ``filings`` as in ``proxy_by_cik``.
+    """
+    asked = feeds.join(queries.select("q").distinct(), "q", "left_semi")
+    head = feed_companies(asked)
+    entries = feed_entries(asked)
+    recent = filings.where("page = 0 AND form = 'DEF 14A' AND document <> ''")
+    bare = lambda c: F.replace(c, F.lit("-"), F.lit(""))
+    sure = head.where("cik IS NOT NULL").withColumn("similarity", proxy_similarity(F.col("q"), F.col("name"))).where(F.col("similarity") >= MIN_PROXY_SIMILARITY)
+    newest = entries.where("accession IS NOT NULL").groupBy("q").agg(F.min_by("accession", "place").alias("wanted"))
+    one = sure.join(newest, "q").join(recent, "cik").where(bare(F.col("accession")) == bare(F.col("wanted")))
+    one = one.groupBy("q", "cik").agg(F.min_by(F.struct("accession", "document", "filed"), "place").alias("f")).select("q", "cik", "f.*")
+    listed = entries.join(head.where("cik IS NULL").select("q"), "q", "left_semi").where((F.col("place") < most) & F.col("entry_cik").isNotNull())
+    listed = listed.select("q", F.col("entry_cik").alias("cik"), "place").join(companies.select("cik", "name"), "cik")
+    listed = listed.withColumn("similarity", proxy_similarity(F.col("q"), F.col("name"))).where(F.col("similarity") >= MIN_PROXY_SIMILARITY)
+    last = recent.groupBy("cik").agg(F.min_by(F.struct("accession", "document", "filed"), "place").alias("f"))
+    best = F.max_by(F.struct("cik", "f"), F.struct("similarity", "f.filed", -F.col("place")))
+    many = listed.join(last, "cik").groupBy("q").agg(best.alias("b")).select("q", "b.cik", "b.f.*")
+    return one.unionByName(many)
+
+
+def locate_proxy(queries: DataFrame, feeds: DataFrame, companies: DataFrame, filings: DataFrame, least_year: int) -> DataFrame:
+    """``q, cik, accession, document, filed, stale, found_by`` of each query (``q`` and, where known, ``cik``).
+
+    Looked up by id (``cik``), else by name (``name``).  Where that finds nothing of ``least_year`` or later, the
+    name under which the company found is registered is looked up instead (``registered``); if that
+    finds nothing recent either, the old statement stands and is ``stale``.
     """
-    rows = candidates.join(queries.select("q"), "q", "left_semi").where((F.col("form") == "DEF 14A") & (F.col("filed") >= since))
-    rows = rows.withColumn("similarity", proxy_similarity(F.col("q"), F.col("company"))).where(F.col("similarity") >= MIN_PROXY_SIMILARITY)
-    best = F.max_by(F.struct("cik", "accession", "filed"), F.struct("similarity", "filed", "accession"))
-    return rows.groupBy("q").agg(best.alias("b")).select("q", "b.*")
+    # The place of a filing in its page is its order; forms of other kinds don't count.
+    known = proxy_by_cik(queries, filings).withColumn("found_by", F.lit("cik"))
+    others = queries.join(known.select("q"), "q", "left_anti")
+    first = known.unionByName(proxy_by_name(others, feeds, companies, filings).withColumn("found_by", F.lit("name")))
+    recent = F.coalesce(F.substring("filed", 1, 4).try_cast("int") >= least_year, F.lit(False))
+    stale = first.where(~recent & (F.col("found_by") == "name")).join(companies.select("cik", F.col("name").alias("registered")), "cik").where("registered <> '' AND lower(registered) <> lower(q)")
+    again = proxy_by_name(stale.select(F.col("registered").alias("q")), feeds, companies, filings).where(recent)
+    better = stale.select("q", "registered").join(again.withColumnRenamed("q", "registered"), "registered").drop("registered").withColumn("found_by", F.lit("registered"))
+    out = first.join(better.select("q"), "q", "left_anti").unionByName(better)
+    return out.select("q", "cik", "accession", "document", "filed", (~recent).alias("stale"), "found_by")
 
 
 def filing_index(pages: DataFrame, html: str = "html") -> DataFrame:

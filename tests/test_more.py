@@ -246,10 +246,6 @@ def test_filing_helpers(spark):
     assert [r.accession for r in filings.holding_pages(recent, archives).collect()] == ["a", "c"]
     former = spark.createDataFrame([("1", ["Acme", "ACME", "Beta"])], "cik string, former array<string>")
     assert filings.former_names(former).first().names == ["Acme", "Beta"]
-    s = "q string, cik string, company string, form string, accession string, filed string"
-    found = spark.createDataFrame([("Acme", "1", "Acme", "DEF 14A", "x", "2024-01-01"), ("Acme", "1", "Acme", "DEF 14A", "y", "2024-02-01"), ("Acme", "2", "Zzz", "DEF 14A", "z", "2024-03-01")], s)
-    queries = spark.createDataFrame([("Acme",)], "q string")
-    assert filings.locate_proxy(queries, found, "2023-01-01").first().accession == "y" and filings.locate_proxy(queries, found, "2025-01-01").isEmpty()
     xml = "<o><issuer><issuerCik>7</issuerCik></issuer><rptOwnerName>Lee Ann {}</rptOwnerName><sharesOwnedFollowingTransaction><value>{}</value></sharesOwnedFollowingTransaction></o>"
     rows = [("4", "2024-01-01", f"a{i}", xml.format(chr(65 + i), 10 * i)) for i in range(3)]
     got = filings.insider_holding(spark.createDataFrame(rows, "form string, filed string, accession string, xml string"), spark.createDataFrame([("0000000007",)], "issuer_cik string"))

@@ -260,6 +260,62 @@ def test_proxy_rows_that_name_no_owner(dual):
     assert filings.owner_rows(html) == [("Jeffrey P. Bezos", "1,000,000", "9.5%"), ("Vanguard", "60,000", "7.5%"), ("Jane Roe (1)(2)", "20,000", "1.5%")]
 
 
+COVER = """<?xml version="1.0"?><edgarSubmission xmlns="http://www.sec.gov/edgar/thirteenffiler" xmlns:com="http://www.sec.gov/edgar/common" xmlns:xsi="http://x/">
+<formData><coverPage><com:otherManagersInfo><com:otherManager xsi:nil="false"><com:cik>102909</com:cik><form13FFileNumber>028-1</form13FFileNumber><com:name>Fund &amp; Co </com:name></com:otherManager>
+<otherManager><name>No Number LLC</name></otherManager><otherManager><cik>abc</cik><name>Odd</name></otherManager><otherManager/></com:otherManagersInfo></coverPage>
+<summaryPage><otherManagers2Info><otherManager2><sequenceNumber>1</sequenceNumber><otherManager><cik>0000102909</cik><name>Fund again</name></otherManager></otherManager2>
+<otherManager2><otherManager><cik>7</cik></otherManager></otherManager2></otherManagers2Info></summaryPage></formData></edgarSubmission>"""
+
+
+def test_affiliated_managers(spark):
+    rows = [("1", "13F-HR", "0000000001-24-000002", "2024-02-01", COVER), ("1", "13F-HR", "0000000001-23-000001", "2023-02-01", COVER.replace("Odd", "Old")),
+            ("2", "13F-NT/A", "0000000002-24-000001", "2024-01-01", "<a><otherManager><name>Sole</name></otherManager></a>"), ("3", "10-K", "x", "2024-01-01", COVER),
+            ("4", "13F-HR", "x", "2024-01-01", "not <xml"), ("5", "13F-HR", "x", "2024-01-01", None), ("6", "13F-HR", "x", "2024-01-01", "<a><otherManager><name>br<oken</name></otherManager></a>")]
+    got = filings.affiliated_managers(spark.createDataFrame(rows, "cik string, form string, accession string, filed string, xml string")).collect()
+    assert sorted((r.cik, r.manager_cik or "", r.manager, r.source_date) for r in got) == [
+        ("1", "", "No Number LLC", "2024-02-01"), ("1", "", "Odd", "2024-02-01"), ("1", "0000102909", "Fund & Co", "2024-02-01"), ("2", "", "Sole", "2024-01-01")]
+    assert {r.form_type for r in got} == {"13F-HR", "13F-NT/A"} and all(r.source_url for r in got)
+
+
+def feed(company="", entries=()):
+    info = f"<company-info><cik>{company[0]}</cik><conformed-name>{company[1]}</conformed-name></company-info>" if company else ""
+    body = "".join(f'<entry><id>{i}</id><title>t</title><content type="text/xml">{c}</content></entry>' for i, c in entries)
+    return f'<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">{info}{body}</feed>'
+
+
+def filed(accession, date):
+    return f"<accession-number>{accession}</accession-number><filing-date>{date}</filing-date><filing-type>DEF 14A</filing-type>"
+
+
+def test_atom_feeds(spark):
+    rows = [("a", feed(("12", "Acme &amp; Co"), [("urn:x", filed("1-2-3", "2024-01-01")), ("urn:y", "")])), ("b", feed((), [("urn:tag:www.sec.gov:cik=0000000034", "<company-info><cik>34</cik></company-info>")])), ("c", "<broken"), ("d", None)]
+    feeds = spark.createDataFrame(rows, "q string, xml string")
+    assert sorted(map(tuple, filings.feed_companies(feeds).collect())) == [("a", "0000000012", "Acme & Co"), ("b", None, ""), ("c", None, ""), ("d", None, "")]
+    assert sorted(map(tuple, filings.feed_entries(feeds).collect())) == [
+        ("a", 0, "1-2-3", "2024-01-01", "DEF 14A", None, "t"), ("a", 1, None, None, None, None, "t"), ("b", 0, None, None, None, "0000000034", "t")]
+
+
+def test_proxy_look_ups(spark):
+    """By id over pages, by a sure feed, by a feed that lists companies, and again under the registered name."""
+    k = lambda n: f"{n:010d}"
+    companies = spark.createDataFrame([(k(1), "Known Corp"), (k(2), "Acme Inc"), (k(3), "Meta Platforms Inc"), (k(4), "Meta Platforms Co"), (k(5), "Alphabet Inc"), (k(6), "Google Inc"), (k(7), "Zzz")], "cik string, name string")
+    rows = [(k(1), 0, 0, "10-K", "1-k", "d", "2024-05-05"), (k(1), 2, 0, "DEF 14A", "1-b", "d", "2019-01-01"), (k(1), 1, 5, "DEF 14A", "1-a", "d", "2020-01-01"), (k(1), 1, 2, "DEF 14A", "1-x", "", "2021-01-01"),
+            (k(2), 0, 0, "DEF 14A", "2-new", "d", "2024-03-03"), (k(2), 0, 1, "DEF 14A", "2-old", "e", "2023-03-03"), (k(3), 0, 0, "DEF 14A", "3-a", "d", "2023-01-01"), (k(4), 0, 0, "DEF 14A", "4-a", "d", "2024-01-01"),
+            (k(5), 0, 0, "DEF 14A", "5-a", "d", "2024-06-06"), (k(6), 0, 0, "DEF 14A", "6-a", "d", "2014-01-01"), (k(7), 0, 0, "DEF 14A", "7-a", "d", "2024-01-01")]
+    table = spark.createDataFrame(rows, "cik string, page int, place int, form string, accession string, document string, filed string")
+    listing = lambda *n: feed((), [(f"urn:tag:www.sec.gov:cik={k(i)}", "") for i in n])
+    feeds = [("Acme", feed((k(2), "Acme Inc"), [("u", ""), ("u", filed("2-old", "")), ("u", filed("2-new", ""))])), ("Meta Platforms", listing(7, 3, 4)), ("Google", feed((k(6), "Google Inc"), [("u", filed("6-a", ""))])),
+             ("Google Inc", listing(5)), ("Unlike", feed((k(7), "Zzz"), [("u", filed("7-a", ""))])), ("Old Google", listing(6)), ("Alphabet", listing(5, 99))]
+    queries = spark.createDataFrame([("Known", "1"), ("Acme", None), ("Meta Platforms", None), ("Google", None), ("Unlike", None), ("Nobody", None), ("Alphabet", None)], "q string, cik string")
+    found = filings.locate_proxy(queries, spark.createDataFrame(feeds, "q string, xml string"), companies, table, 2020)
+    got = {r.q: (r.accession, r.stale, r.found_by) for r in found.collect()}
+    # The feed under Google's registered name lists a company of another name, so the old statement stands.
+    assert got == {"Known": ("1-a", False, "cik"), "Acme": ("2-old", False, "name"), "Meta Platforms": ("4-a", False, "name"), "Google": ("6-a", True, "name"), "Alphabet": ("5-a", False, "name")}
+    renamed = companies.withColumn("name", F.when(F.col("cik") == k(6), "Alphabet").otherwise(F.col("name")))
+    again = filings.locate_proxy(queries.where("q = 'Google'"), spark.createDataFrame([("Google", feeds[2][1]), ("Alphabet", listing(5))], "q string, xml string"), renamed, table, 2020)
+    assert [(r.q, r.accession, r.stale, r.found_by) for r in again.collect()] == [("Google", "5-a", False, "registered")]
+
+
 def test_wikidata(spark):
     def row(**k):
         return {a: {"value": b} for a, b in k.items()}
