@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stakeweave.functions.classify import clean_table_name, parse_percent_cell, parse_shares_cell, percent_from_text, reporter_is_individual
 from stakeweave.functions.names import cik_from_accession, filing_index_url, normalize_investor_name, normalize_sec_name, normalize_ticker_name, title_to_role
 from stakeweave.functions.similarity import MIN_PROXY_SIMILARITY, MIN_TICKER_SIMILARITY, proxy_similarity, ticker_similarity
+from stakeweave.operators.tree import cut
 
 
 def match_tickers(queries: DataFrame, tickers: DataFrame) -> DataFrame:
@@ -222,11 +223,12 @@ def locate_proxy(queries: DataFrame, feeds: DataFrame, companies: DataFrame, fil
     # The place of a filing in its page is its order; forms of other kinds don't count.
     known = proxy_by_cik(queries, filings).withColumn("found_by", F.lit("cik"))
     others = queries.join(known.select("q"), "q", "left_anti")
-    first = known.unionByName(proxy_by_name(others, feeds, companies, filings).withColumn("found_by", F.lit("name")))
+    # A row for each query, looked at several times.
+    first = cut(known.unionByName(proxy_by_name(others, feeds, companies, filings).withColumn("found_by", F.lit("name"))))
     recent = F.coalesce(F.substring("filed", 1, 4).try_cast("int") >= least_year, F.lit(False))
     stale = first.where(~recent & (F.col("found_by") == "name")).join(companies.select("cik", F.col("name").alias("registered")), "cik").where("registered <> '' AND lower(registered) <> lower(q)")
     again = proxy_by_name(stale.select(F.col("registered").alias("q")), feeds, companies, filings).where(recent)
-    better = stale.select("q", "registered").join(again.withColumnRenamed("q", "registered"), "registered").drop("registered").withColumn("found_by", F.lit("registered"))
+    better = cut(stale.select("q", "registered").join(again.withColumnRenamed("q", "registered"), "registered").drop("registered").withColumn("found_by", F.lit("registered")))
     out = first.join(better.select("q"), "q", "left_anti").unionByName(better)
     return out.select("q", "cik", "accession", "document", "filed", (~recent).alias("stale"), "found_by")
 
