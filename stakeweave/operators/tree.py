@@ -40,10 +40,14 @@ def ownership_tree(edges: DataFrame, roots: DataFrame, depth: int = 3, include_i
     Indirect edges are left out before the search, which is the same as testing every hop.  With ``most`` a root keeps
     its first trails, shorter ones first, then by their edges; ``truncated`` tells whether it has more.  As no trail
     beyond a level's first ``most + 1`` can be among them, each level goes on from these alone.
+
+    ``edges`` are read once, whatever the depth: three columns of the direct ones are written to the checkpoint folder, and
+    every level joins its frontier with these.
     """
     depth = max(1, min(int(depth), MAX_DEPTH))
     kept = edges if include_indirect else edges.where(is_direct())
     step = kept.select(F.col("from_id").alias("_from"), F.col("to_id").alias("_to"), F.col("edge_id").alias("_edge"))
+    step = cut(step.where("_from IS NOT NULL")) if depth > 1 else step
     frontier = roots.select(F.col("id").alias("root_id"), F.col("id").alias("node_id"), F.array().cast("array<string>").alias("edge_path"),
                             F.array("id").alias("node_path"))
     found = None
