@@ -191,7 +191,16 @@ def apply_merges(store: Store, plan: DataFrame, at: Column, fence: int | None =
         if places:
             made[name] = store.write(table, rewrite(store.read(name, base, places)).select(*rows.columns), places)
 
-    moved("owns", lambda rows: _tidy(rewrite_endpoints(rows, plan, ("from_id", "to_id"))))
+    # Pairs to which an edge was moved are tidied; other pairs stay as they are.
+    hit = store.read("owns", base)
+    hit = hit.join(plan.select(F.col("dup_id").alias("from_id")), "from_id", "left_semi").unionByName(hit.join(plan.select(F.col("dup_id").alias("to_id")), "to_id", "left_semi"))
+    pairs = cut(rewrite_endpoints(hit, plan).select("from_id", "to_id").distinct())
+
+    def tidied(rows: DataFrame) -> DataFrame:
+        out = rewrite_endpoints(rows, plan, ("from_id", "to_id"))
+        return _tidy(out.join(pairs, ["from_id", "to_id"], "left_semi").select(*rows.columns)).unionByName(out.join(pairs, ["from_id", "to_id"], "left_anti").select(*rows.columns))
+
+    moved("owns", tidied)
     moved("claim", lambda rows: _one_claim(with_claim_key(rewrite_endpoints(rows, plan).drop("claim_key"))).select(*rows.columns))
     new = plan.select(F.col("dup_id").alias("old_id"), F.col("keep_id").alias("new_id"))
     table = base.tables["merged_id"]

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from stakeweave.operators import resolution as rs
+from stakeweave.operators import runs
 from stakeweave.operators import search as se
 from stakeweave.operators.search_index import SearchIndex
 from stakeweave.operators.store import Store
@@ -83,3 +85,27 @@ def stored_index_hits(t, spark, sf_dir):
     index.change(new, names.where("country = 'NATION_3'").select("id"))
     queries = spark.createDataFrame(_ASKED, "query_id int, q string")
     return se.match_any(index.words_of(queries), queries, "id")
+
+
+@query(
+    """WITH plan AS (SELECT id AS dup_id, keep_id FROM (SELECT id, FIRST_VALUE(id) OVER (PARTITION BY lei_id ORDER BY COALESCE(name_credibility, 0) DESC, CASE WHEN verified THEN 0 ELSE 1 END, id) AS keep_id
+  FROM entity WHERE lei_id <> '') r WHERE id <> keep_id AND NOT EXISTS (SELECT 1 FROM not_duplicate n WHERE (n.a = r.id AND n.b = r.keep_id) OR (n.a = r.keep_id AND n.b = r.id))),
+moved AS (SELECT o.*, COALESCE(a.keep_id, o.from_id) AS f, COALESCE(b.keep_id, o.to_id) AS t, a.keep_id IS NOT NULL OR b.keep_id IS NOT NULL AS moved
+  FROM owns o LEFT JOIN plan a ON a.dup_id = o.from_id LEFT JOIN plan b ON b.dup_id = o.to_id),
+kept AS (SELECT * FROM moved WHERE NOT (moved AND f = t)),
+pairs AS (SELECT DISTINCT f, t, TRUE AS hit FROM kept WHERE moved),
+one AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY f, t, until IS NULL ORDER BY moved, edge_id) AS n FROM kept),
+-- Of a pair's active edges the best stays; a moved one was there only where the survivor had none.
+best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY f, t, until IS NULL ORDER BY COALESCE(stake_percent, -1) DESC, direct_or_indirect IS NULL, edge_id) AS n2
+  FROM one WHERE NOT moved OR until IS NOT NULL OR n = 1)
+SELECT edge_id, f AS from_id, t AS to_id FROM best LEFT JOIN pairs USING (f, t) WHERE hit IS NULL OR until IS NOT NULL OR n2 = 1""",
+    "entity", "owns", "not_duplicate",
+)
+def stored_merges(t, spark, sf_dir):
+    """Entities of one identifier merged in a store: edges, fields, forwarding ids and the log in one version."""
+    e = t("entity").withColumn("aliases", F.array().cast("array<string>"))
+    store = Store(spark, _folder(spark, "graph"))
+    none = spark.createDataFrame([], "claim_key string, kind string, from_id string, to_id string, source_id string, last_seen_at string, first_seen_at string")
+    runs.create_graph(store, {"entity": e, "owns": t("owns"), "claim": none}, 16)
+    runs.apply_merges(store, rs.merge_plan(e, t("not_duplicate"), ("lei_id",)), F.lit("2024-01-01"))
+    return store.read("owns").select("edge_id", "from_id", "to_id")
