@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -156,37 +156,31 @@ def _clean_words(name: Column) -> Column:
     return F.filter(F.split(strip(F.regexp_replace(name, "[.,]", "")), "(?U)\\s+"), lambda w: w != "")
 
 
+# In which orders a name of two or three words is filed.
+_ORDERS = ((2, (1, 0)), (3, (2, 0, 1)), (3, (2, 0)), (3, (0, 2)))
+
+
+def _reordered(words: Column, orders: Iterable[tuple[int, tuple[int, ...]]]) -> Column:
+    made = [F.when(F.size(words) == n, F.concat_ws(" ", *[F.get(words, F.lit(k)) for k in at])) for n, at in orders]
+    return F.filter(F.array(*made), lambda x: x.isNotNull())
+
+
 def person_name_variants(name: Column) -> Column:
     """Orders and nickname forms under which a filing may name a person, the name itself first."""
     words = _clean_words(name)
-    n = F.size(words)
-    w = lambda k: F.get(words, F.lit(k))
-    formal = capitalize(_mapped(F.lower(w(0)), PROXY_NICKNAMES))
-    clean = strip(F.regexp_replace(name, "[.,]", ""))
-    none = F.lit(None).cast("string")
-    two = lambda x: F.when(n == 2, x).otherwise(none)
-    three = lambda x: F.when(n == 3, x).otherwise(none)
-    rest = F.when(n > 1, F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    every = F.array(
-        name,
-        two(F.concat_ws(" ", w(1), w(0))),
-        three(F.concat_ws(" ", w(2), w(0), w(1))),
-        three(F.concat_ws(" ", w(2), w(0))),
-        three(F.concat_ws(" ", w(0), w(2))),
-        F.when(clean != name, clean),
-        F.when(formal.isNotNull(), F.concat_ws(" ", F.array(formal), rest)),
-        F.when(formal.isNotNull(), two(F.concat_ws(" ", w(1), formal))),
-        F.when(formal.isNotNull(), three(F.concat_ws(" ", w(2), formal, w(1)))),
-        F.when(formal.isNotNull(), three(F.concat_ws(" ", w(2), formal))),
-    )
+    formal = capitalize(_mapped(F.lower(F.get(words, F.lit(0))), PROXY_NICKNAMES))
+    full = F.transform(words, lambda w, i: F.when(i == 0, formal).otherwise(w))
+    # Of a nickname's full form only orders that begin with the surname are filed.
+    forms = F.concat(F.array(F.concat_ws(" ", full)), _reordered(full, [o for o in _ORDERS if o[1][0]]))
+    every = F.concat(F.array(name), _reordered(words, _ORDERS), F.array(strip(F.regexp_replace(name, "[.,]", ""))), F.when(formal.isNotNull(), forms).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
 
 
 def entity_name_variants(name: Column) -> Column:
     """Forms of an entity's name without a leading article and without commas and dots."""
-    bare = F.regexp_replace(strip(name), "(?iU)^the\\s+", "")
-    plain = lambda x: F.regexp_replace(x, "[,.]", "")
-    return F.array_distinct(F.filter(F.array(name, F.when(bare != name, bare), plain(name), plain(bare)), lambda x: x.isNotNull()))
+    bases = F.array(name, F.regexp_replace(strip(name), "(?iU)^the\\s+", ""))
+    every = F.concat(bases, F.transform(bases, lambda x: F.regexp_replace(x, "[,.]", "")))
+    return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
 
 
 def is_reordering(a: Column, b: Column) -> Column:

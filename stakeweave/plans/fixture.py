@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 _NEEDS = {
     "entity": ("supplier", "nation", "part"),
     "person": ("customer", "nation"),
-    "source": (),
+    "source": ("orders",),
     "owns": ("lineitem", "orders", "supplier"),
     "has_role": ("lineitem", "orders"),
     "succeeded_by": ("supplier",),
@@ -40,8 +40,8 @@ FROM part""",
 SELECT 'cus:' || CAST(c_custkey AS STRING) AS id, c_name AS full_name, n_name AS nationality, c_mktsegment AS birth_place
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "source": """
-SELECT * FROM (VALUES ('1-URGENT', 'Wikidata', 'knowledge_base', 98), ('2-HIGH', 'SEC EDGAR', 'registry', 97), ('3-MEDIUM', 'GLEIF', 'registry', 92),
-  ('4-NOT SPECIFIED', 'UK PSC', 'registry', 85), ('5-LOW', 'Manual', 'user', 80)) AS t(id, name, type, credibility_score)""",
+SELECT o_orderpriority AS id, 'Source ' || substr(o_orderpriority, 3) AS name, CASE WHEN o_orderpriority < '3' THEN 'registry' ELSE 'user' END AS type,
+  100 - 4 * CAST(substr(o_orderpriority, 1, 1) AS INT) AS credibility_score FROM orders GROUP BY o_orderpriority""",
     "owns": """
 SELECT 'L' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS edge_id,
   'cus:' || CAST(o_custkey AS STRING) AS from_id, 'par:' || CAST(l_partkey AS STRING) AS to_id, CASE WHEN l_tax < 0.075 THEN l_quantity END AS stake_percent,
