@@ -13,7 +13,8 @@ bytes, so a filter costs a few table rows a byte.
 Defined results: a null text or one without a letter is ``und`` with score 0; a null id
 is never learned from and counts as not held out; rows with a null label are predicted
 but not learned from; without any labelled row every prediction is ``und``; repeated
-rows each give a row; other columns are ignored.
+rows each give a row; of equal probabilities the label that is first by code point wins; an empty table gives an empty result; a long text is
+scored window by window (a worker holds about 25 bytes for each of the text); other columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ another; the pass runs once over each distinct word of a batch, for all words at
 once, byte position by byte position.  A word longer than ``LONG`` bytes is walked on its own.
 
 Of equal scores the longest last piece wins.  Defined results: a null text reads as
-empty and has no pieces; repeated rows each give a row; other columns are ignored by
-every operator here.
+empty and has no pieces; repeated rows each give a row; an empty table gives an empty result; a text may be of any length, the worker holds its words and
+ids; other columns are ignored by every operator here.
 """
 
 from __future__ import annotations

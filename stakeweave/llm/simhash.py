@@ -19,7 +19,8 @@
 
 Defined results: a null text reads as empty; a text without words has fingerprint zero
 and links like any other; repeated rows give a row each; a null id never names a
-component unless every id of the component is null; other columns are ignored.
+component unless every id of the component is null; an empty table gives an empty result; a text is read whole (a
+worker holds its words while it is hashed, about 45 bytes for each of the text); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -293,20 +294,3 @@ def simhash_groups(
     same = F.col("fp") == F.col("c_fp")
     joined = rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(rest.drop("copies"), same))
     return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, with all their columns, whatever their names.
-
-    The row that is first by id, null first, then by hashes of its text and of its columns, stays; of equal rows one stays.
-    """
-    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), F.xxhash64(*plain).alias("r"))
-    keyed = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
-    groups = simhash_groups(keyed.select("key", "text"), id_col="key", **options)
-    firsts = groups.where(F.col("key").eqNullSafe(F.col("component_id"))).select(
-        F.col("key.i").alias("first_i"), F.col("key.h").alias("first_h"), F.col("key.r").alias("first_r")
-    ).distinct()
-    same = F.col("key.i").eqNullSafe(F.col("first_i")) & (F.col("key.h") == F.col("first_h")) & (F.col("key.r") == F.col("first_r"))
-    kept = keyed.select("key", "row").join(firsts, same, "left_semi").dropDuplicates(["key"])
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ another character (this is checked when the model is read; if a piece does, text
 whole), so no merge crosses such a cut and the counts of the parts add up.
 
 Defined results: a null text counts as the empty text (0 bytes, 0 tokens); repeated rows
-each give a row; a null id stays null; other columns of the input are ignored.
+each give a row; an empty table gives an empty result; a null id stays null; other columns of the input are ignored.
 """
 
 from __future__ import annotations

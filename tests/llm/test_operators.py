@@ -552,17 +552,6 @@ def test_components_of_long_chains(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[100 + i] == 100 for i in range(30)) and got[-5] == got[-9] == -9
 
 
-def test_near_dedup_keeps_one_of_each(docs, rows):
-    from stakeweave.llm.simhash import near_dedup
-
-    got = near_dedup(docs)
-    prints = [brute.simhash(t) for _, t, *_ in rows]
-    assert got.columns == docs.columns and got.count() == len(set(brute.components(prints, list(range(len(rows))))))
-
-
-# All
-
-
 def test_clashing_columns(clashing, rows, model):
     from stakeweave.llm.fingerprints import edit_likeness
     from stakeweave.llm.language_id import identify_language
@@ -572,7 +561,8 @@ def test_clashing_columns(clashing, rows, model):
     from stakeweave.llm.ngram_lm import score_texts
     from stakeweave.llm.piece_viterbi import encode_pieces
     from stakeweave.llm.quality import quality_filter, quality_verdicts
-    from stakeweave.llm.simhash import near_dedup, simhash_groups
+    from stakeweave.llm.near_copies import drop_near_copies
+    from stakeweave.llm.simhash import simhash_groups
     from stakeweave.llm.token_counts import token_counts
 
     n = len(rows)
@@ -580,7 +570,7 @@ def test_clashing_columns(clashing, rows, model):
         assert f(clashing).count() == n, f
     for f in (token_counts, encode_pieces):
         assert f(clashing, model).count() == n, f
-    for f in (dedup_lines, quality_filter, near_dedup, mixed_documents):
+    for f in (dedup_lines, quality_filter, drop_near_copies, mixed_documents):
         assert f(clashing).columns == clashing.columns and f(clashing).count() > 0, f
 
 
