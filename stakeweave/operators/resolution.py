@@ -27,24 +27,20 @@ def resolve_by_identifier(candidates: DataFrame, entities: DataFrame, key: str)
     return candidates.select(key).join(best, key, "left").select(key, F.col("_b.entity_id").alias("entity_id"), F.col("_b.matched_on").alias("matched_on"))
 
 
-def _shared(column: str) -> Column:
-    value = F.nullif(F.col(column).cast("string"), F.lit(""))
-    return (F.count(value) >= 2) & (F.count_distinct(value) < F.count(value))
-
-
 def duplicate_names(entities: DataFrame, name: str = "name_normalized") -> DataFrame:
     """Names of more than one entity, how many share each, and how sure it is that they are one company."""
-    definitive = _shared(HARD_IDS[0])
-    for column in HARD_IDS[1:]:
-        definitive = definitive | _shared(column)
-    one = lambda c: F.count_distinct(F.nullif(F.col(c).cast("string"), F.lit(""))) == 1
-    grade = (
-        F.when(definitive, "definitive").when(_shared("registered_address"), "high").when(one("country") & one("founded"), "medium").otherwise("low")
-    )
     named = entities.where(F.coalesce(F.col(name), F.lit("")) != "")
-    # Counted first, so that the distinct counts of the grades see shared names alone.
-    shared = named.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return named.join(shared.select(name), name, "left_semi").groupBy(name).agg(F.count(F.lit(1)).alias("n"), grade.alias("confidence"))
+    said = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    ends = [f(said(c)).alias(f"{c}_{n}") for c in ("country", "founded") for n, f in (("min", F.min), ("max", F.max))]
+    groups = named.groupBy(name).agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1")
+    # Identifiers and addresses that several entities of a name have; most entities have few or none.
+    kinds = (*HARD_IDS, "registered_address")
+    held = F.filter(F.array(*[F.struct(F.lit(c in HARD_IDS).alias("hard"), F.lit(k).alias("kind"), said(c).alias("value")) for k, c in enumerate(kinds)]), lambda x: x["value"].isNotNull())
+    values = named.select(name, F.explode(held).alias("v")).groupBy(name, "v").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    shared = values.groupBy(name).agg(F.max("v.hard").alias("hard"))
+    one = lambda c: F.coalesce(F.col(f"{c}_min") == F.col(f"{c}_max"), F.lit(False))
+    grade = F.when(F.col("hard"), "definitive").when(F.col("hard").isNotNull(), "high").when(one("country") & one("founded"), "medium").otherwise("low")
+    return groups.join(shared, name, "left").select(name, "n", grade.alias("confidence"))
 
 
 #: Columns of a group's members in the review list, and how many members it shows.
