@@ -2,12 +2,13 @@
 
 Method: best-two-fit.  A sequence is filled greedily with the longest piece that fits; when nothing fits
 any more and it holds several, its shortest piece is replaced by the two unpacked pieces
-that fill the widened gap best, if they fill it more tightly.  Only lengths matter to this, so the
+that fill the widened gap best, if they fill it more tightly.  Pieces of at most a sixth of the capacity wait until the others
+are packed, and then each goes where it fits most tightly.  Only lengths matter to this, so the
 rule runs over the numbers of pieces of each length, of which there are ``capacity``, and a filling repeats as
 long as it would come out the same.  Each filling leaves one length with fewer pieces than it needs, of
 at most ``2 * capacity / length``, so there are at most about ``2 * capacity * (1 + ln capacity)`` of them at any size of
-the corpus; the driver holds these and no row.  Pieces are ranked by length over
-ranges of that order, and each looks up where the pieces of its rank lie.
+the corpus, each with a few runs of small pieces (their lengths differ and fit its gap); the driver holds these and no row.
+Pieces are ranked by length over ranges of that order, and each looks up where the pieces of its rank lie.
 
 Tokens come from the library inside Arrow batches.  For byte-level models without a normaliser, texts are cut before each
 single space between characters that are no white space: such a model begins a new unit there
@@ -39,6 +40,8 @@ from stakeweave.llm.kernels import released
 
 #: A run without white space, with what follows it up to the next single space between two such runs.
 PART = re.compile(r"\s*\S+(?:(?:\s\s+|[^\S ])\S*)*|\s+")
+#: A piece of at most the capacity's share of this is small.
+SMALL = 6
 #: Words that a worker remembers, and the longest of them in characters.
 KNOWN, KNOWN_CHARS = 1 << 19, 32
 #: Marks that stand alone behind letters.
@@ -241,21 +244,58 @@ class Plan:
 
 
 def best_two_fit(counts: np.ndarray, capacity: int) -> Plan:
-    """The plan for ``counts[length]`` pieces of each length from 1 to ``capacity``."""
+    """The plan for ``counts[length]`` pieces of each length from 1 to ``capacity``.
+
+    Pieces of more than ``capacity / SMALL`` are packed by best-two-fit.  The small ones wait until then, as they fit
+    gaps of any kind: longest first, each goes where it fits most tightly, and to a new sequence where it fits nowhere.
+    """
     left = np.asarray(counts, np.int64).copy()
     begin = np.cumsum(left) - left  # position of the first piece of a length
     used = np.zeros_like(left)
-    runs, sequences = [], 0
-    while left.any():
-        filling, need = _fill(left, capacity)
-        times = 1 + min((left[n] - need[n]) // k for n, k in filling)
-        at = 0
+    small, runs, sequences = capacity // SMALL, [], 0
+    #: Sequences that are alike, by the room that they have left: where they begin, and how many.
+    gaps: dict[int, list[tuple[int, int]]] = {}
+
+    def put(n: int, each: int, first: int, times: int, gap: int) -> None:
+        runs.append((int(begin[n] + used[n]), each, first, capacity - gap, n))
+        used[n] += each * times
+        left[n] -= each * times
+
+    large = left.copy()
+    large[: small + 1] = 0
+    while large.any():
+        filling, need = _fill(large, capacity)
+        times = int(1 + min((large[n] - need[n]) // k for n, k in filling))
+        gap = capacity
         for n, k in filling:
-            runs.append((int(begin[n] + used[n]), k, sequences, at, n))
-            used[n] += k * times
-            left[n] -= k * times
-            at += n * k
-        sequences += int(times)
+            put(n, k, sequences, times, gap)
+            large[n] -= k * times
+            gap -= n * k
+        gaps.setdefault(gap, []).append((sequences, times))
+        sequences += times
+    for n in range(min(small, len(left) - 1), 0, -1):
+        for gap in sorted(g for g in gaps if g >= n):
+            each = gap // n
+            for first, times in gaps.pop(gap) if left[n] else ():
+                some = int(min(times, left[n] // each))
+                if some:
+                    put(n, each, first, some, gap)
+                    gaps.setdefault(gap - each * n, []).append((first, some))
+                if some < times:  # the last pieces of a length fill one sequence in part
+                    last = int(left[n])
+                    if last:
+                        put(n, last, first + some, 1, gap)
+                        gaps.setdefault(gap - last * n, []).append((first + some, 1))
+                        some += 1
+                    if some < times:
+                        gaps.setdefault(gap, []).append((first + some, times - some))
+        if left[n]:
+            each = capacity // n
+            for k, times in ((each, int(left[n] // each)), (int(left[n] % each), 1)):
+                if k and times:
+                    put(n, k, sequences, times, capacity)
+                    gaps.setdefault(capacity - k * n, []).append((sequences, times))
+                    sequences += times
     return Plan(runs, sequences)
 
 

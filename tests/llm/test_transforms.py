@@ -171,24 +171,33 @@ def fill_largest_first(lengths, capacity):
 
 
 def two_fit_by_rows(lengths, capacity):
-    """Best-two-fit piece by piece, without counts."""
-    left, n = sorted(lengths), 0
+    """Best-two-fit piece by piece, small pieces last, without counts."""
+    from stakeweave.llm.packing import SMALL
+
+    left, gaps = sorted(x for x in lengths if x > capacity // SMALL), []
     while left:
-        gap, own, n = capacity, [], n + 1
+        gap, own = capacity, []
         for i in range(len(left) - 1, -1, -1):
             if left[i] <= gap:
                 own.append(left.pop(i))
                 gap -= own[-1]
         if gap and len(own) > 1:
             s = min(own)
-            room = gap + s
-            best = max(((left[i] + left[j], max(left[i], left[j])) for i in range(len(left)) for j in range(i) if left[i] + left[j] <= room), default=(0, 0))
+            best = max(((left[i] + left[j], max(left[i], left[j])) for i in range(len(left)) for j in range(i) if left[i] + left[j] <= gap + s), default=(0, 0))
             if best[0] > s:
                 left.append(s)
                 left.remove(best[1])
                 left.remove(best[0] - best[1])
                 left.sort()
-    return n
+                gap += s - best[0]
+        gaps.append(gap)
+    for x in sorted((x for x in lengths if x <= capacity // SMALL), reverse=True):
+        tight = min((g for g in gaps if g >= x), default=None)
+        if tight is None:
+            gaps.append(capacity - x)
+        else:
+            gaps[gaps.index(tight)] -= x
+    return len(gaps)
 
 
 def placed(counts, capacity):
