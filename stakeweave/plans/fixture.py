@@ -40,7 +40,8 @@ FROM part""",
 SELECT 'cus:' || CAST(c_custkey AS STRING) AS id, c_name AS full_name, n_name AS nationality, c_mktsegment AS birth_place
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "source": """
-SELECT o_orderpriority AS id, 'Source ' || substr(o_orderpriority, 3) AS name, CASE WHEN o_orderpriority < '3' THEN 'registry' ELSE 'user' END AS type,
+SELECT o_orderpriority AS id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Wikidata' WHEN '2' THEN 'SEC EDGAR' WHEN '3' THEN 'GLEIF' WHEN '4' THEN 'UK PSC' ELSE 'Manual' END AS name,
+  CASE WHEN o_orderpriority < '3' THEN 'registry' ELSE 'user' END AS type,
   100 - 4 * CAST(substr(o_orderpriority, 1, 1) AS INT) AS credibility_score FROM orders GROUP BY o_orderpriority""",
     "owns": """
 SELECT 'L' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS edge_id,
