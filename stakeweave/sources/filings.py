@@ -55,9 +55,11 @@ def inbound_holdings(filings: DataFrame, most: int = 20, read_text: int = 5) ->
     )
 
 
-def _xml(text: Column, name: str) -> Column:
-    """The first value of an element at any depth and under any namespace."""
-    return F.nullif(F.trim(F.xpath_string(text, F.lit(f"//*[local-name()='{name}']"))), F.lit(""))
+def _xml(text: Column, *names: str) -> Column:
+    """The first value of each element at any depth and under any namespace, as one array: a text is parsed once for all of them."""
+    first = [f"//*[local-name()='{n}']" for n in names]
+    # No XML text can hold the character between the values.
+    return F.transform(F.split(F.xpath_string(text, F.lit(f"concat({", '\x01', ".join(first)}, '')")), "\x01"), lambda v: F.nullif(F.trim(v), F.lit("")))
 
 
 def xml_elements(text: Column, name: str) -> Column:
@@ -120,29 +122,37 @@ def feed_entries(feeds: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def holding_xml(filings: DataFrame) -> DataFrame:
-    """``issuer_cik, issuer, percent`` of structured holding filings (column ``xml``); 0.0 is a real value."""
-    x = F.col("xml")
-    return filings.select(
-        *[c for c in filings.columns if c != "xml"], F.lpad(_xml(x, "issuerCik"), 10, "0").alias("issuer_cik"), _xml(x, "issuerName").alias("issuer"),
-        _xml(x, "classPercent").try_cast("double").alias("percent"),
-    )
+    """``issuer_cik, issuer, percent`` of structured holding filings (column ``xml``); 0.0 is a real value.
+
+    Texts are dealt to all tasks before they are parsed, since many lie in one part of a file.
+    """
+    kept = [c for c in filings.columns if c != "xml"]
+    rows = filings.repartition(*filings.columns).select(*kept, _xml(F.col("xml"), "issuerCik", "issuerName", "classPercent").alias("_v"))
+    v = lambda k: F.get("_v", F.lit(k))
+    return rows.select(*kept, F.lpad(v(0), 10, "0").alias("issuer_cik"), v(1).alias("issuer"), v(2).try_cast("double").alias("percent"))
 
 
 def latest_holdings(filings: DataFrame) -> DataFrame:
-    """Per filer and issuer the newest stake above 0, with ``until`` where a later filing says 0; unreadable values are ignored."""
-    known = filings.where("percent IS NOT NULL")
-    live = known.where("percent > 0").groupBy("cik", "issuer_cik").agg(F.max_by(F.struct("filed", "percent", "issuer"), F.struct("filed", "accession")).alias("s"))
-    zero = known.where("percent = 0").select("cik", "issuer_cik", F.col("filed").alias("zero"))
-    ended = live.join(zero, ["cik", "issuer_cik"], "left").groupBy("cik", "issuer_cik", "s").agg(F.max(F.when(F.col("zero") >= F.col("s.filed"), F.col("zero"))).alias("until"))
-    return ended.select("cik", "issuer_cik", F.col("s.issuer").alias("issuer"), F.col("s.percent").alias("stake_percent"), F.col("s.filed").alias("since"), "until")
+    """Per filer and issuer the newest stake above 0, with ``until`` where a later filing says 0; unreadable values are ignored.
+
+    Filings are read once: if any filing that says 0 is not older than the stake, the newest one is not.
+    """
+    live, zero = F.col("percent") > 0, F.col("percent") == 0
+    newest = F.max_by(F.struct("filed", "percent", "issuer"), F.when(live, F.struct("filed", "accession"))).alias("s")
+    held = filings.groupBy("cik", "issuer_cik").agg(newest, F.max(F.when(zero, F.col("filed"))).alias("zero"))
+    # What has no filer or issuer can't be told to end.
+    until = F.when((F.col("zero") >= F.col("s.filed")) & F.col("cik").isNotNull() & F.col("issuer_cik").isNotNull(), F.col("zero")).alias("until")
+    return held.where("s IS NOT NULL").select("cik", "issuer_cik", F.col("s.issuer").alias("issuer"), F.col("s.percent").alias("stake_percent"), F.col("s.filed").alias("since"), until)
 
 
 def insiders(filings: DataFrame, most: int | None = 25) -> DataFrame:
     """Executives of companies from insider filings (column ``xml``), newest first, one row a person; all of them without ``most``."""
     x = F.col("xml")
-    rows = filings.where(F.col("form").isin("3", "4", "3/A", "4/A")).select(
-        F.lpad(_xml(x, "issuerCik"), 10, "0").alias("issuer_cik"), normalize_sec_name(_xml(x, "rptOwnerName")).alias("person"), _xml(x, "rptOwnerCik").alias("person_cik"),
-        _xml(x, "officerTitle").alias("title"), _xml(x, "isDirector").isin("1", "true").alias("is_director"), _xml(x, "isOfficer").isin("1", "true").alias("is_officer"),
+    fields = ("issuerCik", "rptOwnerName", "rptOwnerCik", "officerTitle", "isDirector", "isOfficer")
+    v = lambda k: F.get("_v", F.lit(fields.index(k)))
+    rows = filings.where(F.col("form").isin("3", "4", "3/A", "4/A")).select("filed", "accession", "xml", _xml(x, *fields).alias("_v")).select(
+        F.lpad(v("issuerCik"), 10, "0").alias("issuer_cik"), normalize_sec_name(v("rptOwnerName")).alias("person"), v("rptOwnerCik").alias("person_cik"),
+        v("officerTitle").alias("title"), v("isDirector").isin("1", "true").alias("is_director"), v("isOfficer").isin("1", "true").alias("is_officer"),
         F.array_max(F.transform(F.xpath(x, F.lit("//*[local-name()='sharesOwnedFollowingTransaction']/*[local-name()='value']/text()")), lambda v: v.try_cast("double"))).alias("shares"),
         "filed", "accession",
     ).where("person IS NOT NULL")

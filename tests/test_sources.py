@@ -241,6 +241,19 @@ def test_filings(spark):
     assert len(row) == 1 and (row[0].investor, row[0].stake_percent, row[0].is_person) == ("Elon Musk", 7.5, True)
 
 
+def test_holdings_parse_texts_once(spark):
+    """One parse a filing, whatever is read of it, and no second reading of the filings to find ends."""
+    xml = '<r><issuerCik> {} </issuerCik><issuerName>I &amp; J</issuerName><classPercent>{}</classPercent></r>'
+    rows = [(c, f"a{k}", f"20{k:02d}", xml.format(i, p)) for k, (c, i, p) in enumerate([("f", 7, 5), ("f", 7, 0), ("f", 7, 6), ("g", 7, 5), ("g", 7, 0), ("g", 7, 0), (None, 7, 5), (None, 7, 0), ("h", "", 5), ("h", "", 0)])]
+    frame = spark.createDataFrame([*rows, ("i", "x", "2001", None), ("i", "y", "2002", "<r/>")], "cik string, accession string, filed string, xml string")
+    got = filings.latest_holdings(filings.holding_xml(frame))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("XPathStringEvaluator") == 1 and "Join" not in plan
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [
+        ("f", "0000000007", "I & J", 6.0, "2002", None), ("g", "0000000007", "I & J", 5.0, "2003", "2005"), (None, "0000000007", "I & J", 5.0, "2006", None), ("h", None, "I & J", 5.0, "2008", None),
+    ]))
+
+
 def test_proxy_tables(spark):
     html = """<p>x</p><table><tr><th>Name of Beneficial Owner</th><th>Shares</th><th>Percent of class</th></tr><tr><td>Jane Roe (1)</td><td>1,234,567</td><td>27.4%</td></tr>
     <tr><td></td><td>2,000,000</td><td>30.0</td></tr><tr><td>John Doe</td><td>12,345</td><td>*</td></tr></table><table><tr><td>other</td></tr></table>"""
