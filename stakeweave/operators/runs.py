@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stakeweave.operators.claims import claim_rows, upsert_claims, with_claim_key
@@ -191,16 +191,19 @@ def apply_merges(store: Store, plan: DataFrame, at: Column, fence: int | None =
         if places:
             made[name] = store.write(table, rewrite(store.read(name, base, places)).select(*rows.columns), places)
 
-    # Pairs to which an edge was moved are tidied; other pairs stay as they are.
-    hit = store.read("owns", base)
-    hit = hit.join(plan.select(F.col("dup_id").alias("from_id")), "from_id", "left_semi").unionByName(hit.join(plan.select(F.col("dup_id").alias("to_id")), "to_id", "left_semi"))
-    pairs = cut(rewrite_endpoints(hit, plan).select("from_id", "to_id").distinct())
-
-    def tidied(rows: DataFrame) -> DataFrame:
-        out = rewrite_endpoints(rows, plan, ("from_id", "to_id"))
-        return _tidy(out.join(pairs, ["from_id", "to_id"], "left_semi").select(*rows.columns)).unionByName(out.join(pairs, ["from_id", "to_id"], "left_anti").select(*rows.columns))
-
-    moved("owns", tidied)
+    # Pairs that lose or gain an edge are found by their ends alone; other pairs stay as they are.
+    owns, table = store.read("owns", base), base.tables["owns"]
+    ends = owns.select("from_id", "to_id")
+    gone = [ends.join(plan.select(F.col("dup_id").alias(c)), c, "left_semi").select("from_id", "to_id") for c in ("from_id", "to_id")]
+    old = cut(gone[0].unionByName(gone[1]).distinct())
+    new = cut(rewrite_endpoints(old, plan).distinct())
+    if buckets := sorted({*store.touched(table, old), *store.touched(table, new)}):
+        # Both branches read one shuffle of the rows; all that a moved edge may meet is in the first.
+        marks = old.unionByName(new).distinct().withColumn("_mark", F.lit(True))
+        told = store.read("owns", base, buckets).withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+        told = told.withColumn("_hit", F.max("_mark").over(Window.partitionBy("from_id", "to_id"))).where("NOT _mark")
+        tidied = _tidy(rewrite_endpoints(told.where("_hit").select(*owns.columns), plan, ("from_id", "to_id")))
+        made["owns"] = store.write(table, tidied.unionByName(told.where("NOT _hit").select(*owns.columns)), buckets)
     moved("claim", lambda rows: _one_claim(with_claim_key(rewrite_endpoints(rows, plan).drop("claim_key"))).select(*rows.columns))
     new = plan.select(F.col("dup_id").alias("old_id"), F.col("keep_id").alias("new_id"))
     table = base.tables["merged_id"]

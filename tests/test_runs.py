@@ -132,3 +132,17 @@ def test_a_merge_that_breaks_off_leaves_the_graph_as_it_was(spark, tmp_path, mon
     with pytest.raises(RuntimeError):
         runs.apply_merges(store, plan, F.lit("2024-05-05"))
     assert store.latest().number == number and contents(store) == before
+
+
+def test_merges_find_their_edges_by_one_reading_of_ends_and_one_of_rows(spark, tmp_path, monkeypatch):
+    owns = [("e1", "d", "x", 5.0, None, None, None, "s", 1), ("e2", "k", "x", 7.0, None, None, None, "s", 1), ("e3", "d", "k", 1.0, None, None, None, "s", 1), ("e4", "z", "d", 2.0, None, None, "2020", "s", 1),
+            ("e6", "z", "x", 4.0, None, None, None, "s", 1), ("e7", "z", "x", 4.0, None, None, None, "s", 1), ("e8", "d", "y", 9.0, None, None, None, "s", 1)]
+    nodes = [tuple((i, i.upper(), *[None] * (len(ENTITY.split(", ")) - 2), None, None)) for i in "dkxyz"]
+    store = graph(spark, tmp_path / "g", owns=owns, entity=nodes)
+    reads, read = [], Store.read
+    monkeypatch.setattr(Store, "read", lambda self, name, *more, **named: reads.append(name) or read(self, name, *more, **named))
+    runs.apply_merges(store, spark.createDataFrame([("d", "k")], "dup_id string, keep_id string"), F.lit("2024-01-01"))
+    assert reads.count("owns") == 2
+    assert sorted((r.edge_id, r.from_id, r.to_id) for r in read(store, "owns").collect()) == [
+        ("e2", "k", "x"), ("e4", "z", "k"), ("e6", "z", "x"), ("e7", "z", "x"), ("e8", "k", "y")
+    ]
