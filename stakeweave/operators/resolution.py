@@ -15,15 +15,13 @@ CONFIDENCE = ("definitive", "high", "medium", "low")
 
 def resolve_by_identifier(candidates: DataFrame, entities: DataFrame, key: str) -> DataFrame:
     """``key, entity_id, matched_on``: the first identifier in order that finds an entity; of several the smallest id."""
-    parts = []
-    for rank, column in enumerate(c for c in LOOKUP_ORDER if c in candidates.columns and c in entities.columns):
-        stored = entities.where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(F.col(column).alias("_v")).agg(F.min("id").alias("entity_id"))
-        hit = candidates.select(key, F.col(column).alias("_v")).join(stored, "_v").select(key, "entity_id", F.lit(rank).alias("rank"), F.lit(column).alias("matched_on"))
-        parts.append(hit)
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    best = found.groupBy(key).agg(F.min_by(F.struct("entity_id", "matched_on"), "rank").alias("_b"))
+    columns = [c for c in LOOKUP_ORDER if c in candidates.columns and c in entities.columns]
+    # A row for each identifier, so that one join and one look at either table find them all.
+    held = F.filter(F.array(*[F.struct(F.lit(k).alias("rank"), F.col(c).cast("string").alias("_v")) for k, c in enumerate(columns)]), lambda x: x["_v"].isNotNull())
+    stored = entities.select("id", F.explode(held).alias("h")).where("h._v <> ''").groupBy("h.rank", "h._v").agg(F.min("id").alias("entity_id"))
+    found = candidates.select(key, F.explode(held).alias("h")).select(key, "h.*").join(stored, ["rank", "_v"])
+    matched = F.element_at(F.array(*map(F.lit, columns)), F.col("rank") + 1).alias("matched_on")
+    best = found.groupBy(key).agg(F.min_by(F.struct("entity_id", matched), "rank").alias("_b"))
     return candidates.select(key).join(best, key, "left").select(key, F.col("_b.entity_id").alias("entity_id"), F.col("_b.matched_on").alias("matched_on"))
 
 

@@ -353,3 +353,12 @@ def test_reachable_goes_on_until_nothing_is_new(spark, monkeypatch):
     monkeypatch.setattr(tree, "cut", lambda frame: frame)
     tree.reachable(Frame(), Frame(), "from_id", "to_id")
     assert Frame.rounds == 151
+
+
+def test_identifiers_are_looked_up_by_one_join(spark):
+    """The first identifier in order decides, its smallest id; empty ones and nulls find nothing; one join looks up all of them."""
+    local = spark.createDataFrame([("b", "Q1", "1", ""), ("a", "Q1", None, ""), ("c", "", "2", None), ("d", None, "Q1", None)], "id string, wikidata_id string, sec_cik string, lei_id string")
+    asked = spark.createDataFrame([("r1", "Q1", "2", None), ("r2", "Q9", "2", ""), ("r3", "", "9", ""), ("r4", None, None, None), ("r5", None, "Q1", None)], "k string, wikidata_id string, sec_cik string, lei_id string")
+    got = resolution.resolve_by_identifier(asked, local, "k")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert sorted(map(tuple, got.collect())) == [("r1", "a", "wikidata_id"), ("r2", "c", "sec_cik"), ("r3", None, None), ("r4", None, None), ("r5", "d", "sec_cik")]
