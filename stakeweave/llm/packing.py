@@ -28,6 +28,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,33 +101,37 @@ class Encoder:
         self._fill(held)
         return [b"".join(x) for x in out]
 
-    def _units(self, text: str, first: int, last: int) -> tuple[list[str], dict[int, str], list[bytes | None], list[str]]:
-        """Words that follow a space each, units of another kind by place, the ids that are known, and the words without."""
+    def _units(self, text: str, first: int, last: int) -> tuple[list[str], dict[int, str], list[bytes | None], list[int]]:
+        """Words that follow a space each, units of another kind by place, the ids that are known, and the places without."""
         words = text[first + 1 if first else 0 : last].split(" ")
         got = list(map(self.known.get, words))
-        missing = [w for w, ids in zip(words, got, strict=True) if ids is None] if None in got else []
+        missing = [k for k, ids in enumerate(got) if ids is None] if None in got else []
         odd = {} if first else {0: words[0]}
         # A word with white space at an edge, or none at all, is never known; its space belongs to a longer run.
-        if any(map(_rough, missing)) or (odd and _rough(words[0])):
+        if any([_rough(words[k]) for k in missing]) or (odd and _rough(words[0])):
             units = PART.findall(text, first, last)
             odd = {k: u for k, u in enumerate(units) if u[0] != " " or _rough(u[1:])}
             words = [u[1:] for u in units]
             got = list(map(self.known.get, words))
-            missing = [w for k, (w, ids) in enumerate(zip(words, got, strict=True)) if ids is None and k not in odd]
-        return words, odd, got, missing
+            missing = [k for k, ids in enumerate(got) if ids is None]
+        return words, odd, got, [k for k in missing if k not in odd]
 
     def _fill(self, held: list[tuple]) -> None:
-        missing = {w: self._pieces(w) for _, _, _, _, some in held for w in some}
-        new = list(dict.fromkeys(x for parts in missing.values() for x in parts if x not in self.known and x not in self.marks))
+        missing = dict.fromkeys([words[k] for _, words, _, _, places in held for k in places])
+        cut = {w: self._pieces(w) for w in missing if w[-1] in MARKS or "\n" in w}
+        parts = [x for w in missing for x in cut.get(w, (w,))] if cut else missing
+        new = [x for x in dict.fromkeys(parts) if x not in self.known and x not in self.marks]
         fresh = self._encode_words([x for x in new if x[0] != "\n"], " ") | self._encode_words([x[1:] for x in new if x[0] == "\n"], "\n")
-        for w, parts in missing.items():
-            if len(parts) > 1:
-                fresh[w] = b"".join([self.marks.get(x) or self.known.get(x) or fresh[x] for x in parts])
+        for w, some in cut.items():
+            if len(some) > 1:
+                fresh[w] = b"".join([self.marks.get(x) or self.known.get(x) or fresh[x] for x in some])
         alone = iter(self._encode([u for _, _, odd, _, _ in held for u in odd.values()]))
-        for out, words, odd, got, some in held:
+        for out, words, odd, got, places in held:
+            for k in places:
+                got[k] = fresh[words[k]]
             for k in odd:
                 got[k] = next(alone)
-            out.append(b"".join([fresh[w] if ids is None else ids for w, ids in zip(words, got, strict=True)] if some else got))
+            out.append(b"".join(got))
         if len(self.known) > KNOWN:
             self.known.clear()
         self.known.update([x for x in fresh.items() if len(x[0]) <= KNOWN_CHARS])
@@ -183,11 +188,15 @@ def encoder(definition: str) -> Encoder:
 
 
 def token_pieces(
-    docs: DataFrame, definition: str, capacity: int = 1024, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", batch_ids: int = 1 << 20
+    docs: DataFrame, definition: str, capacity: int = 1024, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", batch_ids: int = 1 << 20,
+    keep_ids: bool = True,
 ) -> DataFrame:
-    """``id, piece, start, length, ids`` of every piece; ``ids`` are unsigned little-endian 32-bit numbers."""
+    """``id, piece, start, length, ids_crc32`` of every piece, and its ``ids`` (unsigned little-endian 32-bit numbers) if they are kept.
+
+    Ids that are not kept never leave the worker.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # a tokenizer file, some megabytes
-    end = np.array([] if end_id is None else [end_id], "<u4")
+    end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(shared.value)
@@ -200,12 +209,14 @@ def token_pieces(
         held: list[tuple] = []
         size = 0
         for row, raw in enumerate(encoded):
-            ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
-            short = len(ids) % capacity
-            for piece, start in enumerate([*([0] if short else []), *range(short, len(ids), capacity)]):
-                own = ids[start : short if start < short else start + capacity]
-                held.append((row, piece, start, len(own), own.tobytes()))
-                size += len(own)
+            ids = memoryview(raw + end)
+            n = len(ids) // 4
+            short = n % capacity
+            for piece, start in enumerate([*([0] if short else []), *range(short, n, capacity)]):
+                stop = short if start < short else start + capacity
+                own = ids[4 * start : 4 * stop]
+                held.append((row, piece, start, stop - start, zlib.crc32(own), *([own] if keep_ids else [])))
+                size += stop - start
                 if size >= batch_ids:
                     yield made(batch, held)
                     held, size = [], 0
@@ -213,15 +224,17 @@ def token_pieces(
             yield made(batch, held)
 
     def made(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
-        rows, piece, start, length, ids = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-            names=["id", "piece", "start", "length", "ids"],
-        )
+        rows, piece, *others, crc = zip(*[h[:5] for h in held], strict=True)
+        columns = [batch.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (*others, crc))]
+        if keep_ids:
+            columns.append(pa.array([h[5] for h in held], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(released(run), f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
+    kinds = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    names = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
+    return rows.mapInArrow(released(run), kinds).withColumnRenamed("id", id_col)
 
 
 class Plan:
@@ -369,9 +382,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
 
 def packed_pieces(docs: DataFrame, definition: str, capacity: int = 1024, end_id: int | None = 2, keep_ids: bool = True, **options) -> DataFrame:
     """``id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece, and its ``ids`` if they are kept."""
-    pieces = token_pieces(docs, definition, capacity, end_id, **options)
-    pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))
-    pieces = cut(pieces if keep_ids else pieces.drop("ids"))
+    pieces = cut(token_pieces(docs, definition, capacity, end_id, keep_ids=keep_ids, **options))
     packed = pack(pieces, capacity, (options.get("id_col", "doc_id"), "piece", "start", "ids_crc32"))
     return packed
 

@@ -268,6 +268,19 @@ def test_packed_documents(spark, rows, definition):
     assert rows_of(again, "doc_id", "piece", "ids_crc32", "sequence_id", "offset") == rows_of(packed, "doc_id", "piece", "ids_crc32", "sequence_id", "offset")
 
 
+def test_ids_that_are_not_kept_stay_in_workers(spark, rows, definition):
+    from stakeweave.llm.packing import packed_pieces, token_pieces
+
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    whole, bare = token_pieces(docs, definition, 64), token_pieces(docs, definition, 64, keep_ids=False)
+    assert bare.columns == names and whole.columns == [*names, "ids"]
+    assert rows_of(bare, *names) == rows_of(whole, *names)
+    assert all(r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length for r in whole.collect())
+    placed = ["doc_id", "piece", "sequence_id", "offset"]
+    assert rows_of(packed_pieces(docs, definition, 64, keep_ids=False), *placed) == rows_of(packed_pieces(docs, definition, 64), *placed)
+
+
 # Importance resampling
 
 
