@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stakeweave.functions.classify import derive_ownership_type
 from stakeweave.functions.names import backfilled_search_text, is_nominee_name
 from stakeweave.operators.edges import dedup_owns
+from stakeweave.operators.tree import checkpoint_folder
 
 # Spellings of countries that the code table lacks.
 COUNTRY_VARIANTS = {
@@ -100,10 +103,18 @@ def geocode(entities: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def purge_company(entities: DataFrame, edges: DataFrame, persons: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables without the entities of ``name``, their edges, and the neighbours that no other edge touches."""
-    gone = entities.where(F.lower("name") == name.lower()).select("id")
-    ends = lambda e: e.select(F.col("from_id").alias("id")).unionByName(e.select(F.col("to_id").alias("id"))).distinct()
-    hit = edges.join(gone.select(F.col("id").alias("from_id")), "from_id", "left_semi").unionByName(edges.join(gone.select(F.col("id").alias("to_id")), "to_id", "left_semi"))
-    left = edges.join(hit.select("edge_id").distinct(), "edge_id", "left_anti")
-    orphans = ends(hit).join(ends(left), "id", "left_anti").unionByName(gone).distinct()
+    """Tables without the entities of ``name``, their edges (an edge is a row, whatever its id), and the neighbours that no other edge touches."""
+    gone = entities.where(F.lower("name") == name.lower()).select("id").distinct()
+    # Written, so that the planner knows how few they are before it deals the edges.
+    path = f"{checkpoint_folder(entities.sparkSession)}/purged-{uuid.uuid4().hex}"
+    gone.write.parquet(path)
+    gone = entities.sparkSession.read.schema(gone.schema).parquet(path)
+    marked = edges
+    for end in ("from_id", "to_id"):
+        marked = marked.join(gone.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    marked = marked.withColumn("_hit", F.coalesce("_from_id", F.lit(False)) | F.coalesce("_to_id", F.lit(False)))
+    left = marked.where(~F.col("_hit")).select(*edges.columns)
+    # One pass over the edges: a row for each end, of which tasks keep one an id.
+    ends = marked.select(F.explode(F.array("from_id", "to_id")).alias("id"), "_hit").groupBy("id").agg(F.every("_hit").alias("alone"))
+    orphans = ends.where("alone AND id IS NOT NULL").select("id").unionByName(gone).distinct()
     return entities.join(orphans, "id", "left_anti"), left, persons.join(orphans, "id", "left_anti")

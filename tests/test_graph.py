@@ -253,6 +253,17 @@ def test_wipe_and_purge(spark):
     assert sorted(r.id for r in kept.collect()) == ["b", "c"] and left.count() == 1
 
 
+def test_purge_reads_edges_once(spark, tmp_path):
+    rows = [("e1", "a", "b"), ("e2", "b", "c"), ("e3", "d", "a"), ("e4", "d", "A"), ("e5", "p", "a"), ("e6", "a", None), ("e7", "f", "f"), ("e8", "a", "a")]
+    spark.createDataFrame(rows, "edge_id string, from_id string, to_id string").write.parquet(str(tmp_path / "edges"))
+    e = spark.read.parquet(str(tmp_path / "edges"))
+    nodes = spark.createDataFrame([("a", "X"), ("A", "x"), ("b", "B"), ("c", "C"), ("d", "D"), ("f", None), ("g", "x")], "id string, name string")
+    persons = spark.createDataFrame([("p",), ("q",)], "id string")
+    kept, left, people = maintenance.purge_company(nodes, e, persons, "x")
+    assert sorted(r.id for r in kept.collect()) == ["b", "c", "f"] and sorted(r.edge_id for r in left.collect()) == ["e2", "e7"] and [r.id for r in people.collect()] == ["q"]
+    assert left.columns == e.columns and kept._jdf.queryExecution().optimizedPlan().toString().count("Relation [edge_id#") == 1
+
+
 def test_claims(spark):
     rows = [("owns", "a", "b", "s1", 10.0, "2020", 80, "2020-02"), ("owns", "a", "b", "s2", 20.0, "2019", 90, "2020-01"), ("owns", "a", "b", "s3", 30.0, "2021", 90, "2020-03")]
     frame = spark.createDataFrame(rows, "kind string, from_id string, to_id string, source_id string, stake_percent double, source_date string, credibility_score int, last_seen_at string")
