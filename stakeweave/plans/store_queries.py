@@ -58,7 +58,8 @@ def stored_upserts(t, spark, sf_dir):
     owns = t("owns").select("edge_id", "from_id", "to_id", F.col("stake_percent").cast("double").alias("stake_percent"), "since")
     store = Store(spark, _folder(spark, "store"))
     store.create({"owns": (owns, ["edge_id"], 16)})
-    changed = owns.where("stake_percent > 60").withColumns({"stake_percent": F.lit(60.0), "since": F.lit("2030-01-01")})
+    # Changed edges are read from their buckets: the edges' own plan runs once, for the first version.
+    changed = store.read("owns").where("stake_percent > 60").withColumns({"stake_percent": F.lit(60.0), "since": F.lit("2030-01-01")})
     k = F.col("s_suppkey").cast("string")
     new = _driver(spark, sf_dir, "supplier").select(F.concat(F.lit("new:"), k).alias("edge_id"), F.concat(F.lit("sup:"), k).alias("from_id"), F.lit("par:1").alias("to_id"), F.lit(5.0).alias("stake_percent"),
                                                     F.lit("2030-01-01").alias("since"))

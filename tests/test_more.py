@@ -267,3 +267,19 @@ def test_person_search(spark):
     persons = spark.createDataFrame([("1", "Ann Lee"), ("2", "Bob May")], "id string, name string")
     queries = spark.createDataFrame([("a", "ann", None), ("b", "bob", "US")], "query_id string, q string, country string")
     assert [(r.query_id, r.id) for r in se.person_candidates(persons, se.token_index(persons, "id", "name"), queries).collect()] == [("a", "1")]
+
+
+def test_upserted_edges_are_made_once(spark, tmp_path):
+    from stakeweave.plans.store_queries import stored_upserts
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    spark.range(3).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    edges = spark.createDataFrame([(f"e{i}", "a", "b", 50.0 + i, "2020") for i in range(30)], "edge_id string, from_id string, to_id string, stake_percent double, since string")
+    out = stored_upserts(lambda name: edges.mapInArrow(seen, edges.schema), spark, str(tmp_path))
+    assert out.where("edge_id LIKE 'e%' AND stake_percent = 60 AND since = '2030-01-01'").count() == 19 and made.value == 30
