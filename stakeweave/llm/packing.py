@@ -13,7 +13,8 @@ Pieces are ranked by length over ranges of that order, and each looks up where t
 Tokens come from the library inside Arrow batches.  For byte-level models without a normaliser, texts are cut before each
 single space between characters that are no white space: such a model begins a new unit there
 whatever stands around, so the parts' ids joined are the text's ids (the model's definition is read to tell whether this
-holds; otherwise whole texts are encoded).  Parts seen before come from a memory of ``KNOWN`` of them, which is emptied when full.
+holds; otherwise whole texts are encoded).  Parts seen before come from a memory of two halves of ``KNOWN`` each: a full one becomes
+the older half, whose parts move over when they are met again and go with it when the next one is full.
 
 A document is its ids and the end id; one of more than ``capacity`` is cut into pieces of ``capacity``, of which the
 first may be shorter.
@@ -29,7 +30,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from stakeweave.llm.kernels import released
 PART = re.compile(r"\s*\S+(?:(?:\s\s+|[^\S ])\S*)*|\s+")
 #: A piece of at most the capacity's share of this is small.
 SMALL = 6
-#: Words that a worker remembers, and the longest of them in characters.
+#: Words in each half of a worker's memory, and the longest of them in characters.
 KNOWN, KNOWN_CHARS = 1 << 19, 32
 #: Marks that stand alone behind letters.
 MARKS = ".,;:!?)"
@@ -76,6 +77,7 @@ class Encoder:
         for t in added:
             self.lengths[t["id"]] = len(t["content"].encode())
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # No word holds a space, so these names are no words.
         self.marks = {" " + m: ids for m, ids in zip(MARKS, self._encode(list(MARKS)), strict=True)} if self.parts else {}
 
@@ -108,7 +110,8 @@ class Encoder:
         missing = [k for k, ids in enumerate(got) if ids is None] if None in got else []
         odd = {} if first else {0: words[0]}
         # A word with white space at an edge, or none at all, is never known; its space belongs to a longer run.
-        if any([_rough(words[k]) for k in missing]) or (odd and _rough(words[0])):
+        some = [words[k] for k in missing]
+        if not all(some) or list(map(str.strip, some)) != some or (odd and _rough(words[0])):
             units = PART.findall(text, first, last)
             odd = {k: u for k, u in enumerate(units) if u[0] != " " or _rough(u[1:])}
             words = [u[1:] for u in units]
@@ -118,10 +121,14 @@ class Encoder:
 
     def _fill(self, held: list[tuple]) -> None:
         missing = dict.fromkeys([words[k] for _, words, _, _, places in held for k in places])
+        fresh = self._met_before(missing)
+        missing = [w for w in missing if w not in fresh] if fresh else missing
         cut = {w: self._pieces(w) for w in missing if w[-1] in MARKS or "\n" in w}
+        fresh |= self._met_before([x for some in cut.values() if len(some) > 1 for x in some])
         parts = [x for w in missing for x in cut.get(w, (w,))] if cut else missing
-        new = [x for x in dict.fromkeys(parts) if x not in self.known and x not in self.marks]
-        fresh = self._encode_words([x for x in new if x[0] != "\n"], " ") | self._encode_words([x[1:] for x in new if x[0] == "\n"], "\n")
+        new = [x for x in dict.fromkeys(parts) if x not in self.known and x not in fresh and x not in self.marks]
+        fresh |= self._encode_words([x for x in new if x[0] != "\n"], " ")
+        fresh |= self._encode_words([x[1:] for x in new if x[0] == "\n"], "\n")
         for w, some in cut.items():
             if len(some) > 1:
                 fresh[w] = b"".join([self.marks.get(x) or self.known.get(x) or fresh[x] for x in some])
@@ -133,9 +140,12 @@ class Encoder:
                 got[k] = next(alone)
             out.append(b"".join(got))
         if len(self.known) > KNOWN:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         self.known.update([x for x in fresh.items() if len(x[0]) <= KNOWN_CHARS])
 
+    def _met_before(self, words: Iterable[str]) -> dict[str, bytes]:
+        return {w: ids for w in words if (ids := self.older.get(w))} if self.older else {}
+
     def _pieces(self, word: str) -> list[str]:
         """Where a word that isn't known is sure to be cut by the model: about a line end between other characters, and before one mark behind letters."""
         at = word.find("\n", 1)
@@ -143,7 +153,7 @@ class Encoder:
             return self._pieces(word[:at]) + self._pieces(word[at:])
         if word[-1] in MARKS:
             stem = word[1:-1] if word[0] == "\n" else word[:-1]
-            if stem.isalpha() and max(stem) < "\u0250":
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
                 return [word[:-1], " " + word[-1]]
         return [word]
 

@@ -147,6 +147,20 @@ def test_parts_encode_as_whole_texts(definition):
         packing.WINDOW, packing.KNOWN = window, known
 
 
+def test_words_met_again_outlast_a_full_memory(definition, monkeypatch):
+    from stakeweave.llm import packing
+
+    monkeypatch.setattr(packing, "KNOWN", 4)
+    model = packing.Encoder(definition)
+    encoded = []
+    own = model._encode_words
+    monkeypatch.setattr(model, "_encode_words", lambda words, before: encoded.extend(words) or own(words, before))
+    texts = [f"x again, b{i} c{i}" for i in range(12)]
+    found = [np.frombuffer(model.encode([t])[0], "<u4").tolist() for t in texts]
+    assert found == [e.ids for e in model.model.encode_batch(texts, add_special_tokens=False)]
+    assert encoded.count("again") == 1 and len(model.known) + len(model.older) < 24
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
