@@ -373,3 +373,17 @@ def test_identifiers_are_looked_up_by_one_join(spark):
     got = resolution.resolve_by_identifier(asked, local, "k")
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
     assert sorted(map(tuple, got.collect())) == [("r1", "a", "wikidata_id"), ("r2", "c", "sec_cik"), ("r3", None, None), ("r4", None, None), ("r5", "d", "sec_cik")]
+
+
+def test_role_without_stake_counts_people_and_aggregates_after_the_limit(spark):
+    roles = [(f"p{i % 5}", f"c{i % 2}") for i in range(40)] + [(None, "c0"), ("p1", None), (None, "c0")]
+    owns = [("p0", "c0"), ("p4", "c1"), ("p4", "c1"), (None, "c0")]
+    found = edges.role_without_stake(spark.createDataFrame(roles, "from_id string, to_id string"), spark.createDataFrame(owns, "from_id string, to_id string"), 3)
+    people = collections.defaultdict(set)
+    for p, c in roles:
+        if None in (p, c) or (p, c) not in owns:
+            people[c].add(p)
+    want = [(p, c) for c, some in people.items() for p in sorted(some, key=lambda p: (p is not None, p))[:3]]
+    assert sorted(map(str, map(tuple, found.select("from_id", "to_id").collect()))) == sorted(map(str, want))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "HashAggregate" not in plan[plan.rindex("WindowGroupLimit") :]
