@@ -13,8 +13,11 @@ Pieces are ranked by length over ranges of that order, and each looks up where t
 Tokens come from the library inside Arrow batches.  For byte-level models without a normaliser, texts are cut before each
 single space between characters that are no white space: such a model begins a new unit there
 whatever stands around, so the parts' ids joined are the text's ids (the model's definition is read to tell whether this
-holds; otherwise whole texts are encoded).  Parts seen before come from a memory of two halves of ``KNOWN`` each: a full one becomes
-the older half, whose parts move over when they are met again and go with it when the next one is full.
+holds; otherwise whole texts are encoded).  Arrow cuts some megabytes of texts and tells their words apart, so each word is looked up once
+for all its places there.  Words end before marks behind Latin letters and about single line ends too, as the model's units do.
+Words seen before come from a memory of two halves of ``KNOWN`` each: a full one becomes
+the older half, whose words move over when they are met again and go with it when the next one is full.  New words that are
+one unit go to the library without its pattern.
 
 A document is its ids and the end id; one of more than ``capacity`` is cut into pieces of ``capacity``, of which the
 first may be shorter.
@@ -31,27 +34,41 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stakeweave.llm.common import cut, positions, text_or_empty
 from stakeweave.llm.kernels import released
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: A run without white space, with what follows it up to the next single space between two such runs.
 PART = re.compile(r"\s*\S+(?:(?:\s\s+|[^\S ])\S*)*|\s+")
 #: A piece of at most the capacity's share of this is small.
 SMALL = 6
+#: Where a part isn't just a space and a word: white space beside a space, or a space at an edge.  As in ``str.isspace``.
+WHITE = r"[\s\v\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ROUGH = f"^ | $| {WHITE}|{WHITE} |\x01"
+#: Stands before a word that follows no space; texts that hold it are rough.
+CLOSE = "\x01"
+#: Latin letters, and marks that no added token has behind one.
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r".,;:!?)\]}\"$%&*#"
+#: Where words end besides: a line end before a word of ASCII, and marks before a space.
+LINE_END, MARKS_END = (rf"([^{WHITE[1:]})\n\b", f"\\1 {CLOSE}\n {CLOSE}"), (f"([{LETTERS}])([{MARKS}]+)( |$)", rf"\1 {CLOSE}\2\3")
+#: Words that are one unit.
+SIMPLE = re.compile(f"[{LETTERS}]+|[{MARKS}]+|[0-9]+|\n")
 #: Words in each half of a worker's memory, and the longest of them in characters.
 KNOWN, KNOWN_CHARS = 1 << 19, 32
-#: Marks that stand alone behind letters.
-MARKS = ".,;:!?)"
 #: New words that are encoded as one text.
 JOINED = 512
-#: Characters of a text that are looked at together.
-WINDOW = 1 << 16
+#: Characters of a text that are looked at together, and of texts.
+WINDOW, TOGETHER = 1 << 16, 1 << 23
 _encoders: dict[str, Encoder] = {}
 
 
@@ -76,10 +93,14 @@ class Encoder:
             self.lengths[i] = len(token)
         for t in added:
             self.lengths[t["id"]] = len(t["content"].encode())
+        # The same model behind units that are cut already, in the characters of its tokens; byte 0 parts them.
+        self.units = None
+        if self.parts and not any(re.search(f"[{LETTERS}][{MARKS}]", t["content"]) for t in added):
+            cut_at = {"type": "CharDelimiterSplit", "delimiter": " "}
+            self.units = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": cut_at, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None}))
+        self.characters = _byte_characters() | {0: " "}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        # No word holds a space, so these names are no words.
-        self.marks = {" " + m: ids for m, ids in zip(MARKS, self._encode(list(MARKS)), strict=True)} if self.parts else {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,86 +115,118 @@ class Encoder:
             first = 0
             while first < len(text):
                 last = self._cut(text, first + WINDOW)
-                held.append((out[i], *self._units(text, first, last)))
+                held.append((i, text[first:last], first > 0))
                 size += last - first
                 first = last
-                if size > 4 * WINDOW:
-                    self._fill(held)
+                if size > TOGETHER:
+                    self._fill(held, out)
                     held, size = [], 0
-        self._fill(held)
+        self._fill(held, out)
         return [b"".join(x) for x in out]
 
-    def _units(self, text: str, first: int, last: int) -> tuple[list[str], dict[int, str], list[bytes | None], list[int]]:
-        """Words that follow a space each, units of another kind by place, the ids that are known, and the places without."""
-        words = text[first + 1 if first else 0 : last].split(" ")
+    def _fill(self, held: list[tuple[int, str, bool]], out: list[list[bytes]]) -> None:
+        """Appends to ``out`` the ids of texts held as place there, characters, and whether these begin with a part's space."""
+        rough = pc.match_substring_regex(pa.array([t[inner:] for _, t, inner in held], pa.large_string()), ROUGH).to_pylist()
+        # What precedes the first space is encoded alone, as are units that aren't a space and a word.
+        heads = [None if r else "" if inner else t.partition(" ")[0] for (_, t, inner), r in zip(held, rough, strict=True)]
+        smooth = [(t[len(head) + 1 :], k) for k, ((_, t, _), head) in enumerate(zip(held, heads, strict=True)) if head is not None and len(head) < len(t)]
+        ids: list[list[bytes]] = [[] for _ in held]
+        alone = [(ids[k], head) for k, head in enumerate(heads) if head]
+        for (found, _), raw in zip(alone, self._encode([head for _, head in alone]), strict=True):
+            found.append(raw)
+        if smooth:
+            rest = pa.array([t for t, _ in smooth], pa.large_string())
+            for pattern, by in (LINE_END, MARKS_END) if self.units else ():
+                rest = pc.replace_substring_regex(rest, pattern, by)
+            lists = pc.split_pattern(rest, " ")
+            for (_, k), raw in zip(smooth, self._joined(lists, {}), strict=True):
+                ids[k].append(raw)
+        others = [k for k, r in enumerate(rough) if r]
+        if others:
+            units = [PART.findall(held[k][1]) for k in others]
+            odd = dict(enumerate(u for some in units for u in some))
+            odd = {n: u for n, u in odd.items() if u[0] != " " or u[1:2] == CLOSE or _rough(u[1:])}
+            lists = pa.array([[u[1:] for u in some] for some in units], pa.large_list(pa.large_string()))
+            for k, raw in zip(others, self._joined(lists, odd), strict=True):
+                ids[k].append(raw)
+        for (i, _, _), found in zip(held, ids, strict=True):
+            out[i] += found
+
+    def _joined(self, lists: pa.Array, odd: dict[int, str]) -> list[bytes]:
+        """The ids of each list of words that follow a space each; at the places in ``odd`` are units of another kind."""
+        coded = lists.flatten().dictionary_encode()
+        place = coded.indices.to_numpy()
+        if odd:
+            place = place.copy()
+            met = np.bincount(np.delete(place, list(odd)), minlength=len(coded.dictionary))
+            place[list(odd)] = len(coded.dictionary) + np.arange(len(odd))
+            words = coded.dictionary.filter(pa.array(met > 0))
+            place = np.append(np.cumsum(met > 0) - 1, np.arange(len(odd)) + len(words))[place]
+        else:
+            words = coded.dictionary
+        table = pa.array(self._ids(words.to_numpy(zero_copy_only=False).tolist()) + self._encode(list(odd.values())), pa.large_binary())
+        ids = table.take(pa.array(place))
+        ends, raw = np.frombuffer(ids.buffers()[1], np.int64), ids.buffers()[2]
+        ends = ends[lists.offsets.to_numpy()].tolist()
+        return [raw[a:b].to_pybytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of different words, a space before each that ``CLOSE`` doesn't begin."""
         got = list(map(self.known.get, words))
-        missing = [k for k, ids in enumerate(got) if ids is None] if None in got else []
-        odd = {} if first else {0: words[0]}
-        # A word with white space at an edge, or none at all, is never known; its space belongs to a longer run.
-        some = [words[k] for k in missing]
-        if not all(some) or list(map(str.strip, some)) != some or (odd and _rough(words[0])):
-            units = PART.findall(text, first, last)
-            odd = {k: u for k, u in enumerate(units) if u[0] != " " or _rough(u[1:])}
-            words = [u[1:] for u in units]
-            got = list(map(self.known.get, words))
-            missing = [k for k, ids in enumerate(got) if ids is None]
-        return words, odd, got, [k for k in missing if k not in odd]
-
-    def _fill(self, held: list[tuple]) -> None:
-        missing = dict.fromkeys([words[k] for _, words, _, _, places in held for k in places])
-        fresh = self._met_before(missing)
-        missing = [w for w in missing if w not in fresh] if fresh else missing
-        cut = {w: self._pieces(w) for w in missing if w[-1] in MARKS or "\n" in w}
-        fresh |= self._met_before([x for some in cut.values() if len(some) > 1 for x in some])
-        parts = [x for w in missing for x in cut.get(w, (w,))] if cut else missing
-        new = [x for x in dict.fromkeys(parts) if x not in self.known and x not in fresh and x not in self.marks]
-        fresh |= self._encode_words([x for x in new if x[0] != "\n"], " ")
-        fresh |= self._encode_words([x[1:] for x in new if x[0] == "\n"], "\n")
-        for w, some in cut.items():
-            if len(some) > 1:
-                fresh[w] = b"".join([self.marks.get(x) or self.known.get(x) or fresh[x] for x in some])
-        alone = iter(self._encode([u for _, _, odd, _, _ in held for u in odd.values()]))
-        for out, words, odd, got, places in held:
-            for k in places:
-                got[k] = fresh[words[k]]
-            for k in odd:
-                got[k] = next(alone)
-            out.append(b"".join(got))
+        missing = [k for k, ids in enumerate(got) if ids is None]
+        fresh = self._fresh([words[k] for k in missing])
+        for k in missing:
+            got[k] = fresh[words[k]]
         if len(self.known) > KNOWN:
             self.older, self.known = self.known, {}
         self.known.update([x for x in fresh.items() if len(x[0]) <= KNOWN_CHARS])
+        return got
+
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that aren't in the newer half of the memory."""
+        found = self._met_before(words)
+        missing = [w for w in words if w not in found] if found else words
+        apart = [w for w in missing if w[:1] != CLOSE]
+        close = [w[1:] for w in missing if w[:1] == CLOSE]
+        simple = {w for w in apart + close if SIMPLE.fullmatch(w)} if self.units else set()
+        found |= self._encode_words([w for w in apart if w in simple], " ") | self._encode_mixed([w for w in apart if w not in simple])
+        own = self._encode_words([w for w in close if w in simple], "")
+        mixed = [w for w in close if w not in simple]
+        own |= zip(mixed, self._encode(mixed), strict=True)
+        return found | {CLOSE + w: ids for w, ids in own.items()}
 
     def _met_before(self, words: Iterable[str]) -> dict[str, bytes]:
         return {w: ids for w in words if (ids := self.older.get(w))} if self.older else {}
 
-    def _pieces(self, word: str) -> list[str]:
-        """Where a word that isn't known is sure to be cut by the model: about a line end between other characters, and before one mark behind letters."""
-        at = word.find("\n", 1)
-        if at > 0 and not word[at - 1].isspace() and not word[at + 1].isspace():
-            return self._pieces(word[:at]) + self._pieces(word[at:])
-        if word[-1] in MARKS:
-            stem = word[1:-1] if word[0] == "\n" else word[:-1]
-            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
-                return [word[:-1], " " + word[-1]]
-        return [word]
-
     def _encode_words(self, words: list[str], before: str) -> dict[str, bytes]:
-        """Ids of words with ``before`` in front: many are encoded as one text and told apart by the bytes of its tokens."""
+        """Ids of simple words with ``before`` in front."""
+        found: dict[str, bytes] = {}
+        for i in range(0, len(words), JOINED):
+            some = words[i : i + JOINED]
+            text = "\0".join([before + w for w in some]).encode().decode("latin-1").translate(self.characters)
+            ids = self._told_apart(self.units, text, list(map(len, text.split(" "))))
+            found.update(zip(some, ids or self._encode([before + w for w in some]), strict=True))
+        return found
+
+    def _encode_mixed(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of any kind with a space in front."""
         found: dict[str, bytes] = {}
         for i in range(0, len(words), JOINED):
             some = words[i : i + JOINED]
-            ids = np.array(self.model.encode_batch_fast([before + before.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.lengths[ids])
-            cuts = np.cumsum([len(w.encode()) + 1 for w in some])
-            at = np.searchsorted(ends, cuts)
-            names = some if before == " " else [before + w for w in some]
-            if len(ends) and ends[-1] == cuts[-1] and (ends[at] == cuts).all():
-                raw, place = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
-                found.update((w, raw[place[k] : place[k + 1]]) for k, w in enumerate(names))
-            else:
-                found.update(zip(names, self._encode([before + w for w in some]), strict=True))
+            ids = self._told_apart(self.model, " " + " ".join(some), [len(w.encode()) + 1 for w in some])
+            found.update(zip(some, ids or self._encode([" " + w for w in some]), strict=True))
         return found
 
+    def _told_apart(self, model: Tokenizer, text: str, sizes: list[int]) -> list[bytes] | None:
+        """Ids of the words of a text with so many bytes each, by the bytes of its tokens; none if a token crosses words."""
+        ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends, cuts = np.cumsum(self.lengths[ids]), np.cumsum(sizes)
+        at = np.searchsorted(ends, cuts)
+        if not len(ends) or ends[-1] != cuts[-1] or (ends[at] != cuts).any():
+            return None
+        raw, place = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+        return [raw[a:b] for a, b in zip(place, place[1:], strict=False)]
+
     @staticmethod
     def _cut(text: str, at: int) -> int:
         """The first place from ``at`` on where a part may begin, or the end."""
@@ -191,6 +244,13 @@ def _rough(word: str) -> bool:
     return not word or word[0].isspace() or word[-1].isspace()
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character of each byte in the tokens of a byte-level model: its own if that can be seen, else one from 256 on in order."""
+    seen = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 def encoder(definition: str) -> Encoder:
     if definition not in _encoders:
         _encoders[definition] = Encoder(definition)
@@ -211,8 +271,14 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                yield from pieces_of(batch.slice(lo, 64), model)
+            for first, n in slices(batch.column(1)):
+                yield from pieces_of(batch.slice(first, n), model)
+
+    def slices(texts: pa.Array) -> list[tuple[int, int]]:
+        """Rows with some megabytes of text each: where they begin, and how many they are."""
+        share = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // TOGETHER
+        first = np.flatnonzero(np.diff(share, prepend=-1))
+        return list(zip(first.tolist(), np.diff(first, append=len(share)).tolist(), strict=True))
 
     def pieces_of(batch: pa.RecordBatch, model: Encoder) -> Iterator[pa.RecordBatch]:
         encoded = model.encode(batch.column(1).to_pylist())

@@ -161,6 +161,34 @@ def test_words_met_again_outlast_a_full_memory(definition, monkeypatch):
     assert encoded.count("again") == 1 and len(model.known) + len(model.older) < 24
 
 
+def test_words_that_end_at_marks_and_lines_encode_as_whole_texts(definition):
+    from stakeweave.llm import packing
+
+    model, draw = packing.Encoder(definition), random.Random(8)
+    some = ["Word", "é", "ǆ", "×", "s", "n't", "_a", "12", ".", "!!", "$%", "'", "'s", "<|endoftext|>", "|>", "\x01", "ª", "日", "\n", "\n\n", "\r\n", "\t", " ", " ", " ", " ", "  "]
+    texts = ["".join(draw.choices(some[: draw.randrange(14, len(some) + 1)] + [" "] * 8, k=draw.randrange(1, 40))) for _ in range(4000)]
+    want = [e.ids for e in model.model.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in model.encode(texts)] == want
+
+
+def test_a_word_is_looked_up_once_for_all_its_places(definition):
+    from stakeweave.llm import packing
+
+    class Known(dict):
+        looked = 0
+
+        def get(self, *key):
+            self.looked += 1
+            return super().get(*key)
+
+    model = packing.Encoder(definition)
+    model.known = known = Known()
+    texts = [f"x again$$$ and, again.\nAgain and b{i} again" for i in range(500)]
+    found = [np.frombuffer(x, "<u4").tolist() for x in model.encode(texts)]
+    assert found == [e.ids for e in model.model.encode_batch(texts, add_special_tokens=False)]
+    assert known.looked < 520 and "again" in known and not any("again$" in w for w in known)
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
