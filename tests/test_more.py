@@ -283,3 +283,21 @@ def test_upserted_edges_are_made_once(spark, tmp_path):
     edges = spark.createDataFrame([(f"e{i}", "a", "b", 50.0 + i, "2020") for i in range(30)], "edge_id string, from_id string, to_id string, stake_percent double, since string")
     out = stored_upserts(lambda name: edges.mapInArrow(seen, edges.schema), spark, str(tmp_path))
     assert out.where("edge_id LIKE 'e%' AND stake_percent = 60 AND since = '2030-01-01'").count() == 19 and made.value == 30
+
+
+def test_profiles_compute_shown_ownership_once(spark, tmp_path):
+    from stakeweave.operators.profile import entity_profiles
+
+    edges = [("e1", "a", "b", 10.0, None), ("e2", "a", "b", 30.0, None), ("e3", "b", "a", None, None), ("e4", "c", "b", 5.0, None), ("e5", "d", "b", 5.0, "2020-01-01")]
+    spark.createDataFrame([(*e[:4], None, "2019-01-01", e[4]) for e in edges], "edge_id string, from_id string, to_id string, stake_percent double, direct_or_indirect string, since string, until string").write.parquet(str(tmp_path / "owns"))
+    entities = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "id string, name string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    pairs, hidden = none("from_id string, to_id string, since string"), none("target_kind string, from_id string, to_id string, role string, node_id string")
+    roles, pins = none("edge_id string, from_id string, to_id string, role string, since string, until string"), none("from_id string, to_id string, stake_percent double, ownership_type string")
+    found = entity_profiles(entities, spark.read.parquet(str(tmp_path / "owns")), roles, pairs, pairs, hidden, pins, most=1)
+    found = found.select("id", "ownership.disclosed_pct", "owners", "subsidiaries", "cross_holdings")
+    ids = lambda items: [x.id for x in items or []]
+    assert {r.id: (r.disclosed_pct, ids(r.owners), ids(r.subsidiaries), ids(r.cross_holdings)) for r in found.collect()} == {
+        "a": (None, ["b"], ["b"], ["b"]), "b": (35.0, ["a"], ["a"], ["a"]), "c": (None, [], ["b"], []),
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [edge_id") == 0
